@@ -9,12 +9,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fluxframe.llm import bpe, bytecnn, minhash, ogg, tokenfiles, vafile
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from fluxframe.llm import bpe
 
-    return {"op7_bpe": bpe.op7_bpe}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {
+        "op2_minhash": minhash.op2_minhash,
+        "op6_bytecnn": bytecnn.op6_bytecnn,
+        "op7_bpe": bpe.op7_bpe,
+        "op8_tokenfiles": tokenfiles.op8_tokenfiles,
+        "op9_vafile": vafile.op9_vafile,
+        "op10_ogg": ogg.op10_ogg,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_minhash": minhash.SQL, "op9_vafile": vafile.SQL}
