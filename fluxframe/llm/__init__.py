@@ -9,12 +9,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fluxframe.llm import bpe, bytecnn, minhash, ogg, tokenfiles, vafile
+from fluxframe.llm import bpe, bytecnn, minhash, mixing, ogg, sharding, spans, tokenfiles, toolcalls, vafile
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_mixing": mixing.op1_mixing,
         "op2_minhash": minhash.op2_minhash,
+        "op3_sharding": sharding.op3_sharding,
+        "op4_spans": spans.op4_spans,
+        "op5_toolcalls": toolcalls.op5_toolcalls,
         "op6_bytecnn": bytecnn.op6_bytecnn,
         "op7_bpe": bpe.op7_bpe,
         "op8_tokenfiles": tokenfiles.op8_tokenfiles,
@@ -24,4 +28,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_minhash": minhash.SQL, "op9_vafile": vafile.SQL}
+    return {"op2_minhash": minhash.SQL, "op5_toolcalls": toolcalls.SQL, "op9_vafile": vafile.SQL}
