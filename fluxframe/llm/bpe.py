@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fluxframe.llm.arrays import slices, text_bytes
+from fluxframe.llm.arrays import slices
 from fluxframe.llm.pretokens import PieceIds
 from fluxframe.llm.tables import table
 
@@ -81,7 +81,7 @@ class Codec:
     """One DuckDB connection with the merge table and the vocabulary, and the pieces met so far."""
 
     def __init__(self, path: str) -> None:
-        self.con = duckdb.connect(config={"threads": "1", "memory_limit": "250MB"})
+        self.con = duckdb.connect(config={"threads": "1", "memory_limit": "160MB"})
         tokens = vocabulary(path)
         self.ids = {t: i for i, t in enumerate(tokens)}
         self.byte_ids = np.zeros(256, np.int32)
@@ -96,7 +96,7 @@ class Codec:
         self.con.execute("CREATE TABLE merges AS SELECT * FROM m")
         self.con.register("v", pa.table({"tok": np.arange(len(tokens), dtype=np.int32), "piece": [t.hex() for t in tokens]}))
         self.con.execute("CREATE TABLE vocabulary AS SELECT * FROM v")
-        self.pieces = PieceIds(self.contract)
+        self.pieces = PieceIds(self.contract, 1 << 19)
 
     def contract(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words one after another, and how many each has. A word that is a token has that id alone."""
@@ -118,7 +118,7 @@ class Codec:
         first = np.flatnonzero(part)
         word = np.cumsum(part) - 1
         toks, of = [], []
-        bounds = np.append(first[:: 1 << 17], len(data))  # words at once
+        bounds = np.append(first[:: 1 << 15], len(data))  # words at once
         for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
             key = (word[lo:hi] - word[lo] << 24) + np.arange(lo, hi) - first[word[lo:hi]]
             self.con.register("start", pa.table({"k": key, "tok": self.byte_ids[data[lo:hi]]}))
@@ -191,27 +191,20 @@ def decode(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     return df.mapInArrow(run, _added(df.schema, "decoded", T.BinaryType()))
 
 
-def digests(df: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of encoded texts that were decoded again."""
+def round_trip(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: digests of texts that were encoded and decoded again, in one pass, so
+    that one worker a task holds one codec. Equal decoded bytes mean that nothing was lost."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [str(i) for i in range(len(vocabulary(path)))]
-        for batch in batches:
-            column = batch.column("ids")
-            ends = np.append(0, np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False)))
-            ids = column.flatten().to_numpy(zero_copy_only=False)
-            data, offsets = text_bytes(batch.column("decoded"))
-            data = memoryview(data)
-            said = [hashlib.sha256(" ".join(map(names.__getitem__, ids[a:b].tolist())).encode()).hexdigest() for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            back = [hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(ends).astype(np.int64)), pa.array(said), pa.array(back)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return df.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
-
-
-def round_trip(docs: DataFrame, path: str) -> DataFrame:
-    """Digests of documents encoded and decoded again; equal decoded bytes mean that nothing was lost."""
-    return digests(decode(encode(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), path).drop("text"), path), path)
+        for batch in slices(batches, "text"):
+            ids, limits = codec(path).pieces([x or "" for x in batch.column("text").to_pylist()])
+            back = [hashlib.sha256(b).hexdigest() for b in codec(path).decode(ids, limits)]
+            said = [hashlib.sha256(" ".join(map(names.__getitem__, ids[a:b].tolist())).encode()).hexdigest() for a, b in zip(limits[:-1], limits[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(limits).astype(np.int64)), pa.array(said, pa.string()), pa.array(back, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
