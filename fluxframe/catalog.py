@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: list = []
+from fluxframe.operators import flows, routes, validate
+
+MODULES = [flows, routes, validate]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
