@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fluxframe.operators import flows, routes, validate
+from fluxframe.operators import dsp, flows, routes, validate
 
-MODULES = [flows, routes, validate]
+MODULES = [flows, routes, validate, dsp]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
