@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fluxframe.operators import dsp, flows, routes, spectrum, validate
+from fluxframe.operators import codec, dsp, flows, routes, spectrum, validate
 
-MODULES = [flows, routes, validate, dsp, spectrum]
+MODULES = [flows, routes, validate, dsp, spectrum, codec]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
