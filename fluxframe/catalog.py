@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fluxframe.operators import codec, dsp, flows, gates, routes, spectrum, validate
+from fluxframe.operators import codec, dsp, flows, gates, receiver, routes, spectrum, validate
 
-MODULES = [flows, routes, validate, dsp, spectrum, codec, gates]
+MODULES = [flows, routes, validate, dsp, spectrum, codec, gates, receiver]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

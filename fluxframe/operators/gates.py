@@ -346,10 +346,10 @@ def _gate_sql(rules: list[tuple[str, str]], name: str, source: str) -> str:
     return f"SELECT e, CASE WHEN errors = '' THEN '{name}_PASS' ELSE '{name}_FAIL' END AS classification, errors = '' AS ok, errors FROM (SELECT e, concat_ws(',', {codes}) AS errors FROM ({source}))"
 
 
-_HOST = """SELECT *, at + asp AS af, at + asp - CASE WHEN e % 70 = 5 THEN 1 ELSE 0 END AS aw FROM (SELECT *, CASE WHEN t THEN n - e % 7 * 30000 ELSE 0 END AS tp, CASE WHEN s THEN n - e % 5 * 30000 WHEN e % 50 = 1 THEN 1 ELSE 0 END AS sp, CASE WHEN t THEN 8 ELSE 0 END AS at, CASE WHEN s THEN 16 WHEN e % 40 = 3 THEN 1 ELSE 0 END AS asp,
+_HOST = """SELECT *, atf + asp AS af, atf + asp - CASE WHEN e % 70 = 5 THEN 1 ELSE 0 END AS aw FROM (SELECT *, CASE WHEN t THEN n - e % 7 * 30000 ELSE 0 END AS tp, CASE WHEN s THEN n - e % 5 * 30000 WHEN e % 50 = 1 THEN 1 ELSE 0 END AS sp, CASE WHEN t THEN 8 ELSE 0 END AS atf, CASE WHEN s THEN 16 WHEN e % 40 = 3 THEN 1 ELSE 0 END AS asp,
     CASE WHEN t THEN 8 ELSE 0 END AS wt, CASE WHEN s THEN 16 ELSE 0 END AS ws FROM (SELECT e, CASE WHEN e % 3 = 0 THEN 200 ELSE 100 END AS mhz, CASE WHEN e % 3 = 0 THEN 9600000 ELSE 4800000 END AS n, (e // 3) % 3 <> 1 AS t, (e // 3) % 3 <> 0 AS s FROM packets))"""
 _HOST_RULES = [
-    ("TIME_FLOW_COUNT_MISMATCH", "at <> wt"), ("SPEC_FLOW_COUNT_MISMATCH", "asp <> ws"), ("FLOW_COUNT_MISMATCH", "af <> wt + ws"), ("CAPTURE_FLOW_CAPACITY_MISMATCH", "e % 60 = 2"), ("ACTIVE_WORKERS_LOW", "aw < wt + ws"),
+    ("TIME_FLOW_COUNT_MISMATCH", "atf <> wt"), ("SPEC_FLOW_COUNT_MISMATCH", "asp <> ws"), ("FLOW_COUNT_MISMATCH", "af <> wt + ws"), ("CAPTURE_FLOW_CAPACITY_MISMATCH", "e % 60 = 2"), ("ACTIVE_WORKERS_LOW", "aw < wt + ws"),
     ("TIME_PPS_LOW", "t AND tp / 10 < CASE WHEN mhz = 100 THEN 470000 ELSE 950000 END"), ("SPEC_PPS_LOW", "s AND sp / 10 < CASE WHEN mhz = 100 THEN 470000 ELSE 950000 END"), ("TIME_PACKETS_IN_SPEC_ONLY", "NOT t AND tp <> 0"), ("SPEC_PACKETS_IN_TIME_ONLY", "NOT s AND sp <> 0"),
     ("COMBINED_PAYLOAD_RATE_LOW", "(tp + sp) * 8320 * 8 / 10 / 1e6 < CASE WHEN mhz = 200 OR (t AND s) THEN 63000 ELSE 31000 END"), *[(f"NONZERO_{c.upper()}", f"e % {90 + k} = 7") for k, c in enumerate(HOST_COUNTERS)], ("SPEC_PREVIEW_INCOMPLETE", "s AND e % 33 = 4"),
 ]
