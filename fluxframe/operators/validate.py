@@ -16,7 +16,7 @@ FFT_ONLY, PFB_ACTIVE = 1 << 8, 1 << 10
 # Names of errors, in order of their codes.
 ERRORS = (
     "FrameTooShort", "NonIpv4Ethernet", "UnsupportedIpv4Header", "TruncatedIpv4Udp", "NonUdpIpv4", "WrongUdpDstPort", "BadUdpLength",
-    "UdpPayloadTooShort", "BadT510Magic", "UnsupportedT510Version", "UnexpectedT510HeaderBytes", "NotTimeStream", "NotSpecStream",
+    "UdpPayloadTooShort", "BadMagic", "UnsupportedVersion", "UnexpectedHeaderBytes", "NotTimeStream", "NotSpecStream",
     "UnsupportedNinput", "UnsupportedPayloadFormat", "UnexpectedPayloadBytes", "UnsupportedProduct", "UnexpectedSpecLayout",
     "TruncatedPayload", "TruncatedTimePayload", "TruncatedSpecPayload",
 )
@@ -32,9 +32,9 @@ def first_of(*checks: tuple[Column, str]) -> Column:
 
 def header_error() -> Column:
     return first_of(
-        (F.col("magic") != MAGIC, "BadT510Magic"),
-        (~F.col("version").isin(*VERSIONS), "UnsupportedT510Version"),
-        (F.col("header_bytes") != HEADER_BYTES, "UnexpectedT510HeaderBytes"),
+        (F.col("magic") != MAGIC, "BadMagic"),
+        (~F.col("version").isin(*VERSIONS), "UnsupportedVersion"),
+        (F.col("header_bytes") != HEADER_BYTES, "UnexpectedHeaderBytes"),
     )
 
 
@@ -203,7 +203,7 @@ def q_status_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("e", *[(bit(F.col("word"), k) == 1).alias(n) for k, n in enumerate(flags)])
 
 
-_FIRST = """CASE WHEN magic <> 1412772144 THEN 'BadT510Magic' WHEN version NOT IN (2, 3) THEN 'UnsupportedT510Version' WHEN header_bytes <> 128 THEN 'UnexpectedT510HeaderBytes'
+_FIRST = """CASE WHEN magic <> 1412772144 THEN 'BadMagic' WHEN version NOT IN (2, 3) THEN 'UnsupportedVersion' WHEN header_bytes <> 128 THEN 'UnexpectedHeaderBytes'
  WHEN stream_type = 1 THEN CASE WHEN ninput <> 8 THEN 'UnsupportedNinput' WHEN payload_format <> 0 THEN 'UnsupportedPayloadFormat' WHEN payload_bytes <> 8192 THEN 'UnexpectedPayloadBytes' WHEN udp_payload_len < 128 + payload_bytes OR udp_payload_len < 128 + 128 * time_count THEN 'TruncatedTimePayload' END
  WHEN stream_type = 0 THEN CASE WHEN ninput <> 8 THEN 'UnsupportedNinput' WHEN payload_format <> 0 THEN 'UnsupportedPayloadFormat' WHEN payload_bytes <> 8192 THEN 'UnexpectedPayloadBytes' WHEN product_id <> 61697 THEN 'UnsupportedProduct' WHEN layout IS NULL THEN 'UnexpectedSpecLayout' WHEN udp_payload_len < 128 + payload_bytes THEN 'TruncatedSpecPayload' END END"""
 _LAYOUT = """CASE WHEN nchan = 4096 AND block_index < block_count AND chan0 = block_index * chan_count AND chan_count * time_count * ninput * 4 = 8192 THEN
