@@ -2,9 +2,10 @@
 
 A text is cut into sentences: after a run of . ! ? that white space follows, after a newline, and, so that a text without
 such signs has spans too, after any word whose hash is a multiple of CUT once LONG words have no end among them. From
-every sentence on, a span takes the fewest consecutive sentences (LEAST at least) that have MIN_WORDS words or more. Its
-hash covers its words, lower-cased and apart from the white space between them. Spans of one hash are one passage: the
-first by (doc_id, row's hash, place) stays, and every sentence that any other covers is removed.
+every sentence on, and up to every sentence, a span takes the fewest consecutive sentences (LEAST at least) that have
+MIN_WORDS words or more, so that a passage's spans reach both its ends. A span's hash covers its words, lower-cased and apart
+from the white space between them. Spans of one hash are one passage: the first by (doc_id, row's hash, place) stays, and
+every sentence that any other covers is removed.
 
 Within a slice of rows on a worker all but the first of each hash are marked at once; only firsts of slices are exchanged,
 so a passage of a third of all rows sends a row for each slice.
@@ -58,10 +59,13 @@ class Sentences:
     def spans(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """First sentence, number of sentences and hash of each span."""
         count = len(self.first)
-        i = np.arange(count)
-        to = np.maximum(np.searchsorted(self.last, self.first + MIN_WORDS - 1), i + LEAST - 1)
+        all_ = np.arange(count)
+        to = np.maximum(np.searchsorted(self.last, self.first + MIN_WORDS - 1), all_ + LEAST - 1)
         ok = (to < count) & (to < self.limits[self.row + 1])
-        i, to = i[ok], to[ok]
+        since = np.minimum(np.searchsorted(self.first, self.last - MIN_WORDS + 1, side="right") - 1, all_ - LEAST + 1)
+        back = since >= self.limits[self.row]
+        both = np.unique(np.concatenate([all_[ok] * count + to[ok], since[back] * count + all_[back]]))
+        i, to = both // max(count, 1), both % max(count, 1)
         return i, to - i + 1, RangeHash(self.hashes)(self.first[i], self.last[to] + 1)
 
 
