@@ -12,8 +12,8 @@ in unary in a bit vector, 2 + log2(u / n) bits a value. select(i) finds the i-th
 256 ones and popcounts after it, so offsets need no table of 64-bit words.
 
 write() sorts documents into ranges, encodes and writes in one pass with one shuffle; a range becomes one file or, where
-it is large, several. Files are written under a temporary name and renamed, and named after their content's place, so a
-task that is repeated after a lost executor writes the same file again. The manifest (a table) says where each file's ids
+it is large, several. A file's name ends with its task attempt, and only files that the manifest (a table) names count, so
+a task that is repeated after a lost executor, or run twice at once, does no harm. The manifest says where each file's ids
 start among all. Null texts count as empty, and every document has at least the end id.
 """
 
@@ -165,10 +165,9 @@ def write(docs: DataFrame, vocabulary: str, out: str, end_id: int = 0, chunk_ids
         def close() -> pa.RecordBatch:
             nonlocal chunk, names, parts, counts, held
             ids, ends = np.concatenate(parts), np.cumsum(np.concatenate(counts))
-            name = f"part-{part:06d}-{chunk:06d}.fxt"
-            with fs.open_output_stream(f"{root}/.{name}.{context.taskAttemptId()}") as f:
+            name = f"part-{part:06d}-{chunk:06d}-{context.taskAttemptId()}.fxt"
+            with fs.open_output_stream(f"{root}/{name}") as f:
                 f.write(file_bytes(names, ends, ids))
-            fs.move(f"{root}/.{name}.{context.taskAttemptId()}", f"{root}/{name}")
             row = pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "chunk": pa.array([chunk], pa.int32()), "file": [name], "n_docs": [len(names)], "n_ids": [len(ids)]})
             chunk, names, parts, counts, held = chunk + 1, [], [], [], 0
             return row
