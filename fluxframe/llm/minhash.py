@@ -9,8 +9,11 @@ one run. Two documents are linked if 100 * intersection >= percent * union. The
 3. Keys of two classes or more make buckets. Star edges go from each member to a leader, which each bucket draws by a
    hash, so a hot bucket yields one edge a member. Edges are verified by signature, then on the full sets.
 4. Components of the verified edges join most of each bucket. What is still apart within a bucket is compared in blocks of
-   BLOCK by signatures, one task a pair of blocks; pairs of one component and pairs whose sizes rule them out are passed
-   over, and only pairs that pass by signature are verified on full sets. No link is lost to a cap.
+   BLOCK by signatures. Members of a bucket's largest component go to one block each, as they need not meet each other;
+   the others go to every block. Pairs of one component and pairs whose sizes rule them out are passed over, and a pair that
+   shares several keys is taken at the first of them. Of the pairs that pass by signature, counts settle most: a set's
+   runs are counted in CELLS cells, and the counts of two sets differ by no more than the sets do, so a pair whose counts
+   differ too much can't be linked. The rest are verified on full sets. No link is lost to a cap.
 5. Components by alternating large-star and small-star until no edge changes.
 
 Defined results: no words: an empty set, linked with nothing; a row without doc_id can't be named, so it has no component
@@ -34,6 +37,7 @@ BANDS = HASHES // ROWS
 BLOCK = 512
 #: A pair passes by signature if that many of the HASHES minima agree; at similarity 0.8, 102 do, with a deviation of 4.5.
 AGREE = 76
+CELLS = 512
 
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64) * U64(2) + U64(1)
@@ -76,6 +80,11 @@ def band_keys(least: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def cell_counts(values: np.ndarray) -> np.ndarray:
+    """How many of a set's hashes fall into each cell; 255 stands for more, which only makes counts more alike."""
+    return np.minimum(255, np.bincount((values % U64(CELLS)).astype(np.int64), minlength=CELLS)).astype(np.uint8)
+
+
 def fingerprint(values: np.ndarray) -> tuple[int, int]:
     with np.errstate(over="ignore"):
         a = int(mix(mix(values)).sum()) ^ len(values)
@@ -97,18 +106,20 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n, signature (a byte of each minimum) and values, the full set."""
+    """doc_id, n, signature (a byte of each minimum), bands (four bytes of each key), counts and values, the full set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             sets = shingles(*text_bytes(batch.column("text")), width)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([minima(s).astype(np.uint8).tobytes() if len(s) else b"" for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "n", "signature", "values"])
+            least = [minima(s) if len(s) else np.zeros(HASHES, np.uint32) for s in sets]
+            marks = [pa.array([x.tobytes() for x in rows], pa.binary()) for rows in ([m.astype(np.uint8) for m in least], [band_keys(m).astype(np.uint32) for m in least], map(cell_counts, sets), sets)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), *marks], names=["doc_id", "n", "signature", "bands", "counts", "values"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, signature binary, values binary")
+    return docs.mapInArrow(run, "doc_id long, n long, signature binary, bands binary, counts binary, values binary")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) that are linked: by signature first, then on the full sets."""
+def verified(pairs: DataFrame, sets: DataFrame, percent: int, near_already: bool = False) -> DataFrame:
+    """The pairs (u, v) that are linked: by signature first, unless that has been done, then on the full sets."""
     by = lambda c, *more: sets.select(F.col("doc_id").alias(c), *(F.col(m).alias(f"{c}_{m}") for m in more))
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,9 +136,11 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 ok.append(100 * both >= percent * (len(a) + len(b) - both))
             yield batch.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
-    sized = pairs.join(by("u", "n", "signature"), "u").join(by("v", "n", "signature"), "v")
-    sized = sized.filter(100 * F.least("u_n", "v_n") >= percent * F.greatest("u_n", "v_n"))
-    close = sized.select("u", "v", "u_signature", "v_signature").mapInArrow(near, "u long, v long")
+    close = pairs
+    if not near_already:
+        sized = pairs.join(by("u", "n", "signature"), "u").join(by("v", "n", "signature"), "v")
+        sized = sized.filter(100 * F.least("u_n", "v_n") >= percent * F.greatest("u_n", "v_n"))
+        close = sized.select("u", "v", "u_signature", "v_signature").mapInArrow(near, "u long, v long")
     return close.join(by("u", "values"), "u").join(by("v", "values"), "v").select("u", "v", "u_values", "v_values").mapInArrow(linked, "u long, v long")
 
 
@@ -187,18 +200,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     first = components(edges)
 
     placed = members.select("key", "doc_id").join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    apart = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b")
+    parts = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
+    apart = parts.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).getField("component").alias("largest"), F.count("*").alias("parts")).filter("parts > 1")
     n_blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("doc_id", "key"), n_blocks).cast("int")
-    open_ = placed.join(apart.select("key", "n"), "key").select("key", "doc_id", "component", n_blocks.alias("blocks"), mine.alias("mine"))
-    # A member meets every block: as the first of the pair those from its own on, as the second those up to its own.
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = open_.select("key", "doc_id", "component", "mine", other).select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "doc_id", "component")
-    dealt = dealt.join(sets.select("doc_id", "n", "signature"), "doc_id")
-    rest = dealt.groupBy("key", "i", "j").applyInArrow(_close_pairs(percent), "u long, v long").distinct()
-    more = verified(rest, sets, percent)
-
-    linked = components(edges.union(more).union(twins))
+    own = F.pmod(F.xxhash64("doc_id", "key"), F.col("blocks")).cast("int")
+    open_ = placed.join(apart, "key").withColumn("blocks", n_blocks).withColumn("inner", F.col("component") == F.col("largest"))
+    where = F.when(F.col("inner"), F.array(own)).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = open_.select("key", "doc_id", "component", "inner", F.explode(where).alias("block"))
+    dealt = dealt.join(sets.select("doc_id", "n", "signature", "bands", "counts"), "doc_id")
+    rest = dealt.groupBy("key", "block").applyInArrow(_close_pairs(percent), "u long, v long").distinct()
+    more = verified(rest, sets, percent, near_already=True)
+
+    joined = first.filter("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
+    linked = components(joined.union(more).union(twins))
     out = signed.select("doc_id", "n_shingles").join(linked.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
@@ -206,15 +220,24 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
 def _close_pairs(percent: int) -> Callable[[pa.Table], pa.Table]:
     def close(group: pa.Table) -> pa.Table:
-        ids, comp, n, mine = (group.column(c).to_numpy() for c in ("doc_id", "component", "n", "mine"))
-        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+        ids, comp, n, inner = (group.column(c).to_numpy() for c in ("doc_id", "component", "n", "inner"))
+        key, block = group.column("key")[0].as_py() & (1 << 32) - 1, group.column("block")[0].as_py()
         marks = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint8).reshape(-1, HASHES)
-        right = np.flatnonzero(mine == j)
+        bands = np.frombuffer(b"".join(group.column("bands").to_pylist()), np.uint32).reshape(-1, BANDS)
+        counts = np.frombuffer(b"".join(group.column("counts").to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16)
+        outer = np.flatnonzero(~inner)
         us, vs = [], []
-        for a in np.flatnonzero(mine == i):
-            b = right[(ids[right] > ids[a]) if i == j else slice(None)]
+        for a in outer:
+            # Two members that are in every block meet in the first one.
+            b = np.flatnonzero(inner | ((ids > ids[a]) if block == 0 else False))
             b = b[(comp[b] != comp[a]) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))]
             b = b[(marks[b] == marks[a]).sum(1) >= AGREE] if len(b) else b
+            if len(b):
+                same = bands[b] == bands[a]
+                b = b[bands[a][same.argmax(1)] == key]
+                # |A - B| + |B - A| <= (100 - p) / (100 + p) * (|A| + |B|) for linked sets
+                apart = np.abs(counts[b] - counts[a]).sum(1, dtype=np.int64)
+                b = b[(100 + percent) * apart <= (100 - percent) * (n[b] + n[a])]
             us.append(np.full(len(b), ids[a]))
             vs.append(ids[b])
         us, vs = np.concatenate([np.zeros(0, np.int64), *us]), np.concatenate([np.zeros(0, np.int64), *vs])
