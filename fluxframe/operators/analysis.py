@@ -152,7 +152,7 @@ def q_source_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = captures(spark, sf_dir)
-    points = c.filter("n % 5 = 2").select("capture", (F.col("n") + (F.col("capture") % 4) / 4).alias("at"))
+    points = c.select("capture", (F.col("n") + (F.col("capture") % 4) / 4).alias("at"))
     return _r(kernel_join(points, c, "capture"), "i", "q", places=3)
 
 
@@ -196,7 +196,7 @@ SQL = {
     "aligned_phase": _over("captures", _PROJ, f"""SELECT "set", channel, round(phase_deg, 6) + 0.0 AS phase_deg, round(aligned, 6) + 0.0 AS aligned_deg, round({_wrap('aligned - channel * 10 - 15')}, 6) + 0.0 AS error_deg, round({_wrap('aligned - ref')}, 6) + 0.0 AS delta_deg
         FROM (SELECT *, max(aligned) FILTER (channel = 0) OVER (PARTITION BY "set") AS ref FROM (SELECT capture // 8 AS "set", (capture % 8)::INTEGER AS channel, phase_deg, {_wrap(f'phase_deg - 360 * ((capture * 5 * {TONE}) % 1.0)')} AS aligned FROM pr))"""),
     "two_tone_fit": sql("captures", f"SELECT capture, round(a.share, 6) + 0.0 AS share_a, round(b.share, 6) + 0.0 AS share_b, (CASE WHEN a.share >= b.share THEN 0 ELSE 1 END)::INTEGER AS better FROM ({_share(3 / 32)}) a JOIN ({_share(0.2)}) b USING (capture)"),
-    "kernel_range_join": sql("captures", f"""SELECT capture, "at", round(sum(k * i) / sum(k), 3) + 0.0 AS i, round(sum(k * q) / sum(k), 3) + 0.0 AS q, count(*) AS taps FROM (SELECT *, {_SINC} AS k FROM (SELECT p.capture, p."at", g.i, g.q, p."at" - g.n AS d FROM (SELECT capture, n + capture % 4 / 4 AS "at" FROM captures WHERE n % 5 = 2) p JOIN captures g ON g.capture = p.capture AND abs(p."at" - g.n) < 12)) GROUP BY ALL"""),
+    "kernel_range_join": sql("captures", f"""SELECT capture, "at", round(sum(k * i) / sum(k), 3) + 0.0 AS i, round(sum(k * q) / sum(k), 3) + 0.0 AS q, count(*) AS taps FROM (SELECT *, {_SINC} AS k FROM (SELECT p.capture, p."at", g.i, g.q, p."at" - g.n AS d FROM (SELECT capture, n + capture % 4 / 4 AS "at" FROM captures) p JOIN captures g ON g.capture = p.capture AND abs(p."at" - g.n) < 12)) GROUP BY ALL"""),
     "waveform_build": sql("samples", """SELECT channel, round(sqrt(avg(i::BIGINT * i + q::BIGINT * q)), 6) AS rms, max(greatest(least(abs(i), 32767), least(abs(q), 32767))) AS peak, count(*) FILTER (greatest(abs(i), abs(q)) >= 32760) AS clipped, count(*) AS samples, (count(*) FILTER (k % 5 = 0))::INTEGER AS shown,
         round(sum(sqrt(i::DOUBLE * i + q::DOUBLE * q)) FILTER (k % 5 = 0), 3) AS sum_mag, round(sum(i * cos(t) - q * sin(t)) FILTER (k % 5 = 0), 3) AS sum_rf FROM (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY n) - 1 AS k, ((n * (60e6 / 245.76e6)) % 1.0) * 2 * pi() AS t FROM samples) WHERE k < 100 GROUP BY channel"""),
     "preview_slice": sql("samples", "SELECT channel, min(n) AS sample0, count(*) AS samples, count(*) = 64 AS complete FROM samples WHERE n >= 8 AND n < 72 AND (243 >> channel) & 1 = 1 GROUP BY channel"),

@@ -310,21 +310,27 @@ def q_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("e", F.col("fast.error").alias("fast_error"), F.col("strict.error").alias("strict_error"), "fast.src_ip", "fast.dst_mac", "fast.dst_port", F.hex("fast.payload").alias("payload"))
 
 
+def _summed(df: DataFrame) -> DataFrame:
+    """Per packet and channel: samples, first and last index, and sums that tell their order."""
+    k = F.col("sample_index") % 64
+    return df.groupBy("e", "channel").agg(F.count("*").alias("samples"), F.min("sample_index").alias("first"), F.max("sample_index").alias("last"), F.sum(F.col("i") * k).alias("i_by_place"), F.sum("q").alias("sum_q"))
+
+
 def q_time_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = packets(spark, sf_dir).filter("e % 50 = 3").select("e", "sample0", "seq_no", F.lit(4).alias("time_count"))
-    out = explode_time(build_packets(df).select("e", "sample0", "time_count", "packet"), 2, [0, 3, 7])
-    return out.select("e", "sample_index", "channel", "i", "q")
+    df = packets(spark, sf_dir).select("e", "sample0", "seq_no", F.lit(4).alias("time_count"))
+    return _summed(explode_time(build_packets(df).select("e", "sample0", "time_count", "packet"), 2, [0, 3, 7]))
 
 
 def q_time_native(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = packets(spark, sf_dir).filter("e % 200 = 3").select("e", "sample0", "seq_no", F.lit(4).alias("time_count"))
-    return explode_time_native(build_packets(df).select("e", "sample0", "time_count", "packet"), 2, [0, 3, 7])
+    df = packets(spark, sf_dir).select("e", "sample0", "seq_no", F.lit(4).alias("time_count"))
+    return _summed(explode_time_native(build_packets(df).select("e", "sample0", "time_count", "packet"), 2, [0, 3, 7]))
 
 
 def q_spec_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = np.stack([np.arange(64), -np.arange(64)], axis=-1).astype("<i2").tobytes()
-    df = encode_headers(packets(spark, sf_dir).filter("e % 100 = 5").select("e", F.col("block_index").cast("long").alias("chan0"), F.lit(4).alias("chan_count"), F.lit(2).alias("time_count"), F.lit(8).alias("ninput")))
-    return explode_spec(df.select("e", "chan0", "chan_count", "time_count", "ninput", F.concat("header", F.lit(body)).alias("packet")))
+    df = encode_headers(packets(spark, sf_dir).select("e", F.col("block_index").cast("long").alias("chan0"), F.lit(4).alias("chan_count"), F.lit(2).alias("time_count"), F.lit(8).alias("ninput")))
+    out = explode_spec(df.select("e", "chan0", "chan_count", "time_count", "ninput", F.concat("header", F.lit(body)).alias("packet")))
+    return out.groupBy("e", "t").agg(F.count("*").alias("cells"), F.sum(F.col("i") * F.col("chan")).alias("i_by_chan"), F.sum(F.col("q") * F.col("input")).alias("q_by_input"))
 
 
 def q_packetise(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -334,7 +340,7 @@ def q_packetise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_witness(spark: SparkSession, sf_dir: str) -> DataFrame:
     word = F.col("i").bitwiseAND(F.lit(65535)).bitwiseOR(F.shiftleft(F.col("q").bitwiseAND(F.lit(65535)), 16))
-    df = captures(spark, sf_dir).filter("capture % 20 = 0").groupBy("capture").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", word.bitwiseOR(F.shiftleft(word, 32)).alias("w")))), lambda x: x["w"]).alias("words"))
+    df = captures(spark, sf_dir).groupBy("capture").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", word.bitwiseOR(F.shiftleft(word, 32)).alias("w")))), lambda x: x["w"]).alias("words"))
     return witness_words(df, 5)
 
 
@@ -359,17 +365,17 @@ QUERIES = {
 }
 
 _CELL = "b, s, c, 100 * b + 10 * s + c AS i FROM (SELECT unnest(range(4)) AS b), (SELECT unnest(range(4)) AS s), (SELECT unnest([0, 3, 7]) AS c)"
-_TIME = "SELECT e, sample0 + (b * 4 + s) * 2 AS sample_index, c::INTEGER AS channel, i::INTEGER AS i, (-i)::INTEGER AS q FROM packets, (SELECT " + _CELL + ") WHERE e % {} = 3"
+_TIME = "SELECT e, c::INTEGER AS channel, count(*) AS samples, min(x) AS first, max(x) AS last, sum(i * (x % 64))::BIGINT AS i_by_place, sum(-i)::BIGINT AS sum_q FROM (SELECT e, c, i, sample0 + (b * 4 + s) * 2 AS x FROM packets, (SELECT " + _CELL + ")) GROUP BY e, c"
 SQL = {
     "header_axis": sql("packets", "SELECT e, magic, version, header_bytes, board_id, stream_type, sample0, frame_id, seq_no, chan0, chan_count, time_count, product_id, block_index, spec_status_flags, 1311768467294899695 - e AS sync_generation, -e AS observation_tag, 39612 AS mts_id FROM packets"),
     "header_packed": sql("packets", "SELECT e, magic, version, seq_no, sample0, CASE WHEN chan0 = 0 THEN e % 7 ELSE chan0 END AS chan0, payload_bytes, CASE WHEN version >= 3 THEN 1311768467294899695 - e END AS sync_generation, CASE WHEN version >= 3 THEN 39612 END AS mts_id FROM packets"),
     "frame_parse": sql("packets", """SELECT e, fast_error, strict_error, CASE WHEN fast_error IS NULL THEN '10.0.1.1' END AS src_ip, CASE WHEN fast_error IS NULL THEN '08:c0:eb:d5:95:b2' END AS dst_mac, CASE WHEN fast_error IS NULL THEN dst_port END AS dst_port, CASE WHEN fast_error IS NULL THEN lpad(to_hex(e), 16, '0') END AS payload FROM (
         SELECT e, dst_port, CASE WHEN e % 13 = 0 THEN 'FrameTooShort' WHEN e % 17 = 0 THEN 'NonIpv4Ethernet' WHEN dst_port >= 4320 THEN 'WrongUdpDstPort' WHEN e % 19 <> 0 AND e % 23 = 0 THEN 'BadUdpLength' END AS fast_error,
         CASE WHEN e % 13 = 0 THEN 'FrameTooShort' WHEN e % 17 = 0 THEN 'NonIpv4Ethernet' WHEN e % 19 = 0 THEN 'UnsupportedIpv4Header' WHEN e % 23 = 0 THEN 'BadUdpLength' END AS strict_error FROM packets)"""),
-    "time_decode": sql("packets", _TIME.format(50)),
-    "time_decode_native": sql("packets", _TIME.format(200)),
-    "spec_decode": sql("packets", "SELECT e, (k // 32)::INTEGER AS t, block_index::BIGINT + k // 8 % 4 AS chan, (k % 8)::INTEGER AS input, k::INTEGER AS i, (-k)::INTEGER AS q FROM packets, (SELECT unnest(range(64)) AS k) WHERE e % 100 = 5"),
+    "time_decode": sql("packets", _TIME),
+    "time_decode_native": sql("packets", _TIME),
+    "spec_decode": sql("packets", "SELECT e, (k // 32)::INTEGER AS t, count(*) AS cells, sum(k * (block_index::BIGINT + k // 8 % 4))::BIGINT AS i_by_chan, sum(-k * (k % 8))::BIGINT AS q_by_input FROM packets, (SELECT unnest(range(64)) AS k) GROUP BY 1, 2"),
     "packetise": sql("samples", "SELECT n // 16 AS frame_id, min(n) AS sample0, 512::INTEGER AS bytes, arg_min(i, n * 8 + channel) AS first_i, arg_max(q, n * 8 + channel) AS last_q FROM samples GROUP BY 1 HAVING count(*) = 128"),
-    "witness_decode": sql("captures", "SELECT capture, n // 4 AS beat, (((i + 32768) & 65535) - 32768)::INTEGER AS i, (((q + 32768) & 65535) - 32768)::INTEGER AS q FROM captures WHERE capture % 20 = 0 AND n % 4 = 2"),
+    "witness_decode": sql("captures", "SELECT capture, n // 4 AS beat, (((i + 32768) & 65535) - 32768)::INTEGER AS i, (((q + 32768) & 65535) - 32768)::INTEGER AS q FROM captures WHERE n % 4 = 2"),
     "metadata_fallback": sql("packets", "SELECT e, CASE WHEN e % 2 = 1 AND e % 3 > 0 THEN e + 1 ELSE -e END AS seq, coalesce(nullif(e % 5, 0), e % 11) AS count, CASE WHEN e % 4 = 0 THEN 'named' WHEN e % 3 = 1 THEN '100' WHEN e % 3 = 2 THEN '200' ELSE 'unknown' END AS profile FROM packets"),
 }

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from fluxframe.functions.bits import names_of, round_half_away, s16, saturate, spread_pairs, unknown_bits
 from fluxframe.functions.signal import phase0_word, phase_word
+from fluxframe.operators.routes import small
 from fluxframe.plans.views import packets, samples, sql
 
 # The half-band filter in Q1.17, by distance from its centre.
@@ -83,7 +84,7 @@ def pfb(df: DataFrame, coefficients: DataFrame, nchan: int, taps: int = 4) -> Da
     (phase, c: array of taps) has nchan rows, 4096 at most. Frames without all predecessors have no output."""
     df = df.withColumns({"frame": F.floor(F.col("n") / nchan), "phase": (F.col("n") % nchan).cast("int")})
     w = Window.partitionBy("channel", "phase").orderBy("frame")
-    df = df.join(F.broadcast(coefficients.limit(4096)), "phase")
+    df = df.join(small(coefficients, 4096), "phase")
     tap = lambda c: sum((F.lag(F.col(c).cast("long"), taps - 1 - t).over(w) * F.get("c", F.lit(t)) for t in range(1, taps)), F.lag(F.col(c).cast("long"), taps - 1).over(w) * F.get("c", F.lit(0)))
     df = df.withColumns({"_i": tap("i"), "_q": tap("q"), "_from": F.lag("frame", taps - 1).over(w)}).filter(F.col("frame") - F.col("_from") == taps - 1)
     return df.select("channel", "frame", "phase", rounded_q17(F.col("_i")).alias("i"), rounded_q17(F.col("_q")).alias("q"))

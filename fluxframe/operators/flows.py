@@ -176,8 +176,8 @@ def q_nic_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_enabled_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = packets(spark, sf_dir).filter("e % 5 = 0")
-    return df.groupBy("board_id").agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("flow_id"))).alias("mask"))
+    enabled = F.col("e") % 5 == 0
+    return packets(spark, sf_dir).groupBy("board_id").agg(F.bit_or(F.when(enabled, F.call_function("shiftleft", F.lit(1), F.col("flow_id")))).alias("mask"))
 
 
 def q_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -233,7 +233,7 @@ SQL = {
     "consensus_float": sql("packets", "SELECT board_id, CASE WHEN max(x) - min(x) < 1e-6 THEN round(avg(x), 6) END AS x FROM (SELECT board_id, CASE WHEN board_id % 2 = 0 THEN 100.5::DOUBLE ELSE value END AS x FROM packets) WHERE x > 0 GROUP BY board_id"),
     "source_port": sql("packets", "SELECT board_id, coalesce(arg_min(src_port, e) FILTER (e % 7 = 3 AND board_id <> 2), arg_min(src_port, e)) AS port FROM packets GROUP BY board_id"),
     "nic_rates": sql("counters", "SELECT board_id, day, greatest(v - lag(v) OVER (PARTITION BY board_id ORDER BY day), 0) AS delta FROM (SELECT *, value % 1000003 AS v FROM counters)"),
-    "enabled_mask": sql("packets", "SELECT board_id, bit_or(1 << flow_id)::INTEGER AS mask FROM packets WHERE e % 5 = 0 GROUP BY board_id"),
+    "enabled_mask": sql("packets", "SELECT board_id, bit_or(1 << flow_id) FILTER (e % 5 = 0)::INTEGER AS mask FROM packets GROUP BY board_id"),
     "latest_values": sql("packets", "SELECT board_id, max(seq_no) AS last_seq_no, arg_max(frame_id, seq_no) AS last_frame_id, arg_max(sample0, seq_no) AS last_sample0, arg_max(flow_id, seq_no) AS last_flow_id FROM packets GROUP BY board_id"),
     "error_log_throttle": classified_sql("SELECT board_id, e, error, k FROM (SELECT *, row_number() OVER (PARTITION BY board_id ORDER BY e) AS k FROM classified WHERE error IS NOT NULL) WHERE k < 16 OR bit_count(k) = 1"),
 }

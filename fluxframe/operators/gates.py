@@ -275,8 +275,7 @@ def q_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_boards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boards by user: whether all share one rule, and none repeats an id."""
-    df = packets(spark, sf_dir).filter("e < 2000")
-    return df.groupBy("user_id").agg((F.countDistinct("time_count", "ninput") == 1).alias("common_rule"), (F.countDistinct("e") == F.count("*")).alias("unique_ids"))
+    return packets(spark, sf_dir).groupBy("user_id").agg((F.countDistinct("time_count", "ninput") == 1).alias("common_rule"), (F.countDistinct("e") == F.count("*")).alias("unique_ids"))
 
 
 def q_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -325,7 +324,7 @@ def q_rebase(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples counted from each board's epoch, its first sample."""
     p = packets(spark, sf_dir)
     epoch = p.groupBy("board_id").agg(F.min("sample0").alias("epoch"))
-    return p.join(F.broadcast(epoch.limit(1 << 16)), "board_id").select("e", delta_mod(F.col("sample0"), F.col("epoch"), 64).alias("observation_sample0"))
+    return p.join(epoch, "board_id").select("e", delta_mod(F.col("sample0"), F.col("epoch"), 64).alias("observation_sample0"))
 
 
 def q_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -367,7 +366,7 @@ SQL = {
     "nic_discards": sql("packets", f"SELECT coalesce(a.board_id, b.board_id) AS board_id, sum(greatest(coalesce(a.v, 0) - coalesce(b.v, 0), 0))::BIGINT AS discards FROM ({_NIC.format(40, 'true')}) a FULL JOIN ({_NIC.format(0, 'e % 3 = 0')}) b USING (board_id, name) WHERE regexp_matches(coalesce(a.name, b.name), '(?i)rx.*(discard|drop|miss|error)|prio.*discard') GROUP BY 1"),
     "sustained_progress": sql("counters", "SELECT board_id, min(day) FILTER (h AND ph AND packets > pp AND packets // 40 = pp // 40) AS since FROM (SELECT *, dayofmonth(day) % 9 <> 3 AS h, lag(dayofmonth(day) % 9 <> 3) OVER w AS ph, lag(packets) OVER w AS pp FROM counters WINDOW w AS (PARTITION BY board_id ORDER BY day)) GROUP BY board_id"),
     "alignment_rule": sql("packets", "SELECT e, m::INTEGER AS multiple, r::INTEGER AS residue, e * 4 % m = r AS reachable FROM (SELECT e, [32, 8, 4][e % 3 + 1] AS m, CASE WHEN e % 3 = 1 AND e % 2 = 0 THEN 4 ELSE 0 END AS r FROM packets)"),
-    "board_consistency": sql("packets", "SELECT user_id, count(DISTINCT (time_count, ninput)) = 1 AS common_rule, count(DISTINCT e) = count(*) AS unique_ids FROM packets WHERE e < 2000 GROUP BY user_id"),
+    "board_consistency": sql("packets", "SELECT user_id, count(DISTINCT (time_count, ninput)) = 1 AS common_rule, count(DISTINCT e) = count(*) AS unique_ids FROM packets GROUP BY user_id"),
     "provenance_pairing": sql("packets", "SELECT e AS k, e % 3 AS preview_delta, -(e % 5) AS header_delta, e % 3 = 0 AND e % 5 = 0 AS coherent FROM packets WHERE e % 6 = 0"),
     "readback_identity": sql("packets", "SELECT board_id, count(*) AS compared, count(*) FILTER (e % 77 = 5) AS mismatches, min(e) FILTER (e % 77 = 5) AS first FROM packets GROUP BY board_id"),
     "sample0_rebase": sql("packets", "SELECT e, sample0 - min(sample0) OVER (PARTITION BY board_id) AS observation_sample0 FROM packets"),

@@ -25,7 +25,7 @@ def q_reorder(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_late(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packets a window of 0 refuses as late: those that a newer one overtook."""
-    df = _arrivals(spark, sf_dir).filter("e % 97 <> 1").withColumn("part", F.floor(F.col("e") / 1000).cast("int")).select("part", "arrival", "seq_no", "frame_id", "sample0", "time_count")
+    df = _arrivals(spark, sf_dir).withColumn("part", F.floor(F.col("e") / 1000).cast("int")).select("part", "arrival", "seq_no", "frame_id", "sample0", "time_count")
     return run_batch(df, "part", "arrival", lambda s: Reorder(0, 100, s), REORDER, True).select(F.col("key").alias("part"), "late", "released")
 
 
@@ -40,8 +40,8 @@ def q_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _arrivals(spark, sf_dir).withColumn("part", F.lit(0)).select("part", "e", "seq_no", "frame_group", "block_index").filter("e < 4000")
-    return run_batch(df, "part", "e", lambda s: PreviewGate(16, 10, s), "key int, frame_group long, block_index long, seq_no long").drop("key")
+    df = _arrivals(spark, sf_dir).select("board_id", "e", "seq_no", "frame_group", "block_index")
+    return run_batch(df, "board_id", "e", lambda s: PreviewGate(16, 10, s), "key int, frame_group long, block_index long, seq_no long").withColumnRenamed("key", "board_id")
 
 
 def q_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +51,7 @@ def q_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Display messages of spectra, and their size and digest."""
-    p = packets(spark, sf_dir).filter("e % 40 = 7")
+    p = packets(spark, sf_dir)
     lane = F.struct(*[F.array(*[(F.col("e") % 7 + k).cast("double") for k in range(4)]).alias(a) for a in ("amplitude", "phase_rad", "power_db")])
     df = p.select("e", "sample0", "frame_id", "seq_no", "chan0", "chan_count", F.array(lane, lane).alias("lanes"), F.lit(65535).cast("long").alias("coverage_lo"))
     return to_binary(df, "spectrum").select("e", F.length("message").alias("bytes"), F.decode(F.substring("message", 1, 4), "US-ASCII").alias("magic"), F.crc32("message").alias("crc"))

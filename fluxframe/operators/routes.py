@@ -188,7 +188,7 @@ def q_before_after(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = packets(spark, sf_dir).filter("e < 500").select(F.col("e").alias("endpoint_id"), (F.col("e") % 5 != 0).alias("enable"), F.col("board_id").alias("ip"), F.col("dst_port").alias("port"))
+    e = packets(spark, sf_dir).select(F.col("e").alias("endpoint_id"), (F.col("e") % 5 != 0).alias("enable"), F.col("board_id").alias("ip"), F.col("dst_port").alias("port"))
     return duplicate_tuples(e)
 
 
@@ -256,7 +256,7 @@ SQL = {
     "before_after_flows": sql("packets", """SELECT flow_id, delta, CASE WHEN flow_id < 8 AND a IS NULL THEN 'MISSING' WHEN flow_id < 8 AND delta <= 0 THEN 'NO_PACKETS' WHEN flow_id >= 8 AND delta <> 0 THEN 'INACTIVE_PACKETS' END AS code
         FROM (SELECT coalesce(b.f, a.f) AS flow_id, a.n AS a, coalesce(a.n, 0) - coalesce(b.n, 0) AS delta FROM (SELECT dst_port - 4300 AS f, count(*) AS n FROM packets WHERE e < (SELECT max(event_id) / 2 FROM events) AND dst_port <> 4303 GROUP BY 1) b
         FULL JOIN (SELECT dst_port - 4300 AS f, count(*) AS n FROM packets WHERE dst_port NOT IN (4304, 4320) GROUP BY 1) a ON a.f = b.f)"""),
-    "dup_tuple": sql("packets", "SELECT endpoint_id, first_id, ip, port FROM (SELECT e AS endpoint_id, board_id AS ip, dst_port AS port, min(e) OVER (PARTITION BY board_id, dst_port) AS first_id FROM packets WHERE e < 500 AND e % 5 <> 0) WHERE endpoint_id > first_id"),
+    "dup_tuple": sql("packets", "SELECT endpoint_id, first_id, ip, port FROM (SELECT e AS endpoint_id, board_id AS ip, dst_port AS port, min(e) OVER (PARTITION BY board_id, dst_port) AS first_id FROM packets WHERE e % 5 <> 0) WHERE endpoint_id > first_id"),
     "inactive_flows": sql("packets", "SELECT DISTINCT dst_port - 4300 AS flow_id FROM packets EXCEPT SELECT dst_port - 4300 FROM packets WHERE stream_type = 1 AND e % 48 < 20"),
     "key_union": sql("counters", "SELECT day FROM counters WHERE board_id = 0 UNION SELECT day FROM counters WHERE board_id = 1"),
     "arbiter_priority": sql("packets", f"SELECT slot, (row_number() OVER (PARTITION BY slot ORDER BY stream_type, seq_no))::INTEGER AS turn, seq_no, stream_type {_MERGE}"),

@@ -265,8 +265,8 @@ def q_coherence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = captures(spark, sf_dir).filter("capture % 10 = 0")
-    b = c.withColumn("n", F.col("n") + F.expr("capture div 10 % 7 - 3"))
+    c = captures(spark, sf_dir)
+    b = c.withColumn("n", F.col("n") + F.col("capture") % 7 - 3)
     return _r(lag_search(c, b, "capture", 6), "size", places=3)
 
 
@@ -336,7 +336,7 @@ def q_thin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At most 100 points a channel: every k-th sample, k the samples over 100 rounded up; and the first 16 as they came."""
     df = samples(spark, sf_dir)
     total = df.groupBy("channel").agg(F.count("*").alias("total"))
-    df = df.join(F.broadcast(total.limit(64)), "channel").withColumn("k", F.row_number().over(Window.partitionBy("channel").orderBy("n")) - 1)
+    df = df.join(total, "channel").withColumn("k", F.row_number().over(Window.partitionBy("channel").orderBy("n")) - 1)
     return df.filter((F.col("k") % F.ceil(F.col("total") / 100) == 0) | (F.col("k") < 16)).select("channel", "n", "k")
 
 
@@ -350,7 +350,7 @@ def q_passband(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The grid point next to each of a capture's targets, the first of equals: an as-of join by arithmetic on an even grid."""
-    df = captures(spark, sf_dir).filter("n % 8 = 3").withColumn("target", F.col("n") + (F.col("capture") % 10) / 10 + 0.05)
+    df = captures(spark, sf_dir).withColumn("target", F.col("n") + (F.col("capture") % 10) / 10 + 0.05)
     return df.select("capture", "n", F.ceil(F.col("target") - 0.5).cast("long").alias("nearest"))
 
 
@@ -411,7 +411,7 @@ SQL = {
     "peak_interpolate": _over("captures", _POWER, """SELECT capture, bin, round(bin + CASE WHEN a IS NULL OR c IS NULL OR a - 2 * l + c = 0 THEN 0.0 ELSE greatest(-1.0, least(1.0, (a - c) / 2 / (a - 2 * l + c))) END, 6) AS peak
         FROM (SELECT capture, bin, ln(greatest(power, 1.0)) AS l, lag(ln(greatest(power, 1.0))) OVER w AS a, lead(ln(greatest(power, 1.0))) OVER w AS c FROM p WINDOW w AS (PARTITION BY capture ORDER BY bin)) JOIN t USING (capture) WHERE bin = peak_bin"""),
     "coherence": _over("captures", _PAIR, f"SELECT *, round({_COH}, 6) AS coherence, round(atan2(im, re), 6) + 0.0 AS phase_rad FROM (SELECT pair, {_SUMS} FROM x GROUP BY pair)"),
-    "lag_search": _over("captures", """a AS (SELECT capture, n, i, q, capture // 10 % 7 - 3 AS moved FROM captures WHERE capture % 10 = 0),
+    "lag_search": _over("captures", """a AS (SELECT capture, n, i, q, capture % 7 - 3 AS moved FROM captures),
         s AS (SELECT a.capture, l.lag, sum(a.i * b.i + a.q * b.q) AS re, sum(a.q * b.i - a.i * b.q) AS im, count(*) AS m FROM a, (SELECT unnest(range(-6, 7)) AS lag) l JOIN a b ON b.capture = a.capture AND b.n + b.moved = a.n + l.lag GROUP BY ALL HAVING count(*) >= 8),
         z AS (SELECT *, re::DOUBLE * re + im::DOUBLE * im AS size FROM s)""", "SELECT capture, arg_min(lag, (-size, lag))::INTEGER AS lag, round(sqrt(max(size)), 3) AS size FROM z GROUP BY capture"),
     "phase_unwrap": _over("captures", _CROSS, "SELECT pair, g, round(unwrapped, 6) + 0.0 AS unwrapped FROM u"),
@@ -429,5 +429,5 @@ SQL = {
     "power_db": sql("samples", "SELECT channel, n, round(db, 6) AS db, round(10 * log10(greatest(10 ** (db / 10), 1e-24)), 6) AS again FROM (SELECT channel, n, 10 * log10(greatest((i::BIGINT * i + q::BIGINT * q)::DOUBLE, 1.0)) AS db FROM samples)"),
     "stride_thin": sql("samples", "SELECT channel, n, k::INTEGER AS k FROM (SELECT channel, n, row_number() OVER (PARTITION BY channel ORDER BY n) - 1 AS k, count(*) OVER (PARTITION BY channel) AS total FROM samples) WHERE k % ceil(total / 100) = 0 OR k < 16"),
     "passband_mask": sql("captures", "SELECT capture, count(*) AS bins, sum(i)::BIGINT AS sum_i FROM (SELECT *, abs(n - 16 + capture % 40) <= 4 AS inside, bool_or(abs(n - 16 + capture % 40) <= 4) OVER (PARTITION BY capture) AS any_inside FROM captures) WHERE inside OR NOT any_inside GROUP BY capture"),
-    "nearest_sample": sql("captures", "SELECT c.capture, c.n, arg_min(g.k, (abs(c.n + c.capture % 10 / 10 + 0.05 - g.k), g.k)) AS nearest FROM captures c, (SELECT unnest(range(34)) AS k) g WHERE c.n % 8 = 3 GROUP BY ALL"),
+    "nearest_sample": sql("captures", "SELECT c.capture, c.n, arg_min(g.k, (abs(c.n + c.capture % 10 / 10 + 0.05 - g.k), g.k)) AS nearest FROM captures c, (SELECT unnest(range(34)) AS k) g GROUP BY ALL"),
 }

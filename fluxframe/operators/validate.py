@@ -131,7 +131,7 @@ def freeze_on_event(df: DataFrame, threshold: int, length: int = 256) -> DataFra
     size = F.greatest(F.abs("i"), F.abs("q"))
     hit = (size >= threshold) & F.lit(threshold > 0)
     start = df.filter(hit).groupBy("channel").agg(F.min("n").alias("start"))
-    span = df.join(F.broadcast(start), "channel").filter((F.col("n") >= F.col("start")) & (F.col("n") < F.col("start") + length))
+    span = df.join(start, "channel").filter((F.col("n") >= F.col("start")) & (F.col("n") < F.col("start") + length))
     return span.groupBy("channel", "start").agg(F.count("*").alias("captured"), F.sum(F.when(hit, 1).otherwise(0)).alias("hits"), (F.sum(F.when(hit, 1).otherwise(0)) > 1).alias("overflow"))
 
 
