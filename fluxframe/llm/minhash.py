@@ -181,6 +181,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     signed = at(spark, keep(signed, "signatures"), signed)
     named = signed.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     classes = named.groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "keys")).alias("r"))
+    classes = at(spark, keep(classes, "classes"), classes)  # a table of its own, so that the join of a hot class's copies can be split
     twins = named.select("doc_id", "f1", "f2").join(classes.select("f1", "f2", F.col("r.doc_id").alias("rep")), ["f1", "f2"]).filter("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).distinct()
 
     keyed = classes.select(F.col("r.doc_id").alias("doc_id"), F.explode("r.keys").alias("key"))
