@@ -13,9 +13,8 @@ from pyspark.sql import functions as F
 from fluxframe.llm import bpe, bytecnn, minhash, mixing, spans
 from fluxframe.llm.tables import at, keep, table
 
-#: Weights of the clean and the toxic domain, and the target's tokens against the corpus's: clean documents then have rates
-#: of 1 or more and all stay, toxic ones are thinned.
-CLEAN_AND_TOXIC, TOTAL = (0.97, 0.03), 1.02
+#: Weights of the clean and the toxic domain. Rates are scaled so that the cleanest documents have the rate 1 at any share.
+CLEAN_AND_TOXIC = (0.97, 0.03)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,10 +38,11 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are thinned to the rates that match the weights of clean and toxic tokens. A rate over 1 keeps its
-    document once: a stage that filters repeats none."""
+    """Documents come as often as the rates that match the weights of clean and toxic tokens say. The cleanest stay once;
+    the more toxic a document, the more it is thinned, or, where toxic tokens are below their weight, repeated."""
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
-    return mixing.mixed(docs, labels, CLEAN_AND_TOXIC, docs.columns, TOTAL).filter("copies > 0").select(*docs.columns)
+    out = mixing.mixed(docs, labels, CLEAN_AND_TOXIC, docs.columns, once=0).filter("copies > 0")
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -140,9 +140,10 @@ def fit_rates(cells: DataFrame, weights: list[float], total: float | None = None
     return gradients
 
 
-def mixed(docs: DataFrame, labelled: DataFrame, weights: tuple[float, ...], columns: list[str], total_of: float = 1.0, seed: int = 5) -> DataFrame:
+def mixed(docs: DataFrame, labelled: DataFrame, weights: tuple[float, ...], columns: list[str], total_of: float = 1.0, seed: int = 5, once: int | None = None) -> DataFrame:
     """The given columns of docs, tokens, parts, rate (double) and copies (int: rate rounded up or down by a hash of the
-    row, so that its expectation is the rate). total_of scales the target's sum against the corpus's tokens."""
+    row, so that its expectation is the rate). total_of scales the target's sum against the corpus's tokens; with once, a
+    domain's number, rates are scaled after the fit so that the documents nearest to that domain have the rate 1."""
     k = len(weights)
     predicted = with_posteriors(docs.withColumn("_draw", F.xxhash64(F.lit(seed), "doc_id", "text")), train(docs, labelled, k), k, [*columns, "_draw"])
     predicted = at(docs.sparkSession, keep(predicted, "posteriors"), predicted)
@@ -153,6 +154,9 @@ def mixed(docs: DataFrame, labelled: DataFrame, weights: tuple[float, ...], colu
     # The rate is computed once a cell and joined: cells are at most C(STEPS + k - 1, k - 1) rows.
     rates = cells.select("parts", rate_of(F.col("parts"), gradients).alias("rate"))
     rates = at(docs.sparkSession, keep(rates, "rates"), rates)
+    if once is not None:
+        purest = rates.orderBy(F.col("parts")[once].desc(), "parts").first()
+        rates = rates.withColumn("rate", F.col("rate") / F.lit(purest["rate"] if purest and purest["rate"] > 0 else 1.0))
     draw = F.pmod(F.col("_draw"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return predicted.join(F.broadcast(rates), "parts").select(*columns, "tokens", "parts", "rate", F.floor(F.col("rate") + draw).cast("int").alias("copies"))
 
