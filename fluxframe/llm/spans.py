@@ -1,7 +1,9 @@
 """Substring dedup by sliding sentence spans.
 
 A text is cut into sentences: after a run of . ! ? that white space follows, after a newline, and, so that a text without
-such signs has spans too, after any word whose hash is a multiple of CUT once LONG words have no end among them. From
+such signs has spans too, in stretches of more than LONG words without an end after the word of least hash of each WINDOW
+words (the last of equals, so that a run of one word is cut as well). Cuts more than LONG words inside a passage depend on it
+alone, and sentences have at most LONG words: any passage of 2 * LONG + MIN_WORDS words, wherever it starts, holds a span. From
 every sentence on, and up to every sentence, a span takes the fewest consecutive sentences (LEAST at least) that have
 MIN_WORDS words or more, so that a passage's spans reach both its ends. A span's hash covers its words, lower-cased and apart
 from the white space between them. Spans of one hash are one passage: the first by (doc_id, row's hash, place) stays, and
@@ -25,11 +27,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fluxframe.llm.arrays import LOWER, U64, RangeHash, slices, text_bytes, words
+from fluxframe.llm.arrays import LOWER, RangeHash, slices, text_bytes, words
 from fluxframe.llm.tables import at, keep, table
 
 LEAST, MIN_WORDS = 2, 20
-LONG, CUT = 24, 8
+LONG, WINDOW = 15, 8
 _ENDS = np.zeros(256, bool)
 _ENDS[[ord(c) for c in ".!?"]] = True
 
@@ -50,7 +52,10 @@ class Sentences:
         stop = np.flatnonzero(ends)
         sizes = np.diff(np.append(-1, stop))
         if (sizes > LONG).any():
-            ends = ends | (np.repeat(sizes, sizes) > LONG) & (self.hashes % U64(CUT) == 0)
+            left = np.repeat(stop, sizes) - np.arange(n)
+            inside = np.flatnonzero((np.repeat(sizes, sizes) > LONG) & (left >= WINDOW - 1))  # starts of whole windows
+            least = np.lib.stride_tricks.sliding_window_view(self.hashes, WINDOW)[inside, ::-1].argmin(1)
+            ends[inside + WINDOW - 1 - least] = True
         self.last = np.flatnonzero(ends)
         self.first = np.append(0, self.last[:-1] + 1) if n else self.last
         self.row = row[self.first] if n else self.last

@@ -4,10 +4,12 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from fluxframe.llm import minhash, sharding, spans
+from fluxframe.llm.arrays import text_bytes
 
 
 def corpus(seed, copies=(1, 2, 3, 25)):
@@ -116,6 +118,21 @@ def test_spans_without_punctuation(docs_of):
     assert left[0] == 120 and max(left[1:]) < 50 and all(len(re.findall(r"\bu\d+", got[k])) > 150 for k in range(3))
 
 
+@pytest.mark.parametrize("ends", [0, 0.02, 0.05, 0.1, 0.3])
+def test_every_passage_over_50_words_holds_a_span(ends):
+    """Passages of 51 words put in the middle of other texts, with few ends or many: both places have a span in common."""
+    rng = random.Random(9)
+    some = lambda n, end: " ".join(f"v{rng.randrange(10**6)}" + ("." if rng.random() < end else "") for _ in range(n))
+    passages = [some(51, ends) for _ in range(400)] + ["same " * 51]
+    sets = []
+    for _ in range(2):
+        data, offsets = text_bytes(pa.array([some(rng.randint(0, 40), 0.05) + " " + p + " " + some(rng.randint(0, 40), 0.05) for p in passages]))
+        found = spans.Sentences(data, offsets)
+        i, _, h = found.spans()
+        sets.append([set(h[found.row[i] == k].tolist()) for k in range(len(passages))])
+    assert [k for k, (a, b) in enumerate(zip(*sets, strict=True)) if not a & b] == []
+
+
 def test_spans_empty(docs_of):
     assert spans.remove_repeats(docs_of([])).count() == 0
     assert {r.text for r in spans.remove_repeats(docs_of([(1, None), (2, " ")])).collect()} == {None, " "}
