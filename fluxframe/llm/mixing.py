@@ -2,13 +2,13 @@
 
 A classifier fitted on the labelled table predicts each document's posterior over domains. Posteriors are rounded to
 multiples of 1 / STEPS that sum to 1. Then rates r >= 0, the expected copies of each document, are fitted so that the
-expected tokens of each domain, sum of tokens * r * posterior, match the targets: least squares by projected gradient.
+expected tokens of each domain, sum of tokens * r * posterior, match the targets, by least squares.
 
 Documents of one rounded posterior have one rate, so the fit needs only the tokens of each posterior: a pre-aggregated table
-of at most C(STEPS + K - 1, K - 1) rows however large the corpus. An iteration is one aggregation of it by Spark. With
-the residual's norm weighted by the inverse of the posteriors' second moments, and documents by their tokens, the gradient's
-Lipschitz constant is 1, so the step 1 converges. A rate after t steps is a fold over the t gradients, so that no state is
-kept between them.
+of at most C(STEPS + K - 1, K - 1) rows however large the corpus, which the driver solves. Targets beyond reach are replaced
+by the nearest totals in reach, in the norm weighted by the inverse of the posteriors' second moments. Of all rates that reach
+them, those nearest to 1 are taken; they are max(0, 1 - posterior * g) for one vector g, found by Newton steps. A fit that
+is not within TOLERANCE of these totals raises.
 
 Defined results: a null or empty text has no tokens, and its rate follows its posterior like any other's; without labels
 every posterior is even; a domain without any mass can't match its target, and the fit is the nearest in least squares;
@@ -115,29 +115,67 @@ def rate_of(parts, gradients: list[list[float]]):
     return F.aggregate(steps, F.lit(1.0), lambda r, g: F.greatest(F.lit(0.0), r - dot(g)))
 
 
+def attainable(p: np.ndarray, metric: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """The totals nearest to target by metric that rates >= 0 can reach: non-negative least squares by active sets."""
+    values, vectors = np.linalg.eigh(metric)
+    half = (vectors * np.sqrt(np.maximum(0, values))).T
+    b, c = half @ p.T, half @ target
+    length = np.linalg.norm(b, axis=0)
+    b = b / np.where(length > 0, length, 1)
+    x, used = np.zeros(len(p)), np.zeros(len(p), bool)
+    for _ in range(50 * (len(c) + 1)):
+        gain = np.where(used, -np.inf, b.T @ (c - b @ x))
+        j = int(gain.argmax())
+        if gain[j] <= 1e-12:
+            return p.T @ (x / np.where(length > 0, length, 1))
+        used[j] = True
+        while True:
+            y = np.zeros_like(x)
+            y[used] = np.linalg.lstsq(b[:, used], c, rcond=None)[0]
+            low = used & (y <= 0)
+            if not low.any():
+                break
+            x = x + (x[low] / (x[low] - y[low])).min() * (y - x)
+            used &= x > 1e-15
+            x[~used] = 0
+        x = y
+    raise RuntimeError("mixing: the nearest attainable totals were not found")
+
+
+def nearest_rates(p: np.ndarray, w: np.ndarray, target: np.ndarray, iterations: int) -> np.ndarray:
+    """g of the rates max(0, 1 - p g), the nearest to 1 by tokens w of all whose totals are the target: Newton steps with
+    exact line search on the convex dual, whose gradient is the totals' error."""
+    m = (p * w[:, None]).T @ p
+    target = attainable(p, np.linalg.pinv(m, rcond=1e-9, hermitian=True), target)
+    slope = lambda g: target - (w * np.maximum(0, 1 - p @ g)) @ p
+    g = np.zeros(len(target))
+    for _ in range(iterations):
+        error = slope(g)
+        if np.abs(error).max() <= TOLERANCE:
+            return g
+        on = p @ g < 1
+        step = -np.linalg.lstsq((p[on] * w[on, None]).T @ p[on] + 1e-12 * m, error, rcond=1e-15)[0]
+        lo, hi = 0.0, 1.0
+        if slope(g + step) @ step > 0:
+            for _ in range(100):
+                mid = (lo + hi) / 2
+                lo, hi = (mid, hi) if slope(g + mid * step) @ step <= 0 else (lo, mid)
+        g = g + hi * step
+    if (left := np.abs(slope(g)).max()) > TOLERANCE:
+        raise RuntimeError(f"mixing: rates miss their totals by {left:.3g} of all tokens after {iterations} steps")
+    return g
+
+
 def fit_rates(cells: DataFrame, weights: list[float], total: float | None = None, iterations: int = ITERATIONS) -> list[list[float]]:
-    """The gradients whose fold gives the rates; cells has parts and tokens, one row a posterior."""
-    k = len(weights)
+    """The gradients whose fold gives the rates, none or one; cells has parts and tokens, one row a posterior. They are
+    bounded, and solved on the driver. Raises if the error is above TOLERANCE after so many iterations."""
     share = np.array(weights, float) / sum(weights)
-    at_ = [F.col("parts")[i] / STEPS for i in range(k)]
-    moments = cells.agg(F.sum("tokens").alias("n"), *[F.sum(F.col("tokens") * at_[i] * at_[j]).alias(f"m{i}_{j}") for i in range(k) for j in range(i, k)]).first()
-    n = float(moments["n"] or 0)
+    rows = sorted((list(r["parts"]), r["tokens"]) for r in cells.filter("tokens > 0").select("parts", "tokens").collect())
+    n = float(sum(t for _, t in rows))
     if not n:
         return []
-    m = np.array([[moments[f"m{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)], float) / n
-    inverse = np.linalg.pinv(m, rcond=1e-9, hermitian=True)
-    target = share * (n if total is None else total) / n
-    gradients: list[list[float]] = []
-    for _ in range(iterations):
-        rate = rate_of(F.col("parts"), gradients)
-        got = cells.agg(*[F.sum(F.col("tokens") * rate * a).alias(f"t{i}") for i, a in enumerate(at_)]).first()
-        residual = np.array(got, float) / n - target
-        step = inverse @ residual
-        gradients.append([float(x) for x in step])
-        if np.abs(residual).max() <= TOLERANCE:
-            gradients.pop()
-            break
-    return gradients
+    p, w = np.array([x for x, _ in rows], float) / STEPS, np.array([t for _, t in rows], float) / n
+    return [nearest_rates(p, w, share * (n if total is None else total) / n, iterations).tolist()]
 
 
 def mixed(docs: DataFrame, labelled: DataFrame, weights: tuple[float, ...], columns: list[str], total_of: float = 1.0, seed: int = 5, once: int | None = None) -> DataFrame:

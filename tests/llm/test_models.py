@@ -99,6 +99,21 @@ def test_rates_at_the_bound_are_least_squares(spark):
     assert loss(got) == pytest.approx(loss(n * p.T @ (w * r)), abs=1e-6)
 
 
+@pytest.mark.parametrize("shares", [(0.05, 0.6, 0.3, 0.05), (0.6, 0.2, 0.1, 0.1), (0.02, 0.9, 0.04, 0.04)])
+def test_rates_of_over_represented_domains(spark, shares):
+    """The query's weights and number of steps, where rates meet the bound 0."""
+    rng = np.random.default_rng(7)
+    parts = [mixing.rounded(rng.dirichlet(np.full(4, 0.05) + 3 * np.eye(4)[d], 1))[0].tolist() for d in rng.choice(4, 3000, p=shares)]
+    df = cells(spark, [(p, 100) for p in parts])
+    got = totals(df, mixing.fit_rates(df, list(mixing.WEIGHTS), 300_000), 4)
+    assert got == pytest.approx(np.array(mixing.WEIGHTS) * 300_000, rel=1e-6)
+
+
+def test_rates_out_of_steps_raise(spark):
+    with pytest.raises(RuntimeError, match="after 0 steps"):
+        mixing.fit_rates(cells(spark, [([32, 0], 100), ([0, 32], 300)]), [0.5, 0.5], 400, 0)
+
+
 def test_rounded():
     p = np.array([[0.5, 0.5], [1.0, 0.0], [0.51, 0.49], [1 / 3, 2 / 3]])
     r = mixing.rounded(p)
