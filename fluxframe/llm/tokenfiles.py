@@ -15,6 +15,9 @@ write() sorts documents into ranges, encodes and writes in one pass with one shu
 it is large, several. A file's name ends with its task attempt, and only files that the manifest (a table) names count, so
 a task that is repeated after a lost executor, or run twice at once, does no harm. The manifest says where each file's ids
 start among all. Null texts count as empty, and every document has at least the end id.
+
+Special strings such as "<|endoftext|>" within a text are encoded as ordinary text, as the library does with
+encode_special_tokens = True and not by its default: a document must not be able to write control ids into the corpus.
 """
 
 from __future__ import annotations
