@@ -8,16 +8,23 @@ one run. Two documents are linked if 100 * intersection >= percent * union. The
 2. Documents of equal fingerprint are one class, named by the smallest doc_id; only classes go on.
 3. Keys of two classes or more make buckets. Star edges go from each member to a leader, which each bucket draws by a
    hash, so a hot bucket yields one edge a member. Edges are verified by signature, then on the full sets.
-4. Components of the verified edges join most of each bucket. What is still apart within a bucket is compared in blocks of
-   BLOCK by signatures. Members of a bucket's largest component go to one block each, as they need not meet each other;
-   the others go to every block. Pairs of one component and pairs whose sizes rule them out are passed over, and a pair that
-   shares several keys is taken at the first of them. Of the pairs that pass by signature, counts settle most: a set's
-   runs are counted in CELLS cells, and the counts of two sets differ by no more than the sets do, so a pair whose counts
-   differ too much can't be linked. The rest are verified on full sets. No link is lost to a cap.
+4. Components of the verified edges join most of each bucket. What is still apart within a bucket is compared by signatures,
+   a pair of blocks at a time. Members of a bucket's largest component, which need not meet each other, are cut into inner
+   blocks, the others into outer ones; each inner block meets each outer one, and each two outer ones meet, so a group holds
+   two blocks however large the bucket and whoever is linked. A bucket of n members, m of them outside its largest
+   component, makes about n * m / BLOCK copies of their signatures. Pairs of one component and pairs whose sizes rule them
+   out are passed over, and a pair that shares several keys is taken at the first of them. Of the pairs that pass by
+   signature, counts settle most: a set's runs are counted in CELLS cells, and the counts of two sets differ by no more than
+   the sets do, so a pair whose counts differ too much can't be linked. The rest are verified on full sets. No link is lost
+   to a cap.
 5. Components by alternating large-star and small-star until no edge changes.
 
-Defined results: no words: an empty set, linked with nothing; a row without doc_id can't be named, so it has no component
-and is kept; rows that repeat a doc_id are one document, whose links are those of all its texts.
+Joins on a node, a leader, a key or a class go through spread_join, so that a hot one is dealt over many tasks.
+
+Defined results: null and empty texts, and those without words: an empty set, linked with nothing; a row without doc_id can't
+be named, so it has no component and is kept; rows that repeat a doc_id are one document, whose links are those of all its
+texts; equal texts are one class, in the component of its smallest doc_id; very long texts are hashed whole, one at a time;
+an empty table gives no rows; columns other than doc_id and text are not read, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -30,11 +37,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fluxframe.llm.arrays import LOWER, U64, RangeHash, mix, slices, text_bytes, words
-from fluxframe.llm.tables import at, drop, keep, table
+from fluxframe.llm.tables import at, drop, keep, spread_join, table
 
 HASHES, ROWS = 128, 4
 BANDS = HASHES // ROWS
-BLOCK = 512
+#: The most members of a block but for chance: blocks are dealt by hash, FILL of that on average.
+BLOCK, FILL = 512, 0.75
 #: A pair passes by signature if that many of the HASHES minima agree; at similarity 0.8, 102 do, with a deviation of 4.5.
 AGREE = 76
 CELLS = 512
@@ -118,14 +126,21 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, signature binary, bands binary, counts binary, values binary")
 
 
+def _matrix(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int, near_already: bool = False) -> DataFrame:
     """The pairs (u, v) that are linked: by signature first, unless that has been done, then on the full sets."""
     by = lambda c, *more: sets.select(F.col("doc_id").alias(c), *(F.col(m).alias(f"{c}_{m}") for m in more))
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, HASHES) for c in ("u_signature", "v_signature"))
-            yield batch.select(["u", "v"]).filter(pa.array((a == b).sum(1) >= AGREE))
+            a, b = (_matrix(batch.column(c), HASHES) for c in ("u_signature", "v_signature"))
+            batch = batch.filter(pa.array((a == b).sum(1) >= AGREE))
+            a, b = (_matrix(batch.column(c), CELLS).astype(np.int16) for c in ("u_counts", "v_counts"))
+            total = batch.column("u_n").to_numpy() + batch.column("v_n").to_numpy()
+            yield batch.select(["u", "v"]).filter(pa.array((100 + percent) * np.abs(a - b).sum(1, dtype=np.int64) <= (100 - percent) * total))
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,12 +151,15 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int, near_already: bool
                 ok.append(100 * both >= percent * (len(a) + len(b) - both))
             yield batch.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
+    with_ = lambda some, side, other, *more: spread_join(some, by(side, *more), [side], [other])
     close = pairs
     if not near_already:
-        sized = pairs.join(by("u", "n", "signature"), "u").join(by("v", "n", "signature"), "v")
+        sized = with_(with_(pairs, "u", "v", "n", "signature", "counts"), "v", "u", "n", "signature", "counts")
         sized = sized.filter(100 * F.least("u_n", "v_n") >= percent * F.greatest("u_n", "v_n"))
-        close = sized.select("u", "v", "u_signature", "v_signature").mapInArrow(near, "u long, v long")
-    return close.join(by("u", "values"), "u").join(by("v", "values"), "v").select("u", "v", "u_values", "v_values").mapInArrow(linked, "u long, v long")
+        close = sized.select("u", "v", *(f"{c}_{m}" for m in ("n", "signature", "counts") for c in "uv")).mapInArrow(near, "u long, v long")
+        path = keep(close, "close")
+        close = at(pairs.sparkSession, path, close)
+    return with_(with_(close, "u", "v", "values"), "v", "u", "values").select("u", "v", "u_values", "v_values").mapInArrow(linked, "u long, v long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -151,16 +169,18 @@ def components(edges: DataFrame) -> DataFrame:
     path = keep(pair, "edges")
     now = at(spark, path, pair)
     before = None
+
+    def with_least(edges: DataFrame) -> DataFrame:
+        return spread_join(edges, edges.groupBy("u").agg(F.min("v").alias("m")), ["u"], ["v"])
+
     while True:
         # Each node's neighbours go to the least of them and itself: first the larger neighbours, then the smaller ones.
-        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        both = with_least(now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+        large = both.filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).filter("u <> v").distinct()
         large_path = keep(large, "large-star")
         large = at(spark, large_path, pair)
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
+        small = with_least(large).select(F.col("v").alias("u"), F.col("m").alias("v")).union(large.groupBy("u").agg(F.min("v").alias("m")).select("u", F.col("m").alias("v")))
+        small = small.filter("u <> v").distinct()
         small_path = keep(small, "small-star")
         drop(spark, path)
         drop(spark, large_path)
@@ -182,11 +202,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     named = signed.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     classes = named.groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "keys")).alias("r"))
     classes = at(spark, keep(classes, "classes"), classes)  # a table of its own, so that the join of a hot class's copies can be split
-    twins = named.select("doc_id", "f1", "f2").join(classes.select("f1", "f2", F.col("r.doc_id").alias("rep")), ["f1", "f2"]).filter("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).distinct()
+    marks = named.select("doc_id", "f1", "f2")
+    twins = spread_join(marks, classes.select("f1", "f2", F.col("r.doc_id").alias("rep")), ["f1", "f2"], ["doc_id"])
+    twins = twins.filter("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).distinct()
 
     keyed = classes.select(F.col("r.doc_id").alias("doc_id"), F.explode("r.keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("key", "doc_id"), "doc_id")).getField("doc_id").alias("leader")).filter("n > 1")
-    members = keyed.join(shared, "key")
+    members = spread_join(keyed, shared, ["key"], ["doc_id"])
     members_path = keep(members, "members")
     members = at(spark, members_path, members)
     some = members.select("doc_id").distinct()
@@ -195,21 +217,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     sets = at(spark, sets_path, sets)
 
     stars = members.filter("doc_id <> leader").select(F.col("doc_id").alias("u"), F.col("leader").alias("v")).distinct()
+    stars = at(spark, keep(stars, "stars"), stars)
     edges = verified(stars, sets, percent)
     edges_path = keep(edges, "star-edges")
     edges = at(spark, edges_path, edges)
     first = components(edges)
 
     placed = members.select("key", "doc_id").join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    parts = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
-    apart = parts.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).getField("component").alias("largest"), F.count("*").alias("parts")).filter("parts > 1")
-    n_blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("doc_id", "key"), F.col("blocks")).cast("int")
-    open_ = placed.join(apart, "key").withColumn("blocks", n_blocks).withColumn("inner", F.col("component") == F.col("largest"))
-    where = F.when(F.col("inner"), F.array(own)).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = open_.select("key", "doc_id", "component", "inner", F.explode(where).alias("block"))
-    dealt = dealt.join(sets.select("doc_id", "n", "signature", "bands", "counts"), "doc_id")
-    rest = dealt.groupBy("key", "block").applyInArrow(_close_pairs(percent), "u long, v long").distinct()
+    placed = at(spark, keep(placed, "placed"), placed)
+    dealt = met_blocks(placed).join(sets.select("doc_id", "n", "signature", "bands", "counts"), "doc_id")
+    rest = dealt.groupBy("key", "inner", "i", "j").applyInArrow(_close_pairs(percent), "u long, v long").distinct()
+    rest = at(spark, keep(rest, "close-pairs"), rest)
     more = verified(rest, sets, percent, near_already=True)
 
     joined = first.filter("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
@@ -219,18 +237,35 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def met_blocks(placed: DataFrame) -> DataFrame:
+    """key, inner, i, j, doc_id, component, left: the members (key, doc_id, component) of buckets that are not one component,
+    in every pair of blocks where they have to meet others. A group (key, inner, i, j) holds two blocks: inner block i and
+    outer block j, or outer blocks i <= j; left marks the members of the first. Only members of one bucket meet."""
+    parts = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
+    apart = parts.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("parts")).filter("parts > 1")
+    blocks = lambda n: F.ceil(n / (BLOCK * FILL)).cast("int")
+    apart = apart.select("key", F.col("top.component").alias("largest"), blocks(F.col("top.n")).alias("ins"), blocks(F.col("n") - F.col("top.n")).alias("outs"))
+    open_ = spread_join(placed, apart, ["key"], ["doc_id"])
+    inside = F.col("component") == F.col("largest")
+    own = F.pmod(F.xxhash64("doc_id", "key"), F.when(inside, F.col("ins")).otherwise(F.col("outs"))).cast("int")
+    spot = lambda inner, i, j, left: F.struct(F.lit(inner).alias("inner"), i.alias("i"), j.alias("j"), left.alias("left"))
+    up_to = lambda n: F.sequence(F.lit(0), n - 1)
+    me, yes, no = F.col("me"), F.lit(True), F.lit(False)
+    of_inner = F.transform(up_to(F.col("outs")), lambda j: spot(True, me, j, yes))
+    of_outer = F.concat(F.transform(up_to(F.col("ins")), lambda i: spot(True, i, me, no)), F.transform(up_to(F.col("outs")), lambda x: spot(False, F.least(x, me), F.greatest(x, me), me <= x)))
+    return open_.withColumn("me", own).select("key", "doc_id", "component", F.explode(F.when(inside, of_inner).otherwise(of_outer)).alias("s")).select("key", "s.*", "doc_id", "component")
+
+
 def _close_pairs(percent: int) -> Callable[[pa.Table], pa.Table]:
     def close(group: pa.Table) -> pa.Table:
-        ids, comp, n, inner = (group.column(c).to_numpy() for c in ("doc_id", "component", "n", "inner"))
-        key, block = group.column("key")[0].as_py() & (1 << 32) - 1, group.column("block")[0].as_py()
-        marks = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint8).reshape(-1, HASHES)
+        ids, comp, n, left = (group.column(c).to_numpy() for c in ("doc_id", "component", "n", "left"))
+        key = group.column("key")[0].as_py() & (1 << 32) - 1
+        same_block = not group.column("inner")[0].as_py() and group.column("i")[0].as_py() == group.column("j")[0].as_py()
+        marks, counts = _matrix(group.column("signature"), HASHES), _matrix(group.column("counts"), CELLS).astype(np.int16)
         bands = np.frombuffer(b"".join(group.column("bands").to_pylist()), np.uint32).reshape(-1, BANDS)
-        counts = np.frombuffer(b"".join(group.column("counts").to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16)
-        outer = np.flatnonzero(~inner)
-        us, vs = [], []
-        for a in outer:
-            # Two members that are in every block meet in the first one.
-            b = np.flatnonzero(inner | ((ids > ids[a]) if block == 0 else False))
+        us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for a in np.flatnonzero(left):
+            b = np.flatnonzero(ids > ids[a]) if same_block else np.flatnonzero(~left)
             b = b[(comp[b] != comp[a]) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))]
             b = b[(marks[b] == marks[a]).sum(1) >= AGREE] if len(b) else b
             if len(b):
@@ -241,7 +276,7 @@ def _close_pairs(percent: int) -> Callable[[pa.Table], pa.Table]:
                 b = b[(100 + percent) * apart <= (100 - percent) * (n[b] + n[a])]
             us.append(np.full(len(b), ids[a]))
             vs.append(ids[b])
-        us, vs = np.concatenate([np.zeros(0, np.int64), *us]), np.concatenate([np.zeros(0, np.int64), *vs])
+        us, vs = np.concatenate(us), np.concatenate(vs)
         return pa.table({"u": np.maximum(us, vs), "v": np.minimum(us, vs)})
 
     return close

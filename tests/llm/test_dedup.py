@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from fluxframe.llm import minhash, sharding, spans
+from fluxframe.llm import minhash, sharding, spans, tables
 from fluxframe.llm.arrays import text_bytes
 
 
@@ -172,3 +172,32 @@ def test_matrix():
     assert all(abs(draws[x] - 6000 * w / 252) < 5 * (6000 * w / 252) ** 0.5 for x, w in want.items())
     big = sharding.hypergeometric(random.Random(1), 10**12, 7 * 10**12, 10**8)
     assert abs(big - 12_500_000) < 6 * 3400
+
+
+def test_blocks_are_bounded_whoever_is_linked(spark):
+    """A bucket of 50,000 members that are not linked, and one of which all but 40 are: groups of two blocks, where each
+    two members that are apart meet."""
+    big = spark.range(50_000).select(F.lit(1).cast("long").alias("key"), F.col("id").alias("doc_id"), F.col("id").alias("component"))
+    assert minhash.met_blocks(big).groupBy("key", "inner", "i", "j").count().agg(F.max("count")).first()[0] <= 2 * minhash.BLOCK
+    half = spark.range(3000).select(F.lit(2).cast("long").alias("key"), F.col("id").alias("doc_id"), F.when(F.col("id") < 2960, 0).otherwise(F.col("id")).cast("long").alias("component"))
+    groups = {}
+    for r in minhash.met_blocks(half).collect():
+        groups.setdefault((r.inner, r.i, r.j), []).append(r)
+    assert max(map(len, groups.values())) <= 2 * minhash.BLOCK
+    met = Counter()
+    for (inner, i, j), rows in groups.items():
+        for a in rows:
+            for b in rows:
+                if a.component != b.component and (a.doc_id < b.doc_id if not inner and i == j else a.left and not b.left):
+                    met[min(a.doc_id, b.doc_id), max(a.doc_id, b.doc_id)] += 1
+    assert len(met) == 40 * 2960 + 40 * 39 // 2 and set(met.values()) == {1}
+
+
+@pytest.mark.parametrize("rows", [2000, 40])
+def test_spread_join(spark, monkeypatch, rows):
+    monkeypatch.setattr(tables, "HEAVY", 16)
+    left = spark.range(rows).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k"), F.col("id").alias("salt"))
+    right = spark.range(rows).select(F.col("id").alias("k"), (F.col("id") * 2).alias("twice"))
+    out = tables.spread_join(left, right, ["k"], ["salt"])
+    assert out.columns == ["k", "salt", "twice"]
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, left.join(right, "k").collect()))
