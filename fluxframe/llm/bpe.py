@@ -1,14 +1,24 @@
 """Byte-level BPE by DuckDB: a recursive query contracts pieces, ordered aggregation decodes ids.
 
-encode() works partition by partition. A text is split by public_tokenizers.PATTERN; every piece not met before becomes
-token-position rows (one a byte), which a recursive query joins with the merge table: in each step every piece contracts
-its leftmost pair of minimum rank, until it has none. The ids of pieces are kept by hash in bounded arrays, so that a
-piece is contracted once for many texts. decode() joins token-position rows with the vocabulary and aggregates the bytes
-in order of position.
-
-Defined results: null and empty texts have no ids and decode to nothing; repeated rows give repeated rows; all input
-columns stay, and ids (array<int>) or decoded (binary) are added, in place of a column of that name. Special tokens'
-strings in a text are ordinary text.
+encode() works partition by partition. A text is split by public_tokenizers.PATTERN; pieces not met before are joined with
+the vocabulary, which answers those that are a token (as the library does), and every other piece becomes token-position
+rows (one a byte), which a recursive query joins with the merge table: in each step every word contracts its leftmost pair
+of minimum rank, until it has none. The ids of pieces are kept with the pieces in bounded arrays, so that a piece is
+contracted once for many texts. decode() joins token-position rows with the vocabulary and aggregates the bytes in order
+of position.
+
+A step takes one pair of a word, so a long word would take its length in steps of its length. Words of more than LONG bytes
+are therefore first cut where no token holds the two bytes that meet, which no merge can cross. What is still longer is
+contracted in overlapping windows, as if they were words, and put together at tokens that two neighbouring windows share.
+That is exact: a sequence of tokens is the word's result if each two neighbours are the result of their own bytes (no merge
+ever crosses a border that it does not cross within the two tokens beside it), and here each two neighbours come from one
+window. Where two windows share no token, one of its own goes on from a token of the first, over up to MOST_REACH windows;
+then larger windows are tried (WINDOWS), and at last the whole word.
+
+Defined results: null and empty texts have no ids and decode to nothing; very long texts are taken one at a time, whole;
+repeated rows give repeated rows; an empty table gives no rows; all input columns stay, and ids (array<int>) or decoded
+(binary) are added, in place of a column of that name whatever its case. Special tokens' strings in a text are ordinary text.
+DuckDB has no folder to spill to: the bounds on a batch keep it within MEMORY, or it raises.
 """
 
 from __future__ import annotations
@@ -25,18 +35,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fluxframe.llm.arrays import slices
+from fluxframe.llm.arrays import U64, mix, slices
 from fluxframe.llm.pretokens import PieceIds
 from fluxframe.llm.tables import table
 
 RANKS = "byte_bpe_50k.tiktoken"
 
-#: Words longer than this are first cut where no token holds the two bytes that meet, which no merge can cross.
 LONG = 48
+#: Windows of long words: a window starts in each block of so many bytes, and ends where the third one after it starts.
+WINDOWS = (32, 128)
+MOST_REACH = 64
+#: Words and bytes that are contracted at once.
+WORDS, BYTES = 1 << 15, 1 << 18
+MEMORY = "160MB"
 
 #: Rows have the key word << 24 | position; positions stay gapless, so a row's right neighbour has the next key.
 CONTRACT = """
-WITH RECURSIVE t(step, k, tok) AS (
+WITH RECURSIVE t(step, k, tok) USING KEY (k) AS (
     SELECT 0, k, tok FROM start
   UNION ALL
     SELECT step + 1, CASE WHEN k > b.k0 THEN k - 1 ELSE k END, CASE WHEN k = b.k0 THEN b.merged ELSE tok END
@@ -55,6 +70,8 @@ FROM t JOIN (SELECT k >> 24 AS w, max(step) AS last FROM t GROUP BY 1) ON w = k
 ORDER BY k
 """
 
+LOOKUP = "SELECT w, tok FROM words JOIN vocabulary USING (piece)"
+
 DECODE = """
 SELECT doc, unhex(string_agg(piece, '' ORDER BY pos)) AS bytes
 FROM tokens JOIN vocabulary USING (tok) GROUP BY doc ORDER BY doc
@@ -77,13 +94,24 @@ def merge_table(path: str) -> pa.Table:
     return pa.table({"pair": lhs << 32 | rhs, "rank": rank.astype(np.int32)})
 
 
+def windows(data: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the windows of a word begin and end. One begins in each block, where its 8-byte strings hash lowest, at the
+    first of equals, so that windows of a periodic word begin alike."""
+    blocks = len(data) // block
+    wide = np.lib.stride_tricks.sliding_window_view(np.append(data, np.zeros(7, np.uint8)), 8)
+    h = mix(np.ascontiguousarray(wide).view(U64)[:, 0])
+    at = h[: blocks * block].reshape(blocks, block).argmin(1) + np.arange(blocks) * block
+    at[0] = 0
+    return at, np.append(at[3:], [len(data)] * min(3, blocks))
+
+
 class Codec:
     """One DuckDB connection with the merge table and the vocabulary, and the pieces met so far."""
 
     def __init__(self, path: str) -> None:
-        self.con = duckdb.connect(config={"threads": "1", "memory_limit": "160MB"})
+        self.con = duckdb.connect(config={"threads": "1", "memory_limit": MEMORY, "temp_directory": ""})
         tokens = vocabulary(path)
-        self.ids = {t: i for i, t in enumerate(tokens)}
+        self.sizes = np.array([len(t) for t in tokens], np.int64)
         self.byte_ids = np.zeros(256, np.int32)
         self.meet = np.zeros((256, 256), bool)
         for i, t in enumerate(tokens):
@@ -101,7 +129,11 @@ class Codec:
     def contract(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words one after another, and how many each has. A word that is a token has that id alone."""
         raw = [w.encode("utf-8", "surrogatepass") for w in words]
-        whole = np.array([self.ids.get(b, -1) for b in raw], np.int32)
+        self.con.register("words", pa.table({"w": np.arange(len(raw)), "piece": [b.hex() for b in raw]}))
+        got = self.con.execute(LOOKUP).fetchnumpy()
+        self.con.unregister("words")
+        whole = np.full(len(words), -1, np.int32)
+        whole[np.asarray(got["w"])] = np.asarray(got["tok"])
         rest = np.flatnonzero(whole < 0)
         counts = np.ones(len(words), np.int64)
         if not len(rest):
@@ -116,25 +148,94 @@ class Codec:
             apart = np.flatnonzero(~self.meet[data[:-1], data[1:]]) + 1
             part[apart[sizes[np.searchsorted(ends, apart, side="right")] > LONG]] = True
         first = np.flatnonzero(part)
-        word = np.cumsum(part) - 1
-        toks, of = [], []
-        bounds = np.append(first[:: 1 << 15], len(data))  # words at once
-        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-            key = (word[lo:hi] - word[lo] << 24) + np.arange(lo, hi) - first[word[lo:hi]]
-            self.con.register("start", pa.table({"k": key, "tok": self.byte_ids[data[lo:hi]]}))
-            got = self.con.execute(CONTRACT).fetchnumpy()
-            self.con.unregister("start")
-            toks.append(np.asarray(got["tok"]))
-            of.append(np.asarray(got["word"]) + word[lo])
-        counts[rest] = np.bincount(np.searchsorted(ends, first[np.concatenate(of)], side="right"), minlength=len(rest))
+        if np.diff(np.append(first, len(data))).max() >= 1 << 24:
+            raise ValueError("a piece of 16 MB or more without a place to cut it")
+        toks, n_of = self.ids_of(data, np.append(first, len(data)))
+        counts[rest] = np.bincount(np.searchsorted(ends, first, side="right"), n_of, len(rest)).astype(np.int64)
         out = np.empty(counts.sum(), np.int32)
         at = np.cumsum(counts) - counts
         done = np.flatnonzero(whole >= 0)
         out[at[done]] = whole[done]
         n = counts[rest]
-        out[np.repeat(at[rest] - (np.cumsum(n) - n), n) + np.arange(n.sum())] = np.concatenate(toks)
+        out[np.repeat(at[rest] - (np.cumsum(n) - n), n) + np.arange(n.sum())] = toks
         return out, counts
 
+    def ids_of(self, data: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words of data between the limits, and how many each has."""
+        found: list[np.ndarray] = [np.zeros(0, np.int32)] * (len(limits) - 1)
+        todo = np.arange(len(limits) - 1)
+        for block in (*WINDOWS, None):
+            at, end, of = [], [], []
+            for i in todo.tolist():
+                x, y = int(limits[i]), int(limits[i + 1])
+                a, b = windows(data[x:y], block) if block and y - x > 3 * block else (np.zeros(1, np.int64), np.array([y - x]))
+                at.append(a + x)
+                end.append(b + x)
+                of.append(len(a))
+            toks, counts = self.steps(data, *(np.concatenate([np.zeros(0, np.int64), *z]) for z in (at, end)))
+            last, w, again = np.append(0, np.cumsum(counts)), 0, []
+            for i, a, b, n in zip(todo.tolist(), at, end, of, strict=True):
+                got = [toks[last[k] : last[k + 1]] for k in range(w, w + n)]
+                w += n
+                ids = got[0] if n == 1 else self.joined(data, a, b, got)
+                if ids is None:
+                    again.append(i)
+                else:
+                    found[i] = ids
+            todo = np.array(again, np.int64)
+            if not len(todo):
+                break
+        return np.concatenate([np.zeros(0, np.int32), *found]), np.array([len(f) for f in found], np.int64)
+
+    def steps(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these ranges of bytes by the recursive query, range by range, and how many each has."""
+        counts, toks, lo = np.zeros(len(begin), np.int64), [np.zeros(0, np.int32)], 0
+        upto = np.cumsum(end - begin)
+        while lo < len(begin):
+            hi = min(lo + WORDS, max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + BYTES, side="right"))))
+            size = end[lo:hi] - begin[lo:hi]
+            word = np.repeat(np.arange(hi - lo), size)
+            place = np.arange(len(word)) - np.repeat(np.cumsum(size) - size, size)
+            self.con.register("start", pa.table({"k": (word << 24) + place, "tok": self.byte_ids[data[begin[lo:hi][word] + place]]}))
+            got = self.con.execute(CONTRACT).fetchnumpy()
+            self.con.unregister("start")
+            toks.append(np.asarray(got["tok"]))
+            counts[lo:hi] = np.bincount(np.asarray(got["word"]), minlength=hi - lo)
+            lo = hi
+        return np.concatenate(toks), counts
+
+    def joined(self, data: np.ndarray, at: np.ndarray, end: np.ndarray, ids: list[np.ndarray]) -> np.ndarray | None:
+        """The ids of a word from those of its windows, or None where windows share no token."""
+        blocks = len(at)
+        window = [self.placed(t, x) for t, x in zip(ids, at.tolist(), strict=True)]
+        out: list[tuple[int, int]] = []
+        now, i, w, reach = window[0], 0, 0, 2
+        while w < blocks - 1:
+            where = {t: k for k, t in enumerate(window[w + 1])}
+            meets = next((k for k in range(i, len(now)) if now[k] in where), None)
+            if meets is not None:
+                out += now[i:meets]
+                now, i, w, reach = window[w + 1], where[now[meets]], w + 1, 2
+                continue
+            # None in common: a window of its own, from a token of this one on, that reaches over more of the next ones.
+            to = min(w + reach, blocks - 1)
+            for k in range(i, len(now)):
+                own = self.placed(self.steps(data, np.array([now[k][0]]), end[to : to + 1])[0], now[k][0])
+                if own[0] == now[k]:
+                    break
+            else:
+                return None
+            out += now[i:k]
+            now, i, w, reach = own, 0, to, reach * 2
+            if reach > MOST_REACH:
+                return None
+        return np.array([t for _, t in out + now[i:]], np.int32)
+
+    def placed(self, toks: np.ndarray, begin: int) -> list[tuple[int, int]]:
+        """Tokens with the bytes at which they begin."""
+        sizes = self.sizes[toks]
+        return list(zip((np.cumsum(sizes) - sizes + begin).tolist(), toks.tolist(), strict=True))
+
     def decode(self, ids: np.ndarray, limits: np.ndarray) -> list[bytes]:
         """The bytes of each range of ids."""
         n = len(limits) - 1

@@ -92,12 +92,39 @@ def pieces(points: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start[:n])
 
 
+def _same(a: np.ndarray, a_first: np.ndarray, a_end: np.ndarray, b: np.ndarray, b_first: np.ndarray, b_end: np.ndarray) -> np.ndarray:
+    """Which ranges of a hold what the ranges of b hold."""
+    n = a_end - a_first
+    out = n == b_end - b_first
+    n = np.where(out, n, 0)
+    upto = np.cumsum(n)
+    step = np.arange(upto[-1] if len(upto) else 0)
+    differ = a[np.repeat(a_first - (upto - n), n) + step] != b[np.repeat(b_first - (upto - n), n) + step]
+    out[np.searchsorted(upto, np.flatnonzero(differ), side="right")] = False
+    return out
+
+
+def _same(a: np.ndarray, a_first: np.ndarray, a_end: np.ndarray, b: np.ndarray, b_first: np.ndarray, b_end: np.ndarray) -> np.ndarray:
+    """Which ranges of a hold what the ranges of b hold."""
+    n = a_end - a_first
+    out = n == b_end - b_first
+    n = np.where(out, n, 0)
+    upto = np.cumsum(n)
+    step = np.arange(upto[-1] if len(upto) else 0)
+    differ = a[np.repeat(a_first - (upto - n), n) + step] != b[np.repeat(b_first - (upto - n), n) + step]
+    out[np.searchsorted(upto, np.flatnonzero(differ), side="right")] = False
+    return out
+
+
 class PieceIds:
-    """The ids of pieces already met, by hash, in sorted arrays: 24 bytes a piece besides its ids, emptied when full.
+    """The ids of pieces already met, found by hash and compared in full, in sorted arrays that are emptied when full.
 
     encode takes distinct pieces and returns the ids of all of them in one array, and each piece's number of ids.
     """
 
+    #: Code points of pieces that are kept; longer pieces are met too seldom to be.
+    POINTS, LONGEST = 1 << 23, 1 << 12
+
     def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 1 << 20) -> None:
         self.encode, self.most = encode, most
         self._clear()
@@ -105,10 +132,9 @@ class PieceIds:
     def _clear(self) -> None:
         self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.ids, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.points, self.limits = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
-        if len(self.keys) + len(keys) > self.most:
-            self._clear()
         ids, counts = self.encode(pieces)
         slots = np.arange(len(self.ends) - 1, len(self.ends) - 1 + len(keys))
         order = np.argsort(keys)
@@ -116,6 +142,23 @@ class PieceIds:
         self.keys, self.slots = np.insert(self.keys, at, keys[order]), np.insert(self.slots, at, slots[order])
         self.ids = np.concatenate([self.ids, ids.astype(np.uint32)])
         self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(counts)])
+        self.points = np.concatenate([self.points, np.frombuffer("".join(pieces).encode("utf-32-le", "surrogatepass"), np.uint32)])
+        self.limits = np.concatenate([self.limits, self.limits[-1] + np.cumsum([len(p) for p in pieces])])
+
+    def _one_by_one(self, texts: list[str], joined: str, start: np.ndarray, end: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Without the hashes: all distinct pieces are encoded anew."""
+        names: dict[str, int] = {}
+        number = np.array([names.setdefault(joined[a:b], len(names)) for a, b in zip(start.tolist(), end.tolist(), strict=True)], np.int64)
+        ids, counts = self.encode(list(names))
+        return self._laid_out(ids.astype(np.uint32), np.append(0, np.cumsum(counts)), number, start, offsets)
+
+    @staticmethod
+    def _laid_out(ids: np.ndarray, ends: np.ndarray, slot: np.ndarray, start: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        first = ends[slot]
+        counts = ends[slot + 1] - first
+        upto = np.zeros(len(slot) + 1, np.int64)
+        np.cumsum(counts, out=upto[1:])
+        return ids[np.repeat(first - upto[:-1], counts) + np.arange(upto[-1])], upto[np.searchsorted(start, offsets)]
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after another, and the texts' limits in them."""
@@ -130,22 +173,21 @@ class PieceIds:
         number, keys = pd.factorize(RangeHash(points)(start, end))
         some = np.empty(len(keys), np.int64)
         some[number] = np.arange(len(number))
+        one = some[number]
+        if (end - start > self.LONGEST).any() or not _same(points, start, end, points, start[one], end[one]).all():
+            return self._one_by_one(texts, joined, start, end, offsets)
         new = self._missing(keys)
+        size = int((end - start)[some[new]].sum())
+        if len(new) and (len(self.keys) + len(new) > self.most or len(self.points) + size > self.POINTS):
+            self._clear()
+            new = np.arange(len(keys))
         if len(new):
             a, b = start[some[new]].tolist(), end[some[new]].tolist()
-            before = self.keys
             self._learn(keys[new], [joined[x:y] for x, y in zip(a, b, strict=True)])
-            if len(self.keys) < len(before) + len(new):  # it was emptied: the other pieces have to be learnt again
-                new = self._missing(keys)
-                a, b = start[some[new]].tolist(), end[some[new]].tolist()
-                self._learn(keys[new], [joined[x:y] for x, y in zip(a, b, strict=True)]) if len(new) else None
-        slot = self.slots[np.searchsorted(self.keys, keys)][number]
-        first = self.ends[slot]
-        counts = self.ends[slot + 1] - first
-        upto = np.zeros(len(slot) + 1, np.int64)
-        np.cumsum(counts, out=upto[1:])
-        ids = self.ids[np.repeat(first - upto[:-1], counts) + np.arange(upto[-1])]
-        return ids, upto[np.searchsorted(start, offsets)]
+        slot = self.slots[np.searchsorted(self.keys, keys)]
+        if not _same(points, start[some], end[some], self.points, self.limits[slot], self.limits[slot + 1]).all():
+            return self._one_by_one(texts, joined, start, end, offsets)
+        return self._laid_out(self.ids, self.ends, slot[number], start, offsets)
 
     def _missing(self, keys: np.ndarray) -> np.ndarray:
         if not len(self.keys):

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -67,6 +68,47 @@ def test_bpe_like_the_library(tik):
     assert bpe.codec(PATH).decode(ids, limits) == [t.encode() for t in texts]
 
 
+LETTERS = ["ab", "abc", "etaoinshrdlu", "etaoinshrdlucmfwypvbgk", "aé漢\U0001f600"]
+
+
+def test_long_pieces_like_the_library(tik):
+    """Lengths around each bound, random and periodic, with and without tokens in common between windows."""
+    rng = random.Random(12)
+    texts = [letter * n for letter in "ax-=é" for n in (47, 48, 49, 95, 96, 97, 384, 385, 1000, 3000)]
+    texts += ["".join(rng.choices(a, k=n)) for a in LETTERS for n in (*range(45, 51), *range(94, 100), *range(380, 390), 700, 3000)]
+    texts += [(unit * n)[:n] for unit in ("abc", "hello", "lol", "haha", "sevenxy", "-=", "".join(rng.choices(LETTERS[2], k=41))) for n in (97, 385, 2000)]
+    assert parts(*bpe.codec(PATH).pieces(texts)) == [tik.encode_ordinary(t) for t in texts]
+
+
+@pytest.mark.parametrize("block", bpe.WINDOWS)
+def test_windows(tik, block):
+    rng, found = random.Random(block), 0
+    for k in range(30):
+        data = "".join(rng.choices(LETTERS[k % 4], k=rng.randint(3 * block + 1, 12 * block))).encode()
+        c, raw = bpe.codec(PATH), np.frombuffer(data, np.uint8)
+        at, end = bpe.windows(raw, block)
+        toks, counts = c.steps(raw, at, end)
+        ids = c.joined(raw, at, end, np.split(toks, np.cumsum(counts)[:-1]))
+        found += ids is not None
+        assert ids is None or ids.tolist() == tik.encode_ordinary(data.decode())
+    assert found > 20
+
+
+def test_megabyte_without_a_space(tik):
+    text = "".join(random.Random(1).choices(LETTERS[3], k=1_000_000))
+    began = time.perf_counter()
+    ids, _ = bpe.codec(PATH).pieces([text])
+    assert time.perf_counter() - began < 60 and ids.tolist() == tik.encode_ordinary(text)
+
+
+def test_pieces_of_one_hash(tik, monkeypatch):
+    """Pieces whose hashes collide are told apart."""
+    monkeypatch.setattr(pretokens, "RangeHash", lambda points: lambda start, end: (end - start).astype(np.uint64))
+    own = pretokens.PieceIds(bpe.codec(PATH).contract)
+    for texts in (["a b", "c"], ["x b"], ["some words here", "hole"], ["a b", "c"]):
+        assert parts(*own(texts)) == [tik.encode_ordinary(t) for t in texts]
+
+
 def test_pieces_learnt_again_when_full(tik):
     texts = [" ".join(f"w{i}x{k}" for i in range(40)) for k in range(5)]
     small = pretokens.PieceIds(bpe.codec(PATH).contract, 50)
