@@ -32,9 +32,7 @@ def tik():
 
 @pytest.fixture(scope="module")
 def lib():
-    t = Tokenizer.from_file(VOCABULARY)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(VOCABULARY)
 
 
 def parts(ids, limits):
@@ -132,12 +130,28 @@ def test_round_trip_query(spark, docs_of, tik):
 def test_elias_fano(n, bound):
     v = np.sort(np.random.default_rng(n).integers(0, bound, n))
     e, size = tokenfiles.EliasFano.from_bytes(memoryview(tokenfiles.EliasFano.of(v).to_bytes() + b"more"))
-    assert e.all().tolist() == v.tolist() == [e.select(i) for i in range(n)]
-    assert size <= 32 + n * (3 + np.log2(max(1, bound / max(1, n)))) / 8 + 16
+    assert e.some(0, n).tolist() == v.tolist() == [e.select(i) for i in range(n)]
+    for lo, hi in ((0, 0), (n // 3, n // 2), (n // 2, n), (min(n, 255), min(n, 257)), (min(n, 256), min(n, 512))):
+        assert e.some(lo, hi).tolist() == v[lo:hi].tolist()
+    assert size <= 32 + n * (3 + np.log2(max(1, bound / max(1, n)))) / 8 + 4 * (n / tokenfiles.SAMPLE + 1) + 16
+
+
+SPECIAL = ["hello <|endoftext|> world", "<|endoftext|>", "<|endoftext|><|endoftext|>a", "a  <|endoftext|>  b\n\n<|endoftext|>", "<|endof<|endoftext|>text|>", "<|ENDOFTEXT|>", "no \u00e9", ""]
+
+
+def test_added_tokens_like_the_library(lib):
+    """The library's defaults, and its other way."""
+    encode = tokenfiles.encoder(VOCABULARY)
+    assert parts(*encode(SPECIAL)) == [lib.encode(t, add_special_tokens=False).ids for t in SPECIAL]
+    assert 50256 in encode(SPECIAL)[0] and 50256 not in encode(SPECIAL, specials=False)[0]
+    plain = Tokenizer.from_file(VOCABULARY)
+    plain.encode_special_tokens = True
+    assert parts(*encode(SPECIAL, specials=False)) == [plain.encode(t, add_special_tokens=False).ids for t in SPECIAL]
 
 
 def test_token_files(spark, docs_of, lib):
-    rows = [(i * 3, t) for i, t in enumerate(ODD)] + [(7, None), (None, "null id"), (3, "a twin of 3"), (-5, "negative")]
+    rows = [(i * 3, t) for i, t in enumerate(ODD + SPECIAL)] + [(7, None), (None, "null id"), (None, None), (3, "a twin of 3"), (-5, "negative")]
+    rows += [(k + 100, f"document {k}") for k in range(600)]
     out = new_path(spark, "tokens")
     manifest = tokenfiles.write(docs_of(rows), VOCABULARY, out, chunk_ids=40)
     back = tokenfiles.read(spark, out, manifest).collect()
