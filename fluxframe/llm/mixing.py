@@ -1,19 +1,27 @@
 """Mixing to target weights with soft membership.
 
-A classifier fitted on the labelled table predicts each document's posterior over domains. Posteriors are rounded to
-multiples of 1 / STEPS that sum to 1. Then rates r >= 0, the expected copies of each document, are fitted so that the
-expected tokens of each domain, sum of tokens * r * posterior, match the targets, by least squares.
-
-Documents of one rounded posterior have one rate, so the fit needs only the tokens of each posterior: a pre-aggregated table
-of at most C(STEPS + K - 1, K - 1) rows however large the corpus, which the driver solves. Targets beyond reach are replaced
-by the nearest totals in reach, in the norm weighted by the inverse of the posteriors' second moments. Of all rates that reach
-them, those nearest to 1 are taken; they are max(0, 1 - posterior * g) for one vector g, found by Newton steps. A fit that
-is not within TOLERANCE of these totals raises.
-
-Defined results: a null or empty text has no tokens, and its rate follows its posterior like any other's; without labels
-every posterior is even; a domain without any mass can't match its target, and the fit is the nearest in least squares;
-repeated rows have equal rates, and draws of their own only if something in (doc_id, text) differs; an empty table gives
-no rows.
+A classifier fitted on the labelled table predicts each document's posterior over domains. Then rates r >= 0, the expected
+copies of each document, are fitted so that the expected tokens of each domain, sum of tokens * r * posterior, match the
+targets, by least squares.
+
+The fit is a projected gradient method over all documents. The error of the totals, e, gives a document the gradient
+posterior * M e, with a metric M of K x K numbers, so all steps of a document are one product of its posterior and the sum
+of the steps, g: its rate is max(0, 1 - posterior * g), the projection of where the steps have led from 1. The state of
+the method is g, K numbers; an iteration is one distributed pass over the table of posteriors that adds up, for several step
+lengths at once, each domain's total, the K x K second moments of the documents whose rate is not 0 (the next metric), and
+the loss; tasks return one row of such sums each partition, which are added up before the driver takes the best length. With
+the metric of the rates that are not 0, few passes are needed even where many rates are 0. Of all rates that reach the
+targets the method finds those nearest to 1, by tokens. A weight RIDGE on the steps keeps them finite where targets are out
+of reach: then it ends at the nearest totals in the norm of the inverse second moments, the least squares solution. A fit
+that does not reach TOLERANCE of all tokens in `iterations` passes raises.
+
+Memory: batches of the table; K squared sums for each step length. Nothing grows with the corpus but the table of posteriors.
+
+Defined results: a null or empty text has no tokens, and its rate follows its posterior like any other's; very long texts
+count whole, one at a time; without labels every posterior is even; a domain without any mass can't match its target, and
+the fit is the nearest in least squares; repeated rows have equal rates, and draws of their own only if something in (doc_id,
+text) differs; an empty table gives no rows; ties need no rule; the added columns tokens, posterior, rate and copies replace
+columns of those names.
 """
 
 from __future__ import annotations
@@ -26,12 +34,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fluxframe.llm.arrays import LOWER, U64, RangeHash, slices, text_bytes, words
-from fluxframe.llm.tables import at, keep, table
+from fluxframe.llm.tables import at, fresh, keep, table, without
 
-BUCKETS, STEPS, SAMPLE, MOST_BYTES = 2048, 32, 4000, 1 << 16
-ITERATIONS, TOLERANCE = 60, 1e-9
+BUCKETS, SAMPLE, MOST_BYTES = 2048, 4000, 1 << 16
+ITERATIONS, TOLERANCE, RIDGE = 60, 1e-7, 1e-9
+#: Step lengths of one pass.
+LENGTHS = tuple(2.0**-k for k in range(8))
 DOMAINS = ("bad", "bad toxic", "good", "good toxic")
 WEIGHTS = (0.12, 0.02, 0.8, 0.06)
+ADDED = ("tokens", "posterior", "rate", "copies")
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -71,15 +82,6 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def rounded(p: np.ndarray, steps: int = STEPS) -> np.ndarray:
-    """Each row's multiples of 1 / steps, by largest remainders, ties to the earlier domain."""
-    low = np.floor(p * steps + 1e-9).astype(np.int64)
-    order = np.argsort(-(p * steps - low), axis=1, kind="stable")
-    rank = np.empty_like(order)
-    np.put_along_axis(rank, order, np.arange(p.shape[1])[None], axis=1)
-    return low + (rank < (steps - low.sum(1))[:, None])
-
-
 def train(docs: DataFrame, labelled: DataFrame, k: int, sample: int = SAMPLE, most_bytes: int = MOST_BYTES) -> np.ndarray | None:
     """Weights from labelled (doc_id, label from 0 to k - 1): the `sample` rows of lowest hash, texts of at most most_bytes."""
     some = labelled.filter(F.col("doc_id").isNotNull() & F.col("label").between(0, k - 1)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("int").alias("label"))
@@ -90,7 +92,7 @@ def train(docs: DataFrame, labelled: DataFrame, k: int, sample: int = SAMPLE, mo
 
 
 def with_posteriors(docs: DataFrame, weights: np.ndarray | None, k: int, columns: list[str]) -> DataFrame:
-    """The given columns, tokens (long), parts (array<int>: the posterior times STEPS)."""
+    """The given columns (none is named tokens or posterior), tokens (long: words), posterior (array<double>)."""
     held = docs.sparkSession.sparkContext.broadcast(weights)  # BUCKETS rows of k weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,105 +100,102 @@ def with_posteriors(docs: DataFrame, weights: np.ndarray | None, k: int, columns
             for lo in range(0, batch.num_rows, 512):  # 512 rows of BUCKETS counts at once
                 part = batch.slice(lo, 512)
                 x, tokens = features(*text_bytes(part.column("text")))
-                p = _softmax(x @ held.value) if held.value is not None else np.full((len(x), k), 1 / k)
-                parts = rounded(p.astype(np.float64)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(tokens.astype(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(0, parts.size + 1, k, dtype=np.int32)), pa.array(parts.ravel()))], names=[*columns, "tokens", "parts"])
+                p = _softmax((x @ held.value).astype(np.float64)) if held.value is not None else np.full((len(x), k), 1 / k)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(tokens.astype(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(0, p.size + 1, k, dtype=np.int32)), pa.array(p.ravel()))], names=[*columns, "tokens", "posterior"])
 
-    schema = docs.select(*columns, F.lit(0).cast("long").alias("tokens"), F.array(F.lit(0)).alias("parts")).schema
+    schema = docs.select(*columns, F.lit(0).cast("long").alias("tokens"), F.array(F.lit(0.0)).alias("posterior")).schema
     return docs.select(*columns, *([] if "text" in columns else ["text"])).mapInArrow(run, schema)
 
 
-def rate_of(parts, gradients: list[list[float]]):
-    """The rate of a rounded posterior after steps along these gradients, from 1."""
-    if not gradients:
-        return F.lit(1.0)
-    steps = F.array(*[F.array(*map(F.lit, g)) for g in gradients])
-    dot = lambda g: F.aggregate(F.zip_with(parts, g, lambda p, x: p * x), F.lit(0.0), lambda a, b: a + b) / STEPS
-    return F.aggregate(steps, F.lit(1.0), lambda r, g: F.greatest(F.lit(0.0), r - dot(g)))
-
-
-def attainable(p: np.ndarray, metric: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """The totals nearest to target by metric that rates >= 0 can reach: non-negative least squares by active sets."""
-    values, vectors = np.linalg.eigh(metric)
-    half = (vectors * np.sqrt(np.maximum(0, values))).T
-    b, c = half @ p.T, half @ target
-    length = np.linalg.norm(b, axis=0)
-    b = b / np.where(length > 0, length, 1)
-    x, used = np.zeros(len(p)), np.zeros(len(p), bool)
-    for _ in range(50 * (len(c) + 1)):
-        gain = np.where(used, -np.inf, b.T @ (c - b @ x))
-        j = int(gain.argmax())
-        if gain[j] <= 1e-12:
-            return p.T @ (x / np.where(length > 0, length, 1))
-        used[j] = True
-        while True:
-            y = np.zeros_like(x)
-            y[used] = np.linalg.lstsq(b[:, used], c, rcond=None)[0]
-            low = used & (y <= 0)
-            if not low.any():
-                break
-            x = x + (x[low] / (x[low] - y[low])).min() * (y - x)
-            used &= x > 1e-15
-            x[~used] = 0
-        x = y
-    raise RuntimeError("mixing: the nearest attainable totals were not found")
-
-
-def nearest_rates(p: np.ndarray, w: np.ndarray, target: np.ndarray, iterations: int) -> np.ndarray:
-    """g of the rates max(0, 1 - p g), the nearest to 1 by tokens w of all whose totals are the target: Newton steps with
-    exact line search on the convex dual, whose gradient is the totals' error."""
-    m = (p * w[:, None]).T @ p
-    target = attainable(p, np.linalg.pinv(m, rcond=1e-9, hermitian=True), target)
-    slope = lambda g: target - (w * np.maximum(0, 1 - p @ g)) @ p
-    g = np.zeros(len(target))
-    for _ in range(iterations):
-        error = slope(g)
-        if np.abs(error).max() <= TOLERANCE:
-            return g
-        on = p @ g < 1
-        step = -np.linalg.lstsq((p[on] * w[on, None]).T @ p[on] + 1e-12 * m, error, rcond=1e-15)[0]
-        lo, hi = 0.0, 1.0
-        if slope(g + step) @ step > 0:
-            for _ in range(100):
-                mid = (lo + hi) / 2
-                lo, hi = (mid, hi) if slope(g + mid * step) @ step <= 0 else (lo, mid)
-        g = g + hi * step
-    if (left := np.abs(slope(g)).max()) > TOLERANCE:
-        raise RuntimeError(f"mixing: rates miss their totals by {left:.3g} of all tokens after {iterations} steps")
-    return g
-
-
-def fit_rates(cells: DataFrame, weights: list[float], total: float | None = None, iterations: int = ITERATIONS) -> list[list[float]]:
-    """The gradients whose fold gives the rates, none or one; cells has parts and tokens, one row a posterior. They are
-    bounded, and solved on the driver. Raises if the error is above TOLERANCE after so many iterations."""
+def rates(posteriors: np.ndarray, g: np.ndarray) -> np.ndarray:
+    return np.maximum(0, 1 - posteriors @ g)
+
+
+def sums(predicted: DataFrame, k: int, steps: np.ndarray) -> np.ndarray:
+    """For each g of steps, over all rows of predicted (tokens, posterior): tokens * rate ** 2, the domains' totals, and the
+    k * k second moments where the rate is not 0. One row a partition leaves the scan; these are added up by number."""
+    steps = np.asarray(steps, float)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros((len(steps), 1 + k + k * k))
+        for batch in batches:
+            w = batch.column("tokens").to_numpy(zero_copy_only=False).astype(float)
+            p = batch.column("posterior").flatten().to_numpy().reshape(-1, k)
+            for line, g in zip(out, steps, strict=True):
+                r = rates(p, g)
+                wr = w * r
+                line[0] += wr @ r
+                line[1 : k + 1] += wr @ p
+                line[k + 1 :] += ((p * np.where(r > 0, w, 0)[:, None]).T @ p).ravel()
+        yield pa.RecordBatch.from_pydict({"place": np.arange(out.size), "value": out.ravel()})
+
+    got = predicted.select("tokens", "posterior").mapInArrow(run, "place long, value double").groupBy("place").agg(F.sum("value").alias("value")).collect()
+    out = np.zeros((len(steps), 1 + k + k * k))
+    for r in got:  # len(steps) * (1 + k + k * k) numbers
+        out.flat[r["place"]] = r["value"]
+    return out
+
+
+def fit_rates(predicted: DataFrame, weights: list[float], total: float | None = None, iterations: int = ITERATIONS) -> np.ndarray:
+    """g of the rates max(0, 1 - posterior * g) of predicted (tokens, posterior), whose totals match weights * total (the
+    corpus's tokens if None). Raises if they are not within TOLERANCE after so many passes."""
+    k = len(weights)
     share = np.array(weights, float) / sum(weights)
-    rows = sorted((list(r["parts"]), r["tokens"]) for r in cells.filter("tokens > 0").select("parts", "tokens").collect())
-    n = float(sum(t for _, t in rows))
+    g = np.zeros(k)
+    now = sums(predicted, k, g[None])[0]
+    n = now[1 : k + 1].sum()
     if not n:
-        return []
-    p, w = np.array([x for x, _ in rows], float) / STEPS, np.array([t for _, t in rows], float) / n
-    return [nearest_rates(p, w, share * (n if total is None else total) / n, iterations).tolist()]
+        return g
+    target = share * (n if total is None else total) / n
+    every = now[k + 1 :].reshape(k, k) / n
+    ridge = RIDGE * every + 1e-15 * np.eye(k)
+    # The dual of the projected least squares: convex in g, with the error of the totals as its gradient.
+    loss = lambda line, g: line[0] / n / 2 + target @ g + g @ ridge @ g / 2
+    error = lambda line, g: target - line[1 : k + 1] / n + ridge @ g
+    for _ in range(iterations):
+        e = error(now, g)
+        if np.abs(e).max() <= TOLERANCE:
+            return g
+        metric = now[k + 1 :].reshape(k, k) / n + ridge
+        step = -np.linalg.lstsq(metric, e, rcond=1e-15)[0]
+        tried = g + np.outer(LENGTHS, step)
+        lines = sums(predicted, k, tried)
+        losses = [loss(a, b) for a, b in zip(lines, tried, strict=True)]
+        best = int(np.argmin(losses))
+        full = np.abs(error(lines[0], tried[0])).max()
+        if full <= TOLERANCE or losses[best] >= loss(now, g) and full < np.abs(e).max():
+            best = 0  # so near the end that the loss can't tell
+        elif losses[best] >= loss(now, g):
+            tried, lines = g + np.outer(np.array(LENGTHS) * LENGTHS[-1] / 2, step), None
+            lines = sums(predicted, k, tried)
+            best = int(np.argmin([loss(a, b) for a, b in zip(lines, tried, strict=True)]))
+        g, now = tried[best], lines[best]
+    raise RuntimeError(f"mixing: the totals are {np.abs(error(now, g)).max():.3g} of all tokens from the fit's after {iterations} passes")
+
+
+def rate_of(posterior, g: np.ndarray):
+    """The rate of a column of posteriors."""
+    dot = F.aggregate(F.zip_with(posterior, F.array(*[F.lit(float(x)) for x in g]), lambda p, x: p * x), F.lit(0.0), lambda a, b: a + b)
+    return F.greatest(F.lit(0.0), 1 - dot)
 
 
 def mixed(docs: DataFrame, labelled: DataFrame, weights: tuple[float, ...], columns: list[str], total_of: float = 1.0, seed: int = 5, once: int | None = None) -> DataFrame:
-    """The given columns of docs, tokens, parts, rate (double) and copies (int: rate rounded up or down by a hash of the
+    """The given columns of docs, tokens, posterior, rate (double) and copies (int: rate rounded up or down by a hash of the
     row, so that its expectation is the rate). total_of scales the target's sum against the corpus's tokens; with once, a
-    domain's number, rates are scaled after the fit so that the documents nearest to that domain have the rate 1."""
-    k = len(weights)
-    predicted = with_posteriors(docs.withColumn("_draw", F.xxhash64(F.lit(seed), "doc_id", "text")), train(docs, labelled, k), k, [*columns, "_draw"])
+    domain's number, rates are scaled after the fit so that the document nearest to that domain has the rate 1."""
+    k, names = len(weights), without(docs.select(*columns), *ADDED)
+    (draw,) = fresh([*docs.columns, *ADDED], "draw")
+    rows = docs.withColumn(draw, F.xxhash64(F.lit(seed), "doc_id", "text"))
+    predicted = with_posteriors(rows, train(docs, labelled, k), k, [*names, draw])
     predicted = at(docs.sparkSession, keep(predicted, "posteriors"), predicted)
-    cells = predicted.groupBy("parts").agg(F.sum("tokens").alias("tokens"))
-    cells = at(docs.sparkSession, keep(cells, "cells"), cells)
-    total = (cells.agg(F.sum("tokens")).first()[0] or 0) * total_of
-    gradients = fit_rates(cells, list(weights), total)
-    # The rate is computed once a cell and joined: cells are at most C(STEPS + k - 1, k - 1) rows.
-    rates = cells.select("parts", rate_of(F.col("parts"), gradients).alias("rate"))
-    rates = at(docs.sparkSession, keep(rates, "rates"), rates)
+    g = fit_rates(predicted, list(weights), None if total_of == 1.0 else (predicted.agg(F.sum("tokens")).first()[0] or 0) * total_of)
+    scale = 1.0
     if once is not None:
-        purest = rates.orderBy(F.col("parts")[once].desc(), "parts").first()
-        rates = rates.withColumn("rate", F.col("rate") / F.lit(purest["rate"] if purest and purest["rate"] > 0 else 1.0))
-    draw = F.pmod(F.col("_draw"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return predicted.join(F.broadcast(rates), "parts").select(*columns, "tokens", "parts", "rate", F.floor(F.col("rate") + draw).cast("int").alias("copies"))
+        purest = predicted.agg(F.max(F.struct(F.col("posterior")[once].alias("p"), "posterior")).alias("m")).first()["m"]
+        scale = rates(np.array([purest["posterior"]]), g)[0] if purest else 1.0
+    rate = rate_of(F.col("posterior"), g) / F.lit(float(scale) if scale > 0 else 1.0)
+    part = F.pmod(F.col(draw), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return predicted.select(*names, "tokens", "posterior", rate.alias("rate"), F.floor(rate + part).cast("int").alias("copies"))
 
 
 def by_domain(labels: DataFrame) -> DataFrame:
@@ -206,5 +205,5 @@ def by_domain(labels: DataFrame) -> DataFrame:
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixed(table(spark, sf_dir, "documents"), by_domain(table(spark, sf_dir, "labels")), WEIGHTS, ["doc_id"])
-    shares = [(F.col("parts")[i] / STEPS).alias("p_" + d.replace(" ", "_")) for i, d in enumerate(DOMAINS)]
+    shares = [F.col("posterior")[i].alias("p_" + d.replace(" ", "_")) for i, d in enumerate(DOMAINS)]
     return out.select("doc_id", "tokens", *shares, "rate", "copies")

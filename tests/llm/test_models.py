@@ -63,35 +63,34 @@ def test_scores_of_odd_rows(spark, docs_of):
     assert bytecnn.score(docs_of([]), model_of(), ["doc_id"]).count() == 0
 
 
-def cells(spark, rows):
-    return spark.createDataFrame(rows, "parts array<int>, tokens long")
+def predicted(spark, rows):
+    return spark.createDataFrame([([float(x) for x in p], int(n)) for p, n in rows], "posterior array<double>, tokens long").repartition(3)
 
 
-def totals(df, gradients, k):
-    rate = mixing.rate_of(F.col("parts"), gradients)
-    out = df.withColumn("r", rate)
-    assert out.filter("r < 0").count() == 0
-    return np.array(out.agg(*[F.sum(F.col("tokens") * F.col("r") * F.col("parts")[i] / mixing.STEPS) for i in range(k)]).first(), float)
+def totals(df, g, k):
+    rows = [(np.array(r.posterior), r.tokens, r.r) for r in df.withColumn("r", mixing.rate_of(F.col("posterior"), g)).collect()]
+    assert all(r >= 0 and r == pytest.approx(mixing.rates(p, g)) for p, _, r in rows)
+    return sum(n * r * p for p, n, r in rows)
 
 
 def test_rates_match_targets(spark):
     rng = np.random.default_rng(4)
-    df = cells(spark, [(mixing.rounded(rng.dirichlet(np.full(3, 0.4), 1))[0].tolist(), int(n)) for n in rng.integers(1, 1000, 60)])
+    df = predicted(spark, [(rng.dirichlet(np.full(3, 0.4)), n) for n in rng.integers(1, 1000, 60)])
     n = df.agg(F.sum("tokens")).first()[0]
     weights = [0.2, 0.5, 0.3]
-    got = totals(df, mixing.fit_rates(df, weights, n), 3)
-    assert got == pytest.approx(np.array(weights) * n, rel=1e-6)
+    assert totals(df, mixing.fit_rates(df, weights), 3) == pytest.approx(np.array(weights) * n, rel=1e-5)
+    assert totals(df, mixing.fit_rates(df, weights, n / 2), 3) == pytest.approx(np.array(weights) * n / 2, rel=1e-5)
 
 
 def test_rates_at_the_bound_are_least_squares(spark):
     """Two domains that always come with a third: its target can't be met, and no step of brute force does better."""
-    df = cells(spark, [([32, 0, 0], 100), ([16, 16, 0], 300), ([8, 0, 24], 200), ([0, 0, 32], 100)])
+    rows = [((1, 0, 0), 100), ((0.5, 0.5, 0), 300), ((0.25, 0, 0.75), 200), ((0, 0, 1), 100)]
     n, k = 700, 3
     target = np.array([0.05, 0.6, 0.35]) * n
-    rows = [(np.array(r.parts) / mixing.STEPS, r.tokens) for r in df.collect()]
     p, w = np.array([r[0] for r in rows]), np.array([r[1] for r in rows]) / n
     metric = np.linalg.pinv((p * w[:, None]).T @ p)
     loss = lambda t: (t / n - target / n) @ metric @ (t / n - target / n)
+    df = predicted(spark, rows)
     got = totals(df, mixing.fit_rates(df, list(target / n), n, 300), k)
     r = np.ones(len(rows))
     for _ in range(20000):
@@ -101,23 +100,21 @@ def test_rates_at_the_bound_are_least_squares(spark):
 
 @pytest.mark.parametrize("shares", [(0.05, 0.6, 0.3, 0.05), (0.6, 0.2, 0.1, 0.1), (0.02, 0.9, 0.04, 0.04)])
 def test_rates_of_over_represented_domains(spark, shares):
-    """The query's weights and number of steps, where rates meet the bound 0."""
+    """The query's weights and number of passes, where rates meet the bound 0."""
     rng = np.random.default_rng(7)
-    parts = [mixing.rounded(rng.dirichlet(np.full(4, 0.05) + 3 * np.eye(4)[d], 1))[0].tolist() for d in rng.choice(4, 3000, p=shares)]
-    df = cells(spark, [(p, 100) for p in parts])
-    got = totals(df, mixing.fit_rates(df, list(mixing.WEIGHTS), 300_000), 4)
-    assert got == pytest.approx(np.array(mixing.WEIGHTS) * 300_000, rel=1e-6)
+    df = predicted(spark, [(rng.dirichlet(np.full(4, 0.05) + 3 * np.eye(4)[d]), 100) for d in rng.choice(4, 3000, p=shares)])
+    assert totals(df, mixing.fit_rates(df, list(mixing.WEIGHTS)), 4) == pytest.approx(np.array(mixing.WEIGHTS) * 300_000, rel=1e-4)
 
 
-def test_rates_out_of_steps_raise(spark):
-    with pytest.raises(RuntimeError, match="after 0 steps"):
-        mixing.fit_rates(cells(spark, [([32, 0], 100), ([0, 32], 300)]), [0.5, 0.5], 400, 0)
+def test_rates_of_a_domain_without_mass(spark):
+    df = predicted(spark, [((0.9, 0.1, 0), 10), ((0.2, 0.8, 0), 30)])
+    got = totals(df, mixing.fit_rates(df, [0.4, 0.4, 0.2]), 3)
+    assert got == pytest.approx([16, 16, 0], rel=1e-4)
 
 
-def test_rounded():
-    p = np.array([[0.5, 0.5], [1.0, 0.0], [0.51, 0.49], [1 / 3, 2 / 3]])
-    r = mixing.rounded(p)
-    assert r.sum(1).tolist() == [mixing.STEPS] * 4 and np.abs(r / mixing.STEPS - p).max() < 1 / mixing.STEPS
+def test_rates_out_of_passes_raise(spark):
+    with pytest.raises(RuntimeError, match="after 0 passes"):
+        mixing.fit_rates(predicted(spark, [((1, 0), 100), ((0, 1), 300)]), [0.5, 0.5], 400, 0)
 
 
 def test_mixing_query(spark):
@@ -128,14 +125,15 @@ def test_mixing_query(spark):
     assert all(r.tokens == tokens[r.doc_id] and r.copies in (int(r.rate), int(r.rate) + 1) for r in rows)
     n = sum(r.tokens for r in rows)
     for d, w in zip(mixing.DOMAINS, mixing.WEIGHTS, strict=True):
-        assert sum(r.tokens * r.rate * r["p_" + d.replace(" ", "_")] for r in rows) == pytest.approx(w * n, rel=1e-4)
+        assert sum(r.tokens * r.rate * r["p_" + d.replace(" ", "_")] for r in rows) == pytest.approx(w * n, rel=1e-5)
+        assert sum(r.tokens * r.copies * r["p_" + d.replace(" ", "_")] for r in rows) == pytest.approx(w * n, rel=0.2)
     assert sum(r.copies * r.tokens for r in rows) == pytest.approx(n, rel=0.1)
 
 
 def test_mixing_odd_rows(spark, docs_of):
     labels = spark.createDataFrame([(1, 0), (3, 1), (4, None), (None, 1)], "doc_id long, label int")
     out = mixing.mixed(docs_of(ODD).withColumn("rate", F.lit("clash")).drop("rate"), labels, (0.5, 0.5), ["doc_id", "key"]).collect()
-    assert len(out) == len(ODD) and all(sum(r.parts) == mixing.STEPS and r.rate >= 0 for r in out)
+    assert len(out) == len(ODD) and all(sum(r.posterior) == pytest.approx(1) and r.rate >= 0 for r in out)
     none = mixing.mixed(docs_of(ODD), labels.limit(0), (0.5, 0.5), ["doc_id"]).collect()
-    assert {tuple(r.parts) for r in none} == {(16, 16)}
+    assert {tuple(r.posterior) for r in none} == {(0.5, 0.5)}
     assert mixing.mixed(docs_of([]), labels, (0.5, 0.5), ["doc_id"]).count() == 0

@@ -42,11 +42,11 @@ def test_near_dedup_keeps_rows_without_id(spark, sf):
 def test_mix_matches_weights_at_any_share(spark, sf, monkeypatch, toxic):
     """Of 1000 documents of 20 words some are toxic: under, a little over and far over the weight of 3%."""
     n = 1000
-    exact = {"clean": [mixing.STEPS, 0], "toxic": [0, mixing.STEPS]}
+    exact = {"clean": [1.0, 0.0], "toxic": [0.0, 1.0]}
     docs = spark.createDataFrame([(i, " ".join(["toxic" if i < toxic else "clean"] * 20), "en", "s", 119) for i in range(n)], table(spark, sf, "documents").schema)
     monkeypatch.setattr(mixing, "train", lambda *_: None)
     parts = F.when(F.col("text").startswith("toxic"), F.array(*map(F.lit, exact["toxic"]))).otherwise(F.array(*map(F.lit, exact["clean"])))
-    monkeypatch.setattr(mixing, "with_posteriors", lambda d, w, k, columns: d.withColumns({"tokens": F.lit(20).cast("long"), "parts": parts}).select(*columns, "tokens", "parts"))
+    monkeypatch.setattr(mixing, "with_posteriors", lambda d, w, k, columns: d.withColumns({"tokens": F.lit(20).cast("long"), "posterior": parts}).select(*columns, "tokens", "posterior"))
     got = [r.doc_id for r in corpus_pipeline.mix(spark, docs, sf).collect()]
     assert sorted(i for i in got if i >= toxic) == list(range(toxic, n))
     assert sum(i < toxic for i in got) == pytest.approx((n - toxic) * 3 / 97, abs=12)
