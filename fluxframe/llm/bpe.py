@@ -162,8 +162,13 @@ class Codec:
 
     def ids_of(self, data: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the words of data between the limits, and how many each has."""
-        found: list[np.ndarray] = [np.zeros(0, np.int32)] * (len(limits) - 1)
-        todo = np.arange(len(limits) - 1)
+        sizes, counts = np.diff(limits), np.zeros(len(limits) - 1, np.int64)
+        short = sizes <= 3 * WINDOWS[0]
+        toks, counts[short] = self.steps(data, limits[:-1][short], limits[1:][short])
+        todo = np.flatnonzero(~short)
+        if not len(todo):
+            return toks, counts
+        found: dict[int, np.ndarray] = {}
         for block in (*WINDOWS, None):
             at, end, of = [], [], []
             for i in todo.tolist():
@@ -172,12 +177,11 @@ class Codec:
                 at.append(a + x)
                 end.append(b + x)
                 of.append(len(a))
-            toks, counts = self.steps(data, *(np.concatenate([np.zeros(0, np.int64), *z]) for z in (at, end)))
-            last, w, again = np.append(0, np.cumsum(counts)), 0, []
-            for i, a, b, n in zip(todo.tolist(), at, end, of, strict=True):
-                got = [toks[last[k] : last[k + 1]] for k in range(w, w + n)]
-                w += n
-                ids = got[0] if n == 1 else self.joined(data, a, b, got)
+            got, n = self.steps(data, np.concatenate(at), np.concatenate(end))
+            last, w, again = np.append(0, np.cumsum(n)), 0, []
+            for i, a, b, k in zip(todo.tolist(), at, end, of, strict=True):
+                ids = self.joined(data, a, b, [got[last[j] : last[j + 1]] for j in range(w, w + k)])
+                w += k
                 if ids is None:
                     again.append(i)
                 else:
@@ -185,7 +189,13 @@ class Codec:
             todo = np.array(again, np.int64)
             if not len(todo):
                 break
-        return np.concatenate([np.zeros(0, np.int32), *found]), np.array([len(f) for f in found], np.int64)
+        done = np.array(sorted(found))
+        counts[done] = [len(found[i]) for i in done.tolist()]
+        out = np.empty(counts.sum(), np.int32)
+        of_long = np.repeat(~short, counts)
+        out[~of_long] = toks
+        out[of_long] = np.concatenate([found[i] for i in done.tolist()])
+        return out, counts
 
     def steps(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of these ranges of bytes by the recursive query, range by range, and how many each has."""
