@@ -8,8 +8,9 @@ a running maximum: memory does not grow with them.
 train() takes a bounded sample: of the labelled rows that the caller admits, the `sample` ones with the lowest hash of
 their id, as far as their texts are of at most `most_bytes` bytes. That bound is a parameter; scoring has none.
 
-Defined results: null and empty texts are scored as the padding alone; without any usable label every score is 0.5;
-repeated rows get equal scores; labels of null are not used. Ties of hashes are broken by the id.
+Defined results: null and empty texts are scored as the padding alone; very long texts whole, one at a time; without any
+usable label every score is 0.5; repeated rows get equal scores; labels of null are not used; ties of hashes are broken by
+the id; an empty table gives no rows; the score's column replaces one of its name, whatever its case.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fluxframe.llm.arrays import slices, text_bytes
-from fluxframe.llm.tables import table
+from fluxframe.llm.tables import table, without
 
 BLOCK, EMBED, FILTERS, HIDDEN = 4, 8, 48, 16
 STRIP = 1 << 14
@@ -138,18 +139,19 @@ def train(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE, most_bytes
     return fit([bytes(r["bytes"]) for r in got], np.array([r["label"] for r in got]))
 
 
-def score(df: DataFrame, model: Model | None, columns: list[str]) -> DataFrame:
-    """The given columns of df and score (double), its text's probability; no shuffle."""
+def score(df: DataFrame, model: Model | None, columns: list[str], name: str = "score") -> DataFrame:
+    """The given columns of df and, as `name`, its text's probability (double); no shuffle."""
     held = df.sparkSession.sparkContext.broadcast(model)  # 256 embeddings and FILTERS filters: about 30 KB
+    columns = without(df.select(*columns), name)
     kept = df.select(*columns, *([] if "text" in columns else ["text"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ.setdefault("OMP_NUM_THREADS", "1")
         for batch in slices(batches, "text", 1 << 19):
             p = probabilities(held.value, *text_bytes(batch.column("text")))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(p)], names=[*columns, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(p)], names=[*columns, name])
 
-    schema = df.select(*columns, F.lit(0.0).alias("score")).schema
+    schema = df.select(*columns, F.lit(0.0).alias(name)).schema
     return kept.mapInArrow(run, schema)
 
 

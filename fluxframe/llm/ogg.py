@@ -11,8 +11,10 @@ position.
 The checksum has polynomial 0x04c11db7, the bits of a byte from the highest, and starts with 0. zlib's has the same
 polynomial with bits from the lowest, so it is computed there over bytes with reversed bits.
 
-Defined results: a null text is an empty payload; the payload has at least one frame; damage (a checksum that differs, a
-missing page, a packet cut off) raises. Equal payloads give equal files: serial numbers come from the payload.
+Defined results: a null text is an empty payload; the payload has at least one frame; very long texts are stored whole, one at
+a time; damage (a checksum that differs, a missing page, a packet cut off) raises; repeated rows give repeated rows, and equal
+payloads equal files: serial numbers come from the payload; ties can't arise; an empty table gives no rows; columns other than
+doc_id and text are not read, so their names can't clash.
 """
 
 from __future__ import annotations

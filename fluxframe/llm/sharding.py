@@ -1,19 +1,20 @@
 """Sharding by a hypergeometric communication matrix: a uniform shuffle with exact shard sizes, in DataFrame functions.
 
-1. Rows are dealt to parts by a hash of their key; a part's rows are counted.
+1. Rows get the id of their partition and place, and are written with it as a table, so that every later pass, and a task
+   repeated after a lost executor, sees the same rows in the same partitions. A partition, or a stretch of rows_of_part rows of
+   a large one, or several partitions where there are very many, is a part; a part's rows are counted.
 2. The matrix C[part, shard] says how many rows of a part go to a shard. In a uniform shuffle its rows follow, one after
    another, the multivariate hypergeometric law of what each shard has still free. It is drawn for whole parts on the
-   driver from their counts, at most `most_parts` of them, never from rows.
-3. Each part is permuted (ranked by a random key), and cut at the sums of its row of C: that is the exchange.
-4. Each shard is permuted again. A shard's rows fall into buckets by a second random key, buckets are counted, and a row's
+   driver from their counts, at most `most_parts` of them, never from rows. Beyond rows_of_part * most_parts rows parts grow.
+3. Each part is permuted (ranked by a hash of id and seed), and cut at the sums of its row of C: that is the exchange.
+4. Each shard is permuted again. A shard's rows fall into buckets by a second hash, buckets are counted, and a row's
    slot is its rank in its bucket after all rows of the buckets before, so that no task sorts a whole shard.
 
-Random keys are hashes of the row's key and the seed, so a task that is repeated after a lost executor gives the same rows.
-The sizes of shards differ by one row at most (law `rows`).
+No row's place depends on its content, so frequent values make no large task. The sizes of shards differ by one row at most
+(law `rows`).
 
-Defined results: an empty table gives no rows; rows of equal key are told apart by nothing but their order in a sort, and
-get different slots all the same; null keys are hashed as such; all columns stay, and shard (int) and slot (long) are
-added, in place of columns of those names.
+Defined results: an empty table gives no rows; equal rows, ties and nulls get places of their own like all others; texts of any
+length move whole; all columns stay, and shard (int) and slot (long) are added, in place of columns of those names.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from itertools import accumulate
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fluxframe.llm.tables import table
+from fluxframe.llm.tables import at, fresh, keep, table, without
 
 #: Rows that a part or a bucket is meant to have, and how many parts there are at most.
 ROWS_OF_PART, MOST_PARTS = 4096, 1 << 14
@@ -72,42 +73,47 @@ def matrix(counts: list[int], shards: list[int], seed: int) -> list[list[int]]:
     return out
 
 
-def shard_rows(df: DataFrame, shards: int = 8, key: tuple[str, ...] = ("doc_id",), seed: int = 11, rows_of_part: int = ROWS_OF_PART, most_parts: int = MOST_PARTS) -> DataFrame:
+def shard_rows(df: DataFrame, shards: int = 8, seed: int = 11, rows_of_part: int = ROWS_OF_PART, most_parts: int = MOST_PARTS) -> DataFrame:
     """df with shard and slot; the i-th shard has total // shards rows, and one more if i < total % shards."""
     if shards < 1:
         raise ValueError("at least one shard")
     spark = df.sparkSession
-    keys = [F.col(k) for k in key]
-    df = df.drop("shard", "slot")
-    total = df.count()
-    parts = min(most_parts, max(1, -(-total // rows_of_part)))
-    part = F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(parts)).cast("int")
+    df = df.select(*without(df, "shard", "slot"))
+    at_, part_, rank, cuts_, bucket, n, before = fresh([*df.columns, "shard", "slot"], "at", "part", "rank", "cuts", "bucket", "n", "before")
+    rows = df.withColumn(at_, F.monotonically_increasing_id())
+    rows = at(spark, keep(rows, "rows-to-shard"), rows)
+    total, last = rows.agg(F.count("*"), F.max(F.shiftright(at_, 33))).first()
+    partitions = (last or 0) + 1
+    # Parts of a partition: as many as its mean size asks for, within most_parts of all.
+    each = max(1, min(most_parts // partitions, -(-total // (partitions * rows_of_part))))
+    stretch = F.pmod(F.floor(F.col(at_).bitwiseAND(F.lit((1 << 33) - 1)) / rows_of_part), F.lit(each))
+    part = F.pmod(F.shiftright(at_, 33) * each + stretch, F.lit(most_parts)).cast("int")
     # at most most_parts rows come to the driver
-    counts = {r["part"]: r["n"] for r in df.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}
+    counts = {r[part_]: r[n] for r in rows.groupBy(part.alias(part_)).agg(F.count("*").alias(n)).collect()}
     names = sorted(counts)
     sizes = [total // shards + (i < total % shards) for i in range(shards)]
     drawn = matrix([counts[p] for p in names], sizes, seed)
-    cuts = spark.createDataFrame([(p, list(accumulate(row))) for p, row in zip(names, drawn, strict=True)], "_part int, _cuts array<long>")
+    cuts = spark.createDataFrame([(p, list(accumulate(row))) for p, row in zip(names, drawn, strict=True)], f"{part_} int, {cuts_} array<long>")
 
-    local = Window.partitionBy("_part").orderBy("_first", "_second")
-    keyed = df.withColumns({"_part": part, "_first": F.xxhash64(F.lit(seed + 1), *keys), "_second": F.xxhash64(F.lit(seed + 2), *keys)})
-    ranked = keyed.withColumn("_rank", F.row_number().over(local)).join(F.broadcast(cuts), "_part")
-    sent = ranked.withColumn("shard", F.size(F.filter("_cuts", lambda c: c < F.col("_rank")))).drop("_part", "_cuts", "_first", "_rank")
+    key = lambda k: F.xxhash64(F.lit(seed + k), at_)
+    local = Window.partitionBy(part_).orderBy(key(1), at_)
+    ranked = rows.withColumn(part_, part).withColumn(rank, F.row_number().over(local)).join(F.broadcast(cuts), part_)
+    sent = ranked.withColumn("shard", F.size(F.filter(cuts_, lambda c: c < F.col(rank)))).drop(part_, cuts_, rank)
 
     buckets = min(most_parts, max(1, -(-total // (shards * rows_of_part))))
-    sent = sent.withColumn("_bucket", F.pmod(F.col("_second"), F.lit(buckets)).cast("int"))
-    again = Window.partitionBy("shard", "_bucket").orderBy(F.xxhash64(F.lit(seed + 3), "_second"), "_second")
-    placed = sent.withColumn("_rank", F.row_number().over(again))
+    sent = sent.withColumn(bucket, F.pmod(key(2), F.lit(buckets)).cast("int"))
+    again = Window.partitionBy("shard", bucket).orderBy(key(3), at_)
+    placed = sent.withColumn(rank, F.row_number().over(again))
     # Bucket sizes: at most shards * most_parts rows, added up within each shard.
-    held = sent.groupBy("shard", "_bucket").agg(F.count("*").alias("_n"))
-    held = held.withColumn("_before", F.sum("_n").over(Window.partitionBy("shard").orderBy("_bucket")) - F.col("_n")).drop("_n")
-    out = placed.join(held, ["shard", "_bucket"])
-    return out.withColumn("slot", F.col("_before") + F.col("_rank") - 1).select(*[c for c in df.columns], "shard", "slot")
+    held = sent.groupBy("shard", bucket).agg(F.count("*").alias(n))
+    held = held.withColumn(before, F.sum(n).over(Window.partitionBy("shard").orderBy(bucket)) - F.col(n)).drop(n)
+    out = placed.join(held, ["shard", bucket])
+    return out.withColumn("slot", F.col(before) + F.col(rank) - 1).select(*df.columns, "shard", "slot")
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The digest columns are made before the exchanges, which then move them in the place of the texts.
     raw = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     docs = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
-    out = shard_rows(docs, 8, ("doc_id", "text_crc32"))
+    out = shard_rows(docs, 8)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

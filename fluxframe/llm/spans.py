@@ -12,9 +12,10 @@ every sentence that any other covers is removed.
 Within a slice of rows on a worker all but the first of each hash are marked at once; only firsts of slices are exchanged,
 so a passage of a third of all rows sends a row for each slice.
 
-Defined results: null texts stay null and empty ones empty; rows that are equal in doc_id and text count as one document,
-and all keep or lose the same sentences; a null doc_id orders before all others; a text whose sentences all go becomes
-empty; all columns stay.
+Defined results: null texts stay null and empty ones empty; very long texts are taken whole, one at a time; rows that are
+equal in doc_id and text count as one document, and all keep or lose the same sentences; equal texts under several ids are
+one passage after another; a null doc_id orders before all others; a text whose sentences all go becomes empty; an empty
+table gives no rows; all columns stay, but that n_sentences and removed of a report replace columns of those names.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fluxframe.llm.arrays import LOWER, RangeHash, slices, text_bytes, words
-from fluxframe.llm.tables import at, keep, table
+from fluxframe.llm.tables import at, fresh, keep, spread_join, table, without
 
 LEAST, MIN_WORDS = 2, 20
 LONG, WINDOW = 15, 8
@@ -115,30 +116,33 @@ def repeated(docs: DataFrame) -> DataFrame:
 def remove_repeats(docs: DataFrame, report: bool = False) -> DataFrame:
     """docs with repeated spans removed from text. With report also n_sentences (int) and removed (array<int>, the places
     of the sentences that went)."""
-    given = docs.columns
-    keyed = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_rk": F.xxhash64("doc_id", "text")})
-    lost = repeated(keyed.filter(F.col("text").isNotNull()).select(F.col("_id").alias("doc_id"), F.col("_rk").alias("rk"), "text"))
-    lost = at(docs.sparkSession, keep(lost, "repeated-spans"), lost).withColumnRenamed("rk", "_rk")
-    joined = keyed.join(lost, "_rk", "left").select(*given, F.col("spans").alias("_spans"))
-    schema = T.StructType([*docs.schema.fields, *([T.StructField("n_sentences", T.IntegerType()), T.StructField("removed", T.ArrayType(T.IntegerType()))] if report else [])])
+    added = ["n_sentences", "removed"] if report else []
+    given = without(docs, *added)
+    rk, spans = fresh(docs.columns, "rk", "spans")
+    mark = F.xxhash64(F.col("doc_id").cast("long"), "text")
+    lost = repeated(docs.filter(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), mark.alias("rk"), "text"))
+    lost = at(docs.sparkSession, keep(lost, "repeated-spans"), lost).select(F.col("rk").alias(rk), F.col("spans").alias(spans))
+    # Rows equal in doc_id and text can be many: the frequent ones are dealt over tasks by a random number, which decides nothing else.
+    joined = spread_join(docs.select(*given).withColumn(rk, mark), lost, [rk], [F.rand(3)], "left").select(*given, spans)
+    schema = T.StructType([*(docs.schema[c] for c in given), *([T.StructField("n_sentences", T.IntegerType()), T.StructField("removed", T.ArrayType(T.IntegerType()))] if report else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             data, offsets = text_bytes(batch.column("text"))
-            found = Sentences(data, offsets) if report or batch.column("_spans").null_count < batch.num_rows else None
+            found = Sentences(data, offsets) if report or batch.column(spans).null_count < batch.num_rows else None
             raw = memoryview(data)
             texts, gone = [], []
-            spans = batch.column("_spans").to_pylist()
+            lose = batch.column(spans).to_pylist()
             known = batch.column("text").is_valid().to_pylist()
             for k in range(batch.num_rows):
                 a, b = int(offsets[k]), int(offsets[k + 1])
-                if not spans[k]:
+                if not lose[k]:
                     texts.append(bytes(raw[a:b]) if known[k] else None)
                     gone.append([])
                     continue
                 lo, hi = found.limits[k], found.limits[k + 1]
                 out = np.zeros(hi - lo, bool)
-                for x in spans[k]:
+                for x in lose[k]:
                     out[x["s"] : x["s"] + x["n"]] = True
                 begin = np.append(found.begin[lo:hi], b)
                 begin[0] = a  # white space before the first sentence is its own

@@ -67,8 +67,9 @@ def without(df: DataFrame, *names: str) -> list[str]:
     return [c for c in df.columns if c.lower() not in gone]
 
 
-def spread_join(left: DataFrame, right: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
-    """left joined with right, which has one row a key, so that no task gets all of left's rows of a frequent key.
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], by: list[str], how: str = "inner") -> DataFrame:
+    """left joined (how: inner or left) with right, which has one row a key, so that no task gets all of left's rows of a
+    frequent key. left's key columns are not null, or the join is an inner one.
 
     A key is frequent if it has more than one in HEAVY of left's rows. The keys of highest counts, HEAVY at most, come to
     the driver. A frequent key with n rows is dealt over n * HEAVY / total tasks by a hash of the columns `by`, and its row of
@@ -79,9 +80,9 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], by: list[str
     top = left.groupBy(*keys).agg(F.count("*").alias(n)).orderBy(F.desc(n)).limit(HEAVY).collect()
     heavy = [(*(r[k] for k in keys), -(-r[n] * HEAVY // total)) for r in top if r[n] * HEAVY > total and r[n] > 1]
     if not heavy:
-        return left.join(right, keys)
+        return left.join(right, keys, how)
     types = {f.name: f.dataType.simpleString() for f in left.schema.fields}
     few = F.broadcast(left.sparkSession.createDataFrame(heavy, ", ".join([*(f"`{k}` {types[k]}" for k in keys), f"{ways} int"])))
     many = left.join(few, keys, "left").withColumn(salt, F.coalesce(F.pmod(F.xxhash64(*by), F.col(ways)).cast("int"), F.lit(0))).drop(ways)
     once = right.join(few, keys, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(ways) - 1, F.lit(0))))).drop(ways)
-    return many.join(once, [*keys, salt]).drop(salt)
+    return many.join(once, [*keys, salt], how).drop(salt)

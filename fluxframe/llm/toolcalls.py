@@ -12,6 +12,7 @@ Defined results: of calls (or results) with one id the least by content counts,
 there were; a call without result has status "open", a result without call "orphan"; calls in a cycle of `after`, or behind
 one, have level null and the error "cycle"; an `after` that names no call has the error "unknown after"; arguments that are
 null or no JSON object have the error "not an object"; rows without call_id are kept alone with status "unnamed".
+Contents of any length are kept whole; empty tables give no rows; other columns are not read, so their names can't clash.
 """
 
 from __future__ import annotations

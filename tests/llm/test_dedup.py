@@ -141,17 +141,36 @@ def test_spans_empty(docs_of):
 def test_shards(spark, docs_of):
     rows = [(k % 900, f"t{k % 300}") for k in range(1000)] + [(None, None)] * 3
     df = docs_of(rows).withColumns({"shard": F.lit("clash"), "slot": F.lit(0)})
-    out = sharding.shard_rows(df, 8, ("doc_id", "text"), rows_of_part=100).collect()
+    out = sharding.shard_rows(df, 8, rows_of_part=100).collect()
     count = Counter(r.shard for r in out)
     assert sorted(count.values()) == [125] * 5 + [126] * 3 and set(count) == set(range(8))
     for s in range(8):
         assert sorted(r.slot for r in out if r.shard == s) == list(range(count[s]))
     assert Counter((r.doc_id, r.text) for r in out) == Counter(rows)
-    assert Counter(out) == Counter(sharding.shard_rows(df, 8, ("doc_id", "text"), rows_of_part=100).collect())
+    assert Counter(out) == Counter(sharding.shard_rows(df, 8, rows_of_part=100).collect())
     assert sharding.shard_rows(docs_of([])).count() == 0
     assert len(sharding.shard_rows(docs_of(rows[:3]), 8).collect()) == 3
 
 
+@pytest.mark.parametrize("partitions, rows_of_part, most_parts", [(1, 40, 64), (7, 10, 1000), (9, 4096, 4), (5, 30, 7)])
+def test_shards_follow_the_matrix(spark, partitions, rows_of_part, most_parts):
+    """Brute force: the rows of each part are counted again, and the matrix of these counts is what came to the shards."""
+    n = 500
+    df = spark.range(0, n, 1, partitions)
+    out = sharding.shard_rows(df, 3, 5, rows_of_part, most_parts).collect()
+    assert sorted(r.id for r in out) == list(range(n))
+    shard = {r.id: r.shard for r in out}
+    each = max(1, min(most_parts // partitions, -(-n // (partitions * rows_of_part))))
+    parts = {}
+    for k, rows in enumerate(df.rdd.glom().collect()):
+        for place, r in enumerate(rows):
+            parts.setdefault((k * each + place // rows_of_part % each) % most_parts, []).append(r.id)
+    assert len(parts) <= most_parts
+    names = sorted(parts)
+    want = sharding.matrix([len(parts[p]) for p in names], [167, 167, 166], 5)
+    assert [[sum(shard[i] == s for i in parts[p]) for s in range(3)] for p in names] == want
+
+
 def test_shuffle_is_uniform(spark):
     """Over many seeds, each of six rows comes to each shard and slot equally often."""
     df = spark.range(6).withColumnRenamed("id", "doc_id")
