@@ -1,18 +1,25 @@
 """Exact top-k by inner product with a vector-approximation file.
 
-Vectors of integers are dealt into blocks of a bounded number of rows by a hash of their id. A block is packed once: its
-cells (each dimension cut into 2 ** bits equal steps between the block's lowest and highest value, one byte each), the
-cells' limits, and the exact vectors. A block of queries meets every block of candidates of the same dimension. There,
-the cells alone give a lower and an upper bound of each score; exact vectors are then read in order of falling upper bound
-until the k-th best exact score of a query is above every bound left. The best k of each block go to one more shuffle by
-query, which keeps the best k of all.
+1. Vectors of integers are dealt into blocks of a bounded number of rows by a hash of their id. A block of the file holds cells
+   alone: each dimension is cut into 2 ** bits equal steps between the block's lowest and highest value, one byte a cell.
+   Exact vectors stay apart, in a table by id.
+2. Each block of queries meets each block of cells of the same dimension, in a task of the pair's own. There the cells give a
+   lower and an upper bound of every score, a strip of queries at a time; a candidate whose upper bound is below the query's
+   k-th best lower bound in the block is out.
+3. Over all blocks, what is below a query's k-th best lower bound is out. Exact vectors are read by id in order of falling
+   upper bound: first the FIRST * k highest of each query; then all whose upper bound reaches the k-th best exact score found
+   so far, after which no bound is left that could matter, and the result is certain.
 
 Every query is compared with every candidate's cells, in blocks, so the work grows as queries times candidates; memory is
-that of two blocks, and no block is broadcast or collected.
+that of two blocks and a strip, and no block is broadcast or collected.
+
+Arithmetic is exact: sums are taken in a type that holds them, from 32-bit floats up to Python's integers. A component of which
+64 * x, or a score which does not fit into 64 bits raises.
 
 Defined results: a vector that is null or holds a null or a component that is not finite takes no part, nor does a row
-without id; of rows with one id the least vector counts; vectors of different length are not compared; equal scores go to
-the smaller id; fewer than k candidates give as many rows.
+without id or an empty vector; of rows with one id the least vector counts; vectors of different length are not compared;
+equal scores go to the smaller id; fewer than k candidates give as many rows; vectors of any length take part, in as many cells; an
+empty table gives no rows; columns other than vec_id and the vector are not read, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -21,136 +28,172 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fluxframe.llm.tables import at, keep, table
 
-CANDIDATES, QUERIES = 4096, 1024
-BLOCK = "dim int, block int, ids binary, cells binary, low binary, step binary, exact binary"
+CANDIDATES, QUERIES, STRIP = 1 << 14, 1 << 11, 1 << 8
+#: Exact vectors read for a query at first, in multiples of k.
+FIRST = 2
+BLOCK = "dim int, block int, ids binary, cells binary, low binary, step binary"
 
 
 def exact_type(values: np.ndarray) -> np.dtype:
-    """The smallest type that holds the values; products are summed in types that hold all their sums."""
-    most = int(np.abs(values).max(initial=0))
+    """The smallest type that holds the values."""
+    most = max(int(values.max(initial=0)), -int(values.min(initial=0)))
     return np.dtype(np.int8 if most < 1 << 7 else np.int16 if most < 1 << 15 else np.int64)
 
 
-def _sums(dim: int, a: np.ndarray, b: np.ndarray) -> type:
-    """A float type in which sums of dim products of a and b are exact, or int64."""
-    most = dim * int(np.abs(a).max(initial=0)) * int(np.abs(b).max(initial=0))
-    return np.float32 if most < 1 << 24 else np.float64 if most < 1 << 53 else np.int64
+def _sums(dim: int, a: int, b: int) -> type:
+    """A type in which sums of dim products of numbers up to a and b are exact."""
+    most = dim * a * b
+    return np.float32 if most < 1 << 24 else np.float64 if most < 1 << 53 else np.int64 if most < 1 << 63 else object
+
+
+def _most(values: np.ndarray) -> int:
+    return max(int(values.max(initial=0)), -int(values.min(initial=0)))
+
 
+def _vectors(group: pa.Table) -> tuple[int, np.ndarray, np.ndarray]:
+    """Dimension, ids in ascending order, and vectors of a group of rows."""
+    group = group.sort_by([("id", "ascending")]).combine_chunks()
+    dim = group.column("dim")[0].as_py()
+    vectors = group.column("vector").combine_chunks()
+    vectors = vectors.chunk(0) if isinstance(vectors, pa.ChunkedArray) else vectors
+    return dim, group.column("id").to_numpy(), vectors.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
-def packed(rows: DataFrame, size: int, bits: int) -> DataFrame:
-    """rows (id long, vector array<long>) as blocks of about size rows."""
+
+def cells(rows: DataFrame, bits: int) -> DataFrame:
+    """rows (id long, vector array<long>, dim, block) as blocks of cells."""
 
     def pack(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("id", "ascending")])
-        ids = group.column("id").to_numpy()
-        dim = group.column("dim")[0].as_py()
-        vectors = group.column("vector").combine_chunks()
-        exact = (vectors.chunk(0) if isinstance(vectors, pa.ChunkedArray) else vectors).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), dim)
-        order = np.lexsort([*exact.T[::-1], ids])
-        ids, exact = ids[order], exact[order]
-        one = np.append(True, ids[1:] != ids[:-1])
-        ids, exact = ids[one], exact[one]
+        dim, ids, exact = _vectors(group)
         low, high = exact.min(0), exact.max(0)
-        step = np.maximum(1, -(-(high - low + 1) // (1 << bits)))
-        cells = ((exact - low) // step).astype(np.uint8)
-        kind = exact_type(exact)
-        return pa.table({"dim": pa.array([dim], pa.int32()), "block": group.column("block").slice(0, 1).cast(pa.int32()), "ids": [ids.tobytes()], "cells": [cells.tobytes()], "low": [low.astype(np.int64).tobytes()], "step": [step.astype(np.int64).tobytes()], "exact": [bytes([kind.itemsize]) + exact.astype(kind).tobytes()]})
+        # unsigned, so that the distance of two 64-bit numbers fits
+        over = (high.view(np.uint64) - low.view(np.uint64)) >> np.uint64(bits)
+        step = over + np.uint64(1)
+        cell = ((exact.view(np.uint64) - low.view(np.uint64)) // step).astype(np.uint8)
+        return pa.table({"dim": pa.array([dim], pa.int32()), "block": group.column("block").slice(0, 1).cast(pa.int32()), "ids": [ids.tobytes()], "cells": [cell.tobytes()], "low": [low.tobytes()], "step": [step.tobytes()]})
 
     return rows.groupBy("dim", "block").applyInArrow(pack, BLOCK)
 
 
-def search(vectors: DataFrame, is_query, k: int = 20, bits: int = 6) -> DataFrame:
+def asked(rows: DataFrame) -> DataFrame:
+    """Blocks of queries, with their exact vectors."""
+
+    def pack(group: pa.Table) -> pa.Table:
+        dim, ids, exact = _vectors(group)
+        kind = exact_type(exact)
+        return pa.table({"dim": pa.array([dim], pa.int32()), "with": group.column("block").slice(0, 1).cast(pa.int32()), "q_ids": [ids.tobytes()], "q_exact": [bytes([kind.itemsize]) + exact.astype(kind).tobytes()]})
+
+    return rows.groupBy("dim", "block").applyInArrow(pack, "dim int, with int, q_ids binary, q_exact binary")
+
+
+def search(vectors: DataFrame, is_query, k: int = 20, bits: int = 8) -> DataFrame:
     """query_id, rank, vec_id, score: the k best candidates of each row of vectors (vec_id, vector array<long>) for which
     is_query holds, among all rows but its own."""
     if not 1 <= bits <= 8:
         raise ValueError("bits of a cell: 1 to 8")
     spark = vectors.sparkSession
-    rows = vectors.filter(F.col("vec_id").isNotNull() & F.col("vector").isNotNull()).select(F.col("vec_id").cast("long").alias("id"), "vector", F.size("vector").alias("dim"))
-    rows = rows.filter(F.col("dim") > 0)
+    rows = vectors.filter(F.col("vec_id").isNotNull() & (F.size("vector") > 0)).groupBy(F.col("vec_id").cast("long").alias("id")).agg(F.min("vector").alias("vector"))
+    rows = rows.withColumn("dim", F.size("vector"))
+    rows = at(spark, keep(rows, "va-exact"), rows)
     sizes = rows.agg(F.count("*").alias("n"), F.count(F.when(is_query(F.col("id")), 1)).alias("q")).first()
-    blocks = lambda n, size: F.pmod(F.xxhash64("id"), F.lit(-(-max(n, 1) // size))).cast("int")
-    cand = packed(rows.withColumn("block", blocks(sizes.n, CANDIDATES)), CANDIDATES, bits)
-    cand = at(spark, keep(cand, "va-file"), cand)
-    ask = packed(rows.filter(is_query(F.col("id"))).withColumn("block", blocks(sizes.q, QUERIES)), QUERIES, bits)
-    ask = at(spark, keep(ask.select("dim", "block", "ids", "exact"), "va-queries"), ask.select("dim", "block", "ids", "exact"))
-    n_blocks = -(-max(sizes.q, 1) // QUERIES)
-    met = cand.withColumn("with", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).repartition(F.col("block"), F.col("with"))
-    met = met.join(ask.select("dim", F.col("block").alias("with"), F.col("ids").alias("q_ids"), F.col("exact").alias("q_exact")), ["dim", "with"])
+    n_blocks, n_with = -(-max(sizes.n, 1) // CANDIDATES), -(-max(sizes.q, 1) // QUERIES)
+    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    held = cells(rows.withColumn("block", block(n_blocks)), bits)
+    held = at(spark, keep(held, "va-cells"), held)
+    ask = asked(rows.filter(is_query(F.col("id"))).withColumn("block", block(n_with)))
+    ask = at(spark, keep(ask, "va-queries"), ask)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    met = held.withColumn("with", every(n_with)).hint("merge").join(ask.withColumn("block", every(n_blocks)), ["dim", "block", "with"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                one = {c: batch.column(c)[row].as_py() for c in ("dim", "ids", "cells", "low", "step", "exact", "q_ids", "q_exact")}
-                q, ids, score = best_of_block(one, k)
-                yield pa.RecordBatch.from_pydict({"query_id": q, "vec_id": ids, "score": score})
-
-    found = met.mapInArrow(scan, "query_id long, vec_id long, score long")
-    # k rows a query and block; array_sort keeps a bounded group (k times the number of blocks) in order
-    best = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k).alias("best"))
-    out = best.select("query_id", F.posexplode("best").alias("p", "b"))
-    return out.select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.s")).alias("score"))
-
+                one = {c: batch.column(c)[row].as_py() for c in ("dim", "ids", "cells", "low", "step", "q_ids", "q_exact")}
+                for q, ids, low, high in bounds_of_block(one, k):
+                    yield pa.RecordBatch.from_pydict({"query_id": q, "vec_id": ids, "low": low, "high": high})
+
+    found = met.mapInArrow(scan, "query_id long, vec_id long, low long, high long")
+    found = at(spark, keep(found, "va-bounds"), found)
+    kth = lambda df, by: top(df, by, k).filter(F.col("place") == k).select("query_id", F.col(by).alias("least"))
+    may = found.join(kth(found, "low"), "query_id", "left").filter(F.coalesce(F.col("high") >= F.col("least"), F.lit(True))).drop("least")
+    placed = may.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("high"), "vec_id")))
+    placed = at(spark, keep(placed, "va-candidates"), placed)
+    first = scores(placed.filter(F.col("place") <= FIRST * k), rows)
+    first = at(spark, keep(first, "va-scores"), first)
+    more = placed.filter(F.col("place") > FIRST * k).join(kth(first, "score"), "query_id").filter(F.col("high") >= F.col("least"))
+    return top(first.union(scores(more, rows)), "score", k).select("query_id", F.col("place").cast("int").alias("rank"), "vec_id", "score")
+
+
+def top(df: DataFrame, by: str, k: int) -> DataFrame:
+    """The k rows of each query_id that are highest by a column, ties to the smaller vec_id, with their place."""
+    order = Window.partitionBy("query_id").orderBy(F.desc(by), "vec_id")
+    return df.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
+
+
+def scores(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """query_id, vec_id and score of pairs, from exact vectors fetched by id."""
+    both = pairs.select("query_id", "vec_id").join(rows.select(F.col("id").alias("vec_id"), F.col("vector").alias("x")), "vec_id")
+    both = both.join(rows.select(F.col("id").alias("query_id"), F.col("vector").alias("y")), "query_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column("x").value_lengths().to_numpy(zero_copy_only=False)
+            x, y = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in "xy")
+            kind = _sums(int(sizes.max(initial=0)), _most(x), _most(y))
+            products = x.astype(kind) * y.astype(kind)
+            out = np.add.reduceat(products, np.cumsum(sizes) - sizes) if len(sizes) else np.zeros(0)
+            if kind is object and any(not -(1 << 63) <= v < 1 << 63 for v in out):
+                raise OverflowError("a score does not fit into 64 bits")
+            yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("vec_id"), pa.array(out.astype(np.int64))], names=["query_id", "vec_id", "score"])
 
-def _exact(data: bytes, dim: int) -> np.ndarray:
-    return np.frombuffer(data, np.dtype(f"i{data[0]}"), offset=1).reshape(-1, dim)
+    return both.select("query_id", "vec_id", "x", "y").mapInArrow(run, "query_id long, vec_id long, score long")
 
 
-def best_of_block(one: dict, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best candidates of one block for every query of one block: query ids, candidate ids, scores."""
+def bounds_of_block(one: dict, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For strips of one block of queries, what one block of cells can't rule out: query ids, candidate ids and bounds."""
     dim = one["dim"]
     ids, q_ids = np.frombuffer(one["ids"], np.int64), np.frombuffer(one["q_ids"], np.int64)
-    cells = np.frombuffer(one["cells"], np.uint8).reshape(-1, dim)
-    low, step = np.frombuffer(one["low"], np.int64), np.frombuffer(one["step"], np.int64)
-    exact, queries = _exact(one["exact"], dim), _exact(one["q_exact"], dim)
-    floor = low + cells.astype(np.int64) * step
-    ceiling = floor + step - 1
-    kind = _sums(dim, np.maximum(np.abs(floor), np.abs(ceiling)), queries)
-    up, down = np.maximum(queries, 0).astype(kind), np.minimum(queries, 0).astype(kind)
-    upper = up @ ceiling.T.astype(kind) + down @ floor.T.astype(kind)
-    lower = up @ floor.T.astype(kind) + down @ ceiling.T.astype(kind)
-    own = np.searchsorted(ids, q_ids)
-    has = (own < len(ids)) & (ids[np.minimum(own, len(ids) - 1)] == q_ids)
-    least = kind(-np.inf) if kind is not np.int64 else np.iinfo(np.int64).min
-    upper[np.flatnonzero(has), own[has]] = least
-    lower[np.flatnonzero(has), own[has]] = least
+    cell = np.frombuffer(one["cells"], np.uint8).reshape(-1, dim)
+    low, step = np.frombuffer(one["low"], np.int64), np.frombuffer(one["step"], np.uint64)
+    asked_ = np.frombuffer(one["q_exact"], np.dtype(f"i{one['q_exact'][0]}"), offset=1).reshape(-1, dim)
+    wide = max(_most(low), *(int(a) + 256 * int(b) for a, b in zip(np.abs(low.astype(object)), step.tolist(), strict=True)))
+    kind = _sums(dim, wide, _most(asked_))
+    floor = low.astype(kind) + cell.astype(kind) * step.astype(kind)
+    ceiling = floor + (step.astype(kind) - 1)
+    least = kind(-np.inf) if kind in (np.float32, np.float64) else np.iinfo(np.int64).min
     n = len(ids)
-    out_q, out_i, out_s = [], [], []
-    if n > k:  # what the k-th best lower bound exceeds can't be among the best k
-        limit = np.partition(lower, n - k, axis=1)[:, n - k]
-    for q in range(len(q_ids)):
-        bound = upper[q]
-        may = np.flatnonzero(bound >= limit[q]) if n > k else np.arange(n)
-        may = may[may != own[q]] if has[q] else may
-        may = may[np.argsort(-bound[may], kind="stable")]
-        scores = np.zeros(0, np.int64)
-        read = 0
-        asked = queries[q].astype(kind)
-        while read < len(may):
-            if read >= k and np.partition(scores, read - k)[read - k] > bound[may[read]]:
-                break
-            more = may[read : read + 2 * k]
-            scores = np.append(scores, (exact[more].astype(kind) @ asked).astype(np.int64))
-            read += len(more)
-        top = np.lexsort([ids[may[:read]], -scores])[:k]
-        out_q.append(np.full(len(top), q_ids[q]))
-        out_i.append(ids[may[top]])
-        out_s.append(scores[top])
-    empty = [np.zeros(0, np.int64)]
-    return np.concatenate(out_q or empty), np.concatenate(out_i or empty), np.concatenate(out_s or empty)
+    for lo in range(0, len(q_ids), STRIP):
+        q = q_ids[lo : lo + STRIP]
+        x = asked_[lo : lo + STRIP].astype(kind)
+        up, down = np.maximum(x, 0), np.minimum(x, 0)
+        upper = up @ ceiling.T + down @ floor.T
+        lower = up @ floor.T + down @ ceiling.T
+        own = np.searchsorted(ids, q)
+        has = np.flatnonzero((own < n) & (ids[np.minimum(own, n - 1)] == q))
+        if kind is object:  # a score that matters fits into 64 bits
+            upper, lower = (np.clip(b, -(1 << 63), (1 << 63) - 1) for b in (upper, lower))
+        lower[has, own[has]] = least
+        limit = (np.sort if kind is object else lambda a, axis: np.partition(a, n - k, axis=axis))(lower, axis=1)[:, n - k] if n > k else np.full(len(q), least, kind)
+        may = upper >= limit[:, None]
+        may[has, own[has]] = False
+        a, b = np.nonzero(may)
+        yield q[a], ids[b], lower[a, b].astype(np.int64), upper[a, b].astype(np.int64)
 
 
 def whole_numbers(embeddings: DataFrame, scale: int = 64) -> DataFrame:
-    """vec_id and vector: floor(scale * x) of each component; null if the vector can't take part."""
+    """vec_id and vector: floor(scale * x) of each component; null if the vector can't take part. Raises where that does not
+    fit into 64 bits."""
     x = F.col("embedding").cast(T.ArrayType(T.DoubleType()))
-    limit = float(1 << 62)
-    usable = F.coalesce(F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(limit / scale))), F.lit(False))
-    return embeddings.select("vec_id", F.when(usable, F.transform(x, lambda v: F.floor(v * scale).cast("long"))).alias("vector"))
+    usable = F.coalesce(F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))), F.lit(False))
+    fits: Column = F.forall(x, lambda v: F.abs(v * scale) < F.lit(float(1 << 63)))
+    whole = F.transform(x, lambda v: F.floor(v * scale).cast("long"))
+    too_large = F.raise_error(F.concat(F.lit("a component of vector "), F.coalesce(F.col("vec_id").cast("string"), F.lit("null")), F.lit(f" times {scale} does not fit into 64 bits"))).cast("array<bigint>")
+    return embeddings.select("vec_id", F.when(usable & fits, whole).when(usable, too_large).alias("vector"))
 
 
 def op9_vafile(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -93,6 +93,25 @@ def test_search_odd_vectors(spark):
     assert vafile.search(vafile.whole_numbers(df.limit(0)), lambda i: i == i).count() == 0
 
 
+def test_search_large_numbers(spark):
+    """Sums beyond 53 bits are exact, and what does not fit into 64 bits raises instead of going astray."""
+    rng = np.random.default_rng(3)
+    vectors = [(k, [int(x) for x in rng.integers(-(1 << 29), 1 << 29, 6)]) for k in range(60)] + [(100 + k, [(1 << 60) + k, -k, 0, 0, 0, 0]) for k in range(3)]
+    vectors[20] = (20, [1, 2, 1, 0, -1, 2])
+    vectors = [v for v in vectors if v[0] not in (0, 40, 100)]
+    df = spark.createDataFrame(vectors, "vec_id long, vector array<long>")
+    got = {tuple(r) for r in vafile.search(df, lambda i: i % 20 == 0, 5).collect()}
+    exact = sorted((-sum(a * b for a, b in zip(dict(vectors)[20], v, strict=True)), i) for i, v in vectors if i != 20)[:5]
+    assert got == {(20, r + 1, i, -s) for r, (s, i) in enumerate(exact)}
+    big = spark.createDataFrame([(0, [1 << 40]), (1, [1 << 40])], "vec_id long, vector array<long>")
+    with pytest.raises(Exception, match="does not fit into 64 bits"):
+        vafile.search(big, lambda i: i == 0).collect()
+    large = spark.createDataFrame([(0, [1 / 64]), (1, [1e17])], "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in vafile.search(vafile.whole_numbers(large), lambda i: i == 0).select("vec_id", "score").collect()] == [(1, 6_400_000_000_000_000_000)]
+    with pytest.raises(Exception, match="does not fit into 64 bits"):
+        vafile.whole_numbers(spark.createDataFrame([(1, [2e17])], "vec_id long, embedding array<double>")).collect()
+
+
 def test_search_agrees_with_sql(spark, sf, same_as_sql):
     same_as_sql(vafile.op9_vafile(spark, sf), vafile.SQL)
 
