@@ -7,7 +7,6 @@ order of the rules.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -192,20 +191,6 @@ def epoch_step(state: str, e: dict) -> str:
     return state
 
 
-def run_machine(df: DataFrame, key: str, order: str, start, step, show: str) -> DataFrame:
-    """States of a machine after each event of a key (one machine's events in order: bounded by what one machine did)."""
-
-    def one(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        state, rows = start, []
-        for e in pdf.sort_values(order).to_dict("records"):
-            state = step(state, e)
-            s = state if isinstance(state, dict) else {"state": state, "error": 0}
-            rows.append((k[0], e[order], s["state"], s["error"]))
-        return pd.DataFrame(rows, columns=[key, order, "state", "error"])
-
-    return df.groupBy(key).applyInPandas(one, show)
-
-
 def _host(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("e")
     df = packets(spark, sf_dir).select("e", F.when(e % 3 == 0, 200).otherwise(100).alias("mhz"), F.get(F.array(*map(F.lit, ["time_only", "spec_only", "time_spec"])), (F.floor(e / 3) % 3).cast("int")).alias("mode"), F.lit(10).alias("elapsed"))
@@ -294,32 +279,6 @@ def q_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.groupBy("board_id").agg(F.count("*").alias("compared"), F.count_if("bad").alias("mismatches"), F.min(F.when(F.col("bad"), F.col("e"))).alias("first"))
 
 
-def _sync_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events of 64 boards: a start as planned, with something wrong on most boards."""
-    b = spark.range(64).select(F.col("id").cast("int").alias("board"))
-    kinds = ["prepare", "arm", "pps", "pps", "adc", "science", "science"]
-    df = b.withColumn("x", F.explode(F.array(*[F.struct(F.lit(t).alias("tick"), F.lit(k).alias("event")) for t, k in enumerate(kinds)]))).select("board", "x.*")
-    case = F.col("board") % 14
-    return df.withColumns({
-        "generation": F.when(case == 3, 0).otherwise(5), "target_pps": F.when(case == 9, 11).otherwise(13), "epoch_tai": F.when(case == 13, 0).otherwise(1), "first_sample0": F.when(case == 2, 3).otherwise(800), "signal_chain_tag": F.when(case == 12, 0).otherwise(1), "mts_result_id": F.when(case == 4, 0).otherwise(1),
-        "ref_locked": ~((case == 5) & (F.col("tick") >= 1)), "rfdc_ready": ~((case == 6) & (F.col("tick") >= 2)), "pps_recent": ~((case == 7) & (F.col("tick") >= 4)),
-        "pps_count": F.when(F.col("tick") < 2, 10).when(F.col("tick") == 2, 12).otherwise(F.when(case == 10, 14).otherwise(13)), "sample0": F.when(F.col("tick") == 4, 1000).when(F.col("tick") == 5, 792).otherwise(F.when(case == 11, 808).otherwise(800)),
-        "event": F.when((case == 1) & (F.col("tick") == 1), "prepare").when((case == 8) & (F.col("tick") == 0), "pps").otherwise(F.col("event")),
-    })
-
-
-def q_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run_machine(_sync_events(spark, sf_dir), "board", "tick", SYNC_START, sync_step, "board int, tick int, state string, error int")
-
-
-def q_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The start-up machine of each user's events: every flag is a bit of a hash of the event."""
-    e = F.col("e")
-    bits = {n: F.shiftright(e * 7919, k).bitwiseAND(F.lit(7)) != 0 for k, n in enumerate(["arm", "ref_locked", "rfdc_ready"])} | {n: e % m == 0 for n, m in (("sync_error", 47), ("stop", 29), ("reset", 61), ("pps", 3), ("soft", 5))}
-    df = packets(spark, sf_dir).select("e", F.col("user_id").alias("machine"), F.get(F.array(*map(F.lit, ["external", "software", "free_run"])), (F.col("user_id") % 3).cast("int")).alias("mode"), *[c.alias(n) for n, c in bits.items()])
-    return run_machine(df, "machine", "e", "RESET", epoch_step, "machine long, e long, state string, error int")
-
-
 def q_rebase(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples counted from each board's epoch, its first sample."""
     p = packets(spark, sf_dir)
@@ -336,7 +295,7 @@ def q_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "host_gate": q_host, "board_gate": q_board, "signal_audit": q_signal, "link_preflight": q_link, "packet_expectation": q_packet_expectation, "pipeline_health": q_health, "nic_discards": q_discards, "sustained_progress": q_sustained,
-    "alignment_rule": q_alignment, "board_consistency": q_boards, "provenance_pairing": q_pairing, "readback_identity": q_identity, "sync_scheduler": q_sync, "epoch_machine": q_epoch, "sample0_rebase": q_rebase, "sample0_audit": q_audit,
+    "alignment_rule": q_alignment, "board_consistency": q_boards, "provenance_pairing": q_pairing, "readback_identity": q_identity, "sample0_rebase": q_rebase, "sample0_audit": q_audit,
 }
 
 

@@ -2,15 +2,17 @@
 
 import math
 import struct
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from fluxframe.functions import bits, signal
-from fluxframe.operators import codec, dsp, flows, gates, routes, spectrum, validate
+from fluxframe.operators import codec, dsp, flows, gates, receiver, routes, spectrum, validate
+from fluxframe.plans.views import packets
 from fluxframe.sources import captures
-from fluxframe.streaming.receiver import Assembler, Capture, Reorder, before, first_blocks, run_batch, run_stream, windowed_rates
+from fluxframe.streaming.receiver import Assembler, Capture, PreviewGate, Reorder, Ring, Steps, before, first_blocks, run_batch, run_stream, windowed_rates
 
 
 def packet(seq, **more):
@@ -117,17 +119,53 @@ def test_reorder_wraps():
     assert before(2**32 - 1, 0) and not before(0, 2**32 - 1)
 
 
+BLOCK = {"product_id": 0xF101, "nchan": 8, "pfb_taps": 4}
+
+
 def test_assembler():
+    """A group counts once its last block is there; another group starts afresh; blocks land at their first channel."""
     machine, out = Assembler(), []
-    for group, block in ((7, 1), (8, 0), (8, 1), (8, 1)):
-        out += machine.feed({"frame_group": group, "block_index": block, "block_count": 2})
-    assert out == [{"frame_group": 8, "mask": 3}] and machine.summary() == {"published": 1, "dropped": 1}
+    lane = lambda v: [{"input": 1, "amplitude": [v, v + 1], "phase_rad": [0.0] * 2, "power_db": [v] * 2}]
+    for frame, block, v in ((29, 1, 1.0), (32, 0, 2.0), (33, 1, 4.0), (34, 2, 6.0), (35, 3, 8.0), (35, 3, 8.0), (35, 4, 9.0)):
+        out += machine.feed(BLOCK | {"frame_id": frame, "block_index": block, "block_count": 4, "chan0": 2 * block, "chan_count": 2, "lanes": lane(v)})
+    assert [(r["frame_group"], r["coverage"], r["mask_lo"], r["mask_hi"]) for r in out] == [(8, 4, 15, 0)]
+    assert out[0]["lanes"]["1"]["amplitude"] == [2.0, 3.0, 4.0, 5.0, 6.0, 7.0, 8.0, 9.0]
+    assert machine.summary() == {"published": 1, "dropped": 1, "refused": 1}
+
+
+@pytest.mark.parametrize("blocks", [64, 128])
+def test_assembler_of_many_blocks(blocks):
+    machine = Assembler()
+    out = [r for k in range(blocks) for r in machine.feed(BLOCK | {"frame_id": k, "block_index": k, "block_count": blocks})]
+    assert [(r["mask_lo"], r["mask_hi"], r["coverage"]) for r in out] == [(-1, -1 if blocks == 128 else 0, blocks)]
+
+
+def test_assembler_interval():
+    machine = Assembler(100)
+    feed = lambda k, t: machine.feed(BLOCK | {"frame_id": 4 + k, "block_index": k, "block_count": 2, "t_ms": t})
+    assert [len(feed(k, t)) for k, t in ((0, 0), (1, 10), (1, 50), (0, 110), (1, 150), (1, 230))] == [0, 1, 0, 1, 0, 1]
 
 
-def test_capture_restarts_at_holes():
-    machine = Capture(3, 2)
-    out = [r for s in (0, 2, 6, 8, 9, 10) for r in machine.feed({"seq_no": s})]
-    assert out == [{"first": 6, "last": 10, "packets": 3}]
+def test_capture():
+    """Missing packets are waited for; a full hold gives what is there up to the hole."""
+    machine = Capture(3, 2, 5)
+    feed = lambda *seqs: [r for s in seqs for r in machine.feed({"seq_no": s})]
+    assert feed(0, 4, 1, 2) == [{"first": 0, "last": 4, "packets": 3}]
+    assert feed(6, 5, 10, 11, 12, 13) == [{"first": 6, "last": 6, "packets": 1}]
+
+
+def test_preview_gate():
+    """A group ahead is taken block by block; then the next is chosen, after the interval and the timeout."""
+    gate_ = PreviewGate(2, 100, 500)
+    feed = lambda frame, t: [r["frame_group"] for r in gate_.feed({"frame_id": frame, "block_index": frame % 4, "block_count": 4, "seq_no": frame, "t_ms": t})]
+    assert [feed(*x) for x in ((0, 0), (4, 10), (8, 20), (8, 21), (9, 22), (12, 400), (16, 530), (24, 540), (25, 541))] == [[], [], [2], [], [2], [], [], [6], [6]]
+
+
+def test_ring():
+    ring = Ring(2)
+    for write in (True, True, True, False, True):
+        ring.feed({"write": write})
+    assert ring.summary() == {"kept": 3, "dropped": 1, "high_water": 2}
 
 
 def test_stabiliser():
@@ -143,7 +181,7 @@ def test_stabiliser():
 
 def test_sync_errors(spark):
     first, end = {}, {}
-    for r in sorted(gates.q_sync(spark, "/root/testdata/sf0.001").collect(), key=lambda r: r.tick):
+    for r in sorted(receiver.q_sync(spark, "/root/testdata/sf0.001").collect(), key=lambda r: r.tick):
         end[r.board] = (r.state, r.error)
         if r.error:
             first.setdefault(r.board, r.error)
@@ -250,17 +288,37 @@ def test_messages():
     assert len(s) == 128 + 12 and s[:4] == b"TSP3"
 
 
-def test_stream_equals_batch(spark, sf, tmp_path):
-    from fluxframe.operators.receiver import REORDER, _arrivals
-
-    df = _arrivals(spark, sf).withColumn("part", (F.col("e") % 2).cast("int")).select("part", "arrival", "seq_no", "frame_id", "sample0", "time_count").repartition(1).sortWithinPartitions("arrival")
-    df.write.parquet(str(tmp_path / "in"))
-    make = lambda s: Reorder(8, 100, s)
-    want = {tuple(r) for r in run_batch(df, "part", "arrival", make, REORDER, True).collect()}
-    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    q = run_stream(stream, "part", "arrival", make, REORDER, True).writeStream.format("memory").queryName("reordered").outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+def _machines(spark, sf):
+    from fluxframe.operators import receiver as r
+
+    p = packets(spark, sf)
+    blocks = r._blocks(spark, sf)
+    gate_ = p.select("board_id", "e", "seq_no", F.col("e").alias("frame_id"), F.lit(16).alias("block_count"), F.expr("cast(e % 16 as int)").alias("block_index"), (F.col("e") * 10).alias("t_ms"))
+    return {
+        "reorder": (r._flows(spark, sf), "flow_id", "arrival", lambda s: Reorder(2, 100, s), r.REORDER, True),
+        "assembler": (blocks, "block_count", "e", lambda s: Assembler(state=s), "key int, frame_group long, frame_id long, coverage int, mask_lo long, mask_hi long", False),
+        "capture": (r._flows(spark, sf).select("flow_id", "arrival", "seq_no"), "flow_id", "arrival", lambda s: Capture(16, 1, 24, s), "key int, first long, last long, packets long", False),
+        "preview": (gate_, "board_id", "e", lambda s: PreviewGate(3, 100, 500, s), "key int, frame_group long, block_index int, seq_no long", False),
+        "ring": (p.select("board_id", "e", (F.col("e") * 31 % 100 < 55).alias("write")), "board_id", "e", lambda s: Ring(6, s), "key int, kept long, dropped long, high_water long", True),
+        "sync": (r._sync_events(spark, sf).filter("board < 30"), "board", "tick", lambda s: Steps(gates.SYNC_START, gates.sync_step, "tick", s), "key int, tick int, state string, error int", False),
+    }
+
+
+@pytest.mark.parametrize("name", ["reorder", "assembler", "capture", "preview", "ring", "sync"])
+def test_stream_equals_batch(spark, sf, tmp_path, name):
+    """Each machine over a table and, in several batches, over a stream."""
+    df, key, order, make, schema, summary = _machines(spark, sf)[name]
+    cut = df.agg(F.percentile(order, F.lit(0.5))).first()[0]
+    for part in (df.filter(F.col(order) < cut), df.filter(F.col(order) >= cut)):
+        part.repartition(1).sortWithinPartitions(order).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(1.1)  # files are taken in order of their times
+    want = {tuple(r) for r in run_batch(df, key, order, make, schema, summary).collect()}
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = run_stream(stream, key, order, make, schema, summary).writeStream.format("memory").queryName(f"m_{name}").outputMode("update" if summary else "append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
-    assert {tuple(r) for r in spark.table("reordered").collect()} == want
+    got = [tuple(r) for r in spark.table(f"m_{name}").collect()]
+    last = {r[0]: r for r in got}  # a summary grows: each key's last one counts
+    assert (set(last.values()) if summary else set(got)) == want
 
 
 def test_stream_windows_and_blocks(spark, tmp_path):
