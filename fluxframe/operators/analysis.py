@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fluxframe.functions.signal import rf_equivalent, wrap_degrees
-from fluxframe.operators.spectrum import TONE, _over, _PROJ, _r, _wrap, channel_statistics, coherent_phase, projection, spectra, to_reference, unwrapped
+from fluxframe.operators.dsp import tones_sql
+from fluxframe.operators.spectrum import TONE, _over, _PROJ, _r, _wrap, channel_statistics, coherent_phase, projection, spectra, spectrum_sql, to_reference, unwrapped
 from fluxframe.plans.views import captures, packets, samples, sql
 
 
@@ -27,16 +28,19 @@ def aligned_phase(df: DataFrame, key: str, channel: str, cycles_per_sample: floa
 def provenance(df: DataFrame, rate_hz: float, cycles_per_sample: float, configured_deg: Column) -> DataFrame:
     """Per capture the configured phase, the measured one, the one moved to the epoch, and the strongest frequency, apart."""
     tone = projection(df, "capture", cycles_per_sample).withColumn("coherent_deg", coherent_phase(F.col("phase_deg"), F.col("capture") * 5, cycles_per_sample))
-    s = spectra(df, "capture", rate_hz, "provenance").groupBy("capture").agg(F.min(F.struct((-F.col("dbfs")).alias("d"), "bin", "frequency_hz")).alias("m"))
+    s = spectra(df, "capture", rate_hz, "provenance").groupBy("capture").agg(F.min(F.struct((-F.round("dbfs", 6)).alias("d"), "bin", "frequency_hz")).alias("m"))
     return tone.join(s, "capture").select("capture", configured_deg.alias("configured_deg"), F.col("phase_deg").alias("measured_deg"), "coherent_deg", F.col("m.frequency_hz").alias("peak_hz"), "residual")
 
 
 def raw_spectrum(df: DataFrame, key: str, rate_hz: float, size: int | None = None) -> DataFrame:
-    """Amplitudes of a transform without window over each capture's samples (or the first `size`), with the bin that a
-    one-sided display shows."""
+    """Amplitudes of a transform without window over each capture's samples (or those at the first `size` places), with the
+    bin that a one-sided display shows. Only these are gathered, one capture a group."""
+    if size:
+        first = df.groupBy(key).agg(F.min("n").alias("_first"))
+        df = df.join(first, key).filter(F.col("n") < F.col("_first") + size)
 
     def one(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("n").head(size or len(pdf))
+        pdf = pdf.sort_values("n")
         x = np.fft.fft(pdf["i"].to_numpy(float) + 1j * pdf["q"].to_numpy(float)) / len(pdf)
         b = np.arange(len(x))
         return pd.DataFrame({key: k[0], "bin": b.astype(np.int32), "display_bin": np.minimum(b, len(x) - b).astype(np.int32), "frequency_hz": np.fft.fftfreq(len(x), 1 / rate_hz), "amplitude": np.abs(x)})
@@ -83,9 +87,10 @@ def kernel_join(points: DataFrame, grid: DataFrame, key: str, radius: int = 12)
 
 
 def waveforms(df: DataFrame, window: int, points: int, center_hz: float, rate_hz: float) -> DataFrame:
-    """Per channel the statistics of the first `window` samples, all of which count, and at most `points` of them with
-    their time and their value at radio frequency, as arrays for display."""
-    first = df.withColumn("k", F.row_number().over(Window.partitionBy("channel").orderBy("n")) - 1).filter(F.col("k") < window)
+    """Per channel the statistics of the samples at its first `window` places, all of which count, and at most `points` of
+    them with their time and their value at radio frequency, as arrays for display."""
+    start = df.groupBy("channel").agg(F.min("n").alias("_first"))
+    first = df.join(start, "channel").withColumn("k", F.col("n") - F.col("_first")).filter(F.col("k") < window)
     stride = max(1, -(-window // points))
     shown = F.struct("k", (F.col("k") / rate_hz * 1e6).alias("x_us"), "i", "q", F.hypot(F.col("i").cast("double"), F.col("q").cast("double")).alias("mag"), rf_equivalent(F.col("i"), F.col("q"), F.col("n"), center_hz, rate_hz).alias("rf"))
     arrays = first.filter(F.col("k") % stride == 0).groupBy("channel").agg(F.array_sort(F.collect_list(shown)).alias("points"))
@@ -125,17 +130,18 @@ def q_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return provenance(captures(spark, sf_dir), 245.76e6, TONE, F.col("capture") % 360)
+    out = provenance(captures(spark, sf_dir), 245.76e6, TONE, F.col("capture") % 360)
+    return _r(_r(out, "measured_deg", "coherent_deg", "residual"), "peak_hz", places=3)
 
 
 def q_raw_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raw_spectrum(captures(spark, sf_dir), "capture", 245.76e6)
+    return _r(raw_spectrum(captures(spark, sf_dir), "capture", 245.76e6), "amplitude", "frequency_hz", places=3)
 
 
 def q_debug_peak(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The strongest bin of the first 1024 samples of each channel, the first of equals."""
     s = raw_spectrum(samples(spark, sf_dir), "channel", 245.76e6, 1024)
-    return s.groupBy("channel").agg(F.min(F.struct((-F.round("amplitude", 6)).alias("a"), "bin")).alias("m")).select("channel", F.col("m.bin").alias("bin"), (-F.col("m.a")).alias("amplitude"))
+    return s.groupBy("channel").agg(F.min(F.struct((-F.round("amplitude", 5)).alias("a"), "bin")).alias("m")).select("channel", F.col("m.bin").alias("bin"), F.round(-F.col("m.a"), 3).alias("amplitude"))
 
 
 def q_two_tones(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,9 +149,9 @@ def q_two_tones(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_source_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from fluxframe.operators.dsp import tone_bank
+    from fluxframe.operators.dsp import tones
 
-    df = tone_bank(spark, 256, [{"frequency_hz": 245.76e6 / 32, "phase_deg": 30 * k, "amplitude": 3000 + 1000 * k} for k in range(8)], 245.76e6)
+    df = tones(samples(spark, sf_dir), [{"frequency_hz": 245.76e6 / 32, "phase_deg": 30 * k, "amplitude": 3000 + 1000 * k} for k in range(8)], 245.76e6)
     swapped = df.select("n", "channel", F.col("q").alias("i"), F.col("i").alias("q"))
     return _r(source_phase(swapped, "channel", 1 / 32), "phase_range_deg", "amplitude_range", "amplitude", places=3)
 
@@ -192,7 +198,19 @@ def _share(c: float) -> str:
 
 
 _SINC = "CASE WHEN abs(d) < 1e-12 THEN 1.0 ELSE sin(pi() * d) / (pi() * d) * (sin(pi() * d / 12) / (pi() * d / 12)) END"
+_SOURCE = """iq AS (SELECT n, channel, i::DOUBLE AS i, q::DOUBLE AS q FROM tones), a AS (SELECT n, channel, sqrt(i * i + q * q) AS size, radians(180 - ((180 - w) - 360 * floor((180 - w) / 360))) AS turn FROM (SELECT *, degrees(atan2(i, q)) - 360 * ((n * 0.03125::DOUBLE) % 1.0) AS w FROM iq)),
+    d AS (SELECT *, turn - lag(turn) OVER (PARTITION BY channel ORDER BY n) AS step FROM a),
+    turns AS (SELECT *, turn + sum(CASE WHEN step IS NULL OR abs(step) < pi() THEN 0.0 WHEN step > 0 THEN -2 * pi() ELSE 2 * pi() END) OVER (PARTITION BY channel ORDER BY n) AS unwrapped FROM d)"""
+_RAW = """f AS (SELECT capture, k, sum(i * cos(2 * pi() * (n * k % 32) / 32) + q * sin(2 * pi() * (n * k % 32) / 32)) / 32 AS re, sum(q * cos(2 * pi() * (n * k % 32) / 32) - i * sin(2 * pi() * (n * k % 32) / 32)) / 32 AS im FROM captures, (SELECT unnest(range(32)) AS k) GROUP BY capture, k)"""
+_DEBUG = """s AS (SELECT channel, i, q, n - first AS n, least(1024, total) AS m FROM (SELECT *, min(n) OVER (PARTITION BY channel) AS first, count(*) OVER (PARTITION BY channel) AS total FROM samples) WHERE n < first + 1024),
+    f AS (SELECT channel, k, sum(i * cos(2 * pi() * (n * k % m) / m) + q * sin(2 * pi() * (n * k % m) / m)) / any_value(m) AS re, sum(q * cos(2 * pi() * (n * k % m) / m) - i * sin(2 * pi() * (n * k % m) / m)) / any_value(m) AS im FROM s, (SELECT unnest(range(1024)) AS k) WHERE k < m GROUP BY channel, k),
+    a AS (SELECT channel, k, round(sqrt(re * re + im * im), 5) AS amplitude FROM f)"""
+
 SQL = {
+    "phase_provenance": _over("captures", _PROJ + ", " + spectrum_sql() + ", top AS (SELECT capture, arg_min(frequency_hz, (-round(dbfs, 6), bin)) AS peak_hz FROM z GROUP BY capture)", f"SELECT capture, capture % 360 AS configured_deg, round(phase_deg, 6) + 0.0 AS measured_deg, round({_wrap(f'phase_deg - 360 * ((capture * 5 * {TONE}) % 1.0)')}, 6) + 0.0 AS coherent_deg, peak_hz, round(residual, 6) AS residual FROM pr JOIN top USING (capture)"),
+    "raw_spectrum": _over("captures", _RAW, "SELECT capture, k::INTEGER AS bin, least(k, 32 - k)::INTEGER AS display_bin, (CASE WHEN k < 16 THEN k ELSE k - 32 END) * 7680000.0::DOUBLE AS frequency_hz, round(sqrt(re * re + im * im), 3) AS amplitude FROM f"),
+    "debug_fft_peak": _over("samples", _DEBUG, "SELECT channel, arg_min(k, (-amplitude, k))::INTEGER AS bin, round(max(amplitude), 3) AS amplitude FROM a GROUP BY channel"),
+    "source_phase": _over("samples", tones_sql("245.76e6 / 32", "30 * c", "3000 + 1000 * c", "0") + ", " + _SOURCE, "SELECT channel, round(degrees(max(unwrapped) - min(unwrapped)), 3) + 0.0 AS phase_range_deg, round(max(size) - min(size), 3) + 0.0 AS amplitude_range, round(avg(size), 3) AS amplitude FROM turns GROUP BY channel"),
     "aligned_phase": _over("captures", _PROJ, f"""SELECT "set", channel, round(phase_deg, 6) + 0.0 AS phase_deg, round(aligned, 6) + 0.0 AS aligned_deg, round({_wrap('aligned - channel * 10 - 15')}, 6) + 0.0 AS error_deg, round({_wrap('aligned - ref')}, 6) + 0.0 AS delta_deg
         FROM (SELECT *, max(aligned) FILTER (channel = 0) OVER (PARTITION BY "set") AS ref FROM (SELECT capture // 8 AS "set", (capture % 8)::INTEGER AS channel, phase_deg, {_wrap(f'phase_deg - 360 * ((capture * 5 * {TONE}) % 1.0)')} AS aligned FROM pr))"""),
     "two_tone_fit": sql("captures", f"SELECT capture, round(a.share, 6) + 0.0 AS share_a, round(b.share, 6) + 0.0 AS share_b, (CASE WHEN a.share >= b.share THEN 0 ELSE 1 END)::INTEGER AS better FROM ({_share(3 / 32)}) a JOIN ({_share(0.2)}) b USING (capture)"),

@@ -17,7 +17,7 @@ from pyspark.sql.functions import udtf
 
 from fluxframe.functions.bits import ipv4_text, mac_text, ones_complement_16, s16
 from fluxframe.operators.validate import HEADER_BYTES, first_of
-from fluxframe.plans.views import captures, packets, samples, sql
+from fluxframe.plans.views import CRC_TABLE, captures, crc_sql, packets, samples, sql, stepped
 
 # Fields of the wire header as (name, word, lowest bit, bits).
 AXIS_FIELDS = [
@@ -366,7 +366,9 @@ QUERIES = {
 
 _CELL = "b, s, c, 100 * b + 10 * s + c AS i FROM (SELECT unnest(range(4)) AS b), (SELECT unnest(range(4)) AS s), (SELECT unnest([0, 3, 7]) AS c)"
 _TIME = "SELECT e, c::INTEGER AS channel, count(*) AS samples, min(x) AS first, max(x) AS last, sum(i * (x % 64))::BIGINT AS i_by_place, sum(-i)::BIGINT AS sum_q FROM (SELECT e, c, i, sample0 + (b * 4 + s) * 2 AS x FROM packets, (SELECT " + _CELL + ")) GROUP BY e, c"
+_JS = """'{"board_id":' || board_id || ',"e":' || e || ',"flow_id":' || flow_id || '}'"""
 SQL = {
+    "checksums": stepped("packets", CRC_TABLE + f", j AS (SELECT e, {_JS} AS js FROM packets), c AS (SELECT e, js, " + crc_sql("list_transform(string_split(js, ''), lambda x: ord(x)::BIGINT)") + " AS crc FROM j, crc_table), w AS (SELECT e, e % 65536 + e * 7919 % 65536 + 65535 AS s FROM packets)", "SELECT e, sha256(js) AS sha256, CASE WHEN crc = 0 THEN 1 ELSE crc END AS nonzero_crc, (65535 - (((s & 65535) + (s >> 16)) & 65535) - (((s & 65535) + (s >> 16)) >> 16))::BIGINT AS ones FROM c JOIN w USING (e)"),
     "header_axis": sql("packets", "SELECT e, magic, version, header_bytes, board_id, stream_type, sample0, frame_id, seq_no, chan0, chan_count, time_count, product_id, block_index, spec_status_flags, 1311768467294899695 - e AS sync_generation, -e AS observation_tag, 39612 AS mts_id FROM packets"),
     "header_packed": sql("packets", "SELECT e, magic, version, seq_no, sample0, CASE WHEN chan0 = 0 THEN e % 7 ELSE chan0 END AS chan0, payload_bytes, CASE WHEN version >= 3 THEN 1311768467294899695 - e END AS sync_generation, CASE WHEN version >= 3 THEN 39612 END AS mts_id FROM packets"),
     "frame_parse": sql("packets", """SELECT e, fast_error, strict_error, CASE WHEN fast_error IS NULL THEN '10.0.1.1' END AS src_ip, CASE WHEN fast_error IS NULL THEN '08:c0:eb:d5:95:b2' END AS dst_mac, CASE WHEN fast_error IS NULL THEN dst_port END AS dst_port, CASE WHEN fast_error IS NULL THEN lpad(to_hex(e), 16, '0') END AS payload FROM (

@@ -17,6 +17,7 @@ from fluxframe.plans.views import packets, samples, sql
 # The half-band filter in Q1.17, by distance from its centre.
 HALF_BAND = {0: 65552, 1: 41466, 3: -13128, 5: 7096, 7: -4317, 9: 2690, 11: -1645, 13: 958, 15: -513, 17: 240, 19: -87}
 HALF_BAND_DELAY = 20
+BLOCK = 1 << 16
 # One period of the test tone.
 DDS = (0, 1567, 2896, 3784, 4096, 3784, 2896, 1567, 0, -1567, -2896, -3784, -4096, -3784, -2896, -1567)
 Q17 = 17
@@ -38,8 +39,13 @@ def rounded_q17(acc: Column) -> Column:
 
 def half_band(df: DataFrame) -> DataFrame:
     """Decimation by two behind the half-band filter. A sample has an output once all samples from 20 before it to 19
-    after it are there, which is first at n = 20; sample0 is counted from there."""
-    w = Window.partitionBy("channel").orderBy("n")
+    after it are there, which is first at n = 20; sample0 is counted from there. Channels are cut into blocks of BLOCK places,
+    to which the HALF_BAND_DELAY samples before and after are lent, so that a channel is as many tasks as it has blocks. A
+    filter runs over neighbouring rows: where samples are missing, over those next to the hole."""
+    w = Window.partitionBy("channel", "_block").orderBy("n")
+    own = F.floor(F.col("n") / BLOCK)
+    lent = F.array_distinct(F.array(own, F.floor((F.col("n") - HALF_BAND_DELAY) / BLOCK), F.floor((F.col("n") + HALF_BAND_DELAY) / BLOCK)))
+    df = df.select("channel", "n", "i", "q", own.alias("_own"), F.explode(lent).alias("_block"))
 
     def filtered(c: str) -> Column:
         x = F.col(c).cast("long")
@@ -47,7 +53,7 @@ def half_band(df: DataFrame) -> DataFrame:
         return sum((pair(k) * v for k, v in HALF_BAND.items() if k), x * HALF_BAND[0])
 
     df = df.withColumns({"_i": filtered("i"), "_q": filtered("q"), "_back": F.lag("n", HALF_BAND_DELAY).over(w)})
-    df = df.filter((F.pmod(F.col("n"), F.lit(2)) == 0) & F.col("_i").isNotNull() & F.col("_back").isNotNull())
+    df = df.filter((F.col("_own") == F.col("_block")) & (F.pmod(F.col("n"), F.lit(2)) == 0) & F.col("_i").isNotNull() & F.col("_back").isNotNull())
     return df.select("channel", "n", rounded_q17(F.col("_i")).alias("i"), rounded_q17(F.col("_q")).alias("q"))
 
 
@@ -109,12 +115,15 @@ def peak_cells(df: DataFrame) -> DataFrame:
     return metric.agg(F.max(F.struct("metric", "bin")).alias("m")).select("m.bin", "m.metric")
 
 
-def tone_bank(spark: SparkSession, count: int, channels: list[dict], rate_hz: float) -> DataFrame:
-    """n, channel, i, q of numerically controlled oscillators: a 32-bit phase, a quarter-wave table of 512 values, and an
-    amplitude in Q15. channels: frequency_hz, phase_deg, amplitude, mode (tone, const or zero)."""
+def tones(places: DataFrame, channels: list[dict], rate_hz: float) -> DataFrame:
+    """n, channel, i, q at places (n, channel) of numerically controlled oscillators: a 32-bit phase, a quarter-wave table of
+    512 values, and an amplitude in Q15. channels, 64 at most: frequency_hz, phase_deg, amplitude, mode (tone, const or zero)."""
+    if len(channels) > 64:
+        raise ValueError("at most 64 channels")
+    spark = places.sparkSession
     table_ = F.array(*[F.lit(int(math.floor(32767 * math.sin(math.pi / 2 * k / 511) + 0.5))) for k in range(512)])
     spec = spark.createDataFrame([(k, float(c["frequency_hz"]), float(c.get("phase_deg", 0)), int(c["amplitude"]), c.get("mode", "tone")) for k, c in enumerate(channels)], "channel int, f double, p double, amplitude int, mode string")
-    df = spark.range(count).withColumnRenamed("id", "n").join(F.broadcast(spec))
+    df = places.select("n", "channel").join(F.broadcast(spec), "channel")
     step = F.when(F.col("mode") == "const", F.lit(0).cast("long")).otherwise(phase_word(F.col("f"), rate_hz))
     base = phase0_word(F.col("p"))
 
@@ -172,18 +181,29 @@ def q_pfb(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_pfb_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The default table's sum, count and range, checked by Spark."""
-    c = spark.createDataFrame([(x,) for x in pfb_coefficients()], "c int")
-    return c.agg(F.pmod(F.sum("c"), F.lit(1 << 32)).alias("checksum"), F.count("*").alias("n"), ((F.count("*") == 16384) & (F.min("c") >= -131072) & (F.max("c") <= 131071)).alias("ok"))
+    c = spark.createDataFrame([(p, x) for p, x in enumerate(pfb_coefficients())], "p long, c long")
+    by_place = F.sum(F.col("c") * (F.col("p") % 4096 % 97 + F.expr("p div 4096"))).alias("by_place")
+    return c.agg(F.pmod(F.sum("c"), F.lit(1 << 32)).alias("checksum"), F.count("*").alias("n"), ((F.count("*") == 16384) & (F.min("c") >= -131072) & (F.max("c") <= 131071)).alias("ok"), by_place)
+
+
+# The half-band filter's contract.
+PASS_HZ, STOP_HZ, SWEEP, MOST_RIPPLE_DB, LEAST_STOP_DB, TAPS = 50e6, 72.88e6, 2001, 0.25, 55.0, 41
+
+
+def filter_contract(spark: SparkSession, taps: dict[int, int], rate_hz: float = 245.76e6) -> DataFrame:
+    """Of a symmetric filter in Q1.17 (by distance from its centre): taps, sum, ripple of the pass band and attenuation of the
+    stop band over SWEEP even steps each, and whether it keeps the contract."""
+    gain = lambda hz: F.abs(sum(F.lit(float(c if k == 0 else 2 * c)) * F.cos(2 * math.pi * hz * k / rate_hz) for k, c in taps.items()) / float(1 << Q17))
+    at = spark.range(SWEEP).select((F.col("id") * PASS_HZ / (SWEEP - 1)).alias("low"), (STOP_HZ + F.col("id") * (rate_hz / 2 - STOP_HZ) / (SWEEP - 1)).alias("high"))
+    db = lambda c: 20 * F.log10(F.greatest(gain(F.col(c)), F.lit(1e-15)))
+    size, total = 2 * max(taps) + 1 + 2 * (max(taps) % 2), taps[0] + 2 * sum(c for k, c in taps.items() if k)
+    out = at.agg((F.max(db("low")) - F.min(db("low"))).alias("ripple_db"), (-F.max(db("high"))).alias("stop_db"))
+    ok = (F.col("ripple_db") <= MOST_RIPPLE_DB) & (F.col("stop_db") >= LEAST_STOP_DB) & F.lit(total == 1 << Q17) & F.lit(size == TAPS)
+    return out.select("ripple_db", "stop_db", F.lit(total).alias("dc_sum"), F.lit(size).alias("taps"), ok.alias("ok"))
 
 
 def q_half_band_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The filter's contract: taps, sum, ripple up to 40 MHz and attenuation from 82.88 MHz at 245.76 MS/s."""
-    taps = spark.createDataFrame([(k, v) for k, v in HALF_BAND.items()], "k int, c int")
-    f = spark.range(0, 123).select((F.col("id") * 1e6).alias("hz"))
-    gain = f.join(F.broadcast(taps)).groupBy("hz").agg(F.abs(F.sum(F.when(F.col("k") == 0, 1).otherwise(2) * F.col("c") * F.cos(2 * math.pi * F.col("hz") * F.col("k") / 245.76e6)) / 131072).alias("g"))
-    db = 20 * F.log10(F.greatest("g", F.lit(1e-12)))
-    some = gain.select("hz", db.alias("db"))
-    return some.agg(F.round(F.max(F.when(F.col("hz") <= 40e6, F.col("db"))) - F.min(F.when(F.col("hz") <= 40e6, F.col("db"))), 6).alias("ripple_db"), F.round(-F.max(F.when(F.col("hz") >= 83e6, F.col("db"))), 6).alias("stop_db")).withColumn("dc_sum", F.lit(HALF_BAND[0] + 2 * sum(v for k, v in HALF_BAND.items() if k)))
+    return filter_contract(spark, HALF_BAND).withColumns({c: F.round(c, 6) for c in ("ripple_db", "stop_db")})
 
 
 def q_peak_last(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,7 +217,7 @@ def q_counts_decimator(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_tone_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
     channels = [{"frequency_hz": 1e6 * k, "phase_deg": 45 * k, "amplitude": 4000 * k, "mode": ("tone", "const", "zero")[k % 3]} for k in range(8)]
-    return tone_bank(spark, 512, channels, 245.76e6)
+    return tones(samples(spark, sf_dir), channels, 245.76e6)
 
 
 def q_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -243,6 +263,22 @@ def _s16_sql(x: str) -> str:
     return f"(((({x}) + 32768) & 65535) - 32768)::INTEGER"
 
 
+def tones_sql(hz: str, degrees: str, amplitude: str, mode: str) -> str:
+    """tones(n, channel, i, q): oscillators at the places of samples, by the channel's number c; modes 0 tone, 1 constant, 2 zero."""
+    return f"""t AS (SELECT n, c::INTEGER AS channel, {mode} AS mode, (n * CASE WHEN {mode} = 1 THEN 0 ELSE round_even(({hz}) / 245.76e6 * 4294967296, 0)::BIGINT END) % 4294967296 + round_even(({degrees}) / 360 * 4294967296, 0)::BIGINT AS p, {amplitude} AS a FROM (SELECT n, channel AS c FROM samples)),
+        u AS (SELECT *, unnest([0, 1]) AS part FROM t), v AS (SELECT *, (p + part * 1073741824) % 4294967296 AS ph FROM u),
+        w AS (SELECT *, ph >> 30 AS quad, (ph >> 21) & 511 AS k FROM v),
+        x AS (SELECT *, floor(32767 * sin(pi() / 2 * CASE WHEN quad % 2 = 0 THEN k ELSE 511 - k END / 511) + 0.5)::BIGINT AS size FROM w),
+        y AS (SELECT *, CASE WHEN mode = 2 THEN 0 ELSE floor(CASE WHEN quad >= 2 THEN -size ELSE size END * a / 32768)::INTEGER END AS v FROM x),
+        tones AS (SELECT n, channel, max(v) FILTER (part = 0) AS i, max(v) FILTER (part = 1) AS q FROM y GROUP BY n, channel)"""
+
+
+# The filter bank's coefficients from their rule: what rounding leaves goes to each phase's largest one, the earlier on a tie.
+_TAPS = """shape AS (SELECT phase, tap, x, (CASE WHEN abs(x) > 1e-15 THEN sin(x) / x ELSE 1.0 END) * (0.54::DOUBLE - 0.46::DOUBLE * cos(2 * pi() * p / 16383)) AS s FROM (SELECT p % 4096 AS phase, p // 4096 AS tap, p, pi() * (p - 16383 / 2.0::DOUBLE) / 4096 AS x FROM (SELECT unnest(range(16384)) AS p))),
+    whole AS (SELECT phase, tap, s, greatest(-131072, least(131071, round_even(s * (131072 / sum(s) OVER (PARTITION BY phase)), 0)))::BIGINT AS c FROM shape),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY phase ORDER BY abs(s) DESC, tap) AS place, 131072 - sum(c) OVER (PARTITION BY phase) AS over FROM whole),
+    taps AS (SELECT phase, tap, c + CASE place WHEN 1 THEN least(over, 131071 - c) WHEN 2 THEN over - least(over, 131071 - max(c) FILTER (place = 1) OVER (PARTITION BY phase)) ELSE 0 END AS c FROM ranked)"""
+
 SQL = {
     "fir41_decim2": sql("samples", f"SELECT channel, n, {_round_sql('a')} AS i, {_round_sql('b')} AS q FROM (SELECT channel, n, lag(n, 20) OVER w AS back, {_fir_sql('i')} AS a, {_fir_sql('q')} AS b FROM samples WINDOW w AS (PARTITION BY channel ORDER BY n)) WHERE n % 2 = 0 AND a IS NOT NULL AND back IS NOT NULL"),
     "decim8": sql("samples", "SELECT n, channel, i, q FROM samples WHERE n % 8 = 0"),
@@ -253,18 +289,17 @@ SQL = {
     "pfb4_sum": sql("samples", f"""SELECT channel, frame, phase, {_round_sql('a')} AS i, {_round_sql('b')} AS q FROM (
         SELECT channel, frame, phase::INTEGER AS phase, frame - lag(frame, 3) OVER w AS span, {' + '.join(f'lag(i, {3 - t}) OVER w::BIGINT * c{t}' if t < 3 else 'i::BIGINT * c3' for t in range(4))} AS a, {' + '.join(f'lag(q, {3 - t}) OVER w::BIGINT * c{t}' if t < 3 else 'q::BIGINT * c3' for t in range(4))} AS b
         FROM (SELECT *, n // {PFB_TEST} AS frame, n % {PFB_TEST} AS phase FROM samples) JOIN (VALUES {_PFB}) c(phase, c0, c1, c2, c3) USING (phase) WINDOW w AS (PARTITION BY channel, phase ORDER BY frame)) WHERE span = 3"""),
-    "pfb_checksum": "SELECT 536870912::BIGINT AS checksum, 16384::BIGINT AS n, true AS ok",
-    "half_band_contract": "WITH c(k, c) AS (VALUES " + ", ".join(f"({k}, {v})" for k, v in HALF_BAND.items()) + """), g AS (SELECT f, 20 * log10(greatest(abs(sum(CASE k WHEN 0 THEN 1 ELSE 2 END * c * cos(2 * pi() * f * 1e6 * k / 245.76e6)) / 131072), 1e-12)) AS db FROM c, range(123) t(f) GROUP BY f)
-        SELECT round(max(db) FILTER (f <= 40) - min(db) FILTER (f <= 40), 6) AS ripple_db, round(-max(db) FILTER (f >= 83), 6) AS stop_db, 131072::INTEGER AS dc_sum FROM g""",
+    "pfb_checksum": "WITH " + _TAPS + " SELECT (sum(c) % 4294967296)::BIGINT AS checksum, count(*) AS n, count(*) = 16384 AND min(c) >= -131072 AND max(c) <= 131071 AS ok, sum(c * (phase % 97 + tap))::BIGINT AS by_place FROM taps",
+    # the taps written out in full, with the zeros between and at both ends
+    "half_band_contract": "WITH c AS (SELECT unnest(range(41)) - 20 AS k, unnest([" + ", ".join(str(HALF_BAND.get(abs(k), 0)) for k in range(-20, 21)) + """]) AS c),
+        f AS (SELECT 50e6 * i / 2000 AS hz, true AS pass FROM range(2001) t(i) UNION ALL SELECT 72.88e6 + (245.76e6 / 2 - 72.88e6) * i / 2000, false FROM range(2001) t(i)),
+        g AS (SELECT hz, pass, 20 * log10(greatest(sqrt(sum(c / 131072 * cos(2 * pi() * hz / 245.76e6 * k)) ** 2 + sum(c / 131072 * sin(2 * pi() * hz / 245.76e6 * k)) ** 2), 1e-15)) AS db FROM f, c GROUP BY hz, pass),
+        r AS (SELECT max(db) FILTER (pass) - min(db) FILTER (pass) AS ripple_db, -max(db) FILTER (NOT pass) AS stop_db FROM g), t AS (SELECT sum(c)::INTEGER AS dc_sum, count(*)::INTEGER AS taps FROM c)
+        SELECT round(ripple_db, 6) AS ripple_db, round(stop_db, 6) AS stop_db, dc_sum, taps, ripple_db <= 0.25 AND stop_db >= 55 AND dc_sum = 131072 AND taps = 41 AS ok FROM r, t""",
     "fft_model_rotate": sql("samples", f"SELECT channel, n, {_s16_sql('CASE k WHEN 0 THEN i WHEN 1 THEN -q WHEN 2 THEN -i ELSE q END')} AS i, {_s16_sql('CASE k WHEN 0 THEN q WHEN 1 THEN i WHEN 2 THEN -q ELSE -i END')} AS q FROM (SELECT *, (n + channel) % 4 AS k FROM samples)"),
     "monitor_counters": sql("samples", f"SELECT channel, count(*) AS samples, count(*) FILTER ({_RAIL}) AS rail_hits, (sum(abs(i::BIGINT) + abs(q::BIGINT)) % 4294967296)::BIGINT AS magnitude FROM samples GROUP BY channel"),
     "peak_last": sql("samples", "SELECT bin, metric FROM (SELECT n % 64 AS bin, sum(abs(i::BIGINT) + abs(q::BIGINT))::BIGINT AS metric FROM samples GROUP BY 1) ORDER BY metric DESC, bin DESC LIMIT 1"),
-    "tone_bank": """WITH t AS (SELECT n, c::INTEGER AS channel, c % 3 AS mode, (n * CASE WHEN c % 3 = 1 THEN 0 ELSE round_even(1e6 * c / 245.76e6 * 4294967296, 0)::BIGINT END) % 4294967296 + round_even(45 * c / 360 * 4294967296, 0)::BIGINT AS p, 4000 * c AS a FROM range(512) r(n), range(8) s(c)),
-        u AS (SELECT *, unnest([0, 1]) AS part FROM t), v AS (SELECT *, (p + part * 1073741824) % 4294967296 AS ph FROM u),
-        w AS (SELECT *, ph >> 30 AS quad, (ph >> 21) & 511 AS k FROM v),
-        x AS (SELECT *, floor(32767 * sin(pi() / 2 * CASE WHEN quad % 2 = 0 THEN k ELSE 511 - k END / 511) + 0.5)::BIGINT AS size FROM w),
-        y AS (SELECT *, CASE WHEN mode = 2 THEN 0 ELSE floor(CASE WHEN quad >= 2 THEN -size ELSE size END * a / 32768)::INTEGER END AS v FROM x)
-        SELECT n, channel, max(v) FILTER (part = 0) AS i, max(v) FILTER (part = 1) AS q FROM y GROUP BY n, channel""",
+    "tone_bank": sql("samples", "").strip() + ", " + tones_sql("1e6 * c", "45 * c", "4000 * c", "c % 3") + " SELECT * FROM tones",
     "dds_source": sql("samples", f"SELECT n, channel, {_SINE}[k + 1] AS i, {_SINE}[(k + 4) % 16 + 1] AS q FROM (SELECT n, channel, (((n // 4) * 1073741824 + (n % 4) * 268435456 + channel * 16777216) % 4294967296) >> 28 AS k FROM samples)"),
     "ramp_source": sql("samples", f"SELECT n, channel, {_s16_sql('v')} AS i, {_s16_sql('xor(v, 32768)')} AS q FROM (SELECT n, channel, (n + channel * 256) % 65536 AS v FROM samples)"),
     "adc_adapter": sql("samples", "SELECT channel, n, CASE WHEN (109 >> channel) & 1 = 1 THEN i ELSE 0 END AS i, CASE WHEN (109 >> channel) & 1 = 1 THEN q ELSE 0 END AS q FROM samples"),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fluxframe.operators.gates import SYNC_ERRORS, SYNC_START, epoch_step, sync_step
-from fluxframe.plans.views import packets, sql, stepped
+from fluxframe.plans.views import CRC_TABLE, crc_sql, packets, sql, stepped
 from fluxframe.sources.captures import to_binary
 from fluxframe.streaming.receiver import Assembler, Capture, PreviewGate, Reorder, Ring, Steps, run_batch, stale
 
@@ -195,7 +195,19 @@ _EPOCH = """ev AS (SELECT user_id AS machine, e, user_id % 3 AS mode, row_number
 
 _BLOCKS = "b AS (SELECT e, bc, (e % bc - CASE WHEN e % 67 = 0 AND e % bc > 0 THEN 1 ELSE 0 END)::INTEGER AS bi, e // bc AS g FROM packets, (SELECT unnest([16, 64]) AS bc))"
 
+def _le(x: str, size: int) -> str:
+    """A number's bytes as hex, the lowest first."""
+    return f"(lpad(to_hex({x}), {2 * size}, '0'))" if size == 1 else "(" + " || ".join(f"substr(lpad(to_hex({x}), {2 * size}, '0'), {2 * (size - k) - 1}, 2)" for k in range(size)) + ")"
+
+
+# Words of the spectrum message as in SPECTRUM_WORDS; the floats 0 to 9 by their bytes.
+_WORDS = ["seq_no", "0", "chan0", "chan_count", "0", "0", "0", "0", "2", "4", *["0"] * 10]
+_FLOATS = "['00000000', '0000803f', '00000040', '00004040', '00008040', '0000a040', '0000c040', '0000e040', '00000041', '00001041']"
+_LANE = "(" + " || ".join(f"{_FLOATS}[e % 7 + {k} + 1]" for k in range(4)) + ")"
+_MESSAGE = " || ".join(["'545350330200 8000'".replace(" ", ""), _le("sample0", 8), _le("frame_id", 8), *(_le(w, 4) for w in _WORDS), _le("65535", 8), _le("0", 8)])
+
 SQL = {
+    "spectrum_messages": stepped("packets", CRC_TABLE + f", h AS (SELECT e, rpad({_MESSAGE}, 256, '0') || {' || '.join([_LANE] * 6)} AS x FROM packets), b AS (SELECT e, list_transform(range(len(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT) AS bytes FROM h)", "SELECT e, len(bytes)::INTEGER AS bytes, 'TSP3' AS magic, " + crc_sql("bytes") + " AS crc FROM b, crc_table"),
     "reorder_buffer": stepped("packets", _reorder_sql(2), "SELECT flow_id, released::BIGINT AS released, late::BIGINT AS late, seq_gaps::BIGINT AS seq_gaps, frame_gaps::BIGINT AS frame_gaps, frame_gaps::BIGINT AS sample0_gaps, app_drops, prev AS last_seq, (CASE WHEN inferred > 0 THEN 100 END)::INTEGER AS detected_mhz FROM done"),
     "late_packets": stepped("packets", _reorder_sql(0), "SELECT flow_id, late::BIGINT AS late, released::BIGINT AS released FROM done"),
     "spectrum_assembler": sql("packets", "").strip() + ", " + _BLOCKS + """, f AS (SELECT *, row_number() OVER (PARTITION BY bc, g, bi ORDER BY e) = 1 AS new FROM b), s AS (SELECT *, sum(new::INTEGER) OVER (PARTITION BY bc, g ORDER BY e) AS seen FROM f)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fluxframe.functions.signal import amplitude_code, bandwidth_mhz, bin_rf_hz, decimation, from_db, nearest_bin, nearest_bin_half_up, next_power_of_two, phase0_word, phase_word, power_db, rf_equivalent, sample_rate_hz, samples_per_cycle, to_db, wrap_degrees
-from fluxframe.plans.views import captures, packets, samples, sql
+from fluxframe.plans.views import captures, packets, samples, sql, stepped
 
 FFT_LIMITS = {"scope": (4096, 1 << 20), "observation": (16, 32768), "provenance": (16, 65536), "payload": (16, 65536)}
 
@@ -356,26 +356,27 @@ def q_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_fft_peak(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = spectra(captures(spark, sf_dir), "capture", 245.76e6)
-    top = s.groupBy("capture").agg(F.min(F.struct((-F.col("dbfs")).alias("d"), "bin", "frequency_hz")).alias("m"), F.percentile("dbfs", F.lit(0.5)).alias("median"))
-    return top.select("capture", F.col("m.frequency_hz").alias("peak_hz"), F.round(-F.col("m.d"), 6).alias("peak_dbfs"), F.round("median", 6).alias("median_dbfs"))
+    top = s.groupBy("capture").agg(F.min(F.struct((-F.round("dbfs", 6)).alias("d"), "bin", "frequency_hz")).alias("m"), F.percentile("dbfs", F.lit(0.5)).alias("median"))
+    return top.select("capture", F.round("m.frequency_hz", 3).alias("peak_hz"), F.round(-F.col("m.d"), 6).alias("peak_dbfs"), F.round("median", 6).alias("median_dbfs"))
 
 
 def q_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resample(captures(spark, sf_dir), "capture", 64)
+    return _r(_r(resample(captures(spark, sf_dir), "capture", 64), "i", "q", places=3), "at")
 
 
 def q_stabiliser(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Captures of a channel as successive frames of one display."""
+    """Captures of a channel as successive frames of one display: each frame's verdict, and the display's sum and peak."""
     p = captures(spark, sf_dir).withColumn("db", power_db(square().cast("double")) - 90)
-    f = p.groupBy("capture").agg(F.array_sort(F.collect_list(F.struct("n", "db"))).alias("x"), F.max("db").alias("peak_dbfs"), F.avg("db").alias("rms_dbfs"), F.max_by("n", "db").alias("peak"))
+    f = p.groupBy("capture").agg(F.array_sort(F.collect_list(F.struct("n", "db"))).alias("x"), F.max("db").alias("peak_dbfs"), F.avg("db").alias("rms_dbfs"), F.max_by("n", F.struct("db", -F.col("n"))).alias("peak"))
     f = f.select((F.col("capture") % 4).cast("int").alias("channel"), F.col("capture").alias("frame"), F.transform("x", lambda v: v["n"].cast("double")).alias("axis_mhz"), F.transform("x", lambda v: v["db"]).alias("dbfs"), (F.col("peak") / 8.0).alias("peak_mhz"), "peak_dbfs", "rms_dbfs", (F.col("peak_dbfs") - F.col("rms_dbfs") + 5).alias("snr_db"), F.lit(False).alias("clipped"))
-    return stabilised(f)
+    total = F.aggregate("display_dbfs", F.lit(0.0), lambda a, b: a + b)
+    return stabilised(f).select("channel", "frame", F.round(total, 4).alias("display_sum"), F.round(F.array_max("display_dbfs"), 4).alias("display_peak"), "accepted", "reason")
 
 
 def q_channelise(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fluxframe.operators.dsp import PFB_TEST, q_pfb
 
-    return channelise(q_pfb(spark, sf_dir), PFB_TEST)
+    return _r(channelise(q_pfb(spark, sf_dir), PFB_TEST), "re", "im", places=5)
 
 
 QUERIES = {
@@ -404,7 +405,32 @@ def _over(views: str, more: str, query: str) -> str:
     return sql(views, "").strip() + ", " + more + " " + query
 
 
+def spectrum_sql(places: int = 256, window: bool = True) -> str:
+    """z(capture, bin, frequency_hz, dbfs): a plain sum for each bin of a capture's 32 samples under a Hann window."""
+    w = "(0.5 - 0.5 * cos(2 * pi() * n / 31))"
+    turn = f"2 * pi() * ((n * k) % {places}) / {places}"
+    return f"""k AS (SELECT unnest(range({places})) AS k), f AS (SELECT capture, k, sum({w} * (i * cos({turn}) + q * sin({turn}))) AS re, sum({w} * (q * cos({turn}) - i * sin({turn}))) AS im FROM captures, k GROUP BY capture, k),
+    z AS (SELECT capture, ((k + {places // 2}) % {places})::INTEGER AS bin, round(((k + {places // 2}) % {places} - {places // 2}) * 245.76e6 / {places}, 3) AS frequency_hz, 20 * log10(greatest(sqrt(re * re + im * im) / (15.5 * 32768), 1e-12)) AS dbfs FROM f)"""
+
+
+_STABLE = """p AS (SELECT capture, n, 10 * log10(greatest((i::BIGINT * i + q::BIGINT * q)::DOUBLE, 1.0)) - 90 AS db FROM captures),
+    fr AS (SELECT capture, capture % 4 AS channel, list(10 ** (db / 10) ORDER BY n) AS power, max(db) AS pk, avg(db) AS rms, arg_min(n, (-db, n)) / 8.0::DOUBLE AS pm FROM p GROUP BY capture),
+    ev AS (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY capture) AS m FROM fr),
+    r AS (
+        SELECT channel, 0::BIGINT AS m, NULL::BIGINT AS capture, NULL::DOUBLE[] AS held, NULL::DOUBLE AS lpm, NULL::DOUBLE AS lpk, NULL::DOUBLE AS lrms, NULL::DOUBLE[] AS shown, '' AS why FROM ev WHERE m = 1
+        UNION ALL
+        SELECT channel, m, capture, CASE WHEN why = '' THEN fresh ELSE held END, CASE WHEN why = '' THEN pm ELSE lpm END, CASE WHEN why = '' THEN pk ELSE lpk END, CASE WHEN why = '' THEN rms ELSE lrms END, CASE WHEN why = '' THEN fresh ELSE coalesce(held, power) END, why FROM (
+            SELECT *, CASE WHEN held IS NULL THEN power ELSE list_transform(list_zip(power, held), lambda x: 0.25 * x[1] + 0.75 * x[2]) END AS fresh,
+                concat_ws(',', CASE WHEN pk - rms + 5 < 10 THEN 'snr' END, CASE WHEN abs(pm - lpm) > 2 THEN 'peak_jump' END, CASE WHEN abs(pk - lpk) > 6 THEN 'amp_jump' END, CASE WHEN abs(rms - lrms) > 6 THEN 'rms_jump' END) AS why
+            FROM (SELECT ev.channel, ev.m, ev.capture, power, pk, rms, pm, held, lpm, lpk, lrms FROM r JOIN ev ON ev.channel = r.channel AND ev.m = r.m + 1))
+    )"""
+_LANCZOS = """t AS (SELECT capture, p, p * 31 / 63.0::DOUBLE AS x FROM (SELECT DISTINCT capture FROM captures), (SELECT unnest(range(64)) AS p)),
+    w AS (SELECT capture, p, x, i, q, CASE WHEN abs(x - n) >= 12 THEN 0 WHEN abs(x - n) < 1e-12 THEN 1 ELSE sin(pi() * (x - n)) / (pi() * (x - n)) * sin(pi() * (x - n) / 12) / (pi() * (x - n) / 12) END AS h FROM t JOIN captures USING (capture))"""
+
 SQL = {
+    "fft_peak": _over("captures", spectrum_sql(), "SELECT capture, arg_min(frequency_hz, (-round(dbfs, 6), bin)) AS peak_hz, max(round(dbfs, 6)) AS peak_dbfs, round(median(dbfs), 6) AS median_dbfs FROM z GROUP BY capture"),
+    "resample_lanczos": _over("captures", _LANCZOS, 'SELECT capture, p::INTEGER AS point, round(x, 6) AS "at", round(sum(h * i) / sum(h), 3) + 0.0 AS i, round(sum(h * q) / sum(h), 3) + 0.0 AS q FROM w GROUP BY capture, p, x'),
+    "spectrum_stabiliser": stepped("captures", _STABLE, "SELECT channel::INTEGER AS channel, capture AS frame, round(list_sum(list_transform(shown, lambda x: 10 * log10(greatest(x, 1e-24)))), 4) AS display_sum, round(10 * log10(greatest(list_max(shown), 1e-24)), 4) AS display_peak, why = '' AS accepted, why AS reason FROM r WHERE m > 0"),
     "spec_mean_power": sql("samples", "SELECT channel, n // 4 AS cell, round(sqrt(avg(i) ** 2 + avg(q) ** 2), 6) AS amplitude, round(atan2(avg(q), avg(i)), 6) + 0.0 AS phase_rad, round(10 * log10(greatest(avg(i::BIGINT * i + q::BIGINT * q), 1)), 6) AS power_db FROM samples GROUP BY channel, n // 4"),
     "channel_stats": sql("samples", "SELECT channel, round(sqrt(avg(i::BIGINT * i + q::BIGINT * q)), 6) AS rms, max(greatest(least(abs(i), 32767), least(abs(q), 32767))) AS peak, count(*) FILTER (greatest(abs(i), abs(q)) >= 32760) AS clipped, count(*) AS samples FROM samples GROUP BY channel"),
     "noise_floor_snr": _over("captures", _POWER, "SELECT capture, peak_bin, peak_power, round(noise, 6) + 0.0 AS noise, round(10 * log10(greatest(peak_power, 1.0) / greatest(noise, 1.0)), 6) AS snr_db FROM (SELECT capture, peak_bin, peak_power, median(power) FILTER (abs(bin - peak_bin) > 2) AS noise FROM p JOIN t USING (capture) GROUP BY ALL)"),
@@ -431,3 +457,14 @@ SQL = {
     "passband_mask": sql("captures", "SELECT capture, count(*) AS bins, sum(i)::BIGINT AS sum_i FROM (SELECT *, abs(n - 16 + capture % 40) <= 4 AS inside, bool_or(abs(n - 16 + capture % 40) <= 4) OVER (PARTITION BY capture) AS any_inside FROM captures) WHERE inside OR NOT any_inside GROUP BY capture"),
     "nearest_sample": sql("captures", "SELECT c.capture, c.n, arg_min(g.k, (abs(c.n + c.capture % 10 / 10 + 0.05 - g.k), g.k)) AS nearest FROM captures c, (SELECT unnest(range(34)) AS k) g GROUP BY ALL"),
 }
+
+
+def _channelised() -> str:
+    from fluxframe.operators.dsp import PFB_TEST as n
+    from fluxframe.operators.dsp import SQL as other
+
+    t = f"2 * pi() * ((phase * k) % {n}) / {n}"
+    return f"WITH f AS ({other['pfb4_sum']}) SELECT channel, frame, k::INTEGER AS bin, round(sum(i * cos({t}) + q * sin({t})) / {n}, 5) + 0.0 AS re, round(sum(q * cos({t}) - i * sin({t})) / {n}, 5) + 0.0 AS im FROM f, (SELECT unnest(range({n})) AS k) GROUP BY channel, frame, k"
+
+
+SQL["channelise_fft"] = _channelised()

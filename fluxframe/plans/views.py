@@ -104,6 +104,16 @@ def stepped(views: str, tables: str, query: str) -> str:
     return sql(views, "").strip().replace("WITH ", "WITH RECURSIVE ", 1) + ", " + tables + " " + query
 
 
+#: The table of CRC-32 by its polynomial, as one list; crc_sql() folds a list of bytes with it.
+CRC_TABLE = """crc_bits AS (SELECT b, 0 AS step, b AS c FROM (SELECT unnest(range(256)) AS b) UNION ALL SELECT b, step + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM crc_bits WHERE step < 8),
+    crc_table AS (SELECT list(c ORDER BY b) AS crcs FROM crc_bits WHERE step = 8)"""
+
+
+def crc_sql(data: str) -> str:
+    """CRC-32 of a list of bytes (BIGINT[]), beside a column crcs."""
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {data}), lambda c, b: xor(c >> 8, crcs[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
 def sql(views: str, query: str) -> str:
     """DuckDB SQL over the views named."""
     return "WITH " + ", ".join({"packets": PACKETS, "samples": SAMPLES, "captures": CAPTURES, "counters": COUNTERS}[v] for v in views.split()) + " " + query
