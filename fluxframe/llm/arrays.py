@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ def _power(base: int, n: int) -> np.ndarray:
         out[0] = 1
         with np.errstate(over="ignore"):
             np.multiply.accumulate(out, out=out)
-        if n > 1 << 23:  # of an unusually long text; not worth keeping
+        if n > 1 << 22:  # of an unusually long text; not worth keeping
             return out[:n]
         have = _powers[base] = out
     return have[:n]
@@ -56,18 +57,32 @@ class RangeHash:
             return mix(h + (end - start).astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
+def release() -> None:
+    """Gives freed memory back to the system: workers stay alive between tasks of different operators."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The rows again, in batches of about limit bytes of the text column: a row that is longer comes alone."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-        lo = 0
-        while lo < batch.num_rows:
-            base = ends[lo - 1] if lo else 0
-            hi = max(lo + 1, int(np.searchsorted(ends, base + limit, side="right")))
-            yield batch.slice(lo, hi - lo)
-            lo = hi
+    try:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            lo = 0
+            while lo < batch.num_rows:
+                base = ends[lo - 1] if lo else 0
+                hi = max(lo + 1, int(np.searchsorted(ends, base + limit, side="right")))
+                yield batch.slice(lo, hi - lo)
+                lo = hi
+    finally:
+        batch = None
+        for base in [b for b, have in _powers.items() if len(have) > 1 << 20]:
+            del _powers[base]
+        release()
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fluxframe.llm.arrays import U64, mix, slices
+from fluxframe.llm.arrays import U64, mix, release, slices
 from fluxframe.llm.pretokens import PieceIds
 from fluxframe.llm.tables import table
 
@@ -46,8 +46,8 @@ LONG = 48
 WINDOWS = (32, 128)
 MOST_REACH = 64
 #: Words and bytes that are contracted at once.
-WORDS, BYTES = 1 << 15, 1 << 18
-MEMORY = "160MB"
+WORDS, BYTES = 1 << 14, 1 << 17
+MEMORY = "96MB"
 
 #: Rows have the key word << 24 | position; positions stay gapless, so a row's right neighbour has the next key.
 CONTRACT = """
@@ -124,7 +124,7 @@ class Codec:
         self.con.execute("CREATE TABLE merges AS SELECT * FROM m")
         self.con.register("v", pa.table({"tok": np.arange(len(tokens), dtype=np.int32), "piece": [t.hex() for t in tokens]}))
         self.con.execute("CREATE TABLE vocabulary AS SELECT * FROM v")
-        self.pieces = PieceIds(self.contract, 1 << 19)
+        self.pieces = PieceIds(self.contract, 1 << 18)
 
     def contract(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words one after another, and how many each has. A word that is a token has that id alone."""
@@ -276,7 +276,8 @@ def encode(df: DataFrame, path: str, text: str = "text") -> DataFrame:
     """df with ids (array<int>) of its text column; no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text, 1 << 21):
+        codec(path).pieces.clear()  # a task begins without what others left
+        for batch in slices(batches, text, 1 << 20):
             ids, limits = codec(path).pieces([x or "" for x in batch.column(text).to_pylist()])
             yield _with(batch, "ids", pa.ListArray.from_arrays(pa.array(limits.astype(np.int32)), pa.array(ids.astype(np.int32))))
 
@@ -313,6 +314,8 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
             back = [hashlib.sha256(b).hexdigest() for b in codec(path).decode(ids, limits)]
             said = [hashlib.sha256(" ".join(map(names.__getitem__, ids[a:b].tolist())).encode()).hexdigest() for a, b in zip(limits[:-1], limits[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(limits).astype(np.int64)), pa.array(said, pa.string()), pa.array(back, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        codec(path).pieces.clear()  # an idle worker keeps no pieces
+        release()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

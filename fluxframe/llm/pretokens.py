@@ -127,9 +127,9 @@ class PieceIds:
 
     def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 1 << 20) -> None:
         self.encode, self.most = encode, most
-        self._clear()
+        self.clear()
 
-    def _clear(self) -> None:
+    def clear(self) -> None:
         self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.ids, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
         self.points, self.limits = np.zeros(0, np.uint32), np.zeros(1, np.int64)
@@ -179,7 +179,7 @@ class PieceIds:
         new = self._missing(keys)
         size = int((end - start)[some[new]].sum())
         if len(new) and (len(self.keys) + len(new) > self.most or len(self.points) + size > self.POINTS):
-            self._clear()
+            self.clear()
             new = np.arange(len(keys))
         if len(new):
             a, b = start[some[new]].tolist(), end[some[new]].tolist()

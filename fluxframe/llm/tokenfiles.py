@@ -43,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fluxframe.llm.arrays import slices
+from fluxframe.llm.arrays import release, slices
 from fluxframe.llm.pretokens import PieceIds
 from fluxframe.llm.tables import at, keep, new_path, table
 
@@ -243,6 +243,8 @@ def write(docs: DataFrame, vocabulary: str, out: str, end_id: int = 0, chunk_ids
                 yield close()
         if names:
             yield close()
+        encoder(vocabulary).pieces.clear()  # an idle worker keeps no pieces
+        release()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
