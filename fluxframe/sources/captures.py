@@ -1,12 +1,13 @@
 """Capture files as tables and streams, and the other inputs and outputs of the receiver.
 
 A capture file is a classic pcap file of Ethernet frames (kind "frame") or of bare UDP payloads (kind "udp_payload", whose
-port is that of the option base_port). The reader splits a folder by file; a stream takes new files in order of name.
+port is that of base_port). Files are listed and read by Spark's own file source, so any store will do; a stream keeps in its
+checkpoint which files it has taken, whatever their names and the order in which they come. A file is one row of the source
+and is parsed in one task: recorders roll files over, and spark.sql.sources.binaryFile.maxLength bounds them.
 """
 
 from __future__ import annotations
 
-import glob
 import io
 import os
 import struct
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
+from pyspark.sql.pandas.types import to_arrow_schema
 
 FRAMES = "file string, number long, ts timestamp, dst_port int, frame binary"
 PCAP_HEAD, PACKET_HEAD = struct.Struct("<IHHiIII"), struct.Struct("<IIII")
@@ -48,82 +49,47 @@ def read_pcap(data: bytes) -> Iterator[tuple[int, int, bytes]]:
         at, number = at + size, number + 1
 
 
-class _Files(InputPartition):
-    def __init__(self, files: list[str]) -> None:
-        self.files = files
+def frames(spark: SparkSession, path: str, kind: str = "frame", base_port: int = 4300, port_count: int = 24, stream: bool = False, files_per_trigger: int = 64) -> DataFrame:
+    """Packets of the .pcap files under path whose port is in range, as FRAMES; with stream, of files as they arrive. The port
+    filter runs while a file is parsed, like the kernel's, so refused packets never become rows."""
+    if kind not in ("frame", "udp_payload"):
+        raise ValueError(f"kind {kind}")
+    schema = T._parse_datatype_string(FRAMES)
+    arrow = to_arrow_schema(schema)
 
+    def port_of(frame: bytes) -> int:
+        if kind == "udp_payload":
+            return base_port
+        if len(frame) < 42 or frame[12:14] != b"\x08\0" or frame[23] != 17:
+            return -1
+        return int.from_bytes(frame[14 + (frame[14] & 15) * 4 + 2 :][:2], "big")
 
-def _rows(files: list[str], kind: str, base: int, count: int) -> Iterator[pa.RecordBatch]:
-    """Batches of packets whose port is in range: the filter runs while the file is read, like the kernel's."""
-    schema = pa.schema([("file", pa.string()), ("number", pa.int64()), ("ts", pa.timestamp("us", "UTC")), ("dst_port", pa.int32()), ("frame", pa.binary())])
-    for file in files:
-        with open(file, "rb") as f:
-            data = f.read()
-        rows: list[tuple] = []
-        for number, us, frame in read_pcap(data):
-            port = base if kind == "udp_payload" else (int.from_bytes(frame[14 + (frame[14] & 15) * 4 + 2 :][:2], "big") if len(frame) >= 42 and frame[12:14] == b"\x08\0" and frame[23] == 17 else -1)
-            if base <= port < base + count:
-                rows.append((os.path.basename(file), number, us, port, frame))
-            if len(rows) == 1024:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-                rows = []
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-
-
-class PacketCapture(DataSource):
-    """spark.read.format("packet_capture").option("path", folder)[.option("base_port", 4300).option("port_count", 24)
-    .option("kind", "frame")].load(), or readStream."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "packet_capture"
-
-    def schema(self) -> str:
-        return FRAMES
-
-    def reader(self, schema: T.StructType) -> DataSourceReader:
-        return _CaptureReader(self.options)
-
-    def streamReader(self, schema: T.StructType) -> DataSourceStreamReader:
-        return _CaptureStream(self.options)
-
-
-class _Options:
-    def __init__(self, options: dict) -> None:
-        self.path, self.kind = options["path"], options.get("kind", "frame")
-        self.base, self.count = int(options.get("base_port", 4300)), int(options.get("port_count", 24))
-        self.per_trigger = int(options.get("maxfilespertrigger", 64))
-
-    def files(self) -> list[str]:
-        return sorted(glob.glob(os.path.join(self.path, "*.pcap")))
-
-    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
-        return _rows(partition.files, self.kind, self.base, self.count)
-
-
-class _CaptureReader(_Options, DataSourceReader):
-    def partitions(self) -> list[InputPartition]:
-        return [_Files([f]) for f in self.files()] or [_Files([])]
-
-
-class _CaptureStream(_Options, DataSourceStreamReader):
-    """Offsets are numbers of files in order of name."""
-
-    def initialOffset(self) -> dict:
-        self.at = 0
-        return {"files": 0}
-
-    def latestOffset(self) -> dict:
-        self.at = len(self.files())
-        return {"files": self.at}
-
-    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        return [_Files([f]) for f in self.files()[start["files"] : end["files"]]] or [_Files([])]
-
-
-def register(spark: SparkSession) -> None:
-    spark.dataSource.register(PacketCapture)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                columns: list[list] = [[], [], [], [], []]
+
+                def full() -> pa.RecordBatch:
+                    out = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+                    for c in columns:
+                        c.clear()
+                    return out
+
+                for number, us, frame in read_pcap(data):
+                    port = port_of(frame)
+                    if base_port <= port < base_port + port_count:
+                        for c, v in zip(columns, (os.path.basename(name), number, us, port, frame), strict=True):
+                            c.append(v)
+                        if len(columns[0]) == 1024:
+                            yield full()
+                if columns[0]:
+                    yield full()
+
+    if stream:
+        files = spark.readStream.schema("path string, modificationTime timestamp, length long, content binary").format("binaryFile").option("pathGlobFilter", "*.pcap").option("maxFilesPerTrigger", files_per_trigger).load(path)
+    else:
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pcap").load(path)
+    return files.select("path", "content").mapInArrow(run, schema)
 
 
 def numpy_captures(spark: SparkSession, path: str, key: str | None = None) -> DataFrame:
@@ -229,5 +195,3 @@ def to_json_lines(df: DataFrame, path: str) -> None:
 def latest_state(batch: DataFrame, epoch: int, path: str) -> None:
     """For foreachBatch: the state of this trigger replaces the one before."""
     batch.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").json(path)
-
-

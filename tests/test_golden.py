@@ -48,13 +48,23 @@ def test_version_3_words(spark):
         df = codec.encode_headers(spark.createDataFrame([row]), layout)
         h = df.select(decode(F.col("header")).alias("h")).first().h
         assert {k: h[k] for k in row} == row
-    assert codec.beats_to_bytes([0x0102030405060708, 0x1112131415161718], [0xFF, 0x03, 0xFF]) == bytes([8, 7, 6, 5, 4, 3, 2, 1, 0x18, 0x17])
+        again = codec.decode_headers(df.select(F.col("header").alias("packet")), layout=layout).first()
+        assert {k: again[k] for k in row} == row
+        short = codec.decode_headers(df.select(F.substring("header", 1, 127).alias("packet")), layout=layout).first()
+        assert set(short) == {None}
+    words, keep = F.array(F.lit(0x0102030405060708), F.lit(0x1112131415161718)), F.array(*map(F.lit, (0xFF, 0x03, 0xFF)))
+    assert bytes(values(spark, codec.beats_to_bytes(words, keep))[0]) == bytes([8, 7, 6, 5, 4, 3, 2, 1, 0x18, 0x17])
+
+
+def framed(spark, *rows):
+    df = spark.createDataFrame([(n, bytes(p), s, d) for n, (p, s, d) in enumerate(rows)], "n int, payload binary, src_port int, dst_port int")
+    return [bytes(r.frame) for r in codec.encode_frames(df).orderBy("n").collect()]
 
 
 def test_strict_and_fast_frames(spark):
-    good = codec.build_frame(b"abc", 4000, 4301)
+    good, empty = framed(spark, (b"abc", 4000, 4301), (b"", 1, 4301))
     bad_sum = good[:24] + b"\0\0" + good[26:]
-    rows = spark.createDataFrame([(good,), (bad_sum,), (good[:30],), (codec.build_frame(b"", 1, 4301),)], "f binary")
+    rows = spark.createDataFrame([(good,), (bad_sum,), (good[:30],), (empty,)], "f binary")
     out = rows.select(codec.parse_frame(F.col("f"), 4300, 2).alias("fast"), codec.parse_frame(F.col("f"), 4300, 1).alias("narrow"), codec.parse_frame(F.col("f"), strict=True).alias("strict")).collect()
     assert [r.fast.error for r in out] == [None, None, "FrameTooShort", None]
     assert [r.narrow.error for r in out] == ["WrongUdpDstPort", "WrongUdpDstPort", "FrameTooShort", "WrongUdpDstPort"]
@@ -247,22 +257,24 @@ def test_channelise_is_an_fft(spark):
 
 
 def test_capture_source(spark, tmp_path):
-    captures.register(spark)
-    for k in range(3):
-        captures.write_pcap(str(tmp_path / f"{k}.pcap"), [(100 + n, codec.build_frame(struct.pack("<I", n), 4000, 4299 + n)) for n in range(4)])
-    df = spark.read.format("packet_capture").option("path", str(tmp_path)).load()
-    assert df.count() == 9 and {r.dst_port for r in df.collect()} == {4300, 4301, 4302}
-    assert spark.read.format("packet_capture").option("path", str(tmp_path)).option("port_count", "1").load().count() == 3
-    assert df.select(codec.parse_frame(F.col("frame")).alias("p")).filter("p.error is null").count() == 9
-    stream = spark.readStream.format("packet_capture").option("path", str(tmp_path)).load()
+    some = framed(spark, *((struct.pack("<I", n), 4000, 4299 + n) for n in range(4)))
+    for k in (2, 0):
+        captures.write_pcap(str(tmp_path / f"{k}.pcap"), [(100 + n, f) for n, f in enumerate(some)])
+    stream = captures.frames(spark, str(tmp_path), stream=True, files_per_trigger=1)
     q = stream.writeStream.format("memory").queryName("captured").start()
     q.processAllAvailable()
+    captures.write_pcap(str(tmp_path / "1.pcap"), [(100 + n, f) for n, f in enumerate(some)])  # a name between those before
+    q.processAllAvailable()
     q.stop()
-    assert spark.table("captured").count() == 9
+    df = captures.frames(spark, str(tmp_path))
+    assert df.count() == 9 and {r.dst_port for r in df.collect()} == {4300, 4301, 4302}
+    assert sorted(map(tuple, spark.table("captured").select("file", "number").collect())) == sorted(map(tuple, df.select("file", "number").collect()))
+    assert captures.frames(spark, str(tmp_path), port_count=1).count() == 3
+    assert df.select(codec.parse_frame(F.col("frame")).alias("p")).filter("p.error is null").count() == 9
     raw = tmp_path / "raw"
     raw.mkdir()
     captures.write_pcap(str(raw / "a.pcap"), [(0, b"payload")])
-    assert spark.read.format("packet_capture").option("path", str(raw)).option("kind", "udp_payload").load().first().dst_port == 4300
+    assert captures.frames(spark, str(raw), "udp_payload").first().dst_port == 4300
 
 
 def test_numpy_source(spark, tmp_path):
