@@ -1,5 +1,5 @@
 """Composite analyses: phase views of captures, waveforms, raw spectra, two-tone fits, kernel joins, versions of tables and
-settings, request checks."""
+settings."""
 
 from __future__ import annotations
 
@@ -112,14 +112,6 @@ def with_version(events: DataFrame, versions: DataFrame, key: str, order: str) -
     return out.filter(F.col("_v").isNull()).drop("_v")
 
 
-def request_errors(df: DataFrame) -> DataFrame:
-    """Checks of a request's numbers: how many endpoints, which profile, ranges."""
-    rules = [("ENDPOINTS", F.col("endpoints") != 24), ("PROFILE", ~F.concat_ws("/", F.col("mhz").cast("string"), "mode").isin("100/time_only", "100/spec_only", "100/time_spec", "200/time_only", "200/spec_only")), ("LEAD", ~F.col("lead_pps").between(2, 60)), ("TIMEOUT", F.col("timeout_s") <= 0)]
-    from fluxframe.operators.gates import failed
-
-    return df.withColumn("errors", failed(rules))
-
-
 def _sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return captures(spark, sf_dir).withColumns({"set": F.expr("capture div 8"), "channel": (F.col("capture") % 8).cast("int"), "sample0": F.col("capture") * 5})
 
@@ -179,15 +171,9 @@ def q_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_version(p, commits, "board_id", "e").select("e", "version")
 
 
-def q_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = F.col("e")
-    df = packets(spark, sf_dir).select("e", F.when(e % 10 == 0, 23).otherwise(24).alias("endpoints"), F.when(e % 3 == 0, 200).otherwise(100).alias("mhz"), F.get(F.array(*map(F.lit, ["time_only", "spec_only", "time_spec"])), (F.floor(e / 3) % 3).cast("int")).alias("mode"), (e % 70).alias("lead_pps"), (e % 40).alias("timeout_s"))
-    return request_errors(df).select("e", F.array_join("errors", ",").alias("errors"))
-
-
 QUERIES = {
     "aligned_phase": q_aligned, "phase_provenance": q_provenance, "raw_spectrum": q_raw_spectrum, "debug_fft_peak": q_debug_peak, "two_tone_fit": q_two_tones, "source_phase": q_source_phase, "kernel_range_join": q_kernel,
-    "waveform_build": q_waveforms, "preview_slice": q_preview_slice, "version_in_force": q_versions, "request_rules": q_requests,
+    "waveform_build": q_waveforms, "preview_slice": q_preview_slice, "version_in_force": q_versions,
 }
 
 
@@ -219,5 +205,4 @@ SQL = {
         round(sum(sqrt(i::DOUBLE * i + q::DOUBLE * q)) FILTER (k % 5 = 0), 3) AS sum_mag, round(sum(i * cos(t) - q * sin(t)) FILTER (k % 5 = 0), 3) AS sum_rf FROM (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY n) - 1 AS k, ((n * (60e6 / 245.76e6)) % 1.0) * 2 * pi() AS t FROM samples) WHERE k < 100 GROUP BY channel"""),
     "preview_slice": sql("samples", "SELECT channel, min(n) AS sample0, count(*) AS samples, count(*) = 64 AS complete FROM samples WHERE n >= 8 AND n < 72 AND (243 >> channel) & 1 = 1 GROUP BY channel"),
     "version_in_force": sql("packets", "SELECT e, max(CASE WHEN e % 50 = 3 THEN e // 50 END) OVER (PARTITION BY board_id ORDER BY e) AS version FROM packets"),
-    "request_rules": sql("packets", """SELECT e, concat_ws(',', CASE WHEN e % 10 = 0 THEN 'ENDPOINTS' END, CASE WHEN e % 3 = 0 AND (e // 3) % 3 = 2 THEN 'PROFILE' END, CASE WHEN e % 70 NOT BETWEEN 2 AND 60 THEN 'LEAD' END, CASE WHEN e % 40 <= 0 THEN 'TIMEOUT' END) AS errors FROM packets"""),
 }

@@ -33,12 +33,23 @@ def nonzero(columns: list[str]) -> Rules:
 
 # Counters that must not move while a receiver is measured.
 HOST_COUNTERS = ["parse_errors", "ring_drops", "worker_ring_drops", "kernel_drops", "app_drops", "seq_gaps", "frame_gaps", "sample0_gaps", "spec_seq_gaps", "spec_frame_gaps"]
+# Of these a flow's own must not move either.
+FLOW_COUNTERS = ["seq_gaps", "frame_gaps", "sample0_gaps", "spec_seq_gaps", "spec_frame_gaps"]
+# Counters of the network card's interface that must not move.
+NIC_COUNTERS = ["rx_dropped", "rx_errors", "rx_missed_errors", "rx_crc_errors"]
+# The transmitter's counters that must not move.
+BOARD_COUNTERS = [
+    "pfb_capture_backpressure_count", "pfb_coeff_error_count", "pfb_data_halt_count", "pfb_frame_sample0_overflow_count", "pfb_overflow_count", "pfb_tile_overflow_count", "pfb_xfft_data_out_halt_count", "pfb_xfft_event_count", "pfb_xfft_fft_overflow_count",
+    "pfb_xfft_status_halt_count", "pfb_xfft_tlast_missing_count", "pfb_xfft_tlast_unexpected_count", "rfdc_dropped_count", "science_dropped_beat_count", "spec_dropped_count", "time_dropped_count", "tx_route_error_count", "tx_route_miss_count",
+]
 # Counters that must be zero on the signal path.
 SIGNAL_COUNTERS = ["rfdc_dropped_count", "science_dropped_beat_count", "pfb_overflow_count", "pfb_xfft_event_count", "pfb_xfft_tlast_missing_count", "pfb_xfft_tlast_unexpected_count", "pfb_xfft_fft_overflow_count", "pfb_xfft_data_out_halt_count", "pfb_capture_backpressure_count", "tx_route_miss_count", "tx_route_error_count"]
 
 
+# The codes of this and the other gates' rules, and their thresholds.
 def host_rules(core_flows: int = 24) -> Rules:
-    """The receiver's gate, on a row with mhz, mode, elapsed, counts and counter differences."""
+    """The receiver's gate, on a row with mhz, mode, elapsed, counts and counter differences. Flows and the card have rules of
+    their own: flow_rules, preview_rules, nic_rules; host_gate puts all together."""
     time, spec = F.col("mode").isin("time_only", "time_spec"), F.col("mode").isin("spec_only", "time_spec")
     time_flows, spec_flows = F.when(time, 8).otherwise(0), F.when(spec, 16).otherwise(0)
     pps_least = F.when(F.col("mhz") == 100, 470_000).otherwise(950_000)
@@ -56,22 +67,103 @@ def host_rules(core_flows: int = 24) -> Rules:
         ("SPEC_PACKETS_IN_TIME_ONLY", ~spec & (F.col("spec_packets") != 0)),
         ("COMBINED_PAYLOAD_RATE_LOW", (F.col("time_packets") + F.col("spec_packets")) * 8320 * 8 / F.col("elapsed") / 1e6 < payload_least),
         *nonzero(HOST_COUNTERS),
-        ("SPEC_PREVIEW_INCOMPLETE", spec & (F.col("coverage_blocks") < 16)),
     ]
 
 
-def board_rules(counter_names: list[str], tolerance: float = 0.99) -> Rules:
-    """The transmitter's gate: counters at rest, rates near nominal, every wanted route hit, and the filter bank's contract
-    where spectra are sent. Older gates are this one with other counters and tolerances."""
+def flow_errors(flows: DataFrame, keys: list[str], core_flows: int = 24) -> DataFrame:
+    """keys and flow_errors: what is wrong with each gate's flows, in order of flow, those that should be active first. flows has
+    keys, mode, flow_id, present (whether the flow was reported after), and differences time_packets, spec_packets and
+    FLOW_COUNTERS. A gate with nothing wrong has no row."""
+    time, spec = F.col("mode") != "spec_only", F.col("mode") != "time_only"
+    active = F.when(F.col("flow_id") < 8, time).otherwise(spec)
+    moved = F.when(F.col("flow_id") < 8, F.col("time_packets")).otherwise(F.col("spec_packets"))
+    name = lambda what: F.concat(F.lit("FLOW_"), F.col("flow_id").cast("string"), F.lit("_" + what))
+    seen = active & F.coalesce("present", F.lit(False))
+    checks = [(active & ~F.coalesce("present", F.lit(False)), "MISSING"), (seen & (F.coalesce(moved, F.lit(0)) <= 0), "NO_PACKETS")]
+    checks += [(seen & (F.coalesce(F.col(c), F.lit(0)) != 0), c.upper()) for c in FLOW_COUNTERS]
+    checks += [(~active & ((F.coalesce("time_packets", F.lit(0)) != 0) | (F.coalesce("spec_packets", F.lit(0)) != 0)), "INACTIVE_PACKETS")]
+    said = F.array_compact(F.array(*[F.when(bad, name(what)) for bad, what in checks]))
+    bad = flows.filter(F.col("flow_id").between(0, core_flows - 1)).select(*keys, "flow_id", (~active).alias("idle"), said.alias("said")).filter(F.size("said") > 0)
+    # at most core_flows rows a gate
+    return bad.groupBy(*keys).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("idle", "flow_id", "said"))), lambda x: x["said"])).alias("flow_errors"))
+
+
+def preview_rules() -> Rules:
+    """Displays that should be live, on a row with mode, their update rates, and the spectrum preview's completeness."""
+    time, spec = F.col("mode") != "spec_only", F.col("mode") != "time_only"
+    slow = lambda c: F.coalesce(F.col(c), F.lit(0.0)) < 1
+    return [
+        ("WAVEFORM_PREVIEW_NOT_LIVE", time & slow("display_update_hz")),
+        ("SPECTRUM_PREVIEW_NOT_LIVE", spec & slow("spectrum_update_hz")),
+        ("SPEC_PREVIEW_INCOMPLETE", spec & (~F.coalesce("preview_complete", F.lit(False)) | (F.coalesce("coverage_blocks", F.lit(0)) < 16))),
+    ]
+
+
+def nic_rules() -> Rules:
+    """The card's counters, on a row with their differences and the sum of its physical discards."""
+    return [*((f"NIC_{c.upper()}", F.coalesce(F.col(c), F.lit(0)) != 0) for c in NIC_COUNTERS), ("NIC_PHYSICAL_DISCARD", F.coalesce("physical_discards", F.lit(0)) != 0)]
+
+
+def host_gate(totals: DataFrame, flows: DataFrame, keys: list[str]) -> DataFrame:
+    """classification, ok and errors of each gate (keys): totals, flows, previews and card, in this order."""
+    out = totals.join(flow_errors(flows, keys), keys, "left")
+    errors = F.concat(failed(host_rules()), F.coalesce("flow_errors", F.array().cast("array<string>")), failed([*preview_rules(), *nic_rules()]))
+    out = out.withColumn("errors", errors)
+    ok = F.size("errors") == 0
+    name = F.concat(F.lit("HOST_"), F.col("mhz").cast("string"), F.lit("MHZ_"), F.col("mode"), F.when(ok, "_PASS").otherwise("_FAIL"))
+    return out.select(*keys, name.alias("classification"), ok.alias("ok"), "errors")
+
+
+def board_rules(counter_names: list[str] = BOARD_COUNTERS, tolerance: float = 0.99, time_routes: int = 8, spec_routes: int = 16) -> Rules:
+    """The transmitter's gate: clocks, link and enables, counters at rest, rates near nominal, every wanted route hit and no
+    other enabled, and the filter bank's contract where spectra are sent. Older gates are this one with other counters,
+    tolerances and numbers of routes."""
+    time, spec = F.col("wants_time"), F.col("wants_spec")
+    off = lambda c: F.coalesce(F.col(c), F.lit(0)) == 0
     return [
+        ("EXTERNAL_PPS_NOT_READY", off("pps_recent") | (F.coalesce("pps_count", F.lit(0)) <= 0)),
+        ("DIAGNOSTIC_INJECTION_ENABLED", F.col("diag_control") != 0xFF00),
+        ("SCIENCE_BANDWIDTH_MISMATCH", F.col("science_mhz") != F.col("mhz")),
+        ("TIME_ENABLE_MISMATCH", off("time_enabled") == time),
+        ("SPEC_ENABLE_MISMATCH", off("spec_enabled") == spec),
+        *[(label, off(c)) for c, label in (("gt_locked", "GT_NOT_LOCKED"), ("cmac_reset_done", "CMAC_RESET_NOT_DONE"), ("cmac_tx_ready", "CMAC_TX_NOT_READY"))],
         *nonzero(counter_names),
-        ("TIME_RATE_LOW", F.col("wants_time") & (F.col("time_pps") < F.col("nominal_pps") * tolerance)),
-        ("SPEC_RATE_LOW", F.col("wants_spec") & (F.col("spec_pps") < F.col("nominal_pps") * tolerance)),
-        ("ROUTES_NOT_HIT", F.col("routes_hit") < F.col("routes_wanted")),
-        ("PFB_CONTRACT", F.col("wants_spec") & ((F.col("pfb_taps") != 4) | (F.col("pfb_checksum") != 536870912))),
+        ("SPEC_PACKETS_PRESENT_IN_TIME_ONLY", ~spec & (F.col("spec_pps") != 0)),
+        ("TIME_PACKETS_PRESENT_IN_SPEC_ONLY", ~time & (F.col("time_pps") != 0)),
+        ("TIME_RATE_LOW", time & (F.col("time_pps") < F.col("nominal_pps") * tolerance)),
+        ("SPEC_RATE_LOW", spec & (F.col("spec_pps") < F.col("nominal_pps") * tolerance)),
+        ("TIME_ROUTE_CONTRACT_FAILED", time & ((F.col("time_routes") != time_routes) | (F.col("time_routes_hit") < F.col("time_routes")))),
+        ("TIME_ROUTE_ENABLED_IN_SPEC_ONLY", ~time & (F.col("time_routes") != 0)),
+        ("SPEC_ROUTE_CONTRACT_FAILED", spec & ((F.col("spec_routes") != spec_routes) | (F.col("spec_routes_hit") < F.col("spec_routes")))),
+        ("SPEC_ROUTE_ENABLED_IN_TIME_ONLY", ~spec & (F.col("spec_routes") != 0)),
+        ("PFB_NOT_ACTIVE", spec & off("pfb_active")),
+        ("PFB_COEFF_NOT_VALID", spec & off("pfb_coeff_valid")),
+        ("PFB_CONTRACT", spec & ((F.col("pfb_taps") != 4) | (F.col("pfb_checksum") != 536870912) | (F.col("pfb_chan_count") != 256) | (F.col("pfb_time_count") != 1))),
+        ("PFB_ACTIVE_IN_TIME_ONLY", ~spec & ~off("pfb_active")),
     ]
 
 
+# Older gates, by the thresholds in which they differ.
+OLDER_GATES = {
+    "spectra_only": {"counter_names": [c for c in BOARD_COUNTERS if not c.startswith("time_")], "time_routes": 0},
+    "time_only": {"counter_names": [c for c in BOARD_COUNTERS if not c.startswith(("pfb_", "spec_"))], "spec_routes": 0},
+    "bring_up": {"counter_names": ["rfdc_dropped_count", "science_dropped_beat_count", "tx_route_error_count"], "tolerance": 0.9},
+}
+
+
+def packet_rules(ip: str, ports: Column, stream: int) -> Rules:
+    """What a parsed packet is expected to be: its destination and its stream."""
+    return [("DST_IP", ~F.coalesce(F.col("dst_ip") == ip, F.lit(False))), ("DST_PORT", ~F.coalesce(F.col("dst_port") == ports, F.lit(False))), ("STREAM", ~F.coalesce(F.col("stream_type") == stream, F.lit(False)))]
+
+
+def pipeline_state(df: DataFrame) -> DataFrame:
+    """df with accepting (a stream may start), flush_clean (nothing of an old run is left) and stale (a science frame still holds
+    the output), from flags of which an absent downstream_ready counts as ready."""
+    ready, full = F.coalesce(F.col("downstream_ready"), F.lit(1)) != 0, F.coalesce(F.col("bridge_full"), F.lit(0)) != 0
+    held = (F.coalesce(F.col("mux_locked"), F.lit(0)) != 0) & F.coalesce(F.col("mux_source"), F.lit(0)).isin(1, 2)
+    return df.withColumns({"accepting": (F.coalesce(F.col("streaming"), F.lit(0)) != 0) & ready & ~full, "flush_clean": ready & ~full & ~held, "stale": held})
+
+
 def signal_rules(core_version: int = 0x00010031) -> Rules:
     ready = (F.col("aa_active") == 1) & (F.col("aa_primed") == 1)
     return [
@@ -201,14 +293,41 @@ def _host(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.withColumns({c: F.when(e % (90 + k) == 7, 1).otherwise(0) for k, c in enumerate(HOST_COUNTERS)})
 
 
+def _host_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """24 flows of each gate; now and then one is missing, idle, has gaps, or sends though it should not."""
+    e, f = F.col("e"), F.col("flow_id")
+    df = _host(spark, sf_dir).select("e", "mode", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("flow_id"))
+    hit = lambda m, r: (e + f) % m == r
+    active = F.when(f < 8, F.col("mode") != "spec_only").otherwise(F.col("mode") != "time_only")
+    n = F.when(hit(211, 3), 0).when(active, 1000).when(hit(307, 5), 2).otherwise(0)
+    return df.withColumns({"present": ~hit(401, 7), "time_packets": F.when(f < 8, n).otherwise(0), "spec_packets": F.when(f >= 8, n).otherwise(0), **{c: F.when(hit(503 + 2 * k, 11), 1).otherwise(0) for k, c in enumerate(FLOW_COUNTERS)}})
+
+
 def q_host(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gate(_host(spark, sf_dir), host_rules(), "HOST_GATE", ["e"]).withColumn("errors", F.array_join("errors", ","))
+    e = F.col("e")
+    totals = _host(spark, sf_dir).withColumns({
+        "display_update_hz": F.when(e % 21 == 8, 0.5).when(e % 22 != 9, 10.0), "spectrum_update_hz": F.when(e % 23 == 8, 0.9).otherwise(5.0), "preview_complete": e % 31 != 6,
+        **{c: F.when(e % (110 + k) == 8, 1).otherwise(0) for k, c in enumerate(NIC_COUNTERS)}, "physical_discards": F.when(e % 120 == 9, 4).otherwise(0),
+    })
+    return host_gate(totals, _host_flows(spark, sf_dir), ["e"]).withColumn("errors", F.array_join("errors", ","))
 
 
 def q_board(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("e")
-    df = packets(spark, sf_dir).select("e", (e % 9 == 1).cast("int").alias("drops"), (e % 3 != 0).alias("wants_time"), (e % 3 != 1).alias("wants_spec"), F.lit(480000.0).alias("nominal_pps"), (480000 - e % 11 * 1000).cast("double").alias("time_pps"), (480000 - e % 13 * 1000).cast("double").alias("spec_pps"), (24 - (e % 17 == 0).cast("int")).alias("routes_hit"), F.lit(24).alias("routes_wanted"), (4 - (e % 19 == 0).cast("int")).alias("pfb_taps"), F.lit(536870912).alias("pfb_checksum"))
-    return gate(df, board_rules(["drops"]), "BOARD_GATE", ["e"]).withColumn("errors", F.array_join("errors", ","))
+    time, spec = e % 3 != 0, e % 3 != 1
+    no = lambda m, r: (e % m != r).cast("int")
+    pps = lambda m, wants, r: F.when(wants, 480_000.0 - e % m * 1000).when(e % r == 2, 3.0).otherwise(0.0)
+    df = packets(spark, sf_dir).select(
+        "e", time.alias("wants_time"), spec.alias("wants_spec"), F.lit(480_000.0).alias("nominal_pps"), pps(11, time, 27).alias("time_pps"), pps(13, spec, 28).alias("spec_pps"), F.lit(100).alias("mhz"), F.when(e % 29 == 1, 200).otherwise(100).alias("science_mhz"),
+        no(31, 1).alias("pps_recent"), (e % 32).alias("pps_count"), F.when(e % 33 == 1, 1).otherwise(0xFF00).alias("diag_control"), (time == (e % 34 != 1)).cast("int").alias("time_enabled"), (spec == (e % 35 != 1)).cast("int").alias("spec_enabled"),
+        no(36, 1).alias("gt_locked"), no(37, 1).alias("cmac_reset_done"), no(38, 1).alias("cmac_tx_ready"), F.when(time, 8 - no(39, 1) + 1).when(e % 40 == 1, 2).otherwise(0).alias("time_routes"), F.when(time, 8 - (e % 17 == 0).cast("int")).otherwise(0).alias("time_routes_hit"),
+        F.when(spec, F.lit(16)).when(e % 41 == 1, 1).otherwise(0).alias("spec_routes"), F.when(spec, 16 - (e % 18 == 0).cast("int")).otherwise(0).alias("spec_routes_hit"), F.when(spec, no(42, 1)).when(e % 43 == 1, 1).otherwise(0).alias("pfb_active"), no(44, 2).alias("pfb_coeff_valid"),
+        (4 - (e % 19 == 0).cast("int")).alias("pfb_taps"), F.lit(536870912).alias("pfb_checksum"), F.when(e % 45 == 1, 64).otherwise(256).alias("pfb_chan_count"), F.lit(1).alias("pfb_time_count"), *[(e % (60 + k) == 1).cast("int").alias(c) for k, c in enumerate(BOARD_COUNTERS)],
+    )
+    out = gate(df, board_rules(), "BOARD_GATE", ["e"]).withColumn("errors", F.array_join("errors", ","))
+    for name, settings in OLDER_GATES.items():
+        out = out.join(gate(df, board_rules(**settings), name, ["e"]).select("e", F.size("errors").alias(name)), "e")
+    return out
 
 
 def q_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -225,16 +344,15 @@ def q_link(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_packet_expectation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = [("DST_PORT", F.col("dst_port") != 4300 + F.col("flow_id")), ("STREAM", F.col("stream_type") != 1)]
-    return gate(packets(spark, sf_dir), rules, "PACKET", ["e"]).groupBy("classification", F.array_join("errors", ",").alias("errors")).agg(F.count("*").alias("packets"))
+    ip = F.when(F.col("e") % 5 == 0, "10.0.1.17").when(F.col("e") % 7 != 0, "10.0.1.16")
+    rules = packet_rules("10.0.1.16", 4300 + F.col("flow_id"), 1)
+    return gate(packets(spark, sf_dir).withColumn("dst_ip", ip), rules, "PACKET", ["e"]).groupBy("classification", F.array_join("errors", ",").alias("errors")).agg(F.count("*").alias("packets"))
 
 
 def q_health(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A pipeline's state from flags: accepting, flushed clean, stale."""
     e = F.col("e")
-    df = packets(spark, sf_dir).select("e", (e % 8).alias("flags"), (e % 3).alias("level"), (e % 100).alias("age"))
-    bit = lambda k: F.shiftright("flags", k).bitwiseAND(F.lit(1)) == 1
-    return df.select("e", (bit(0) & bit(1) & ~bit(2)).alias("accepting"), (~bit(2) & (F.col("level") == 0)).alias("flush_clean"), (F.col("age") > 90).alias("stale"))
+    df = packets(spark, sf_dir).select("e", (e % 2).alias("streaming"), F.when(e % 5 == 0, 0).when(e % 5 == 1, 1).alias("downstream_ready"), (e % 7 == 0).cast("int").alias("bridge_full"), (e % 3 == 0).cast("int").alias("mux_locked"), (e % 4).alias("mux_source"))
+    return pipeline_state(df).select("e", "accepting", "flush_clean", "stale")
 
 
 def _nic(spark: SparkSession, sf_dir: str, after: bool) -> DataFrame:
@@ -309,19 +427,46 @@ _HOST = """SELECT *, atf + asp AS af, atf + asp - CASE WHEN e % 70 = 5 THEN 1 EL
 _HOST_RULES = [
     ("TIME_FLOW_COUNT_MISMATCH", "atf <> wt"), ("SPEC_FLOW_COUNT_MISMATCH", "asp <> ws"), ("FLOW_COUNT_MISMATCH", "af <> wt + ws"), ("CAPTURE_FLOW_CAPACITY_MISMATCH", "e % 60 = 2"), ("ACTIVE_WORKERS_LOW", "aw < wt + ws"),
     ("TIME_PPS_LOW", "t AND tp / 10 < CASE WHEN mhz = 100 THEN 470000 ELSE 950000 END"), ("SPEC_PPS_LOW", "s AND sp / 10 < CASE WHEN mhz = 100 THEN 470000 ELSE 950000 END"), ("TIME_PACKETS_IN_SPEC_ONLY", "NOT t AND tp <> 0"), ("SPEC_PACKETS_IN_TIME_ONLY", "NOT s AND sp <> 0"),
-    ("COMBINED_PAYLOAD_RATE_LOW", "(tp + sp) * 8320 * 8 / 10 / 1e6 < CASE WHEN mhz = 200 OR (t AND s) THEN 63000 ELSE 31000 END"), *[(f"NONZERO_{c.upper()}", f"e % {90 + k} = 7") for k, c in enumerate(HOST_COUNTERS)], ("SPEC_PREVIEW_INCOMPLETE", "s AND e % 33 = 4"),
-]
-_BOARD_RULES = [("NONZERO_DROPS", "e % 9 = 1"), ("TIME_RATE_LOW", "e % 3 <> 0 AND 480000 - e % 11 * 1000 < 480000 * 0.99::DOUBLE"), ("SPEC_RATE_LOW", "e % 3 <> 1 AND 480000 - e % 13 * 1000 < 480000 * 0.99::DOUBLE"), ("ROUTES_NOT_HIT", "e % 17 = 0"), ("PFB_CONTRACT", "e % 3 <> 1 AND e % 19 = 0")]
+    ("COMBINED_PAYLOAD_RATE_LOW", "(tp + sp) * 8320 * 8 / 10 / 1e6 < CASE WHEN mhz = 200 OR (t AND s) THEN 63000 ELSE 31000 END"), *[(f"NONZERO_{c.upper()}", f"e % {90 + k} = 7") for k, c in enumerate(HOST_COUNTERS)],
+]
+_AFTER_RULES = [
+    ("WAVEFORM_PREVIEW_NOT_LIVE", "t AND (e % 21 = 8 OR e % 22 = 9)"), ("SPECTRUM_PREVIEW_NOT_LIVE", "s AND e % 23 = 8"), ("SPEC_PREVIEW_INCOMPLETE", "s AND (e % 33 = 4 OR e % 31 = 6)"),
+    *[(f"NIC_{c.upper()}", f"e % {110 + k} = 8") for k, c in enumerate(NIC_COUNTERS)], ("NIC_PHYSICAL_DISCARD", "e % 120 = 9"),
+]
+_FLOW_RULES = [("MISSING", "on_ AND gone"), ("NO_PACKETS", "on_ AND NOT gone AND quiet"), *[(c.upper(), f"on_ AND NOT gone AND (e + f) % {503 + 2 * k} = 11") for k, c in enumerate(FLOW_COUNTERS)], ("INACTIVE_PACKETS", "NOT on_ AND NOT quiet AND (e + f) % 307 = 5")]
+_T, _S = "e % 3 <> 0", "e % 3 <> 1"
+
+
+def _board_sql(counters_: list[str], tolerance: str = "0.99", time_routes: int = 8, spec_routes: int = 16) -> list[tuple[str, str]]:
+    return [
+        ("EXTERNAL_PPS_NOT_READY", "e % 31 = 1 OR e % 32 = 0"), ("DIAGNOSTIC_INJECTION_ENABLED", "e % 33 = 1"), ("SCIENCE_BANDWIDTH_MISMATCH", "e % 29 = 1"), ("TIME_ENABLE_MISMATCH", "e % 34 = 1"), ("SPEC_ENABLE_MISMATCH", "e % 35 = 1"),
+        ("GT_NOT_LOCKED", "e % 36 = 1"), ("CMAC_RESET_NOT_DONE", "e % 37 = 1"), ("CMAC_TX_NOT_READY", "e % 38 = 1"), *[(f"NONZERO_{c.upper()}", f"e % {60 + BOARD_COUNTERS.index(c)} = 1") for c in counters_],
+        ("SPEC_PACKETS_PRESENT_IN_TIME_ONLY", f"NOT ({_S}) AND e % 28 = 2"), ("TIME_PACKETS_PRESENT_IN_SPEC_ONLY", f"NOT ({_T}) AND e % 27 = 2"), ("TIME_RATE_LOW", f"{_T} AND 480000 - e % 11 * 1000 < 480000 * {tolerance}::DOUBLE"), ("SPEC_RATE_LOW", f"{_S} AND 480000 - e % 13 * 1000 < 480000 * {tolerance}::DOUBLE"),
+        ("TIME_ROUTE_CONTRACT_FAILED", f"{_T} AND (8 + (e % 39 = 1)::INTEGER <> {time_routes} OR 8 - (e % 17 = 0)::INTEGER < 8 + (e % 39 = 1)::INTEGER)"), ("TIME_ROUTE_ENABLED_IN_SPEC_ONLY", f"NOT ({_T}) AND e % 40 = 1"),
+        ("SPEC_ROUTE_CONTRACT_FAILED", f"{_S} AND (16 <> {spec_routes} OR e % 18 = 0)"), ("SPEC_ROUTE_ENABLED_IN_TIME_ONLY", f"NOT ({_S}) AND e % 41 = 1"), ("PFB_NOT_ACTIVE", f"{_S} AND e % 42 = 1"), ("PFB_COEFF_NOT_VALID", f"{_S} AND e % 44 = 2"),
+        ("PFB_CONTRACT", f"{_S} AND (e % 19 = 0 OR e % 45 = 1)"), ("PFB_ACTIVE_IN_TIME_ONLY", f"NOT ({_S}) AND e % 43 = 1"),
+    ]
+
+
+def _count(rules: list[tuple[str, str]]) -> str:
+    return " + ".join(f"({bad})::INTEGER" for _, bad in rules)
+
+
+_OLDER = ", ".join(f"{_count(_board_sql(**{'counters_' if k == 'counter_names' else k: str(v) if k == 'tolerance' else v for k, v in settings.items()}))} AS {name}" for name, settings in OLDER_GATES.items())
 _SIGNAL_RULES = [("WRONG_CORE_VERSION", "e % 41 = 0"), ("DIAGNOSTIC_INJECTION_ENABLED", "e % 43 = 0"), *[(f"NONZERO_{c.upper()}", f"e % {50 + k} = 3") for k, c in enumerate(SIGNAL_COUNTERS)], ("AA100_NOT_READY", "e % 2 = 0 AND (e % 5 = 1 OR e % 6 = 2)"), ("AA100_ACTIVE_AT_200MHZ", "e % 2 = 1 AND e % 5 <> 1")]
 _LINK_RULES = [(c, f"e % {7 + k} = 0") for k, c in enumerate(["GT_NOT_LOCKED", "CMAC_RESET_NOT_DONE", "CMAC_TX_NOT_READY", "CMAC_LOCAL_FAULT", "CMAC_REMOTE_FAULT", "CMAC_TX_UNDERFLOW", "CMAC_TX_OVERFLOW"])]
 _NIC = "SELECT board_id, ['rx_discards_phy', 'rx_packets', 'RX_missed_errors', 'prio0_discard', 'tx_dropped'][e % 5 + 1] AS name, sum(e * 31 % 101 - {})::BIGINT AS v FROM packets WHERE {} GROUP BY 1, 2"
 SQL = {
-    "host_gate": sql("packets", _gate_sql(_HOST_RULES, "HOST_GATE", _HOST)),
-    "board_gate": sql("packets", _gate_sql(_BOARD_RULES, "BOARD_GATE", "SELECT e FROM packets")),
+    "host_gate": sql("packets", "").strip() + f""", h AS ({_HOST}), g AS (SELECT *, CASE WHEN t AND s THEN 'time_spec' WHEN t THEN 'time_only' ELSE 'spec_only' END AS mode FROM h),
+        x AS (SELECT e, f, CASE WHEN f < 8 THEN t ELSE s END AS on_, (e + f) % 401 = 7 AS gone, (e + f) % 211 = 3 AS quiet FROM h, (SELECT unnest(range(24)) AS f)),
+        y AS (SELECT e, on_, f, concat_ws(',', {", ".join(f"CASE WHEN {bad} THEN 'FLOW_' || f || '_{code}' END" for code, bad in _FLOW_RULES)}) AS said FROM x), z AS (SELECT e, string_agg(said, ',' ORDER BY NOT on_, f) AS flows FROM y WHERE said <> '' GROUP BY e),
+        r AS (SELECT e, mhz, mode, concat_ws(',', {", ".join(f"CASE WHEN {bad} THEN '{code}' END" for code, bad in _HOST_RULES)}, flows, {", ".join(f"CASE WHEN {bad} THEN '{code}' END" for code, bad in _AFTER_RULES)}) AS errors FROM g LEFT JOIN z USING (e))
+        SELECT e, 'HOST_' || mhz || 'MHZ_' || mode || CASE WHEN errors = '' THEN '_PASS' ELSE '_FAIL' END AS classification, errors = '' AS ok, errors FROM r""",
+    "board_gate": sql("packets", f"SELECT * FROM ({_gate_sql(_board_sql(BOARD_COUNTERS), 'BOARD_GATE', 'SELECT e FROM packets')}) JOIN (SELECT e, {_OLDER} FROM packets) USING (e)"),
     "signal_audit": sql("packets", _gate_sql(_SIGNAL_RULES, "SIGNAL_AUDIT", "SELECT e FROM packets")),
     "link_preflight": sql("packets", _gate_sql(_LINK_RULES, "LINK_PREFLIGHT", "SELECT e FROM packets")),
-    "packet_expectation": sql("packets", "SELECT CASE WHEN errors = '' THEN 'PACKET_PASS' ELSE 'PACKET_FAIL' END AS classification, errors, count(*) AS packets FROM (SELECT concat_ws(',', CASE WHEN dst_port <> 4300 + flow_id THEN 'DST_PORT' END, CASE WHEN stream_type <> 1 THEN 'STREAM' END) AS errors FROM packets) GROUP BY errors"),
-    "pipeline_health": sql("packets", "SELECT e, (e % 8) & 1 = 1 AND (e % 8) & 2 = 2 AND (e % 8) & 4 = 0 AS accepting, (e % 8) & 4 = 0 AND e % 3 = 0 AS flush_clean, e % 100 > 90 AS stale FROM packets"),
+    "packet_expectation": sql("packets", "SELECT CASE WHEN errors = '' THEN 'PACKET_PASS' ELSE 'PACKET_FAIL' END AS classification, errors, count(*) AS packets FROM (SELECT concat_ws(',', CASE WHEN e % 5 = 0 OR e % 7 = 0 THEN 'DST_IP' END, CASE WHEN dst_port <> 4300 + flow_id THEN 'DST_PORT' END, CASE WHEN stream_type <> 1 THEN 'STREAM' END) AS errors FROM packets) GROUP BY errors"),
+    "pipeline_health": sql("packets", "SELECT e, e % 2 = 1 AND e % 5 <> 0 AND e % 7 <> 0 AS accepting, e % 5 <> 0 AND e % 7 <> 0 AND NOT (e % 3 = 0 AND e % 4 IN (1, 2)) AS flush_clean, e % 3 = 0 AND e % 4 IN (1, 2) AS stale FROM packets"),
     "nic_discards": sql("packets", f"SELECT coalesce(a.board_id, b.board_id) AS board_id, sum(greatest(coalesce(a.v, 0) - coalesce(b.v, 0), 0))::BIGINT AS discards FROM ({_NIC.format(40, 'true')}) a FULL JOIN ({_NIC.format(0, 'e % 3 = 0')}) b USING (board_id, name) WHERE regexp_matches(coalesce(a.name, b.name), '(?i)rx.*(discard|drop|miss|error)|prio.*discard') GROUP BY 1"),
     "sustained_progress": sql("counters", "SELECT board_id, min(day) FILTER (h AND ph AND packets > pp AND packets // 40 = pp // 40) AS since FROM (SELECT *, dayofmonth(day) % 9 <> 3 AS h, lag(dayofmonth(day) % 9 <> 3) OVER w AS ph, lag(packets) OVER w AS pp FROM counters WINDOW w AS (PARTITION BY board_id ORDER BY day)) GROUP BY board_id"),
     "alignment_rule": sql("packets", "SELECT e, m::INTEGER AS multiple, r::INTEGER AS residue, e * 4 % m = r AS reachable FROM (SELECT e, [32, 8, 4][e % 3 + 1] AS m, CASE WHEN e % 3 = 1 AND e % 2 = 0 THEN 4 ELSE 0 END AS r FROM packets)"),

@@ -1,11 +1,10 @@
-"""Packet validation: the first check that fails names the error; demultiplexing, layouts, filters, sanitising."""
+"""Packet validation: the first check that fails names the error; demultiplexing, layouts, filters."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fluxframe.functions.bits import bit
 from fluxframe.plans.views import packets, samples, sql
 
 # The wire format.
@@ -115,16 +114,6 @@ def first_of_block(df: DataFrame) -> DataFrame:
     return first.select("frame_group", "block_index", "r.*")
 
 
-def sanitised(df: DataFrame) -> DataFrame:
-    """Display settings brought into range instead of refused: points 64 to 16384, mask non-zero, a rate of 1 to 60."""
-    return df.select(
-        "e",
-        F.greatest(F.lit(64), F.least(F.lit(16384), F.col("points"))).alias("points"),
-        F.when(F.col("mask") == 0, F.lit(255)).otherwise(F.col("mask").bitwiseAND(F.lit(255))).alias("mask"),
-        F.when(F.col("fps").isNull(), 30).otherwise(F.greatest(F.lit(1), F.least(F.lit(60), F.col("fps")))).alias("fps"),
-    )
-
-
 def freeze_on_event(df: DataFrame, threshold: int, length: int = 256) -> DataFrame:
     """Per channel, from the first sample on whose largest part reaches threshold, `length` samples; 0 never triggers.
     overflow says whether another sample of the capture reaches it."""
@@ -167,10 +156,6 @@ def q_block_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first_of_block(df)
 
 
-def q_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sanitised(packets(spark, sf_dir).select("e", (F.col("e") * 37 % 20000).cast("int").alias("points"), (F.col("e") % 512).cast("int").alias("mask"), F.when(F.col("e") % 5 != 0, F.col("e") % 100).cast("int").alias("fps")))
-
-
 def q_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return freeze_on_event(samples(spark, sf_dir), 32700)
 
@@ -183,26 +168,6 @@ def q_power_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.filter("strong and was and n - before = 1").groupBy("channel").agg(F.count("*").alias("pairs"))
 
 
-def q_config_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of a configuration against the table of allowed profiles and ranges."""
-    cfg = packets(spark, sf_dir).select("e", F.element_at(F.array(F.lit(20), F.lit(100), F.lit(200)), (F.col("e") % 3 + 1).cast("int")).alias("mhz"), F.element_at(F.array(F.lit("time_only"), F.lit("spec_only"), F.lit("time_spec")), (F.floor(F.col("e") / 3) % 3 + 1).cast("int")).alias("mode"), (F.col("e") % 150).cast("int").alias("percent"), (F.col("e") % 70000).cast("int").alias("port"))
-    rules = [
-        (~F.col("mhz").isin(100, 200), "BANDWIDTH"),
-        ((F.col("mhz") == 200) & (F.col("mode") == "time_spec"), "PROFILE"),
-        (~F.col("percent").between(0, 100), "AMPLITUDE"),
-        (~F.col("port").between(1, 65535), "PORT"),
-    ]
-    said = F.array_compact(F.array(*[F.when(bad, F.lit(n)) for bad, n in rules]))
-    return cfg.select("e", F.array_join(said, ",").alias("errors"), (F.size(said) == 0).alias("ok"))
-
-
-def q_status_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Status words unpacked to one column a flag."""
-    flags = ("time_valid", "pps_locked", "ref_locked", "rfdc_ready", "streaming", "fifo_overflow")
-    df = packets(spark, sf_dir).withColumn("word", F.col("e") * 7919 % 64)
-    return df.select("e", *[(bit(F.col("word"), k) == 1).alias(n) for k, n in enumerate(flags)])
-
-
 _FIRST = """CASE WHEN magic <> 1412772144 THEN 'BadMagic' WHEN version NOT IN (2, 3) THEN 'UnsupportedVersion' WHEN header_bytes <> 128 THEN 'UnexpectedHeaderBytes'
  WHEN stream_type = 1 THEN CASE WHEN ninput <> 8 THEN 'UnsupportedNinput' WHEN payload_format <> 0 THEN 'UnsupportedPayloadFormat' WHEN payload_bytes <> 8192 THEN 'UnexpectedPayloadBytes' WHEN udp_payload_len < 128 + payload_bytes OR udp_payload_len < 128 + 128 * time_count THEN 'TruncatedTimePayload' END
  WHEN stream_type = 0 THEN CASE WHEN ninput <> 8 THEN 'UnsupportedNinput' WHEN payload_format <> 0 THEN 'UnsupportedPayloadFormat' WHEN payload_bytes <> 8192 THEN 'UnexpectedPayloadBytes' WHEN product_id <> 61697 THEN 'UnsupportedProduct' WHEN layout IS NULL THEN 'UnexpectedSpecLayout' WHEN udp_payload_len < 128 + payload_bytes THEN 'TruncatedSpecPayload' END END"""
@@ -223,11 +188,8 @@ QUERIES = {
     "stream_filter": q_stream_filter,
     "channel_mask_filter": q_channel_mask,
     "block_dedup": q_block_dedup,
-    "config_sanitise": q_sanitise,
     "trigger_first": q_trigger,
     "power_gate_pairs": q_power_gate,
-    "config_rules": q_config_rules,
-    "status_flags": q_status_flags,
 }
 
 _names = ", ".join(f"({i}, '{n}')" for i, n in enumerate(ERRORS))
@@ -241,13 +203,8 @@ SQL = {
     "stream_filter": sql("packets", "SELECT 'any' AS which, count(*) AS packets, min(seq_no) AS first_seq FROM packets UNION ALL SELECT 'spec', count(*), min(seq_no) FROM packets WHERE stream_type = 0 UNION ALL SELECT 'time', count(*), min(seq_no) FROM packets WHERE stream_type = 1"),
     "channel_mask_filter": sql("samples", 'SELECT channel, count(*) AS "rows", sum(i)::BIGINT AS sum_i FROM samples WHERE (165 >> channel) & 1 = 1 GROUP BY channel'),
     "block_dedup": sql("packets", "SELECT frame_group, (block_index % 4)::INTEGER AS block_index, min(seq_no) AS seq_no, arg_min(board_id, seq_no) AS board_id FROM packets GROUP BY 1, 2"),
-    "config_sanitise": sql("packets", """SELECT e, greatest(64, least(16384, e * 37 % 20000))::INTEGER AS points, (CASE WHEN e % 512 = 0 THEN 255 ELSE (e % 512) & 255 END)::INTEGER AS mask,
-        coalesce(CASE WHEN e % 5 <> 0 THEN greatest(1, least(60, e % 100)) END, 30)::INTEGER AS fps FROM packets"""),
     "trigger_first": sql("samples", """SELECT channel, start, count(*) AS captured, sum((greatest(abs(i), abs(q)) >= 32700)::INTEGER)::BIGINT AS hits, sum((greatest(abs(i), abs(q)) >= 32700)::INTEGER) > 1 AS overflow
         FROM samples JOIN (SELECT channel, min(n) AS start FROM samples WHERE greatest(abs(i), abs(q)) >= 32700 GROUP BY channel) USING (channel) WHERE n >= start AND n < start + 256 GROUP BY channel, start"""),
     "power_gate_pairs": sql("samples", """SELECT channel, count(*) AS pairs FROM (SELECT *, i::BIGINT * i + q::BIGINT * q >= 400000000 AS strong, lag(n) OVER w AS before, lag(i::BIGINT * i + q::BIGINT * q >= 400000000) OVER w AS was FROM samples WINDOW w AS (PARTITION BY channel ORDER BY n))
         WHERE strong AND was AND n - before = 1 GROUP BY channel"""),
-    "config_rules": sql("packets", """SELECT e, concat_ws(',', CASE WHEN mhz NOT IN (100, 200) THEN 'BANDWIDTH' END, CASE WHEN mhz = 200 AND mode = 'time_spec' THEN 'PROFILE' END, CASE WHEN percent > 100 THEN 'AMPLITUDE' END, CASE WHEN port NOT BETWEEN 1 AND 65535 THEN 'PORT' END) AS errors,
-        errors = '' AS ok FROM (SELECT e, [20, 100, 200][e % 3 + 1] AS mhz, ['time_only', 'spec_only', 'time_spec'][(e // 3) % 3 + 1] AS mode, e % 150 AS percent, e % 70000 AS port FROM packets)"""),
-    "status_flags": sql("packets", "SELECT e, w & 1 = 1 AS time_valid, w & 2 = 2 AS pps_locked, w & 4 = 4 AS ref_locked, w & 8 = 8 AS rfdc_ready, w & 16 = 16 AS streaming, w & 32 = 32 AS fifo_overflow FROM (SELECT e, e * 7919 % 64 AS w FROM packets)"),
 }

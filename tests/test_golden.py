@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fluxframe.functions import bits, signal
-from fluxframe.operators import codec, dsp, flows, gates, receiver, routes, spectrum, validate
+from fluxframe.operators import codec, config, dsp, flows, gates, receiver, routes, spectrum, validate
 from fluxframe.plans.views import packets
 from fluxframe.sources import captures
 from fluxframe.streaming.receiver import Assembler, Capture, PreviewGate, Reorder, Ring, Steps, before, first_blocks, run_batch, run_stream, windowed_rates
@@ -222,8 +222,57 @@ def test_route_cases(spark):
     rows = spark.createDataFrame([(0, 256), (64, 64), (200, 100), (500, 20), (512, 1), (0, 0)], "chan0 int, chan_count int")
     got = {(r.chan0, r.chan_count): r.route_id for r in routes.spec_routes(rows, table).collect()}
     assert got == {(0, 256): 1, (64, 64): 1, (200, 100): 2, (500, 20): None, (512, 1): None, (0, 0): None}
-    with pytest.raises(ValueError):
-        routes.small(spark.range(65))
+    with pytest.raises(Exception, match="at most 64 rows"):
+        routes.small(spark.range(65)).collect()
+    assert routes.small(spark.range(64)).count() == 64
+
+
+ENDPOINTS = [(k, "TIME" if k < 8 else "SPEC", True, "10.0.1.16", "08:c0:eb:d5:95:b2", 4000 + k, 4300 + k) for k in range(24)]
+DACS = [(k, True, 100.0, 25.0, 0.0) for k in range(8)]
+
+
+def broken(spark, **changes):
+    row = {"bandwidth_mhz": 100, "mode": "time_spec", "center_mhz": 100.0, "board_id": 0, "source_ip": "10.20.30.40", "source_mac": "02:AA:BB:CC:DD:EE", "endpoints": ENDPOINTS, "channels": DACS} | changes
+    schema = f"bandwidth_mhz int, mode string, center_mhz double, board_id int, source_ip string, source_mac string, endpoints array<struct<{config.ENDPOINT.replace(' ', ':').replace(',:', ',')}>>, channels array<struct<{config.CHANNEL.replace(' ', ':').replace(',:', ',')}>>"
+    df = spark.createDataFrame([tuple(row.values())], schema)
+    return config.configuration_errors(df).first().errors, config.request_error(df).first().error, df
+
+
+def with_(rows, k, at, value):
+    return [r[:at] + (value,) + r[at + 1 :] if i == k else r for i, r in enumerate(rows)]
+
+
+@pytest.mark.parametrize("changes, errors, request_", [
+    ({}, [], None),
+    ({"bandwidth_mhz": 200}, ["PROFILE"], "PROFILE"),
+    ({"bandwidth_mhz": 200, "mode": "SPEC only"}, [], "PROFILE"),
+    ({"source_ip": "0.0.0.0"}, ["SOURCE_IP"], "SOURCE_IP"),
+    ({"source_ip": "239.1.2.3", "source_mac": "00:00:00:00:00:00"}, ["SOURCE_IP", "SOURCE_MAC"], "SOURCE_IP"),
+    ({"source_ip": "255.255.255.255"}, ["SOURCE_IP"], "SOURCE_IP"),
+    ({"source_mac": "01:00:5e:00:00:01"}, ["SOURCE_MAC"], "SOURCE_MAC"),
+    ({"source_mac": "bad"}, ["SOURCE_MAC"], "SOURCE_MAC"),
+    ({"board_id": 65536}, ["BOARD_ID"], None),
+    ({"endpoints": with_(ENDPOINTS, 3, 3, "999.1.1.1")}, ["DESTINATION_IP"], "ENDPOINT_IP"),
+    ({"endpoints": with_(ENDPOINTS, 3, 4, "bad")}, ["DESTINATION_MAC"], "ENDPOINT_MAC"),
+    ({"endpoints": with_(ENDPOINTS, 3, 6, 0)}, ["DESTINATION_PORT"], "ENDPOINT_PORT"),
+    ({"endpoints": with_(ENDPOINTS, 3, 5, 65536)}, ["SOURCE_PORT"], "ENDPOINT_PORT"),
+    ({"endpoints": ENDPOINTS[1:]}, ["TIME_ENDPOINTS"], "ENDPOINT_COUNT"),
+    ({"endpoints": with_(ENDPOINTS, 9, 0, 8)}, [], "ENDPOINT_ID"),
+    ({"channels": with_(with_(DACS, 0, 2, 50.0), 1, 2, 161.44)}, [], None),
+    ({"channels": with_(DACS, 1, 2, 161.441)}, ["NYQUIST_BAND"], None),
+    ({"channels": with_(DACS, 1, 2, float("nan"))}, ["FREQUENCY", "NYQUIST_BAND"], None),
+    ({"channels": with_(DACS, 1, 3, -1.0)}, ["AMPLITUDE"], None),
+    ({"channels": with_(DACS, 1, 4, 181.0)}, ["PHASE"], None),
+    ({"mode": None, "source_ip": None, "center_mhz": None}, ["MODE", "PROFILE", "CENTER", "SOURCE_IP", "NYQUIST_BAND"], "PROFILE"),
+])
+def test_configurations(spark, changes, errors, request_):
+    got, first, df = broken(spark, **changes)
+    assert got == errors and first == request_
+    if errors:
+        with pytest.raises(Exception, match=errors[0]):
+            config.configured(df).collect()
+    else:
+        assert config.configured(df).first().source_mac == "02:aa:bb:cc:dd:ee"
 
 
 def test_lag_and_delay(spark):
