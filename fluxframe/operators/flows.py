@@ -34,6 +34,40 @@ def continuity(df: DataFrame, stride: int, mhz: Column, order: str = "seq_no") -
     }).drop("_seq_no", "_frame_id", "_sample0")
 
 
+def receiver_statistics(df: DataFrame, time_flows: int, spec_flows: int, mhz: Column) -> DataFrame:
+    """All that the receiver tells of each flow: packets, bytes, gaps, and last values of its TIME and its SPEC packets, its
+    ports, rates over its span, and the bandwidth its TIME packets suggest last. Each kind's packets advance by the number of
+    flows that carry it; gaps are counted against the kind's own packet before. df has ts and the packets' header columns."""
+    w = Window.partitionBy("flow_id", "stream_type").orderBy("seq_no")
+    time = F.col("stream_type") == 1
+    stride = F.when(time, F.lit(time_flows)).otherwise(F.lit(max(1, spec_flows)))
+    x = df.filter(F.col("stream_type").isin(0, 1)).withColumns({f"_{c}": F.lag(c).over(w) for c in ("seq_no", "frame_id", "sample0")})
+    has = F.col("_seq_no").isNotNull()
+    moved = delta_mod(F.col("sample0"), F.col("_sample0"), 64)
+    x = x.withColumns({
+        "_seq": has & (delta_mod(F.col("seq_no"), F.col("_seq_no")) != stride), "_frame": has & (delta_mod(F.col("frame_id"), F.col("_frame_id"), 64) != stride),
+        "_sample": has & (moved != expected_sample_delta(F.col("time_count"), mhz) * time_flows), "_mhz": F.when(has & time & (F.pmod(moved, F.lit(time_flows)) == 0), infer_bandwidth((moved / time_flows).cast("long"), F.col("time_count"))),
+    })
+    count = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    last = lambda c, of: F.max_by(F.when(of, F.col(c)), F.when(of, F.col("seq_no")))
+    size = F.col("udp_payload_len").cast("long")
+    total = lambda of: F.coalesce(F.sum(F.when(of, size)), F.lit(0)).cast("long")
+    seconds = F.greatest(F.unix_seconds(F.max(F.col("ts").cast("timestamp"))) - F.unix_seconds(F.min(F.col("ts").cast("timestamp"))), F.lit(1))
+    out = x.groupBy("flow_id").agg(
+        F.max_by("dst_port", "seq_no").alias("dst_port"), F.max_by("src_port", "seq_no").alias("src_port"), count(time).alias("time_packets"), total(time).alias("time_bytes"), count(~time).alias("spec_packets"), total(~time).alias("spec_bytes"),
+        (F.count("*") / seconds).alias("packets_per_sec"), (F.sum(size) * 8 / seconds / 1e9).alias("gbps"), count(time & F.col("_seq")).alias("seq_gaps"), count(time & F.col("_frame")).alias("frame_gaps"), count(time & F.col("_sample")).alias("sample0_gaps"),
+        count(~time & F.col("_seq")).alias("spec_seq_gaps"), count(~time & F.col("_frame")).alias("spec_frame_gaps"), F.max_by(F.col("_mhz"), F.when(F.col("_mhz").isNotNull(), F.col("seq_no"))).alias("detected_mhz"),
+        *[last(c, time).alias(f"last_{c}") for c in ("seq_no", "frame_id", "sample0")], *[last(c, ~time).alias(f"last_spec_{c}") for c in ("seq_no", "frame_id", "sample0", "chan0", "chan_count")],
+    )
+    return out
+
+
+def saturating_totals(df: DataFrame, keys: list[str], columns: list[str], bits: int = 64) -> DataFrame:
+    """Sums that stop at the largest number of so many bits, as decimals."""
+    most = F.lit((1 << bits) - 1).cast("decimal(38,0)") if bits < 63 else F.expr(f"cast('{(1 << bits) - 1}' as decimal(38,0))")
+    return df.groupBy(*keys).agg(*[F.least(F.sum(F.col(c).cast("decimal(28,0)")), most).alias(c) for c in columns])
+
+
 def flow_statistics(df: DataFrame) -> DataFrame:
     """Counters and last values of each flow of a DataFrame from continuity()."""
     last = lambda c: F.max_by(c, "seq_no").alias(f"last_{c}")
@@ -78,9 +112,42 @@ def counter_deltas(df: DataFrame, bits: int = 32) -> DataFrame:
 
 
 def coverage(df: DataFrame) -> DataFrame:
-    """Blocks seen of each frame group, as a mask and a count; complete once all blocks are there."""
-    out = df.groupBy("frame_group").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("block_index"))).alias("mask"), F.max("block_count").alias("blocks"))
-    return out.select("frame_group", "mask", F.bit_count("mask").cast("int").alias("seen"), (F.bit_count("mask") >= F.col("blocks")).alias("complete"))
+    """Blocks seen of each frame group, up to 128, as two masks of 64 bits and a count; complete once all blocks are there."""
+    half = lambda lo: F.coalesce(F.bit_or(F.when(F.col("block_index").between(lo, lo + 63), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("block_index") - lo))), F.lit(0).cast("long"))
+    out = df.groupBy("frame_group").agg(half(0).alias("mask_lo"), half(64).alias("mask_hi"), F.max("block_count").alias("blocks"))
+    seen = (F.bit_count("mask_lo") + F.bit_count("mask_hi")).cast("int")
+    return out.select("frame_group", "mask_lo", "mask_hi", seen.alias("seen"), (seen >= F.col("blocks")).alias("complete"))
+
+
+def agreed(x: Column, tolerance: float = 1e-6) -> Column:
+    """The mean of values that agree within the tolerance, else null."""
+    return F.when(F.max(x) - F.min(x) < tolerance, F.avg(x))
+
+
+def first_enabled(value: Column, enabled: Column, order: Column) -> Column:
+    """The value of the first enabled row, else of the first."""
+    return F.coalesce(F.min_by(F.when(enabled, value), F.when(enabled, order)), F.min_by(value, order))
+
+
+def risen(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
+    """How much a counter has risen since the row before, 0 where it fell."""
+    return df.withColumn("delta", F.greatest(F.col(value) - F.lag(value).over(Window.partitionBy(key).orderBy(order)), F.lit(0)))
+
+
+def lanes_mask(lane: Column, enabled: Column) -> Column:
+    """The bits of enabled lanes."""
+    return F.bit_or(F.when(enabled, F.call_function("shiftleft", F.lit(1), lane)))
+
+
+def latest(df: DataFrame, key: str, columns: list[str], order: str) -> DataFrame:
+    """Each key's values in its last row."""
+    return df.groupBy(key).agg(*[F.max_by(c, order).alias(f"last_{c}") for c in columns])
+
+
+def throttled(df: DataFrame, key: str, order: str, first: int = 16) -> DataFrame:
+    """Rows that are logged, with their number k: the first of a key below `first`, then every power of two."""
+    numbered = df.withColumn("k", F.row_number().over(Window.partitionBy(key).orderBy(order)).cast("long"))
+    return numbered.filter((F.col("k") < first) | (F.bit_count("k") == 1))
 
 
 def rates(df: DataFrame, seconds: int) -> DataFrame:
@@ -104,6 +171,23 @@ def q_gap_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gap_report(packets(spark, sf_dir))
 
 
+def q_receiver_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = receiver_statistics(packets(spark, sf_dir), 8, 8, F.lit(100))
+    return out.withColumns({"packets_per_sec": F.round("packets_per_sec", 6), "gbps": F.round("gbps", 12)})
+
+
+def q_saturating(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Large counters by board, in 32 and in 64 bits."""
+    df = packets(spark, sf_dir).withColumns({"small": F.col("udp_payload_len") * 997, "large": F.lit(1 << 62) - F.col("e")})
+    a, b = saturating_totals(df, ["board_id"], ["small"], 32), saturating_totals(df, ["board_id"], ["large"], 64)
+    return a.join(b, "board_id").select("board_id", F.col("small").cast("long").alias("small"), F.col("large").cast("string").alias("large"))
+
+
+def q_blocks_128(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = packets(spark, sf_dir).filter("e % 389 <> 5")
+    return coverage(p.select(F.expr("e div 128").alias("frame_group"), F.expr("cast(e % 128 as int)").alias("block_index"), F.lit(128).alias("block_count")))
+
+
 def q_flow_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flow_statistics(continuity(packets(spark, sf_dir), 8, F.lit(100)))
 
@@ -159,41 +243,37 @@ def q_infer_bandwidth(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_consensus_float(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mean of positive values that agree to a millionth, else null."""
     df = packets(spark, sf_dir).select("board_id", F.when(F.col("board_id") % 2 == 0, F.lit(100.5)).otherwise(F.col("value")).alias("x")).filter("x > 0")
-    return df.groupBy("board_id").agg(F.when(F.max("x") - F.min("x") < 1e-6, F.round(F.avg("x"), 6)).alias("x"))
+    return df.groupBy("board_id").agg(F.round(agreed(F.col("x")), 6).alias("x"))
 
 
 def q_source_port(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The port of the first enabled endpoint, else of the first."""
     df = packets(spark, sf_dir).withColumn("enabled", (F.col("e") % 7 == 3) & (F.col("board_id") != 2))
-    return df.groupBy("board_id").agg(F.coalesce(F.min_by(F.when(F.col("enabled"), F.col("src_port")), F.when(F.col("enabled"), F.col("e"))), F.min_by("src_port", "e")).alias("port"))
+    return df.groupBy("board_id").agg(first_enabled(F.col("src_port"), F.col("enabled"), F.col("e")).alias("port"))
 
 
 def q_nic_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Saturating differences of a counter that may fall."""
-    w = Window.partitionBy("board_id").orderBy("day")
     df = counters(spark, sf_dir).withColumn("now", F.col("value") % 1_000_003)
-    return df.select("board_id", "day", F.greatest(F.col("now") - F.lag("now").over(w), F.lit(0)).alias("delta"))
+    return risen(df, "board_id", "day", "now").select("board_id", "day", "delta")
 
 
 def q_enabled_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    enabled = F.col("e") % 5 == 0
-    return packets(spark, sf_dir).groupBy("board_id").agg(F.bit_or(F.when(enabled, F.call_function("shiftleft", F.lit(1), F.col("flow_id")))).alias("mask"))
+    return packets(spark, sf_dir).groupBy("board_id").agg(lanes_mask(F.col("flow_id"), F.col("e") % 5 == 0).alias("mask"))
 
 
 def q_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = packets(spark, sf_dir)
-    return df.groupBy("board_id").agg(*[F.max_by(c, "seq_no").alias(f"last_{c}") for c in ("seq_no", "frame_id", "sample0", "flow_id")])
+    return latest(packets(spark, sf_dir), "board_id", ["seq_no", "frame_id", "sample0", "flow_id"], "seq_no")
 
 
 def q_error_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which of a board's errors are logged: the first 15, then every power of two."""
-    w = Window.partitionBy("board_id").orderBy("e")
-    bad = classified(packets(spark, sf_dir)).filter(F.col("error").isNotNull()).withColumn("k", F.row_number().over(w).cast("long"))
-    return bad.filter((F.col("k") < 16) | (F.bit_count("k") == 1)).select("board_id", "e", "error", "k")
+    bad = classified(packets(spark, sf_dir)).filter(F.col("error").isNotNull())
+    return throttled(bad, "board_id", "e").select("board_id", "e", "error", "k")
 
 
 QUERIES = {
-    "gap_report": q_gap_report, "flow_stats": q_flow_stats, "bandwidth_consensus": q_consensus, "worker_partials": q_worker_partials, "worker_merge": q_worker_merge,
+    "gap_report": q_gap_report, "flow_stats": q_flow_stats, "receiver_stats": q_receiver_stats, "saturating_totals": q_saturating, "coverage_128": q_blocks_128, "bandwidth_consensus": q_consensus, "worker_partials": q_worker_partials, "worker_merge": q_worker_merge,
     "counter_delta_mod": q_counter_delta, "coverage_complete": q_coverage, "rate_windows": q_rates, "loss_percent": q_loss, "profile_rates": q_profiles,
     "infer_bandwidth": q_infer_bandwidth, "consensus_float": q_consensus_float, "source_port": q_source_port, "nic_rates": q_nic_rates,
     "enabled_mask": q_enabled_mask, "latest_values": q_latest, "error_log_throttle": q_error_log,
@@ -224,7 +304,16 @@ SQL = {
     "worker_partials": _over("packets", _PARTS, "SELECT * REPLACE (round(pps, 6)::DOUBLE AS pps) FROM parts"),
     "worker_merge": _over("packets", _PARTS, "SELECT flow_id, sum(packets)::BIGINT AS packets, sum(bytes)::BIGINT AS bytes, arg_max(last_seq, worker_id + CASE WHEN pps > 0.5 THEN 100 ELSE 0 END) AS last_seq, arg_max_null(detected_mhz, worker_id + CASE WHEN pps > 0.5 THEN 100 ELSE 0 END) AS detected_mhz, count(*) AS workers FROM parts GROUP BY flow_id"),
     "counter_delta_mod": sql("counters", "SELECT board_id, day, value, (value - lag(value) OVER (PARTITION BY board_id ORDER BY day) + 4294967296) % 4294967296 AS delta FROM counters"),
-    "coverage_complete": sql("packets", "SELECT frame_group, bit_or(1::BIGINT << block_index) AS mask, bit_count(bit_or(1::BIGINT << block_index))::INTEGER AS seen, bit_count(bit_or(1::BIGINT << block_index)) >= max(block_count) AS complete FROM packets GROUP BY frame_group"),
+    "receiver_stats": _over("packets", """x AS (SELECT *, stream_type = 1 AS t, lag(seq_no) OVER w AS s, lag(frame_id) OVER w AS f, lag(sample0) OVER w AS m FROM packets WHERE stream_type IN (0, 1) WINDOW w AS (PARTITION BY flow_id, stream_type ORDER BY seq_no)),
+        y AS (SELECT *, (sample0 - m) // 8 AS d, s IS NOT NULL AND seq_no - s <> 8 AS sg, s IS NOT NULL AND frame_id - f <> 8 AS fg, s IS NOT NULL AND sample0 - m <> time_count * 64 AS mg FROM x),
+        z AS (SELECT *, CASE WHEN t AND (sample0 - m) % 8 = 0 AND time_count > 0 THEN CASE WHEN d = time_count * 4 THEN 200 WHEN d = time_count * 8 THEN 100 WHEN d = time_count * 32 THEN 20 END END AS mhz FROM y)""",
+        """SELECT flow_id, arg_max(dst_port, seq_no) AS dst_port, arg_max(src_port, seq_no) AS src_port, count(*) FILTER (t) AS time_packets, coalesce(sum(udp_payload_len) FILTER (t), 0)::BIGINT AS time_bytes, count(*) FILTER (NOT t) AS spec_packets, coalesce(sum(udp_payload_len) FILTER (NOT t), 0)::BIGINT AS spec_bytes,
+        round(count(*) / greatest(floor(epoch(max(ts))) - floor(epoch(min(ts))), 1), 6) AS packets_per_sec, round(sum(udp_payload_len)::BIGINT * 8 / greatest(floor(epoch(max(ts))) - floor(epoch(min(ts))), 1) / 1e9, 12) AS gbps, count(*) FILTER (t AND sg) AS seq_gaps, count(*) FILTER (t AND fg) AS frame_gaps, count(*) FILTER (t AND mg) AS sample0_gaps,
+        count(*) FILTER (NOT t AND sg) AS spec_seq_gaps, count(*) FILTER (NOT t AND fg) AS spec_frame_gaps, arg_max(mhz, seq_no)::INTEGER AS detected_mhz, max(seq_no) FILTER (t) AS last_seq_no, arg_max(frame_id, seq_no) FILTER (t) AS last_frame_id, arg_max(sample0, seq_no) FILTER (t) AS last_sample0,
+        max(seq_no) FILTER (NOT t) AS last_spec_seq_no, arg_max(frame_id, seq_no) FILTER (NOT t) AS last_spec_frame_id, arg_max(sample0, seq_no) FILTER (NOT t) AS last_spec_sample0, arg_max(chan0, seq_no) FILTER (NOT t) AS last_spec_chan0, arg_max(chan_count, seq_no) FILTER (NOT t) AS last_spec_chan_count FROM z GROUP BY flow_id"""),
+    "saturating_totals": sql("packets", "SELECT board_id, least(sum(udp_payload_len::BIGINT * 997), 4294967295)::BIGINT AS small, least(sum(4611686018427387904 - e), 18446744073709551615)::VARCHAR AS large FROM packets GROUP BY board_id"),
+    "coverage_128": sql("packets", "SELECT e // 128 AS frame_group, coalesce(bit_or(1::BIGINT << least(62, e % 128)::INTEGER) FILTER (e % 128 < 63), 0) + CASE WHEN bool_or(e % 128 = 63) THEN -9223372036854775808 ELSE 0 END::BIGINT AS mask_lo, coalesce(bit_or(1::BIGINT << greatest(0, least(62, e % 128 - 64))::INTEGER) FILTER (e % 128 BETWEEN 64 AND 126), 0) + CASE WHEN bool_or(e % 128 = 127) THEN -9223372036854775808 ELSE 0 END::BIGINT AS mask_hi, count(*)::INTEGER AS seen, count(*) = 128 AS complete FROM packets WHERE e % 389 <> 5 GROUP BY 1"),
+    "coverage_complete": sql("packets", "SELECT frame_group, bit_or(1::BIGINT << block_index) AS mask_lo, 0::BIGINT AS mask_hi, bit_count(bit_or(1::BIGINT << block_index))::INTEGER AS seen, bit_count(bit_or(1::BIGINT << block_index)) >= max(block_count) AS complete FROM packets GROUP BY frame_group"),
     "rate_windows": sql("packets", "SELECT start_s, count(*) AS packets, round(count(*) / 3600, 6) AS pps, round(sum(udp_payload_len)::BIGINT * 8 / 3600 / 1e9, 9) AS gbps FROM (SELECT *, floor(epoch(ts))::BIGINT // 3600 * 3600 AS start_s FROM packets) GROUP BY start_s"),
     "loss_percent": _over("packets", _continuity_sql("packets", 1), "SELECT *, round(drops / (drops + packets) * 100, 6) AS loss_percent FROM (SELECT count(*) AS packets, sum(udp_payload_len)::BIGINT AS bytes, sum(app_drops)::BIGINT AS drops, count(*) FILTER (stream_type > 1) AS filtered FROM c)"),
     "profile_rates": """SELECT mhz, mode, CASE mode WHEN 'time_only' THEN 8 WHEN 'spec_only' THEN 16 ELSE 24 END AS flows, (mhz * 4800)::BIGINT AS pps, round((mhz * 4800)::BIGINT * CASE mode WHEN 'time_spec' THEN 2 ELSE 1 END * 8320 * 8 / 1e6, 6) AS payload_mbps, mhz <> 200 OR mode <> 'time_spec' AS allowed

@@ -202,6 +202,37 @@ def sustained(df: DataFrame, keys: str, order: str, counters_: list[str], still:
     return df.withColumn("good", good).groupBy(keys).agg(F.min(F.when(F.col("good"), F.col(order))).alias("since"))
 
 
+def common_rule(df: DataFrame, key: str, rule: list[str], id_: str) -> DataFrame:
+    """Of each key's boards: whether all have one rule (the same values in these columns), and none repeats an id."""
+    return df.groupBy(key).agg((F.countDistinct(*rule) == 1).alias("common_rule"), (F.countDistinct(id_) == F.count("*")).alias("unique_ids"))
+
+
+def paired(snapshot: DataFrame, preview: DataFrame, header: DataFrame, key: str) -> DataFrame:
+    """Three sources of one capture (key, sample0 each), joined, with the distances of their first samples from the snapshot's;
+    coherent if there is none."""
+    of = lambda df, name: df.select(key, F.col("sample0").alias(name))
+    out = of(snapshot, "s").join(of(preview, "v"), key).join(of(header, "h"), key)
+    return out.select(key, (F.col("v") - F.col("s")).alias("preview_delta"), (F.col("h") - F.col("s")).alias("header_delta"), ((F.col("v") == F.col("s")) & (F.col("h") == F.col("s"))).alias("coherent"))
+
+
+def compared(written: DataFrame, read: DataFrame, key: str, group: str, value: str) -> DataFrame:
+    """The same capture read twice: by group how many places were compared, how many differ, and the first of them."""
+    x = written.select(key, group, F.col(value).alias("_a")).join(read.select(key, F.col(value).alias("_b")), key).withColumn("bad", ~F.col("_a").eqNullSafe(F.col("_b")))
+    return x.groupBy(group).agg(F.count("*").alias("compared"), F.count_if("bad").alias("mismatches"), F.min(F.when(F.col("bad"), F.col(key))).alias("first"))
+
+
+def rebased(df: DataFrame, key: str, sample0: str = "sample0") -> DataFrame:
+    """df with observation_sample0: samples counted from each key's epoch, its first sample, modulo 2 ** 64."""
+    epoch = df.groupBy(key).agg(F.min(sample0).alias("_epoch"))
+    return df.join(epoch, key).withColumn("observation_sample0", delta_mod(F.col(sample0), F.col("_epoch"), 64)).drop("_epoch")
+
+
+def order_audit(df: DataFrame, key: str, order: list[str], sample0: str, step: int) -> DataFrame:
+    """Order of sample numbers by key: steps back, repeats, and holes of more than `step`."""
+    d = df.withColumn("_d", F.col(sample0) - F.lag(sample0).over(Window.partitionBy(key).orderBy(*order)))
+    return d.groupBy(key).agg(F.count_if(F.col("_d") < 0).alias("back"), F.count_if(F.col("_d") == 0).alias("repeats"), F.count_if(F.col("_d") > step).alias("holes"))
+
+
 def first_sample_rule(mhz: Column, antialias: Column) -> Column:
     """(multiple, residue) that a first sample has to have."""
     pair = lambda m, r: F.struct(F.lit(m).alias("multiple"), F.lit(r).alias("residue"))
@@ -378,37 +409,32 @@ def q_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_boards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boards by user: whether all share one rule, and none repeats an id."""
-    return packets(spark, sf_dir).groupBy("user_id").agg((F.countDistinct("time_count", "ninput") == 1).alias("common_rule"), (F.countDistinct("e") == F.count("*")).alias("unique_ids"))
+    return common_rule(packets(spark, sf_dir), "user_id", ["time_count", "ninput"], "e")
 
 
 def q_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three sources of one capture, joined, with the distances of their first samples."""
     p = packets(spark, sf_dir)
-    a, b, c = p.filter("e % 2 = 0").select(F.col("e").alias("k"), F.col("sample0").alias("s")), p.select(F.col("e").alias("k"), (F.col("sample0") + F.col("e") % 3).alias("v")), p.filter("e % 3 = 0").select(F.col("e").alias("k"), (F.col("sample0") - F.col("e") % 5).alias("h"))
-    out = a.join(b, "k").join(c, "k")
-    return out.select("k", (F.col("v") - F.col("s")).alias("preview_delta"), (F.col("h") - F.col("s")).alias("header_delta"), ((F.col("v") == F.col("s")) & (F.col("h") == F.col("s"))).alias("coherent"))
+    of = lambda keep, less: p.filter(keep).select(F.col("e").alias("k"), (F.col("sample0") - less).alias("sample0"))
+    return paired(of("e % 2 = 0", F.lit(0)), of("true", -(F.col("e") % 3)), of("e % 3 = 0", F.col("e") % 5), "k")
 
 
 def q_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same capture read twice: mismatches by board and the first of them."""
     p = packets(spark, sf_dir)
-    b = p.select("e", F.when(F.col("e") % 77 == 5, F.col("block_index") + 1).otherwise(F.col("block_index")).alias("again"))
-    x = p.join(b, "e").withColumn("bad", F.col("block_index") != F.col("again"))
-    return x.groupBy("board_id").agg(F.count("*").alias("compared"), F.count_if("bad").alias("mismatches"), F.min(F.when(F.col("bad"), F.col("e"))).alias("first"))
+    b = p.select("e", F.when(F.col("e") % 77 == 5, F.col("block_index") + 1).otherwise(F.col("block_index")).alias("block_index"))
+    return compared(p, b, "e", "board_id", "block_index")
 
 
 def q_rebase(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples counted from each board's epoch, its first sample."""
-    p = packets(spark, sf_dir)
-    epoch = p.groupBy("board_id").agg(F.min("sample0").alias("epoch"))
-    return p.join(epoch, "board_id").select("e", delta_mod(F.col("sample0"), F.col("epoch"), 64).alias("observation_sample0"))
+    return rebased(packets(spark, sf_dir), "board_id").select("e", "observation_sample0")
 
 
 def q_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order of sample numbers by board: steps back, repeats and holes."""
-    w = Window.partitionBy("board_id").orderBy("ts", "e")
-    df = packets(spark, sf_dir).withColumn("s", F.col("sample0") - F.when(F.col("e") % 31 == 0, 40_000).otherwise(0)).withColumn("d", F.col("s") - F.lag("s").over(w))
-    return df.groupBy("board_id").agg(F.count_if(F.col("d") < 0).alias("back"), F.count_if(F.col("d") == 0).alias("repeats"), F.count_if(F.col("d") > 2048).alias("holes"))
+    df = packets(spark, sf_dir).withColumn("s", F.col("sample0") - F.when(F.col("e") % 31 == 0, 40_000).otherwise(0))
+    return order_audit(df, "board_id", ["ts", "e"], "s", 2048)
 
 
 QUERIES = {

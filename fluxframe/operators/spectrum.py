@@ -88,7 +88,56 @@ def weighted_slope(df: DataFrame, key: str, x: str, y: str, weight: str) -> Data
     s = df.groupBy(key).agg(F.sum(w).alias("s"), F.sum(w * F.col(x)).alias("sx"), F.sum(w * F.col(y)).alias("sy"), F.sum(w * F.col(x) * F.col(x)).alias("sxx"), F.sum(w * F.col(x) * F.col(y)).alias("sxy"), F.count("*").alias("points")).filter("points >= 2")
     det = F.col("s") * F.col("sxx") - F.col("sx") * F.col("sx")
     slope = F.when(det != 0, (F.col("s") * F.col("sxy") - F.col("sx") * F.col("sy")) / det)
-    return s.select(key, "points", slope.alias("slope")).withColumn("delay", -F.col("slope") / (2 * math.pi))
+    line = s.select(key, "points", slope.alias("slope"), F.when(det != 0, (F.col("sy") - slope * F.col("sx")) / F.col("s")).alias("offset"))
+    return line.withColumn("delay", -F.col("slope") / (2 * math.pi))
+
+
+def slope_residual(df: DataFrame, line: DataFrame, key: str, x: str, y: str, weight: str) -> DataFrame:
+    """line with residual: the weighted root mean square of the points about it; here weights count once."""
+    off = F.col(y) - F.col("slope") * F.col(x) - F.col("offset")
+    left = df.join(line.select(key, "slope", "offset"), key).groupBy(key).agg(F.sqrt(F.sum(off * off * F.col(weight)) / F.sum(weight)).alias("residual"))
+    return line.join(left, key)
+
+
+def coherent_only(df: DataFrame, key: str, least: float = 0.2, points: int = 2) -> DataFrame:
+    """Rows whose coherence is enough; a key that is left with fewer than `points` raises, as no line goes through them."""
+    good = F.coalesce(F.col("coherence") >= least, F.lit(False))
+    kept = df.withColumn("_left", F.count_if(good).over(Window.partitionBy(key)))
+    few = F.raise_error(F.concat(F.lit("fewer than "), F.lit(str(points)), F.lit(" coherent channels of "), F.col(key).cast("string"))).cast("boolean")
+    return kept.filter(F.when(F.col("_left") < points, few).otherwise(good)).drop("_left")
+
+
+def quantisation_order(df: DataFrame, key: str, value: str, order: str) -> DataFrame:
+    """df with place: in what order what rounding leaves is given out, the largest absolute values first, ties in order."""
+    return df.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(F.abs(value).desc(), order)))
+
+
+def thinned(df: DataFrame, key: str, order: str, points: int, first: int = 0) -> DataFrame:
+    """At most about `points` rows a key, every k-th, k the rows over points rounded up, and the first ones besides; k is the
+    row's number."""
+    total = df.groupBy(key).agg(F.count("*").alias("_total"))
+    df = df.join(total, key).withColumn("k", F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1)
+    return df.filter((F.col("k") % F.ceil(F.col("_total") / points) == 0) | (F.col("k") < first)).drop("_total")
+
+
+def in_passband(df: DataFrame, key: str, offset: Column, half: float) -> DataFrame:
+    """Rows within half of a bandwidth of the centre; of a key where none is, all."""
+    inside = F.abs(offset) <= half
+    return df.withColumn("_in", inside).withColumn("_some", F.max("_in").over(Window.partitionBy(key))).filter(F.col("_in") | ~F.col("_some")).drop("_in", "_some")
+
+
+def nearest_point(targets: DataFrame, grid: DataFrame, target: str, at: str) -> DataFrame:
+    """targets with the grid's point next to each, the lower of equals. The grid (small, sorted into one array that is
+    broadcast behind a check of its size) is searched by bisection, so rows don't multiply."""
+    from fluxframe.operators.routes import small
+
+    points = small(grid.select(at).distinct(), 1 << 16).agg(F.array_sort(F.collect_list(at)).alias("_grid"))
+    x = targets.join(F.broadcast(points))
+    # how many points are at most the target, by halving: 17 steps for 2 ** 16 points
+    step = lambda a, k: a + F.pow(F.lit(2), k).cast("int")
+    low = F.aggregate(F.sequence(F.lit(16), F.lit(0)), F.lit(0), lambda a, k: F.when((step(a, k) <= F.size("_grid")) & (F.get("_grid", step(a, k) - 1) <= F.col(target)), step(a, k)).otherwise(a))
+    below, above = F.get("_grid", F.greatest(F.col("_k") - 1, F.lit(0))), F.get("_grid", F.least(F.col("_k"), F.size("_grid") - 1))
+    return x.withColumn("_k", low).withColumn("nearest", F.when(F.abs(F.col(target) - below) <= F.abs(above - F.col(target)), below).otherwise(above)).drop("_grid", "_k")
 
 
 def projection(df: DataFrame, key: str, cycles_per_sample: float) -> DataFrame:
@@ -99,7 +148,8 @@ def projection(df: DataFrame, key: str, cycles_per_sample: float) -> DataFrame:
     x, y = F.col("x") / F.col("m"), F.col("y") / F.col("m")
     power = x * x + y * y
     left = F.sqrt(F.greatest(F.col("z") / F.col("m") - power, F.lit(0.0)))
-    return sums.select(key, F.sqrt(power).alias("amplitude"), F.degrees(F.atan2(y, x)).alias("phase_deg"), (left / F.greatest(F.sqrt(power), F.lit(1.0))).alias("residual"))
+    share = left / F.greatest(F.sqrt(power), F.lit(1.0))
+    return sums.select(key, F.sqrt(power).alias("amplitude"), F.degrees(F.atan2(y, x)).alias("phase_deg"), share.alias("residual"), left.alias("residual_rms"), (20 * F.log10(F.greatest(share, F.lit(1e-12)))).alias("residual_db"))
 
 
 def coherent_phase(phase_deg: Column, sample0: Column, cycles_per_sample: float) -> Column:
@@ -282,14 +332,17 @@ def q_unwrap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_slope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = unwrapped(_cross(spark, sf_dir), "pair", "g", "phase_rad").filter("coherence >= 0.2")
-    return _r(weighted_slope(df, "pair", "g", "unwrapped", "coherence"), "slope", "delay")
+    df = unwrapped(_cross(spark, sf_dir), "pair", "g", "phase_rad")
+    enough = df.groupBy("pair").agg(F.count_if(F.col("coherence") >= 0.2).alias("m")).filter("m >= 2").select("pair")
+    df = coherent_only(df.join(enough, "pair"), "pair")
+    line = weighted_slope(df, "pair", "g", "unwrapped", "coherence")
+    return _r(slope_residual(df, line, "pair", "g", "unwrapped", "coherence"), "slope", "offset", "delay", "residual")
 
 
 def q_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = projection(captures(spark, sf_dir), "capture", TONE)
     df = df.withColumn("coherent_deg", coherent_phase(F.col("phase_deg"), F.col("capture") * 5, TONE))
-    return _r(df, "amplitude", "phase_deg", "residual", "coherent_deg")
+    return _r(df, "amplitude", "phase_deg", "residual", "residual_rms", "residual_db", "coherent_deg")
 
 
 def q_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -334,24 +387,24 @@ def q_db(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_thin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At most 100 points a channel: every k-th sample, k the samples over 100 rounded up; and the first 16 as they came."""
-    df = samples(spark, sf_dir)
-    total = df.groupBy("channel").agg(F.count("*").alias("total"))
-    df = df.join(total, "channel").withColumn("k", F.row_number().over(Window.partitionBy("channel").orderBy("n")) - 1)
-    return df.filter((F.col("k") % F.ceil(F.col("total") / 100) == 0) | (F.col("k") < 16)).select("channel", "n", "k")
+    return thinned(samples(spark, sf_dir), "channel", "n", 100, 16).select("channel", "n", "k")
 
 
 def q_passband(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bins within a bandwidth of the centre; where none is, all."""
-    df = captures(spark, sf_dir).withColumn("f", F.col("n") - 16 + F.col("capture") % 40)
-    inside = F.abs("f") <= 4
-    some = F.max(inside).over(Window.partitionBy("capture"))
-    return df.withColumn("use", inside | ~some).filter("use").groupBy("capture").agg(F.count("*").alias("bins"), F.sum("i").alias("sum_i"))
+    df = captures(spark, sf_dir)
+    return in_passband(df, "capture", F.col("n") - 16 + F.col("capture") % 40, 4).groupBy("capture").agg(F.count("*").alias("bins"), F.sum("i").alias("sum_i"))
 
 
 def q_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The grid point next to each of a capture's targets, the first of equals: an as-of join by arithmetic on an even grid."""
+    """The grid point next to each of a capture's targets, the first of equals, on a grid that is not even."""
     df = captures(spark, sf_dir).withColumn("target", F.col("n") + (F.col("capture") % 10) / 10 + 0.05)
-    return df.select("capture", "n", F.ceil(F.col("target") - 0.5).cast("long").alias("nearest"))
+    grid = captures(spark, sf_dir).select((F.col("n") * F.col("n") / 8.0).alias("at"))
+    return nearest_point(df, grid, "target", "at").select("capture", "n", "nearest")
+
+
+def q_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quantisation_order(captures(spark, sf_dir), "capture", "i", "n").select("capture", "n", "place")
 
 
 def q_fft_peak(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -382,7 +435,7 @@ def q_channelise(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "spec_mean_power": q_spec_mean, "channel_stats": q_channel_stats, "noise_floor_snr": q_noise, "peak_interpolate": q_peak, "coherence": q_coherence, "lag_search": q_lag, "phase_unwrap": q_unwrap, "weighted_slope": q_slope,
     "tone_projection": q_projection, "reference_delta": q_reference, "mean_frequency": q_mean_frequency, "bin_rf": q_bins, "phase_words": q_phase_words, "bandwidth_parse": q_bandwidths, "rf_equivalent": q_rf, "power_db": q_db,
-    "stride_thin": q_thin, "passband_mask": q_passband, "nearest_sample": q_nearest, "fft_peak": q_fft_peak, "resample_lanczos": q_resample, "spectrum_stabiliser": q_stabiliser, "channelise_fft": q_channelise,
+    "stride_thin": q_thin, "residual_order": q_order, "passband_mask": q_passband, "nearest_sample": q_nearest, "fft_peak": q_fft_peak, "resample_lanczos": q_resample, "spectrum_stabiliser": q_stabiliser, "channelise_fft": q_channelise,
 }
 
 _PAIR = """x AS (SELECT a.capture // 2 AS pair, a.n, a.n // 4 AS g, a.i AS ai, a.q AS aq, b.i AS bi, b.q AS bq FROM captures a JOIN captures b ON a.capture % 2 = 0 AND b.capture = a.capture + 1 AND a.n = b.n)"""
@@ -394,7 +447,7 @@ _CROSS = _PAIR + f", s AS (SELECT pair, g, {_SUMS} FROM x GROUP BY pair, g), c A
 _POWER = "p AS (SELECT capture, n AS bin, i * i + q * q AS power FROM captures), t AS (SELECT capture, arg_min(bin, (-power, bin)) AS peak_bin, max(power) AS peak_power FROM p GROUP BY capture)"
 _T = f"2 * pi() * ((n * {TONE}) % 1.0)"
 _PROJ = f"""s AS (SELECT capture, count(*) AS m, sum(i * cos({_T}) + q * sin({_T})) AS x, sum(q * cos({_T}) - i * sin({_T})) AS y, sum(i * i + q * q) AS z FROM captures GROUP BY capture),
- pr AS (SELECT capture, sqrt((x / m) ** 2 + (y / m) ** 2) AS amplitude, degrees(atan2(y / m, x / m)) AS phase_deg, sqrt(greatest(z / m - ((x / m) ** 2 + (y / m) ** 2), 0.0)) / greatest(sqrt((x / m) ** 2 + (y / m) ** 2), 1.0) AS residual FROM s)"""
+ pr AS (SELECT capture, sqrt((x / m) ** 2 + (y / m) ** 2) AS amplitude, degrees(atan2(y / m, x / m)) AS phase_deg, sqrt(greatest(z / m - ((x / m) ** 2 + (y / m) ** 2), 0.0)) / greatest(sqrt((x / m) ** 2 + (y / m) ** 2), 1.0) AS residual, sqrt(greatest(z / m - ((x / m) ** 2 + (y / m) ** 2), 0.0)) AS rms FROM s)"""
 
 
 def _wrap(x: str) -> str:
@@ -441,9 +494,10 @@ SQL = {
         s AS (SELECT a.capture, l.lag, sum(a.i * b.i + a.q * b.q) AS re, sum(a.q * b.i - a.i * b.q) AS im, count(*) AS m FROM a, (SELECT unnest(range(-6, 7)) AS lag) l JOIN a b ON b.capture = a.capture AND b.n + b.moved = a.n + l.lag GROUP BY ALL HAVING count(*) >= 8),
         z AS (SELECT *, re::DOUBLE * re + im::DOUBLE * im AS size FROM s)""", "SELECT capture, arg_min(lag, (-size, lag))::INTEGER AS lag, round(sqrt(max(size)), 3) AS size FROM z GROUP BY capture"),
     "phase_unwrap": _over("captures", _CROSS, "SELECT pair, g, round(unwrapped, 6) + 0.0 AS unwrapped FROM u"),
-    "weighted_slope": _over("captures", _CROSS, """SELECT pair, points, round(slope, 6) + 0.0 AS slope, round(-slope / (2 * pi()), 6) + 0.0 AS delay FROM (SELECT pair, count(*) AS points,
-        (sum(w) * sum(w * g * unwrapped) - sum(w * g) * sum(w * unwrapped)) / (sum(w) * sum(w * g * g) - sum(w * g) ** 2) AS slope FROM (SELECT *, coherence ** 2 AS w FROM u WHERE coherence >= 0.2) GROUP BY pair HAVING count(*) >= 2)"""),
-    "tone_projection": _over("captures", _PROJ, f"SELECT capture, round(amplitude, 6) AS amplitude, round(phase_deg, 6) + 0.0 AS phase_deg, round(residual, 6) AS residual, round({_wrap(f'phase_deg - 360 * ((capture * 5 * {TONE}) % 1.0)')}, 6) + 0.0 AS coherent_deg FROM pr"),
+    "weighted_slope": _over("captures", _CROSS, """SELECT pair, any_value(points) AS points, round(any_value(slope), 6) + 0.0 AS slope, round(any_value(c0), 6) + 0.0 AS "offset", round(-any_value(slope) / (2 * pi()), 6) + 0.0 AS delay, round(sqrt(sum(coherence * (unwrapped - slope * g - c0) ** 2) / sum(coherence)), 6) + 0.0 AS residual
+        FROM u JOIN (SELECT *, (sy - slope * sx) / sw AS c0 FROM (SELECT pair, count(*) AS points, sum(w) AS sw, sum(w * g) AS sx, sum(w * unwrapped) AS sy,
+        (sum(w) * sum(w * g * unwrapped) - sum(w * g) * sum(w * unwrapped)) / (sum(w) * sum(w * g * g) - sum(w * g) ** 2) AS slope FROM (SELECT *, coherence ** 2 AS w FROM u WHERE coherence >= 0.2) GROUP BY pair HAVING count(*) >= 2)) USING (pair) WHERE coherence >= 0.2 GROUP BY pair"""),
+    "tone_projection": _over("captures", _PROJ, f"SELECT capture, round(amplitude, 6) AS amplitude, round(phase_deg, 6) + 0.0 AS phase_deg, round(residual, 6) AS residual, round(rms, 6) AS residual_rms, round(20 * log10(greatest(residual, 1e-12)), 6) + 0.0 AS residual_db, round({_wrap(f'phase_deg - 360 * ((capture * 5 * {TONE}) % 1.0)')}, 6) + 0.0 AS coherent_deg FROM pr"),
     "reference_delta": _over("captures", _PROJ, f"""SELECT "set", channel, round(phase_deg, 6) + 0.0 AS phase_deg, round({_wrap('phase_deg - ref')}, 6) + 0.0 AS delta_deg FROM (SELECT *, max(phase_deg) FILTER (channel = 2) OVER (PARTITION BY "set") AS ref FROM (SELECT capture // 8 AS "set", (capture % 8)::INTEGER AS channel, phase_deg FROM pr) WHERE channel <> 2 OR "set" % 3 <> 0)"""),
     "mean_frequency": sql("captures", """SELECT capture, round(hz, 3) AS hz, pairs, (CASE WHEN abs(-round(hz, 3) - 20e6) < abs(round(hz, 3) - 20e6) THEN -1 ELSE 1 END)::INTEGER AS flip FROM (SELECT capture, CASE WHEN count(*) >= 4 THEN sum(atan2(im, re) * sqrt(re * re + im * im)) / sum(sqrt(re * re + im * im)) / (2 * pi()) * 245.76e6 END AS hz, count(*) AS pairs
         FROM (SELECT capture, n, n - lag(n) OVER w AS step, i, q, i::DOUBLE * lag(i) OVER w + q::DOUBLE * lag(q) OVER w AS re, q::DOUBLE * lag(i) OVER w - i::DOUBLE * lag(q) OVER w AS im FROM captures WINDOW w AS (PARTITION BY capture ORDER BY n)) WHERE step = 1 AND i * i + q * q >= 1000000 GROUP BY capture)"""),
@@ -455,7 +509,8 @@ SQL = {
     "power_db": sql("samples", "SELECT channel, n, round(db, 6) AS db, round(10 * log10(greatest(10 ** (db / 10), 1e-24)), 6) AS again FROM (SELECT channel, n, 10 * log10(greatest((i::BIGINT * i + q::BIGINT * q)::DOUBLE, 1.0)) AS db FROM samples)"),
     "stride_thin": sql("samples", "SELECT channel, n, k::INTEGER AS k FROM (SELECT channel, n, row_number() OVER (PARTITION BY channel ORDER BY n) - 1 AS k, count(*) OVER (PARTITION BY channel) AS total FROM samples) WHERE k % ceil(total / 100) = 0 OR k < 16"),
     "passband_mask": sql("captures", "SELECT capture, count(*) AS bins, sum(i)::BIGINT AS sum_i FROM (SELECT *, abs(n - 16 + capture % 40) <= 4 AS inside, bool_or(abs(n - 16 + capture % 40) <= 4) OVER (PARTITION BY capture) AS any_inside FROM captures) WHERE inside OR NOT any_inside GROUP BY capture"),
-    "nearest_sample": sql("captures", "SELECT c.capture, c.n, arg_min(g.k, (abs(c.n + c.capture % 10 / 10 + 0.05 - g.k), g.k)) AS nearest FROM captures c, (SELECT unnest(range(34)) AS k) g GROUP BY ALL"),
+    "nearest_sample": sql("captures", "SELECT c.capture, c.n, arg_min(g.k, (abs(c.n + c.capture % 10 / 10 + 0.05 - g.k), g.k)) AS nearest FROM captures c, (SELECT unnest(range(32)) ** 2 / 8.0::DOUBLE AS k) g GROUP BY ALL"),
+    "residual_order": sql("captures", "SELECT capture, n, row_number() OVER (PARTITION BY capture ORDER BY abs(i) DESC, n)::INTEGER AS place FROM captures"),
 }
 
 
