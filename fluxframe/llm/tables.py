@@ -3,6 +3,7 @@ shared folder."""
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterable
 
@@ -18,10 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. Without it there is none that all executors are known to reach, so this raises."""
+    """The folder of spark.checkpoint.dir. Where that is unset, a local session (tests) gets a temporary folder, as its one
+    machine shares it with itself; on a cluster there is none that all executors are known to reach, so this raises."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='fluxframe-')}")
+        base = spark.sparkContext.getCheckpointDir()
     return base.rstrip("/")
 
 
