@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from fluxframe.functions.signal import rf_equivalent, wrap_degrees
 from fluxframe.operators.dsp import tones_sql
-from fluxframe.operators.spectrum import TONE, _over, _PROJ, _r, _wrap, channel_statistics, coherent_phase, projection, spectra, spectrum_sql, to_reference, unwrapped
-from fluxframe.plans.views import captures, packets, samples, sql
+from fluxframe.operators.spectrum import TONE, _over, _PROJ, _r, _wrap, channel_statistics, coherent_phase, projection, spectra, spectrum_sql, square, to_reference, unwrapped
+from fluxframe.plans.views import captures, packets, samples, sql, stepped
+from fluxframe.streaming.receiver import run_batch
 
 
 def aligned_phase(df: DataFrame, key: str, channel: str, cycles_per_sample: float, configured: Column, anchor_deg: float, reference: int) -> DataFrame:
@@ -49,6 +50,67 @@ def raw_spectrum(df: DataFrame, key: str, rate_hz: float, size: int | None = Non
     return df.select(key, "n", "i", "q").groupBy(key).applyInPandas(one, f"{key} {kind}, bin int, display_bin int, frequency_hz double, amplitude double")
 
 
+def payload_metrics(df: DataFrame, rate_hz: float, cycles_per_sample: float, configured_deg: Column, anchor_deg: float = 0.0) -> DataFrame:
+    """What a captured payload (capture, sample0, n, i, q) tells of its tone: the phase measured, moved to the epoch and against
+    the configured one and the anchor; amplitude, rms and largest part; what the tone leaves, as rms, share and dB; the
+    strongest frequency between bins and its ratio to the median of the others; and whether it is clipped."""
+    base = df.groupBy("capture").agg(F.min("sample0").alias("sample0"), F.count("*").alias("samples"), F.sqrt(F.avg(square().cast("double"))).alias("rms"), F.max(F.greatest(F.abs("i"), F.abs("q"))).alias("largest"))
+    tone = projection(df, "capture", cycles_per_sample)
+    s = spectra(df, "capture", rate_hz, "payload").withColumn("power", F.pow(F.lit(10.0), F.col("dbfs") / 10))
+    top = s.groupBy("capture").agg(F.min(F.struct((-F.round("dbfs", 6)).alias("d"), "bin")).alias("m"), F.count("*").alias("size")).select("capture", F.col("m.bin").alias("peak"), "size")
+    s = s.join(top, "capture")
+    at = lambda k: F.max(F.when(F.col("bin") == F.col("peak") + k, F.col("dbfs")))
+    guard = F.greatest(F.lit(2), F.floor(F.col("size") / 128))
+    s = s.groupBy("capture").agg(F.max(F.when(F.col("bin") == F.col("peak"), F.col("frequency_hz"))).alias("hz"), at(-1).alias("a"), at(0).alias("b"), at(1).alias("c"), F.max("size").alias("size"), F.percentile(F.when(F.abs(F.col("bin") - F.col("peak")) > guard, F.col("dbfs")), F.lit(0.5)).alias("noise"))
+    bend = F.col("a") - 2 * F.col("b") + F.col("c")
+    shift = F.when(F.col("a").isNull() | F.col("c").isNull() | (bend == 0), F.lit(0.0)).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (F.col("a") - F.col("c")) / 2 / bend)))
+    s = s.select("capture", (F.col("hz") + shift * rate_hz / F.col("size")).alias("peak_hz"), (F.col("b") - F.col("noise")).alias("snr_db"))
+    out = base.join(tone, "capture").join(s, "capture").withColumn("aligned_deg", coherent_phase(F.col("phase_deg"), F.col("sample0"), cycles_per_sample))
+    return out.withColumns({"error_deg": wrap_degrees(F.col("aligned_deg") - configured_deg - anchor_deg), "clipped": F.col("largest") >= 32760})
+
+
+def file_digests(spark: SparkSession, path: str) -> DataFrame:
+    """Files under a path by name: name, bytes, sha256, sha1."""
+    files = spark.read.format("binaryFile").load(path)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), F.sha1("content").alias("sha1")).orderBy("name")
+
+
+class CoefficientBank:
+    """A double-buffered coefficient table, as a machine over its commands: start (refused while enabled, or unless four taps are
+    asked for), write (refused unless loading), abort, and commit (refused while enabled or before the table is full). A commit
+    puts the loaded table in force; a refusal sets an error and counts it. Checksums are sums modulo 2 ** 32."""
+
+    START = {"loading": False, "full": False, "loaded": 0, "sum": 0, "id": None, "bank": 0, "active_id": None, "active_sum": None, "error": False, "errors": 0}
+
+    def __init__(self, size: int = 16384, taps: int = 4, state: dict | None = None) -> None:
+        self.size, self.taps = size, taps
+        self.s = state or dict(self.START)
+
+    def feed(self, e: dict) -> list[dict]:
+        s, what = self.s, e["command"]
+        refused = {"start": e["enabled"] or e["taps"] != self.taps, "write": not s["loading"], "commit": e["enabled"] or not s["full"]}.get(what, False)
+        if refused:
+            s.update(error=True, errors=s["errors"] + 1)
+        elif what == "start":
+            s.update(loading=True, full=False, loaded=0, sum=0, id=e["id"], error=False)
+        elif what == "abort":
+            s.update(loading=False, full=False)
+        elif what == "write":
+            s.update(loaded=s["loaded"] + 1, sum=(s["sum"] + e["value"]) % (1 << 32), full=s["full"] or s["loaded"] + 1 == self.size)
+        elif what == "commit":
+            s.update(loading=False, full=False, bank=1 - s["bank"], active_id=s["id"], active_sum=s["sum"], error=False)
+        return [{"e": e["e"], "active_id": s["active_id"], "active_sum": s["active_sum"], "error": s["error"], "errors": s["errors"]}]
+
+
+def patched(config: DataFrame, patches: DataFrame, key: str, order: str, fields: list[str]) -> DataFrame:
+    """Each configuration (key, generation, fields) after its patches (key, order, fields, null: as it was): the last value given
+    to each field, a generation more for each patch, and cleared: whether previews shown before are to go."""
+    last = [F.max_by(F.when(F.col(f).isNotNull(), F.col(f)), F.when(F.col(f).isNotNull(), F.col(order))).alias(f"_{f}") for f in fields]
+    p = patches.groupBy(key).agg(F.count("*").alias("_n"), *last)
+    out = config.join(p, key, "left").withColumns({f: F.coalesce(F.col(f"_{f}"), F.col(f)) for f in fields})
+    return out.withColumns({"generation": F.col("generation") + F.coalesce("_n", F.lit(0)), "cleared": F.coalesce("_n", F.lit(0)) > 0}).drop("_n", *(f"_{f}" for f in fields))
+
+
 def two_tones(df: DataFrame, key: str, a: float, b: float) -> DataFrame:
     """Share of the power of i that cosines and sines of one frequency and a constant explain, for two frequencies; the
     better one's number. Sums and the closed form of a fit of two columns."""
@@ -126,6 +188,29 @@ def q_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _r(_r(out, "measured_deg", "coherent_deg", "residual"), "peak_hz", places=3)
 
 
+def q_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = captures(spark, sf_dir).withColumn("sample0", F.col("capture") * 5)
+    out = payload_metrics(df, 245.76e6, TONE, F.col("capture") % 360, 15.0)
+    out = _r(_r(out, "rms", "phase_deg", "aligned_deg", "error_deg", "amplitude", "residual_rms", "residual_db", "snr_db", places=5), "peak_hz", places=0)
+    return out.select("capture", "samples", "largest", "rms", "phase_deg", "aligned_deg", "error_deg", "amplitude", "residual_rms", "residual_db", "peak_hz", "snr_db", "clipped")
+
+
+def q_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commands to each board's table of 4 coefficients."""
+    kinds = F.array(*map(F.lit, ["start", "write", "write", "write", "write", "commit", "write", "abort", "commit"]))
+    df = packets(spark, sf_dir).withColumn("k", F.row_number().over(Window.partitionBy("board_id").orderBy("e")) - 1)
+    df = df.select("board_id", "e", F.get(kinds, (F.col("k") % 9).cast("int")).alias("command"), (F.col("k") % 17 == 5).alias("enabled"), F.when(F.col("k") % 63 == 18, 8).otherwise(4).alias("taps"), F.col("e").alias("id"), (F.col("e") * 7919 % 100_000 - 50_000).alias("value"))
+    return run_batch(df, "board_id", "e", lambda s: CoefficientBank(4, state=s), "key int, e long, active_id long, active_sum long, error boolean, errors long").withColumnRenamed("key", "board_id")
+
+
+def q_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patches of settings of each user but every tenth."""
+    p = packets(spark, sf_dir)
+    config = p.select("user_id").distinct().select("user_id", F.lit(1).cast("long").alias("generation"), F.lit(512).cast("long").alias("points"), F.lit("dual").alias("view"))
+    patches = p.filter("user_id % 10 <> 0").select("user_id", "e", F.when(F.col("e") % 3 == 0, F.col("e") % 5000).alias("points"), F.when(F.col("e") % 5 == 0, F.concat(F.lit("v"), (F.col("e") % 7).cast("string"))).alias("view"))
+    return patched(config, patches, "user_id", "e", ["points", "view"])
+
+
 def q_raw_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _r(raw_spectrum(captures(spark, sf_dir), "capture", 245.76e6), "amplitude", "frequency_hz", places=3)
 
@@ -172,7 +257,7 @@ def q_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "aligned_phase": q_aligned, "phase_provenance": q_provenance, "raw_spectrum": q_raw_spectrum, "debug_fft_peak": q_debug_peak, "two_tone_fit": q_two_tones, "source_phase": q_source_phase, "kernel_range_join": q_kernel,
+    "payload_metrics": q_payload, "coefficient_bank": q_bank, "config_patches": q_patches, "aligned_phase": q_aligned, "phase_provenance": q_provenance, "raw_spectrum": q_raw_spectrum, "debug_fft_peak": q_debug_peak, "two_tone_fit": q_two_tones, "source_phase": q_source_phase, "kernel_range_join": q_kernel,
     "waveform_build": q_waveforms, "preview_slice": q_preview_slice, "version_in_force": q_versions,
 }
 
@@ -192,7 +277,26 @@ _DEBUG = """s AS (SELECT channel, i, q, n - first AS n, least(1024, total) AS m
     f AS (SELECT channel, k, sum(i * cos(2 * pi() * (n * k % m) / m) + q * sin(2 * pi() * (n * k % m) / m)) / any_value(m) AS re, sum(q * cos(2 * pi() * (n * k % m) / m) - i * sin(2 * pi() * (n * k % m) / m)) / any_value(m) AS im FROM s, (SELECT unnest(range(1024)) AS k) WHERE k < m GROUP BY channel, k),
     a AS (SELECT channel, k, round(sqrt(re * re + im * im), 5) AS amplitude FROM f)"""
 
+_BANK = """ev AS (SELECT *, ['start', 'write', 'write', 'write', 'write', 'commit', 'write', 'abort', 'commit'][k % 9 + 1] AS command, k % 17 = 5 AS enabled, CASE WHEN k % 63 = 18 THEN 8 ELSE 4 END AS taps, e * 7919 % 100000 - 50000 AS value
+        FROM (SELECT board_id, e, row_number() OVER (PARTITION BY board_id ORDER BY e) - 1 AS k FROM packets)),
+    r AS (
+        SELECT board_id, -1::BIGINT AS k, NULL::BIGINT AS e, false AS loading, 0 AS loaded, 0::BIGINT AS total, NULL::BIGINT AS id, NULL::BIGINT AS active_id, NULL::BIGINT AS active_sum, false AS error, 0::BIGINT AS errors FROM ev WHERE k = 0
+        UNION ALL
+        SELECT board_id, k, e, CASE WHEN refused THEN loading WHEN command = 'start' THEN true WHEN command IN ('abort', 'commit') THEN false ELSE loading END, CASE WHEN refused THEN loaded WHEN command IN ('start', 'abort', 'commit') THEN 0 ELSE loaded + 1 END,
+            CASE WHEN refused THEN total WHEN command = 'start' THEN 0 WHEN command = 'write' THEN ((total + value) % 4294967296 + 4294967296) % 4294967296 ELSE total END, CASE WHEN command = 'start' AND NOT refused THEN e ELSE id END,
+            CASE WHEN command = 'commit' AND NOT refused THEN id ELSE active_id END, CASE WHEN command = 'commit' AND NOT refused THEN total ELSE active_sum END, CASE WHEN refused THEN true WHEN command IN ('start', 'commit') THEN false ELSE error END, errors + refused::INTEGER
+        FROM (SELECT ev.board_id, ev.k, ev.e, command, value, loading, loaded, total, id, active_id, active_sum, error, errors,
+            CASE command WHEN 'start' THEN enabled OR taps <> 4 WHEN 'write' THEN NOT loading WHEN 'commit' THEN enabled OR loaded < 4 ELSE false END AS refused FROM r JOIN ev ON ev.board_id = r.board_id AND ev.k = r.k + 1)
+    )"""
+_PAYLOAD = _PROJ + ", " + spectrum_sql() + f""", bs AS (SELECT capture, count(*) AS samples, max(greatest(abs(i), abs(q))) AS largest, sqrt(avg((i * i + q * q)::DOUBLE)) AS rms FROM captures GROUP BY capture),
+    tp AS (SELECT capture, arg_min(bin, (-round(dbfs, 6), bin)) AS peak FROM z GROUP BY capture),
+    ns AS (SELECT capture, max(frequency_hz) FILTER (bin = peak) AS hz, max(dbfs) FILTER (bin = peak - 1) AS a, max(dbfs) FILTER (bin = peak) AS b, max(dbfs) FILTER (bin = peak + 1) AS c, median(dbfs) FILTER (abs(bin - peak) > 2) AS noise FROM z JOIN tp USING (capture) GROUP BY capture),
+    al AS (SELECT *, {_wrap(f'phase_deg - 360 * ((capture * 5 * {TONE}) % 1.0)')} AS aligned FROM pr)"""
+
 SQL = {
+    "payload_metrics": _over("captures", _PAYLOAD, f"SELECT capture, samples, largest, round(bs.rms, 5) AS rms, round(phase_deg, 5) + 0.0 AS phase_deg, round(aligned, 5) + 0.0 AS aligned_deg, round({_wrap('aligned - capture % 360 - 15')}, 5) + 0.0 AS error_deg, round(amplitude, 5) AS amplitude, round(al.rms, 5) AS residual_rms, round(20 * log10(greatest(residual, 1e-12)), 5) + 0.0 AS residual_db, round(hz + CASE WHEN a IS NULL OR c IS NULL OR a - 2 * b + c = 0 THEN 0.0 ELSE greatest(-1.0, least(1.0, (a - c) / 2 / (a - 2 * b + c))) END * 960000.0::DOUBLE, 0) + 0.0 AS peak_hz, round(b - noise, 5) AS snr_db, largest >= 32760 AS clipped FROM al JOIN bs USING (capture) JOIN ns USING (capture)"),
+    "coefficient_bank": stepped("packets", _BANK, "SELECT board_id, e, active_id, active_sum, error, errors FROM r WHERE k >= 0"),
+    "config_patches": sql("packets", "SELECT u.user_id, 1 + coalesce(n, 0) AS generation, coalesce(p.points, 512) AS points, coalesce(p.view, 'dual') AS view, coalesce(n, 0) > 0 AS cleared FROM (SELECT DISTINCT user_id FROM packets) u LEFT JOIN (SELECT user_id, count(*) AS n, arg_max(e % 5000, e) FILTER (e % 3 = 0) AS points, arg_max('v' || e % 7, e) FILTER (e % 5 = 0) AS view FROM packets WHERE user_id % 10 <> 0 GROUP BY user_id) p USING (user_id)"),
     "phase_provenance": _over("captures", _PROJ + ", " + spectrum_sql() + ", top AS (SELECT capture, arg_min(frequency_hz, (-round(dbfs, 6), bin)) AS peak_hz FROM z GROUP BY capture)", f"SELECT capture, capture % 360 AS configured_deg, round(phase_deg, 6) + 0.0 AS measured_deg, round({_wrap(f'phase_deg - 360 * ((capture * 5 * {TONE}) % 1.0)')}, 6) + 0.0 AS coherent_deg, peak_hz, round(residual, 6) AS residual FROM pr JOIN top USING (capture)"),
     "raw_spectrum": _over("captures", _RAW, "SELECT capture, k::INTEGER AS bin, least(k, 32 - k)::INTEGER AS display_bin, (CASE WHEN k < 16 THEN k ELSE k - 32 END) * 7680000.0::DOUBLE AS frequency_hz, round(sqrt(re * re + im * im), 3) AS amplitude FROM f"),
     "debug_fft_peak": _over("samples", _DEBUG, "SELECT channel, arg_min(k, (-amplitude, k))::INTEGER AS bin, round(max(amplitude), 3) AS amplitude FROM a GROUP BY channel"),

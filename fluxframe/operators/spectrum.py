@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from fluxframe.functions.signal import amplitude_code, bandwidth_mhz, bin_rf_hz, decimation, from_db, nearest_bin, nearest_bin_half_up, next_power_of_two, phase0_word, phase_word, power_db, rf_equivalent, sample_rate_hz, samples_per_cycle, to_db, wrap_degrees
 from fluxframe.plans.views import captures, packets, samples, sql, stepped
+from fluxframe.streaming.receiver import run_batch
 
 FFT_LIMITS = {"scope": (4096, 1 << 20), "observation": (16, 32768), "provenance": (16, 65536), "payload": (16, 65536)}
 
@@ -242,44 +243,50 @@ def resample(df: DataFrame, key: str, points: int, radius: int = 12) -> DataFram
 
 
 class Stabiliser:
-    """A display's smoothed spectrum. A frame is taken if it isn't clipped, has enough SNR, and its peak and levels are near
-    the frame taken before on the same axis; taken frames are averaged in power with weight alpha; refused ones show the
-    last average, and change nothing. A change of axis starts afresh."""
+    """A display's smoothed spectrum, as a machine over its frames. A frame is taken if it isn't clipped, has enough SNR, and its
+    peak and levels are near those of the frame taken before on the same axis; of frames taken, spectrum and rms are averaged in
+    power with weight alpha (the newest alone without smoothing), and the peak shown is the frame's place in the average. A frame
+    that is refused shows what was shown last, or itself if nothing was, and changes nothing. A change of axis starts afresh."""
 
-    def __init__(self, alpha: float = 0.25, min_snr_db: float = 10, peak_jump_mhz: float = 2, level_jump_db: float = 6) -> None:
-        self.alpha, self.min_snr, self.peak_jump, self.level_jump = alpha, min_snr_db, peak_jump_mhz, level_jump_db
-        self.reset()
+    def __init__(self, alpha: float = 0.25, min_snr_db: float = 10, peak_jump_mhz: float = 2, level_jump_db: float = 6, smoothing: bool = True, state: dict | None = None) -> None:
+        self.alpha, self.smoothing = min(1.0, max(0.0, alpha)), smoothing
+        self.min_snr, self.peak_jump, self.level_jump = min_snr_db, peak_jump_mhz, level_jump_db
+        self.s = state or {}
 
     def reset(self) -> None:
-        self.axis = self.power = self.last = None
+        self.s.clear()
 
-    def update(self, axis_mhz: np.ndarray, dbfs: np.ndarray, peak_mhz: float, peak_dbfs: float, rms_dbfs: float, snr_db: float, clipped: bool) -> tuple[np.ndarray, list[str]]:
-        power = 10 ** (np.asarray(dbfs, float) / 10)
-        axis = (len(axis_mhz), round(float(axis_mhz[0]), 9), round(float(axis_mhz[-1]), 9)) if len(axis_mhz) else (0, 0, 0)
-        same = self.axis == axis
-        why = [w for bad, w in ((clipped, "clipped"), (snr_db < self.min_snr, "snr")) if bad]
+    def feed(self, f: dict) -> list[dict]:
+        s, axis, power = self.s, np.asarray(f["axis_mhz"], float), 10 ** (np.asarray(f["dbfs"], float) / 10)
+        ends = [len(axis), *(round(float(x), 9) for x in axis[[0, -1]])] if len(axis) else [0]
+        same = s.get("ends") == ends
+        why = [w for bad, w in ((f["clipped"], "clipped"), (f["snr_db"] < self.min_snr, "snr")) if bad]
         if same:
-            jumps = ((peak_mhz, self.peak_jump, "peak_jump"), (peak_dbfs, self.level_jump, "amp_jump"), (rms_dbfs, self.level_jump, "rms_jump"))
-            why += [w for (now, most, w), was in zip(jumps, self.last, strict=True) if abs(now - was) > most]
-        if not why:
-            self.power = self.alpha * power + (1 - self.alpha) * self.power if same else power
-            self.axis, self.last = axis, (peak_mhz, peak_dbfs, rms_dbfs)
-        shown = self.power if same or not why else power
-        return 10 * np.log10(np.maximum(shown, 1e-24)), why
+            far = {"peak_mhz": (self.peak_jump, "peak_jump"), "peak_dbfs": (self.level_jump, "amp_jump"), "rms_dbfs": (self.level_jump, "rms_jump")}
+            why += [w for c, (most, w) in far.items() if abs(f[c] - s["taken"][c]) > most]
+        told = {"frame": f["frame"], "accepted": not why, "reason": ",".join(why)}
+        if why:
+            if same:
+                return [told | s["shown"]]
+            return [told | {"display_dbfs": [float(x) for x in f["dbfs"]], "display_peak_mhz": f["peak_mhz"], "display_peak_dbfs": f["peak_dbfs"], "display_rms_dbfs": f["rms_dbfs"]}]
+        rms = 10 ** (f["rms_dbfs"] / 10)
+        if same and self.smoothing:
+            power, rms = self.alpha * power + (1 - self.alpha) * np.asarray(s["power"]), self.alpha * rms + (1 - self.alpha) * s["rms"]
+        db = 10 * np.log10(np.maximum(power, 1e-24))
+        peak = float(db[np.abs(axis - f["peak_mhz"]).argmin()]) if len(axis) else f["peak_dbfs"]
+        shown = {"display_dbfs": db.tolist(), "display_peak_mhz": f["peak_mhz"], "display_peak_dbfs": peak, "display_rms_dbfs": 10 * math.log10(max(rms, 1e-24))}
+        s.update(ends=ends, power=power.tolist(), rms=rms, taken={c: f[c] for c in ("peak_mhz", "peak_dbfs", "rms_dbfs")}, shown=shown)
+        return [told | shown]
+
+
+STABILISED = "channel int, frame long, display_dbfs array<double>, display_peak_mhz double, display_peak_dbfs double, display_rms_dbfs double, accepted boolean, reason string"
 
 
 def stabilised(frames: DataFrame, **settings) -> DataFrame:
     """Frames (channel, frame, axis_mhz, dbfs: arrays, peak_mhz, peak_dbfs, rms_dbfs, snr_db, clipped) in order through one
-    Stabiliser a channel."""
-
-    def one(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        state, rows = Stabiliser(**settings), []
-        for r in pdf.sort_values("frame").itertuples():
-            shown, why = state.update(np.asarray(r.axis_mhz), np.asarray(r.dbfs), r.peak_mhz, r.peak_dbfs, r.rms_dbfs, r.snr_db, r.clipped)
-            rows.append((k[0], r.frame, shown, not why, ",".join(why)))
-        return pd.DataFrame(rows, columns=["channel", "frame", "display_dbfs", "accepted", "reason"])
-
-    return frames.groupBy("channel").applyInPandas(one, "channel int, frame long, display_dbfs array<double>, accepted boolean, reason string")
+    Stabiliser a channel, with one frame and one state in memory."""
+    out = run_batch(frames, "channel", "frame", lambda s: Stabiliser(**settings, state=s), STABILISED.replace("channel int", "key int", 1))
+    return out.withColumnRenamed("key", "channel")
 
 
 TONE = 3 / 32
@@ -423,7 +430,8 @@ def q_stabiliser(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = p.groupBy("capture").agg(F.array_sort(F.collect_list(F.struct("n", "db"))).alias("x"), F.max("db").alias("peak_dbfs"), F.avg("db").alias("rms_dbfs"), F.max_by("n", F.struct("db", -F.col("n"))).alias("peak"))
     f = f.select((F.col("capture") % 4).cast("int").alias("channel"), F.col("capture").alias("frame"), F.transform("x", lambda v: v["n"].cast("double")).alias("axis_mhz"), F.transform("x", lambda v: v["db"]).alias("dbfs"), (F.col("peak") / 8.0).alias("peak_mhz"), "peak_dbfs", "rms_dbfs", (F.col("peak_dbfs") - F.col("rms_dbfs") + 5).alias("snr_db"), F.lit(False).alias("clipped"))
     total = F.aggregate("display_dbfs", F.lit(0.0), lambda a, b: a + b)
-    return stabilised(f).select("channel", "frame", F.round(total, 4).alias("display_sum"), F.round(F.array_max("display_dbfs"), 4).alias("display_peak"), "accepted", "reason")
+    shown = [F.round(c, 4).alias(c) for c in ("display_peak_mhz", "display_peak_dbfs", "display_rms_dbfs")]
+    return stabilised(f).select("channel", "frame", F.round(total, 4).alias("display_sum"), *shown, "accepted", "reason")
 
 
 def q_channelise(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -470,12 +478,13 @@ _STABLE = """p AS (SELECT capture, n, 10 * log10(greatest((i::BIGINT * i + q::BI
     fr AS (SELECT capture, capture % 4 AS channel, list(10 ** (db / 10) ORDER BY n) AS power, max(db) AS pk, avg(db) AS rms, arg_min(n, (-db, n)) / 8.0::DOUBLE AS pm FROM p GROUP BY capture),
     ev AS (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY capture) AS m FROM fr),
     r AS (
-        SELECT channel, 0::BIGINT AS m, NULL::BIGINT AS capture, NULL::DOUBLE[] AS held, NULL::DOUBLE AS lpm, NULL::DOUBLE AS lpk, NULL::DOUBLE AS lrms, NULL::DOUBLE[] AS shown, '' AS why FROM ev WHERE m = 1
+        SELECT channel, 0::BIGINT AS m, NULL::BIGINT AS capture, NULL::DOUBLE[] AS held, NULL::DOUBLE AS lpm, NULL::DOUBLE AS lpk, NULL::DOUBLE AS lrms, NULL::DOUBLE AS hrms, NULL::DOUBLE[] AS shown, NULL::DOUBLE AS spm, NULL::DOUBLE AS spk, NULL::DOUBLE AS srms, '' AS why FROM ev WHERE m = 1
         UNION ALL
-        SELECT channel, m, capture, CASE WHEN why = '' THEN fresh ELSE held END, CASE WHEN why = '' THEN pm ELSE lpm END, CASE WHEN why = '' THEN pk ELSE lpk END, CASE WHEN why = '' THEN rms ELSE lrms END, CASE WHEN why = '' THEN fresh ELSE coalesce(held, power) END, why FROM (
-            SELECT *, CASE WHEN held IS NULL THEN power ELSE list_transform(list_zip(power, held), lambda x: 0.25 * x[1] + 0.75 * x[2]) END AS fresh,
+        SELECT channel, m, capture, CASE WHEN why = '' THEN fresh ELSE held END, CASE WHEN why = '' THEN pm ELSE lpm END, CASE WHEN why = '' THEN pk ELSE lpk END, CASE WHEN why = '' THEN rms ELSE lrms END, CASE WHEN why = '' THEN frms ELSE hrms END, CASE WHEN why = '' THEN fresh ELSE coalesce(held, power) END,
+            CASE WHEN why = '' THEN pm ELSE coalesce(spm0, pm) END, CASE WHEN why = '' THEN 10 * log10(greatest(fresh[least(31, floor(pm + 0.499999)::INTEGER) + 1], 1e-24)) ELSE coalesce(spk0, pk) END, CASE WHEN why = '' THEN 10 * log10(greatest(frms, 1e-24)) ELSE coalesce(srms0, rms) END, why FROM (
+            SELECT *, CASE WHEN held IS NULL THEN 10 ** (rms / 10) ELSE 0.25 * 10 ** (rms / 10) + 0.75 * hrms END AS frms, CASE WHEN held IS NULL THEN NULL ELSE spm END AS spm0, CASE WHEN held IS NULL THEN NULL ELSE spk END AS spk0, CASE WHEN held IS NULL THEN NULL ELSE srms END AS srms0, CASE WHEN held IS NULL THEN power ELSE list_transform(list_zip(power, held), lambda x: 0.25 * x[1] + 0.75 * x[2]) END AS fresh,
                 concat_ws(',', CASE WHEN pk - rms + 5 < 10 THEN 'snr' END, CASE WHEN abs(pm - lpm) > 2 THEN 'peak_jump' END, CASE WHEN abs(pk - lpk) > 6 THEN 'amp_jump' END, CASE WHEN abs(rms - lrms) > 6 THEN 'rms_jump' END) AS why
-            FROM (SELECT ev.channel, ev.m, ev.capture, power, pk, rms, pm, held, lpm, lpk, lrms FROM r JOIN ev ON ev.channel = r.channel AND ev.m = r.m + 1))
+            FROM (SELECT ev.channel, ev.m, ev.capture, power, pk, rms, pm, held, lpm, lpk, lrms, hrms, spm, spk, srms FROM r JOIN ev ON ev.channel = r.channel AND ev.m = r.m + 1))
     )"""
 _LANCZOS = """t AS (SELECT capture, p, p * 31 / 63.0::DOUBLE AS x FROM (SELECT DISTINCT capture FROM captures), (SELECT unnest(range(64)) AS p)),
     w AS (SELECT capture, p, x, i, q, CASE WHEN abs(x - n) >= 12 THEN 0 WHEN abs(x - n) < 1e-12 THEN 1 ELSE sin(pi() * (x - n)) / (pi() * (x - n)) * sin(pi() * (x - n) / 12) / (pi() * (x - n) / 12) END AS h FROM t JOIN captures USING (capture))"""
@@ -483,7 +492,7 @@ _LANCZOS = """t AS (SELECT capture, p, p * 31 / 63.0::DOUBLE AS x FROM (SELECT D
 SQL = {
     "fft_peak": _over("captures", spectrum_sql(), "SELECT capture, arg_min(frequency_hz, (-round(dbfs, 6), bin)) AS peak_hz, max(round(dbfs, 6)) AS peak_dbfs, round(median(dbfs), 6) AS median_dbfs FROM z GROUP BY capture"),
     "resample_lanczos": _over("captures", _LANCZOS, 'SELECT capture, p::INTEGER AS point, round(x, 6) AS "at", round(sum(h * i) / sum(h), 3) + 0.0 AS i, round(sum(h * q) / sum(h), 3) + 0.0 AS q FROM w GROUP BY capture, p, x'),
-    "spectrum_stabiliser": stepped("captures", _STABLE, "SELECT channel::INTEGER AS channel, capture AS frame, round(list_sum(list_transform(shown, lambda x: 10 * log10(greatest(x, 1e-24)))), 4) AS display_sum, round(10 * log10(greatest(list_max(shown), 1e-24)), 4) AS display_peak, why = '' AS accepted, why AS reason FROM r WHERE m > 0"),
+    "spectrum_stabiliser": stepped("captures", _STABLE, "SELECT channel::INTEGER AS channel, capture AS frame, round(list_sum(list_transform(shown, lambda x: 10 * log10(greatest(x, 1e-24)))), 4) AS display_sum, round(spm, 4) AS display_peak_mhz, round(spk, 4) AS display_peak_dbfs, round(srms, 4) AS display_rms_dbfs, why = '' AS accepted, why AS reason FROM r WHERE m > 0"),
     "spec_mean_power": sql("samples", "SELECT channel, n // 4 AS cell, round(sqrt(avg(i) ** 2 + avg(q) ** 2), 6) AS amplitude, round(atan2(avg(q), avg(i)), 6) + 0.0 AS phase_rad, round(10 * log10(greatest(avg(i::BIGINT * i + q::BIGINT * q), 1)), 6) AS power_db FROM samples GROUP BY channel, n // 4"),
     "channel_stats": sql("samples", "SELECT channel, round(sqrt(avg(i::BIGINT * i + q::BIGINT * q)), 6) AS rms, max(greatest(least(abs(i), 32767), least(abs(q), 32767))) AS peak, count(*) FILTER (greatest(abs(i), abs(q)) >= 32760) AS clipped, count(*) AS samples FROM samples GROUP BY channel"),
     "noise_floor_snr": _over("captures", _POWER, "SELECT capture, peak_bin, peak_power, round(noise, 6) + 0.0 AS noise, round(10 * log10(greatest(peak_power, 1.0) / greatest(noise, 1.0)), 6) AS snr_db FROM (SELECT capture, peak_bin, peak_power, median(power) FILTER (abs(bin - peak_bin) > 2) AS noise FROM p JOIN t USING (capture) GROUP BY ALL)"),

@@ -180,7 +180,10 @@ def test_ring():
 
 def test_stabiliser():
     axis, s = np.arange(4.0), spectrum.Stabiliser()
-    show = lambda db, peak=1.0, snr=30.0, clip=False: s.update(axis, np.full(4, db), peak, db, db, snr, clip)
+    def show(db, peak=1.0, snr=30.0, clip=False):
+        r = s.feed({"frame": 0, "axis_mhz": axis, "dbfs": np.full(4, db), "peak_mhz": peak, "peak_dbfs": db, "rms_dbfs": db, "snr_db": snr, "clipped": clip})[0]
+        return r["display_dbfs"], [w for w in r["reason"].split(",") if w]
+
     assert show(-20.0)[1] == []
     power = 0.25 * 10**-1.9 + 0.75 * 10**-2
     assert show(-19.0)[0] == pytest.approx(np.full(4, 10 * math.log10(power)))
