@@ -107,6 +107,23 @@ def infer_bandwidth(delta: Column, time_count: Column) -> Column:
     return out
 
 
+def capture_count(rate_hz: Column, window_us: Column, oversample: Column | float = 2.5, least: int = 512, most: int = 1024) -> Column:
+    """Samples to capture for a window: its samples times the oversampling (1 at least), `least` at least, rounded up to a power
+    of two, and `most` at most. Rates and windows that are not positive raise."""
+    over = F.greatest(F.lit(1.0), oversample if isinstance(oversample, Column) else F.lit(float(oversample)))
+    n = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.lit(2), F.lit(least), F.ceil(rate_hz * window_us * 1e-6 * over))))).cast("long")
+    return F.when((rate_hz > 0) & (window_us > 0), F.least(F.lit(most), n)).otherwise(F.raise_error(F.lit("a positive rate and window are needed")).cast("long"))
+
+
+def payload_rate(mhz: Column, mode: Column, ninput: int = 8, iq_bits: int = 16, payload_bytes: int = 8192) -> Column:
+    """What a profile will send: payload_mbps, packets a second, wire_mbps (with headers and gaps of a frame), and whether it is
+    allowed. The mode monitor sends all samples and one spectrum in 64."""
+    streams = F.when(mode.isin("time_only", "spec_only"), 1.0).when(mode == "time_spec", 2.0).when(mode == "monitor", 1 + 1 / 64).otherwise(0.0)
+    bits = sample_rate_hz(mhz) * float(ninput * 2 * iq_bits) * streams
+    frame = payload_bytes + 128 + 42 + 24
+    return F.struct((bits / 1e6).alias("payload_mbps"), (bits / 8 / payload_bytes).alias("packets_per_sec"), (bits / 1e6 * frame / payload_bytes).alias("wire_mbps"), (~((mhz == 200) & (mode == "time_spec"))).alias("allowed"))
+
+
 def next_power_of_two(n: Column, least: int, most: int) -> Column:
     """The power of two from n on, within limits that are powers of two."""
     clamped = F.greatest(F.lit(least), F.least(F.lit(most), n))

@@ -70,7 +70,7 @@ def payload_metrics(df: DataFrame, rate_hz: float, cycles_per_sample: float, con
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """Files under a path by name: name, bytes, sha256, sha1."""
+    """Files under a path by name: name, bytes, sha256, sha1. Spark's source passes over empty files."""
     files = spark.read.format("binaryFile").load(path)
     return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), F.sha1("content").alias("sha1")).orderBy("name")
 

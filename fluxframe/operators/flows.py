@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fluxframe.functions.bits import delta_mod
-from fluxframe.functions.signal import expected_sample_delta, infer_bandwidth
+from fluxframe.functions.signal import capture_count, expected_sample_delta, infer_bandwidth, payload_rate
 from fluxframe.operators.validate import classified, classified_sql
 from fluxframe.plans.views import counters, packets, sql
 
@@ -235,6 +235,15 @@ def q_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return expected_rates(cfg)
 
 
+def q_payload_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates of profiles, and samples to capture for windows."""
+    e = F.col("e")
+    mhz = F.get(F.array(*map(F.lit, [20, 100, 200])), (e % 3).cast("int"))
+    mode = F.get(F.array(*map(F.lit, ["time_only", "spec_only", "time_spec", "monitor", "off"])), (e % 5).cast("int"))
+    df = packets(spark, sf_dir).select("e", payload_rate(mhz, mode).alias("r"), capture_count(F.lit(245.76e6), (e % 40 + 1) / 10.0, (e % 4).cast("double"), 64, 4096).alias("count"))
+    return df.select("e", *[F.round(f"r.{c}", 6).alias(c) for c in ("payload_mbps", "packets_per_sec", "wire_mbps")], F.col("r.allowed").alias("allowed"), "count")
+
+
 def q_infer_bandwidth(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = packets(spark, sf_dir).select("e", (F.col("e") % 12 * 256).alias("delta"), F.lit(64).alias("time_count"))
     return df.select("e", "delta", infer_bandwidth(F.col("delta"), F.col("time_count")).alias("mhz"))
@@ -275,7 +284,7 @@ def q_error_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "gap_report": q_gap_report, "flow_stats": q_flow_stats, "receiver_stats": q_receiver_stats, "saturating_totals": q_saturating, "coverage_128": q_blocks_128, "bandwidth_consensus": q_consensus, "worker_partials": q_worker_partials, "worker_merge": q_worker_merge,
     "counter_delta_mod": q_counter_delta, "coverage_complete": q_coverage, "rate_windows": q_rates, "loss_percent": q_loss, "profile_rates": q_profiles,
-    "infer_bandwidth": q_infer_bandwidth, "consensus_float": q_consensus_float, "source_port": q_source_port, "nic_rates": q_nic_rates,
+    "payload_rates": q_payload_rates, "infer_bandwidth": q_infer_bandwidth, "consensus_float": q_consensus_float, "source_port": q_source_port, "nic_rates": q_nic_rates,
     "enabled_mask": q_enabled_mask, "latest_values": q_latest, "error_log_throttle": q_error_log,
 }
 
@@ -318,6 +327,8 @@ SQL = {
     "loss_percent": _over("packets", _continuity_sql("packets", 1), "SELECT *, round(drops / (drops + packets) * 100, 6) AS loss_percent FROM (SELECT count(*) AS packets, sum(udp_payload_len)::BIGINT AS bytes, sum(app_drops)::BIGINT AS drops, count(*) FILTER (stream_type > 1) AS filtered FROM c)"),
     "profile_rates": """SELECT mhz, mode, CASE mode WHEN 'time_only' THEN 8 WHEN 'spec_only' THEN 16 ELSE 24 END AS flows, (mhz * 4800)::BIGINT AS pps, round((mhz * 4800)::BIGINT * CASE mode WHEN 'time_spec' THEN 2 ELSE 1 END * 8320 * 8 / 1e6, 6) AS payload_mbps, mhz <> 200 OR mode <> 'time_spec' AS allowed
         FROM (SELECT unnest([100, 200]) AS mhz), (SELECT unnest(['time_only', 'spec_only', 'time_spec']) AS mode)""",
+    "payload_rates": sql("packets", """SELECT e, round(b / 1e6, 6) AS payload_mbps, round(b / 8 / 8192, 6) AS packets_per_sec, round(b / 1e6 * 8386 / 8192, 6) AS wire_mbps, NOT (e % 3 = 2 AND e % 5 = 2) AS allowed, least(4096, (2 ** ceil(log2(greatest(64, ceil(245.76e6 * ((e % 40 + 1) / 10.0::DOUBLE) * 1e-6 * greatest(1, e % 4))))))::BIGINT) AS count
+        FROM (SELECT e, 245760000.0::DOUBLE / [8, 2, 1][e % 3 + 1] * 256 * [1, 1, 2, 1.015625, 0][e % 5 + 1]::DOUBLE AS b FROM packets)"""),
     "infer_bandwidth": sql("packets", "SELECT e, e % 12 * 256 AS delta, (CASE e % 12 * 256 WHEN 256 THEN 200 WHEN 512 THEN 100 WHEN 2048 THEN 20 END)::INTEGER AS mhz FROM packets"),
     "consensus_float": sql("packets", "SELECT board_id, CASE WHEN max(x) - min(x) < 1e-6 THEN round(avg(x), 6) END AS x FROM (SELECT board_id, CASE WHEN board_id % 2 = 0 THEN 100.5::DOUBLE ELSE value END AS x FROM packets) WHERE x > 0 GROUP BY board_id"),
     "source_port": sql("packets", "SELECT board_id, coalesce(arg_min(src_port, e) FILTER (e % 7 = 3 AND board_id <> 2), arg_min(src_port, e)) AS port FROM packets GROUP BY board_id"),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fluxframe.operators.gates import SYNC_ERRORS, SYNC_START, epoch_step, sync_step
 from fluxframe.plans.views import CRC_TABLE, crc_sql, packets, sql, stepped
 from fluxframe.sources.captures import to_binary
-from fluxframe.streaming.receiver import Assembler, Capture, PreviewGate, Reorder, Ring, Steps, run_batch, stale
+from fluxframe.streaming.receiver import Arbiter, Assembler, Capture, PreviewGate, Reorder, Ring, Steps, run_batch, stale
 
 REORDER = "key int, released long, late long, seq_gaps long, frame_gaps long, sample0_gaps long, app_drops long, last_seq long, detected_mhz int"
 
@@ -70,6 +70,13 @@ def q_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_batch(df, "board_id", "e", lambda s: PreviewGate(3, 100, 500, s), "key int, frame_group long, block_index int, seq_no long").withColumnRenamed("key", "board_id")
 
 
+def q_arbiter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packets of four streams to each board's link; how long each waits."""
+    p = packets(spark, sf_dir).select("board_id", F.col("e").alias("id"), (F.col("e") * 3).alias("arrival"), F.when(F.col("stream_type") == 0, 0).when(F.col("stream_type") == 1, 1).otherwise(2 + F.col("e") % 2).cast("long").alias("priority"), (F.col("e") * 7 % 19 + 1).alias("beats"))
+    out = run_batch(p, "board_id", "arrival", lambda s: Arbiter(s), "key int, id long, priority long, start long")
+    return out.select(F.col("key").alias("board_id"), "id", "priority", (F.col("start") - F.col("id") * 3).alias("waited"))
+
+
 def q_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames and reads of each board's ring of 6 frames."""
     df = packets(spark, sf_dir).select("board_id", "e", (F.col("e") * 31 % 100 < 55).alias("write"))
@@ -115,7 +122,7 @@ def q_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "reorder_buffer": q_reorder, "late_packets": q_late, "spectrum_assembler": q_assembler, "spectrum_scatter": q_scattered, "display_capture": q_capture, "preview_gate": q_preview, "ring_buffer": q_ring, "sync_scheduler": q_sync, "epoch_machine": q_epoch,
+    "reorder_buffer": q_reorder, "late_packets": q_late, "spectrum_assembler": q_assembler, "spectrum_scatter": q_scattered, "display_capture": q_capture, "preview_gate": q_preview, "ring_buffer": q_ring, "arbiter_locked": q_arbiter, "sync_scheduler": q_sync, "epoch_machine": q_epoch,
     "stale_previews": q_stale, "spectrum_messages": q_messages,
 }
 
@@ -158,6 +165,17 @@ _PREVIEW = """ev AS (SELECT board_id, e, seq_no, e // 16 AS g, e % 16 AS b, e *
             FROM r JOIN ev ON ev.board_id = r.board_id AND ev.n = r.n + 1)
     )"""
 
+_ARBITER = """ev AS (SELECT board_id, e AS id, e * 3 AS a, CASE WHEN stream_type = 0 THEN 0 WHEN stream_type = 1 THEN 1 ELSE 2 + e % 2 END AS p, e * 7 % 19 + 1 AS beats, row_number() OVER (PARTITION BY board_id ORDER BY e) AS n FROM packets),
+    r AS (
+        SELECT board_id, 0::BIGINT AS n, 0::BIGINT AS step, 0::BIGINT AS free, []::STRUCT(p BIGINT, a BIGINT, id BIGINT, beats BIGINT)[] AS waiting, NULL::STRUCT(p BIGINT, a BIGINT, id BIGINT, beats BIGINT) AS sent, NULL::BIGINT AS start FROM ev WHERE n = 1
+        UNION ALL
+        SELECT board_id, CASE WHEN serve THEN n ELSE n + 1 END, step + 1, CASE WHEN serve THEN at_ + best.beats ELSE free END, CASE WHEN serve THEN list_filter(waiting, lambda w: w.id <> best.id) ELSE list_append(waiting, new) END, CASE WHEN serve THEN best END, CASE WHEN serve THEN at_ END
+        FROM (SELECT *, len(waiting) > 0 AND (new IS NULL OR at_ < new.a) AS serve FROM (
+            SELECT *, list_min(list_filter(waiting, lambda w: w.a <= at_)) AS best FROM (
+                SELECT r.*, CASE WHEN ev.id IS NOT NULL THEN {'p': ev.p::BIGINT, 'a': ev.a, 'id': ev.id, 'beats': ev.beats} END AS new, greatest(free, list_min(list_transform(waiting, lambda w: w.a))) AS at_ FROM r LEFT JOIN ev ON ev.board_id = r.board_id AND ev.n = r.n + 1)))
+        WHERE new IS NOT NULL OR len(waiting) > 0
+    )"""
+
 _RING = """ev AS (SELECT board_id, e * 31 % 100 < 55 AS w, row_number() OVER (PARTITION BY board_id ORDER BY e) AS n FROM packets),
     r AS (
         SELECT board_id, 0::BIGINT AS n, 0 AS level, 0::BIGINT AS kept, 0::BIGINT AS dropped, 0::BIGINT AS high FROM ev WHERE n = 1
@@ -217,6 +235,7 @@ SQL = {
     "display_capture": stepped("packets", _CAPTURE, "SELECT flow_id, first, first + packets - 1 AS last, packets FROM r WHERE first IS NOT NULL"),
     "preview_gate": stepped("packets", _PREVIEW, "SELECT board_id, g AS frame_group, b::INTEGER AS block_index, seq_no FROM r JOIN ev USING (board_id, n) WHERE taken"),
     "ring_buffer": stepped("packets", _RING, "SELECT board_id, kept, dropped, high AS high_water FROM r QUALIFY row_number() OVER (PARTITION BY board_id ORDER BY n DESC) = 1"),
+    "arbiter_locked": stepped("packets", _ARBITER, "SELECT board_id, sent.id AS id, sent.p AS priority, start - sent.id * 3 AS waited FROM r WHERE start IS NOT NULL"),
     "sync_scheduler": stepped("packets", _SYNC, "SELECT board, tick, state, error FROM r WHERE tick >= 0"),
     "epoch_machine": stepped("packets", _EPOCH, "SELECT machine, e, state, 0::INTEGER AS error FROM r WHERE n > 0"),
     "stale_previews": sql("packets", "SELECT e, CASE WHEN e % 2 = 0 THEN 'waveform' ELSE 'spectrum' END AS kind FROM packets WHERE 5 - e % 5 > 2 OR (e % 2 = 0 AND e % 300 * 1000 < 120000)"),

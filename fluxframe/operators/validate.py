@@ -115,13 +115,16 @@ def first_of_block(df: DataFrame) -> DataFrame:
 
 
 def freeze_on_event(df: DataFrame, threshold: int, length: int = 256) -> DataFrame:
-    """Per channel, from the first sample on whose largest part reaches threshold, `length` samples; 0 never triggers.
-    overflow says whether another sample of the capture reaches it."""
+    """Per channel the first beat of four samples of which the largest part reaches threshold (0 never triggers): the event's
+    sample (of equals the first of the beat), its size and its place in the beat, how many of the `length` samples from the
+    beat on are there, and overflow: whether a later beat reaches the threshold after they were frozen."""
     size = F.greatest(F.abs("i"), F.abs("q"))
-    hit = (size >= threshold) & F.lit(threshold > 0)
-    start = df.filter(hit).groupBy("channel").agg(F.min("n").alias("start"))
-    span = df.join(start, "channel").filter((F.col("n") >= F.col("start")) & (F.col("n") < F.col("start") + length))
-    return span.groupBy("channel", "start").agg(F.count("*").alias("captured"), F.sum(F.when(hit, 1).otherwise(0)).alias("hits"), (F.sum(F.when(hit, 1).otherwise(0)) > 1).alias("overflow"))
+    beats = df.groupBy("channel", F.expr("n div 4").alias("beat")).agg(F.min(F.struct((-size).alias("s"), "n")).alias("m"))
+    hits = beats.filter((-F.col("m.s") >= threshold) & F.lit(threshold > 0))
+    first = hits.groupBy("channel").agg(F.min(F.struct("beat", "m")).alias("f"), F.max("beat").alias("last"))
+    first = first.select("channel", F.col("f.beat").alias("beat"), F.col("f.m.n").alias("event"), (-F.col("f.m.s")).alias("size"), (F.col("last") >= F.col("f.beat") + length // 4).alias("overflow"))
+    span = df.select("channel", "n").join(first, "channel").filter((F.col("n") >= F.col("beat") * 4) & (F.col("n") < F.col("beat") * 4 + length))
+    return span.groupBy("channel", "event", "size", "overflow").agg(F.count("*").alias("captured")).select("channel", "event", "size", (F.col("event") % 4).alias("lane"), "captured", "overflow")
 
 
 def q_error_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,8 +206,9 @@ SQL = {
     "stream_filter": sql("packets", "SELECT 'any' AS which, count(*) AS packets, min(seq_no) AS first_seq FROM packets UNION ALL SELECT 'spec', count(*), min(seq_no) FROM packets WHERE stream_type = 0 UNION ALL SELECT 'time', count(*), min(seq_no) FROM packets WHERE stream_type = 1"),
     "channel_mask_filter": sql("samples", 'SELECT channel, count(*) AS "rows", sum(i)::BIGINT AS sum_i FROM samples WHERE (165 >> channel) & 1 = 1 GROUP BY channel'),
     "block_dedup": sql("packets", "SELECT frame_group, (block_index % 4)::INTEGER AS block_index, min(seq_no) AS seq_no, arg_min(board_id, seq_no) AS board_id FROM packets GROUP BY 1, 2"),
-    "trigger_first": sql("samples", """SELECT channel, start, count(*) AS captured, sum((greatest(abs(i), abs(q)) >= 32700)::INTEGER)::BIGINT AS hits, sum((greatest(abs(i), abs(q)) >= 32700)::INTEGER) > 1 AS overflow
-        FROM samples JOIN (SELECT channel, min(n) AS start FROM samples WHERE greatest(abs(i), abs(q)) >= 32700 GROUP BY channel) USING (channel) WHERE n >= start AND n < start + 256 GROUP BY channel, start"""),
+    "trigger_first": sql("samples", "").strip() + """, b AS (SELECT channel, n // 4 AS beat, max(greatest(abs(i), abs(q))) AS size, arg_min(n, (-greatest(abs(i), abs(q)), n)) AS event FROM samples GROUP BY 1, 2), h AS (SELECT * FROM b WHERE size >= 32700),
+        f AS (SELECT channel, min(beat) AS beat, arg_min(event, beat) AS event, arg_min(size, beat) AS size, max(beat) >= min(beat) + 64 AS overflow FROM h GROUP BY channel)
+        SELECT channel, event, size, event % 4 AS lane, count(*) AS captured, overflow FROM f JOIN samples USING (channel) WHERE n >= beat * 4 AND n < beat * 4 + 256 GROUP BY ALL""",
     "power_gate_pairs": sql("samples", """SELECT channel, count(*) AS pairs FROM (SELECT *, i::BIGINT * i + q::BIGINT * q >= 400000000 AS strong, lag(n) OVER w AS before, lag(i::BIGINT * i + q::BIGINT * q >= 400000000) OVER w AS was FROM samples WINDOW w AS (PARTITION BY channel ORDER BY n))
         WHERE strong AND was AND n - before = 1 GROUP BY channel"""),
 }

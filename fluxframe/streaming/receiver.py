@@ -184,6 +184,35 @@ class PreviewGate:
         return [{"frame_group": group, "block_index": p["block_index"], "seq_no": p["seq_no"]}]
 
 
+class Arbiter:
+    """One link for packets of several streams, by strict priority (0 first): a packet that has begun keeps the link for its
+    beats; whenever the link is free, the waiting packet of least priority number, and of these the first, begins. Packets are
+    fed in order of arrival; those still waiting at the end are sent by finish()."""
+
+    def __init__(self, state: dict | None = None) -> None:
+        self.s = state or {"free": 0, "waiting": []}
+
+    def _sent(self, until: float) -> list[dict]:
+        s, out = self.s, []
+        while s["waiting"]:
+            start = max(s["free"], min(w[1] for w in s["waiting"]))
+            if start >= until:
+                break
+            best = min(w for w in s["waiting"] if w[1] <= start)
+            s["waiting"].remove(best)
+            out.append({"id": best[2], "priority": best[0], "start": start})
+            s["free"] = start + best[3]
+        return out
+
+    def feed(self, p: dict) -> list[dict]:
+        out = self._sent(p["arrival"])
+        self.s["waiting"].append([p["priority"], p["arrival"], p["id"], p["beats"]])
+        return out
+
+    def finish(self) -> list[dict]:
+        return self._sent(float("inf"))
+
+
 class Ring:
     """A buffer of whole frames in front of a slower reader: a frame that finds it full is dropped whole. Events are frames
     (write true) and reads; each frame tells whether it was kept, with the level after it."""
@@ -265,11 +294,14 @@ def run_batch(df: DataFrame, key: str, order: str, make: Callable[[dict | None],
         def batch_of(rows: list[dict]) -> pa.RecordBatch:
             return pa.RecordBatch.from_pylist([{"key": r["key"], **{c: r.get(c) for c in columns}} for r in rows], schema=arrow)
 
+        def ended(machine, now) -> list[dict]:
+            last = [] if machine is None else [machine.summary()] if summary else getattr(machine, "finish", list)()
+            return [{"key": now, **r} for r in last]
+
         for batch in batches:
             for p in batch.to_pylist():
                 if machine is None or p[key] != now:
-                    if machine is not None and summary:
-                        out.append({"key": now, **machine.summary()})
+                    out += ended(machine, now)
                     machine, now = make(None), p[key]
                 got = machine.feed(p)
                 if not summary:
@@ -277,8 +309,8 @@ def run_batch(df: DataFrame, key: str, order: str, make: Callable[[dict | None],
             if out:
                 yield batch_of(out)
                 out = []
-        if machine is not None and summary:
-            yield batch_of([{"key": now, **machine.summary()}])
+        if out := ended(machine, now):
+            yield batch_of(out)
 
     return df.repartition(F.col(key)).sortWithinPartitions(key, order).mapInArrow(run, out_schema)
 

@@ -1,5 +1,6 @@
 """Known values of single operators, and streams against batches."""
 
+import hashlib
 import math
 import struct
 import time
@@ -9,10 +10,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from fluxframe.functions import bits, signal
-from fluxframe.operators import codec, config, dsp, flows, gates, receiver, routes, spectrum, validate
+from fluxframe.operators import analysis, codec, config, dsp, flows, gates, receiver, routes, spectrum, validate
 from fluxframe.plans.views import packets
 from fluxframe.sources import captures
-from fluxframe.streaming.receiver import Assembler, Capture, PreviewGate, Reorder, Ring, Steps, before, first_blocks, run_batch, run_stream, windowed_rates
+from fluxframe.streaming.receiver import Arbiter, Assembler, Capture, PreviewGate, Reorder, Ring, Steps, before, first_blocks, run_batch, run_stream, windowed_rates
 
 
 def packet(seq, **more):
@@ -171,6 +172,50 @@ def test_preview_gate():
     assert [feed(*x) for x in ((0, 0), (4, 10), (8, 20), (8, 21), (9, 22), (12, 400), (16, 530), (24, 540), (25, 541))] == [[], [], [2], [], [2], [], [], [6], [6]]
 
 
+def test_arbiter():
+    """A long packet keeps the link; then the waiting one of highest priority, in order of arrival, goes."""
+    link = Arbiter()
+    out = [r for p in ((0, 3, 0, 10), (1, 1, 1, 2), (2, 0, 2, 2), (3, 0, 3, 2), (30, 2, 4, 1)) for r in link.feed(dict(zip(("arrival", "priority", "id", "beats"), p, strict=True)))]
+    assert [(r["id"], r["start"]) for r in out + link.finish()] == [(0, 0), (2, 10), (3, 12), (1, 14), (4, 30)]
+
+
+def test_file_digests(spark, tmp_path):
+    for name, data in (("b.bit", b"abc"), ("a.bit", b"z")):
+        (tmp_path / name).write_bytes(data)
+    got = [tuple(r) for r in analysis.file_digests(spark, str(tmp_path)).collect()]
+    assert got == [(n, len(d), hashlib.sha256(d).hexdigest(), hashlib.sha1(d).hexdigest()) for n, d in (("a.bit", b"z"), ("b.bit", b"abc"))]
+
+
+def test_filter_contract(spark):
+    good = dsp.filter_contract(spark, dsp.HALF_BAND).first()
+    assert good.ok and good.taps == 41 and good.dc_sum == 131072 and good.ripple_db <= 0.25 and good.stop_db >= 55
+    assert not dsp.filter_contract(spark, dsp.HALF_BAND | {1: 41000}).first().ok
+
+
+def test_half_band_over_blocks(spark, monkeypatch):
+    """Cut into blocks of 64 places the filter gives the same as over whole channels."""
+    df = spark.range(1000).select((F.col("id") * 7919 % 2000 - 1000).cast("int").alias("i"), (F.col("id") % 97).cast("int").alias("q"), F.col("id").alias("n"), F.lit(0).alias("channel"))
+    whole = sorted(map(tuple, dsp.half_band(df).collect()))
+    monkeypatch.setattr(dsp, "BLOCK", 64)
+    assert sorted(map(tuple, dsp.half_band(df).collect())) == whole and len(whole) == 480
+
+
+def test_payload_sources(spark, tmp_path):
+    """One packet a file; the SPEC payload's table function; the state of a trigger."""
+    (tmp_path / "p.bin").write_bytes(b"x" * 9)
+    assert tuple(captures.packet_files(spark, str(tmp_path)).first()) == ("p.bin", b"x" * 9)
+    codec.register(spark)
+    body = np.arange(2 * 2 * 3 * 2, dtype="<i2").tobytes()
+    spark.createDataFrame([(bytes(128) + body,)], "packet binary").createOrReplaceTempView("s")
+    rows = spark.sql("SELECT t, chan, input, i, q FROM s, LATERAL spec_payload(packet, 8, 2, 2, 3)").collect()
+    assert [tuple(r) for r in rows[:4]] == [(0, 8, 0, 0, 1), (0, 8, 1, 2, 3), (0, 8, 2, 4, 5), (0, 9, 0, 6, 7)] and len(rows) == 12 and rows[-1].t == 1
+    captures.latest_state(spark.createDataFrame([(1,)], "x int"), 5, str(tmp_path / "state"))
+    captures.latest_state(spark.createDataFrame([(2,)], "x int"), 6, str(tmp_path / "state"))
+    assert [(r.x, r.epoch) for r in spark.read.json(str(tmp_path / "state")).collect()] == [(2, 6)]
+    captures.to_json_lines(spark.createDataFrame([(True, ["A"])], "ok boolean, errors array<string>"), str(tmp_path / "gate"))
+    assert spark.read.text(str(tmp_path / "gate")).first().value == '{"ok":true,"errors":["A"]}'
+
+
 def test_ring():
     ring = Ring(2)
     for write in (True, True, True, False, True):
