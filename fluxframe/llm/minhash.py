@@ -104,7 +104,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, n_shingles, f1, f2 (the fingerprint) and keys (null for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 1 << 18):
             sets = shingles(*text_bytes(batch.column("text")), width)
             marks = [fingerprint(s) for s in sets]
             keys = [band_keys(minima(s)) if len(s) else None for s in sets]
@@ -117,7 +117,7 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, n, signature (a byte of each minimum), bands (four bytes of each key), counts and values, the full set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 1 << 18):
             sets = shingles(*text_bytes(batch.column("text")), width)
             least = [minima(s) if len(s) else np.zeros(HASHES, np.uint32) for s in sets]
             marks = [pa.array([x.tobytes() for x in rows], pa.binary()) for rows in ([m.astype(np.uint8) for m in least], [band_keys(m).astype(np.uint32) for m in least], map(cell_counts, sets), sets)]
@@ -225,7 +225,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     placed = members.select("key", "doc_id").join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     placed = at(spark, keep(placed, "placed"), placed)
-    dealt = met_blocks(placed).join(sets.select("doc_id", "n", "signature", "bands", "counts"), "doc_id")
+    dealt = met_blocks(placed, sets.select("doc_id", "n", "signature", "bands", "counts"))
     rest = dealt.groupBy("key", "inner", "i", "j").applyInArrow(_close_pairs(percent), "u long, v long").distinct()
     rest = at(spark, keep(rest, "close-pairs"), rest)
     more = verified(rest, sets, percent, near_already=True)
@@ -237,15 +237,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def met_blocks(placed: DataFrame) -> DataFrame:
+def met_blocks(placed: DataFrame, more: DataFrame | None = None) -> DataFrame:
     """key, inner, i, j, doc_id, component, left: the members (key, doc_id, component) of buckets that are not one component,
     in every pair of blocks where they have to meet others. A group (key, inner, i, j) holds two blocks: inner block i and
-    outer block j, or outer blocks i <= j; left marks the members of the first. Only members of one bucket meet."""
+    outer block j, or outer blocks i <= j; left marks the members of the first. Only members of one bucket meet. more's
+    columns are joined by doc_id before members are repeated, so that no document's copies come together in a task."""
     parts = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
     apart = parts.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("parts")).filter("parts > 1")
     blocks = lambda n: F.ceil(n / (BLOCK * FILL)).cast("int")
     apart = apart.select("key", F.col("top.component").alias("largest"), blocks(F.col("top.n")).alias("ins"), blocks(F.col("n") - F.col("top.n")).alias("outs"))
     open_ = spread_join(placed, apart, ["key"], ["doc_id"])
+    carried = [] if more is None else [c for c in more.columns if c != "doc_id"]
+    open_ = open_ if more is None else open_.join(more, "doc_id")
     inside = F.col("component") == F.col("largest")
     own = F.pmod(F.xxhash64("doc_id", "key"), F.when(inside, F.col("ins")).otherwise(F.col("outs"))).cast("int")
     spot = lambda inner, i, j, left: F.struct(F.lit(inner).alias("inner"), i.alias("i"), j.alias("j"), left.alias("left"))
@@ -253,7 +256,7 @@ def met_blocks(placed: DataFrame) -> DataFrame:
     me, yes, no = F.col("me"), F.lit(True), F.lit(False)
     of_inner = F.transform(up_to(F.col("outs")), lambda j: spot(True, me, j, yes))
     of_outer = F.concat(F.transform(up_to(F.col("ins")), lambda i: spot(True, i, me, no)), F.transform(up_to(F.col("outs")), lambda x: spot(False, F.least(x, me), F.greatest(x, me), me <= x)))
-    return open_.withColumn("me", own).select("key", "doc_id", "component", F.explode(F.when(inside, of_inner).otherwise(of_outer)).alias("s")).select("key", "s.*", "doc_id", "component")
+    return open_.withColumn("me", own).select("key", "doc_id", "component", *carried, F.explode(F.when(inside, of_inner).otherwise(of_outer)).alias("s")).select("key", "s.*", "doc_id", "component", *carried)
 
 
 def _close_pairs(percent: int) -> Callable[[pa.Table], pa.Table]:

@@ -82,7 +82,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
     """Spans of docs (doc_id, rk, text): hash, document, first sentence, sentences; first is false if the slice has an earlier one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 1 << 21):
+        for batch in slices(batches, "text", 1 << 20):
             found = Sentences(*text_bytes(batch.column("text")))
             i, n, h = found.spans()
             row = found.row[i]
@@ -127,7 +127,7 @@ def remove_repeats(docs: DataFrame, report: bool = False) -> DataFrame:
     schema = T.StructType([*(docs.schema[c] for c in given), *([T.StructField("n_sentences", T.IntegerType()), T.StructField("removed", T.ArrayType(T.IntegerType()))] if report else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 1 << 19):
             data, offsets = text_bytes(batch.column("text"))
             found = Sentences(data, offsets) if report or batch.column(spans).null_count < batch.num_rows else None
             raw = memoryview(data)
