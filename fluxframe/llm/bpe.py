@@ -41,12 +41,12 @@ from fluxframe.llm.tables import table
 
 RANKS = "byte_bpe_50k.tiktoken"
 
-LONG = 48
+LONG, FEW = 48, 16
 #: Windows of long words: a window starts in each block of so many bytes, and ends where the third one after it starts.
 WINDOWS = (32, 128)
 MOST_REACH = 64
 #: Words and bytes that are contracted at once.
-WORDS, BYTES = 1 << 14, 1 << 17
+WORDS, BYTES = 1 << 15, 1 << 18
 MEMORY = "96MB"
 
 #: Rows have the key word << 24 | position; positions stay gapless, so a row's right neighbour has the next key.
@@ -70,6 +70,9 @@ FROM t JOIN (SELECT k >> 24 AS w, max(step) AS last FROM t GROUP BY 1) ON w = k
 ORDER BY k
 """
 
+#: For words up to FEW bytes: the rows of all their few steps are kept, which is faster than replacing them by key.
+SHORT = CONTRACT.replace(" USING KEY (k)", "")
+
 LOOKUP = "SELECT w, tok FROM words JOIN vocabulary USING (piece)"
 
 DECODE = """
@@ -124,7 +127,7 @@ class Codec:
         self.con.execute("CREATE TABLE merges AS SELECT * FROM m")
         self.con.register("v", pa.table({"tok": np.arange(len(tokens), dtype=np.int32), "piece": [t.hex() for t in tokens]}))
         self.con.execute("CREATE TABLE vocabulary AS SELECT * FROM v")
-        self.pieces = PieceIds(self.contract, 1 << 18)
+        self.pieces = PieceIds(self.contract, 1 << 19)
 
     def contract(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words one after another, and how many each has. A word that is a token has that id alone."""
@@ -199,6 +202,19 @@ class Codec:
 
     def steps(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of these ranges of bytes by the recursive query, range by range, and how many each has."""
+        few = end - begin <= FEW
+        a, counts_a = self._steps(data, begin[few], end[few], SHORT)
+        if few.all():
+            return a, counts_a
+        b, counts_b = self._steps(data, begin[~few], end[~few], CONTRACT)
+        counts = np.empty(len(begin), np.int64)
+        counts[few], counts[~few] = counts_a, counts_b
+        of_few = np.repeat(few, counts)
+        toks = np.empty(len(of_few), np.int32)
+        toks[of_few], toks[~of_few] = a, b
+        return toks, counts
+
+    def _steps(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray, query: str) -> tuple[np.ndarray, np.ndarray]:
         counts, toks, lo = np.zeros(len(begin), np.int64), [np.zeros(0, np.int32)], 0
         upto = np.cumsum(end - begin)
         while lo < len(begin):
@@ -207,7 +223,7 @@ class Codec:
             word = np.repeat(np.arange(hi - lo), size)
             place = np.arange(len(word)) - np.repeat(np.cumsum(size) - size, size)
             self.con.register("start", pa.table({"k": (word << 24) + place, "tok": self.byte_ids[data[begin[lo:hi][word] + place]]}))
-            got = self.con.execute(CONTRACT).fetchnumpy()
+            got = self.con.execute(query).fetchnumpy()
             self.con.unregister("start")
             toks.append(np.asarray(got["tok"]))
             counts[lo:hi] = np.bincount(np.asarray(got["word"]), minlength=hi - lo)
