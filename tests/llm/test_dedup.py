@@ -4,12 +4,13 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from fluxframe.llm import minhash, sharding, spans, tables
-from fluxframe.llm.arrays import text_bytes
+from fluxframe.llm.arrays import LOWER, RangeHash, text_bytes
 
 
 def corpus(seed, copies=(1, 2, 3, 25)):
@@ -220,3 +221,66 @@ def test_spread_join(spark, monkeypatch, rows):
     out = tables.spread_join(left, right, ["k"], ["salt"])
     assert out.columns == ["k", "salt", "twice"]
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, left.join(right, "k").collect()))
+
+
+def sentences_of(text):
+    """The rule of the docstring, word by word: (words of each sentence, its bytes)."""
+    raw = text.encode()
+    found = list(re.finditer(rb"[^\x20\x09-\x0D]+", raw))
+    if not found:
+        return []
+    data = np.frombuffer(raw, np.uint8)
+    h = RangeHash(LOWER[data])(np.array([m.start() for m in found]), np.array([m.end() for m in found])).tolist()
+    n = len(found)
+    end = [k == n - 1 or found[k][0][-1:] in b".!?" or b"\n" in raw[found[k].end() : found[k + 1].start()] for k in range(n)]
+    cut, start = list(end), 0
+    for k in range(n):
+        if end[k]:
+            if k - start + 1 > spans.LONG:
+                for w in range(start, k - spans.WINDOW + 2):
+                    least = min(h[w : w + spans.WINDOW])
+                    cut[max(i for i in range(w, w + spans.WINDOW) if h[i] == least)] = True
+            start = k + 1
+    out, first = [], 0
+    for k in range(n):
+        if cut[k]:
+            begin = found[first].start() if first else 0
+            out.append(([m[0].lower() for m in found[first : k + 1]], raw[begin : found[k + 1].start() if k + 1 < n else len(raw)]))
+            first = k + 1
+    return out
+
+
+def spans_brute(rows):
+    """What is left of each document of (doc_id, text), ids being different: every span of each is looked up by its words."""
+    seen, left = set(), {}
+    for doc, text in sorted(rows):
+        parts = sentences_of(text)
+        size = [len(w) for w, _ in parts]
+        pairs = set()
+        for i in range(len(parts)):
+            j = next((j for j in range(i + spans.LEAST - 1, len(parts)) if sum(size[i : j + 1]) >= spans.MIN_WORDS), None)
+            pairs |= {(i, j)} if j is not None else set()
+            k = next((k for k in range(i - spans.LEAST + 1, -1, -1) if sum(size[k : i + 1]) >= spans.MIN_WORDS), None)
+            pairs |= {(k, i)} if k is not None else set()
+        gone = set()
+        for i, j in sorted(pairs):
+            key = tuple(w for words, _ in parts[i : j + 1] for w in words)
+            if key in seen:
+                gone |= set(range(i, j + 1))
+            seen.add(key)
+        left[doc] = b"".join(b for k, (_, b) in enumerate(parts) if k not in gone).decode() if parts else text
+    return left
+
+
+@pytest.mark.parametrize("seed, ends", [(1, 0.2), (2, 0.03), (3, 0.0), (4, 0.6)])
+def test_spans_like_brute_force(docs_of, seed, ends):
+    rng = random.Random(seed)
+    word = lambda: f"Wort{rng.randrange(4000)}" + (rng.choice(".!?") if rng.random() < ends else "")
+    passages = [[word() for _ in range(rng.randint(5, 90))] for _ in range(12)]
+    rows = []
+    for k in range(60):
+        words = [x for _ in range(rng.randint(0, 4)) for x in (rng.choice(passages) if rng.random() < 0.5 else [word() for _ in range(rng.randint(0, 60))])]
+        rows.append((k, "".join(w + rng.choice([" ", " ", "  ", "\t", "\n" if rng.random() < ends else " "]) for w in words)))
+    want = spans_brute(rows)
+    got = {r.doc_id: r.text for r in spans.remove_repeats(docs_of(rows).repartition(7)).collect()}
+    assert got == want and sum(want[k] != t for k, t in rows) > 10

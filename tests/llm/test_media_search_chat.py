@@ -157,3 +157,30 @@ def test_conversations_with_nulls(spark):
 
 def test_calls_agree_with_sql(spark, sf, same_as_sql):
     same_as_sql(toolcalls.op5_toolcalls(spark, sf), toolcalls.SQL)
+
+
+def slow_ogg(payload):
+    """The format of the docstring written out once more, a page at a time, with the bitwise checksum."""
+    serial = zlib.crc32(payload) & 0xFFFFFFFE
+    frames = [payload[k : k + 192] for k in range(0, len(payload), 192)]
+
+    def page(flags, granule, stream, number, packets):
+        table = b"".join(b"\xff" * (len(p) // 255) + bytes([len(p) % 255]) for p in packets)
+        rest = granule.to_bytes(8, "little") + (serial + stream).to_bytes(4, "little") + number.to_bytes(4, "little")
+        out = b"OggS" + bytes([0, flags]) + rest + bytes(4) + bytes([len(table)]) + table + b"".join(packets)
+        return out[:22] + slow_checksum(out).to_bytes(4, "little") + out[26:]
+
+    own = [frames[0::2], frames[1::2]]
+    heads = [b"FXPCM8" + bytes([1, k, 2]) + (48_000).to_bytes(4, "little") + (192).to_bytes(2, "little") for k in range(2)]
+    out = [page(2 if own[k] else 6, 0, k, 0, [heads[k]]) for k in range(2)]
+    for at in range(0, len(own[0]), 64):
+        for k in range(2):
+            if part := own[k][at : at + 64]:
+                out.append(page(4 if at + 64 >= len(own[k]) else 0, 192 * (at + len(part)), k, 1 + at // 64, part))
+    return b"".join(out)
+
+
+@pytest.mark.parametrize("n", [0, 192, 193, 5000, 25_000])
+def test_ogg_like_brute_force(n):
+    payload = ogg.payload(random.Random(n).randbytes(n))
+    assert ogg.encode(payload) == slow_ogg(payload)

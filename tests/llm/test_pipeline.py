@@ -57,3 +57,21 @@ def test_queries():
     assert {n.split("_")[0] for n in names} == {f"op{k}" for k in range(1, 11)}
     assert set(llm.oracle_sql()) <= names
     assert len(corpus_pipeline.STAGES) == 5
+
+
+def test_near_dedup_decides_rows(spark, sf):
+    """Rows of one id with texts of their own all stay; of equal and near texts, under whatever ids, one does."""
+    docs = table(spark, sf, "documents").limit(0)
+    text = lambda k: " ".join(f"t{k}w{i}" for i in range(60))
+    rows = [(1, text(1)), (1, text(2)), (1, text(2)), (2, text(2) + " more"), (3, text(3)), (3, text(1) + " more"), (4, text(4))]
+    df = spark.createDataFrame([(i, t, "en", s, 1) for s in ("b", "a") for i, t in rows], docs.schema)
+    got = sorted((r.doc_id, r.text, r.source) for r in corpus_pipeline.near_dedup(spark, df, sf).collect())
+    assert got == sorted([(1, text(1), "a"), (1, text(2), "a"), (3, text(3), "a"), (4, text(4), "a")])
+
+
+def test_substring_dedup_keeps_blank_documents(spark, sf):
+    docs = table(spark, sf, "documents").limit(0)
+    text = " ".join(f"w{k} is here." for k in range(40))
+    df = spark.createDataFrame([(1, text, "en", "s", 9), (2, text, "en", "s", 9), (3, "", "en", "s", 9), (4, None, "en", "s", None), (5, " \n", "en", "s", 9)], docs.schema)
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.substring_dedup(spark, df, sf).collect()}
+    assert got == {1: (text, len(text)), 3: ("", 0), 4: (None, None), 5: (" \n", 2)}
