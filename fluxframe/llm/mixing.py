@@ -179,15 +179,21 @@ def rate_of(posterior, g: np.ndarray):
     return F.greatest(F.lit(0.0), 1 - dot)
 
 
-def mixed(docs: DataFrame, labelled: DataFrame, weights: tuple[float, ...], columns: list[str], total_of: float = 1.0, seed: int = 5, once: int | None = None) -> DataFrame:
+def mixed(docs: DataFrame, labelled: DataFrame, weights: tuple[float, ...], columns: list[str], total_of: float = 1.0, seed: int = 5, once: int | None = None, at_most: int | None = None) -> DataFrame:
     """The given columns of docs, tokens, posterior, rate (double) and copies (int: rate rounded up or down by a hash of the
     row, so that its expectation is the rate). total_of scales the target's sum against the corpus's tokens; with once, a
-    domain's number, rates are scaled after the fit so that the document nearest to that domain has the rate 1."""
+    domain's number, rates are scaled after the fit so that the document nearest to that domain has the rate 1. With at_most,
+    that domain's weight is an upper bound: where its share is below, the target is the share, and the others' weights grow."""
     k, names = len(weights), without(docs.select(*columns), *ADDED)
     (draw,) = fresh([*docs.columns, *ADDED], "draw")
     rows = docs.withColumn(draw, F.xxhash64(F.lit(seed), "doc_id", "text"))
     predicted = with_posteriors(rows, train(docs, labelled, k), k, [*names, draw])
     predicted = at(docs.sparkSession, keep(predicted, "posteriors"), predicted)
+    if at_most is not None:
+        totals = sums(predicted, k, np.zeros((1, k)))[0, 1 : k + 1]
+        share, rest = totals / max(totals.sum(), 1.0), sum(weights) - weights[at_most]
+        if 0 < totals.sum() and share[at_most] * sum(weights) < weights[at_most]:
+            weights = tuple(float(share[at_most]) if i == at_most else float((1 - share[at_most]) * w / rest) for i, w in enumerate(weights))
     g = fit_rates(predicted, list(weights), None if total_of == 1.0 else (predicted.agg(F.sum("tokens")).first()[0] or 0) * total_of)
     scale = 1.0
     if once is not None:

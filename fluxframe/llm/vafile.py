@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fluxframe.llm.tables import at, keep, table
+from fluxframe.llm.tables import at, drop, keep, table
 
 CANDIDATES, QUERIES, STRIP = 1 << 14, 1 << 11, 1 << 8
 #: Exact vectors read for a query at first, in multiples of k.
@@ -104,9 +104,11 @@ def search(vectors: DataFrame, is_query, k: int = 20, bits: int = 8) -> DataFram
     n_blocks, n_with = -(-max(sizes.n, 1) // CANDIDATES), -(-max(sizes.q, 1) // QUERIES)
     block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     held = cells(rows.withColumn("block", block(n_blocks)), bits)
-    held = at(spark, keep(held, "va-cells"), held)
+    held_path = keep(held, "va-cells")
+    held = at(spark, held_path, held)
     ask = asked(rows.filter(is_query(F.col("id"))).withColumn("block", block(n_with)))
-    ask = at(spark, keep(ask, "va-queries"), ask)
+    ask_path = keep(ask, "va-queries")
+    ask = at(spark, ask_path, ask)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     met = held.withColumn("with", every(n_with)).hint("merge").join(ask.withColumn("block", every(n_blocks)), ["dim", "block", "with"])
 
@@ -118,11 +120,15 @@ def search(vectors: DataFrame, is_query, k: int = 20, bits: int = 8) -> DataFram
                     yield pa.RecordBatch.from_pydict({"query_id": q, "vec_id": ids, "low": low, "high": high})
 
     found = met.mapInArrow(scan, "query_id long, vec_id long, low long, high long")
-    found = at(spark, keep(found, "va-bounds"), found)
+    found_path = keep(found, "va-bounds")
+    found = at(spark, found_path, found)
+    drop(spark, held_path)
+    drop(spark, ask_path)
     kth = lambda df, by: top(df, by, k).filter(F.col("place") == k).select("query_id", F.col(by).alias("least"))
     may = found.join(kth(found, "low"), "query_id", "left").filter(F.coalesce(F.col("high") >= F.col("least"), F.lit(True))).drop("least")
     placed = may.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("high"), "vec_id")))
     placed = at(spark, keep(placed, "va-candidates"), placed)
+    drop(spark, found_path)
     first = scores(placed.filter(F.col("place") <= FIRST * k), rows)
     first = at(spark, keep(first, "va-scores"), first)
     more = placed.filter(F.col("place") > FIRST * k).join(kth(first, "score"), "query_id").filter(F.col("high") >= F.col("least"))
