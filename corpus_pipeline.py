@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fluxframe.llm import bpe, bytecnn, minhash, mixing, spans
-from fluxframe.llm.tables import at, fresh, keep, table
+from fluxframe.llm.tables import at, drop, fresh, keep, table
 
-#: Weights of the clean and the toxic domain. Rates are scaled so that the cleanest documents have the rate 1 at any share.
+#: Weights of the clean and the toxic domain; the toxic one is an upper bound.
 CLEAN_AND_TOXIC = (0.97, 0.03)
 
 
@@ -50,13 +50,14 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents come as often as the rates that match the weights of clean and toxic tokens say. The cleanest stay once;
-    the more toxic a document, the more it is thinned, or, where toxic tokens are below their weight, repeated. A null or
-    empty text has the rate of its posterior."""
+    the more toxic a document, the more it is thinned. Where toxic tokens are below their weight already, all documents stay
+    once: repeating them, or dropping clean ones, would only add to their share. A null or empty text has the rate of its
+    posterior."""
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
     held = fresh([*docs.columns, *mixing.ADDED], *(f"c{i}" for i in range(len(docs.columns))))  # names that mixing doesn't add
     renamed = docs.select("*", *(F.col(c).alias(h) for c, h in zip(docs.columns, held, strict=True) if c not in ("doc_id", "text")))
     kept = [c if c in ("doc_id", "text") else h for c, h in zip(docs.columns, held, strict=True)]
-    out = mixing.mixed(renamed, labels, CLEAN_AND_TOXIC, kept, once=0).filter("copies > 0")
+    out = mixing.mixed(renamed, labels, CLEAN_AND_TOXIC, kept, once=0, at_most=1).filter("copies > 0")
     (copy,) = fresh(out.columns, "copy")
     return out.withColumn(copy, F.explode(F.sequence(F.lit(1), "copies"))).select(*(F.col(k).alias(c) for k, c in zip(kept, docs.columns, strict=True)))
 
@@ -79,8 +80,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         out = stage(spark, docs, sf_dir)
-        docs = at(spark, keep(out, "pipeline-" + name.replace(" ", "-")), out)
+        path = keep(out, "pipeline-" + name.replace(" ", "-"))
+        docs = at(spark, path, out)
+        if before:
+            drop(spark, before)  # nothing reads it any more
+        before = path
     return docs
