@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluxframe.operators.gates import SYNC_ERRORS, SYNC_START, epoch_step, sync_step
+from fluxframe.operators.gates import SYNC_START, epoch_step, sync_step
 from fluxframe.plans.views import CRC_TABLE, crc_sql, packets, sql, stepped
 from fluxframe.sources.captures import to_binary
 from fluxframe.streaming.receiver import Arbiter, Assembler, Capture, PreviewGate, Reorder, Ring, Steps, run_batch, stale
