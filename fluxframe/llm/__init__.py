@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fluxframe.llm import bpe, bytecnn, minhash, mixing, ogg, sharding, spans, tokenfiles, toolcalls, vafile
+from fluxframe.llm import bpe, bytecnn, lines, minhash, mixing, ogg, sharding, spans, tokenfiles, toolcalls, vafile
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -24,8 +24,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_tokenfiles": tokenfiles.op8_tokenfiles,
         "op9_vafile": vafile.op9_vafile,
         "op10_ogg": ogg.op10_ogg,
+        "op12_lines": lines.op12_lines,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_minhash": minhash.SQL, "op5_toolcalls": toolcalls.SQL, "op9_vafile": vafile.SQL}
+    return {"op2_minhash": minhash.SQL, "op5_toolcalls": toolcalls.SQL, "op9_vafile": vafile.SQL, "op12_lines": lines.SQL}

@@ -95,6 +95,16 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
+def gathered(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.BinaryArray:
+    """The bytes of ascending ranges that don't overlap, as one binary column."""
+    edge = np.zeros(len(data) + 1, np.int8)
+    edge[start] += 1  # a range isn't empty, so no two start or end at one place
+    edge[end] -= 1
+    inside = data[np.cumsum(edge[:-1], dtype=np.int8).astype(bool)]
+    offsets = np.append(0, np.cumsum(end - start)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(inside))])
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and row of each maximal run of bytes that are no white space, row by row."""
     inside = np.zeros(len(data) + 2, bool)
