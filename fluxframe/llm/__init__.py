@@ -1,4 +1,4 @@
-"""Operations of a training-data pipeline: ten operators, and their queries and SQL for the driver.
+"""Operations of a training-data pipeline: the operators, and their queries and SQL for the driver.
 
 Nothing else in this library imports this subpackage.
 """
@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fluxframe.llm import bpe, bytecnn, lines, minhash, mixing, ogg, sharding, spans, tokenfiles, toolcalls, vafile
+from fluxframe.llm import bpe, bytecnn, divergence, lines, minhash, mixing, ogg, repair, sharding, spans, tokenfiles, toolcalls, vafile
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -24,9 +24,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_tokenfiles": tokenfiles.op8_tokenfiles,
         "op9_vafile": vafile.op9_vafile,
         "op10_ogg": ogg.op10_ogg,
+        "op11_repair": repair.op11_repair,
         "op12_lines": lines.op12_lines,
+        "op13_divergence": divergence.op13_divergence,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_minhash": minhash.SQL, "op5_toolcalls": toolcalls.SQL, "op9_vafile": vafile.SQL, "op12_lines": lines.SQL}
+    return {"op2_minhash": minhash.SQL, "op5_toolcalls": toolcalls.SQL, "op9_vafile": vafile.SQL, "op11_repair": repair.SQL, "op12_lines": lines.SQL, "op13_divergence": divergence.SQL}

@@ -105,10 +105,10 @@ def gathered(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.BinaryA
     return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(inside))])
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and row of each maximal run of bytes that are no white space, row by row."""
+def words(data: np.ndarray, offsets: np.ndarray, ink: np.ndarray = ~SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of each maximal run of bytes that are ink (by byte; else all but white space), row by row."""
     inside = np.zeros(len(data) + 2, bool)
-    inside[1:-1] = ~SPACE[data]
+    inside[1:-1] = ink[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     start = np.flatnonzero(inside[1:] & (~inside[:-1] | edge))
