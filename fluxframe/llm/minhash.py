@@ -212,7 +212,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     members_path = keep(members, "members")
     members = at(spark, members_path, members)
     some = members.select("doc_id").distinct()
-    sets = full_sets(rows.join(some, "doc_id"), width)
+    sets = full_sets(spread_join(rows.filter(F.col("doc_id").isNotNull()), some, ["doc_id"], [F.rand(3)]), width)
     sets_path = keep(sets, "sets")
     sets = at(spark, sets_path, sets)
 
@@ -232,7 +232,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     joined = first.filter("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
     linked = components(joined.union(more).union(twins))
-    out = signed.select("doc_id", "n_shingles").join(linked.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    has = F.col("doc_id").isNotNull()  # rows without doc_id would all join in one task
+    out = spread_join(signed.select("doc_id", "n_shingles").filter(has), linked.withColumnRenamed("node", "doc_id"), ["doc_id"], [F.rand(3)], "left")
+    out = out.union(signed.filter(~has).select("doc_id", "n_shingles", F.lit(None).cast("long")))
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 

@@ -13,7 +13,7 @@ the loss; tasks return one row of such sums each partition, which are added up b
 the metric of the rates that are not 0, few passes are needed even where many rates are 0. Of all rates that reach the
 targets the method finds those nearest to 1, by tokens. A weight RIDGE on the steps keeps them finite where targets are out
 of reach: then it ends at the nearest totals in the norm of the inverse second moments, the least squares solution. A fit
-that does not reach TOLERANCE of all tokens in `iterations` passes raises.
+that does not reach TOLERANCE of all tokens in `iterations` passes warns, with its error, and is taken as it is.
 
 Memory: batches of the table; K squared sums for each step length. Nothing grows with the corpus but the table of posteriors.
 
@@ -26,6 +26,7 @@ columns of those names.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -138,7 +139,7 @@ def sums(predicted: DataFrame, k: int, steps: np.ndarray) -> np.ndarray:
 
 def fit_rates(predicted: DataFrame, weights: list[float], total: float | None = None, iterations: int = ITERATIONS) -> np.ndarray:
     """g of the rates max(0, 1 - posterior * g) of predicted (tokens, posterior), whose totals match weights * total (the
-    corpus's tokens if None). Raises if they are not within TOLERANCE after so many passes."""
+    corpus's tokens if None). Warns if they are not within TOLERANCE after so many passes."""
     k = len(weights)
     share = np.array(weights, float) / sum(weights)
     g = np.zeros(k)
@@ -170,7 +171,8 @@ def fit_rates(predicted: DataFrame, weights: list[float], total: float | None =
             lines = sums(predicted, k, tried)
             best = int(np.argmin([loss(a, b) for a, b in zip(lines, tried, strict=True)]))
         g, now = tried[best], lines[best]
-    raise RuntimeError(f"mixing: the totals are {np.abs(error(now, g)).max():.3g} of all tokens from the fit's after {iterations} passes")
+    warnings.warn(f"mixing: the totals are {np.abs(error(now, g)).max():.3g} of all tokens from the fit's after {iterations} passes", stacklevel=2)
+    return g
 
 
 def rate_of(posterior, g: np.ndarray):

@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A key that more than one row in HEAVY has is frequent; there are fewer than HEAVY of them in any table.
@@ -72,17 +72,19 @@ def without(df: DataFrame, *names: str) -> list[str]:
     return [c for c in df.columns if c.lower() not in gone]
 
 
-def spread_join(left: DataFrame, right: DataFrame, keys: list[str], by: list[str], how: str = "inner") -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], by: list[str | Column], how: str = "inner", counted: DataFrame | None = None) -> DataFrame:
     """left joined (how: inner or left) with right, which has one row a key, so that no task gets all of left's rows of a
     frequent key. left's key columns are not null, or the join is an inner one.
 
     A key is frequent if it has more than one in HEAVY of left's rows. The keys of highest counts, HEAVY at most, come to
     the driver. A frequent key with n rows is dealt over n * HEAVY / total tasks by a hash of the columns `by`, and its row of
-    right is repeated as often: fewer than 2 * HEAVY rows more, whatever the data. left should be a written table or cheap.
+    right is repeated as often: fewer than 2 * HEAVY rows more, whatever the data. left should be a written table or cheap, or counted, which has left's
+    keys as often.
     """
+    counted = left if counted is None else counted
     n, salt, ways = fresh([*left.columns, *right.columns], "n", "salt", "ways")
-    total = left.count()
-    top = left.groupBy(*keys).agg(F.count("*").alias(n)).orderBy(F.desc(n)).limit(HEAVY).collect()
+    total = counted.count()
+    top = counted.groupBy(*keys).agg(F.count("*").alias(n)).orderBy(F.desc(n)).limit(HEAVY).collect()
     heavy = [(*(r[k] for k in keys), -(-r[n] * HEAVY // total)) for r in top if r[n] * HEAVY > total and r[n] > 1]
     if not heavy:
         return left.join(right, keys, how)

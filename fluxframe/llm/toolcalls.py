@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluxframe.llm.tables import at, drop, keep, table
+from fluxframe.llm.tables import at, drop, keep, spread_join, table
 
 #: tool -> argument -> (types as schema_of_variant names them, required, least length of a string)
 Schemas = dict[str, dict[str, tuple[tuple[str, ...], bool, int]]]
@@ -32,11 +32,13 @@ CHAT: Schemas = {
 
 
 def levels(calls: DataFrame) -> DataFrame:
-    """call_id and level (null in or behind a cycle) of calls (call_id unique, after)."""
+    """call_id, level (null in or behind a cycle) and known (is there a call of this `after`; null for an `after` of null) of
+    calls (call_id unique, after). Calls that many others come after are dealt over tasks; calls after none join nothing."""
     spark = calls.sparkSession
-    known = calls.select(F.col("call_id").alias("after"), F.lit(True).alias("known"))
-    start = calls.select("call_id", "after").join(known, "after", "left")
-    start = start.select("call_id", F.when(F.col("known"), F.col("after")).alias("jump"), F.when(F.col("known"), 1).otherwise(0).cast("long").alias("level"))
+    ids = calls.select(F.col("call_id").alias("after"), F.lit(True).alias("is"))
+    behind = spread_join(calls.select("call_id", "after").filter(F.col("after").isNotNull()), ids, ["after"], ["call_id"], "left")
+    behind = behind.select("call_id", F.when(F.col("is"), F.col("after")).alias("jump"), F.when(F.col("is"), 1).otherwise(0).cast("long").alias("level"), F.coalesce("is", F.lit(False)).alias("known"))
+    start = behind.union(calls.filter(F.col("after").isNull()).select("call_id", F.lit(None).cast("string"), F.lit(0).cast("long"), F.lit(None).cast("boolean")))
     path = keep(start, "call-levels")
     now = at(spark, path, start)
     open_, total = now.agg(F.count("jump"), F.count("*")).first()
@@ -44,12 +46,13 @@ def levels(calls: DataFrame) -> DataFrame:
         if not open_:
             break
         to = now.select(F.col("call_id").alias("jump"), F.col("jump").alias("next"), F.col("level").alias("more"))
-        step = now.join(to, "jump", "left").select("call_id", F.col("next").alias("jump"), (F.col("level") + F.coalesce("more", F.lit(0))).alias("level"))
-        new = keep(step, "call-levels")
+        step = spread_join(now.filter(F.col("jump").isNotNull()), to, ["jump"], ["call_id"], "left")
+        step = step.select("call_id", F.col("next").alias("jump"), (F.col("level") + F.coalesce("more", F.lit(0))).alias("level"), "known")
+        new = keep(step.union(now.filter(F.col("jump").isNull())), "call-levels")
         drop(spark, path)
         path, now = new, at(spark, new, start)
         open_ = now.agg(F.count("jump")).first()[0]
-    return now.select("call_id", F.when(F.col("jump").isNull(), F.col("level")).cast("int").alias("level"))
+    return now.select("call_id", F.when(F.col("jump").isNull(), F.col("level")).cast("int").alias("level"), "known")
 
 
 def argument_errors(name: Column, arguments: Column, schemas: Schemas) -> Column:
@@ -80,8 +83,6 @@ def link(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
     one = at(calls.sparkSession, keep(one, "calls"), one)
     got = results.filter(F.col("call_id").isNotNull()).groupBy("call_id").agg(F.min("content").alias("content"), F.count("*").alias("n_results"))
     joined = one.join(levels(one), "call_id").join(got.hint("shuffle_hash"), "call_id", "full_outer")
-    known = one.select(F.col("call_id").alias("after"), F.lit(True).alias("known"))
-    joined = joined.join(known, "after", "left")
     joined = joined.withColumn("status", F.when(F.col("n_calls").isNull(), "orphan").when(F.col("n_results").isNull(), "open").otherwise("linked"))
     alone = named.sparkSession.createDataFrame([], joined.schema)
     alone = alone.unionByName(calls.filter(F.col("call_id").isNull()).select("name", "arguments", "after", F.lit(1).cast("long").alias("n_calls"), F.lit("unnamed").alias("status")), allowMissingColumns=True)
@@ -90,7 +91,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
 
     parsed = F.try_parse_json("arguments")
     is_call = F.col("n_calls").isNotNull()
-    more = F.array_compact(F.array(F.when(is_call & F.col("after").isNotNull() & F.col("known").isNull(), "unknown after"), F.when(is_call & F.col("level").isNull() & (F.col("status") != "unnamed"), "cycle")))
+    more = F.array_compact(F.array(F.when(is_call & F.col("after").isNotNull() & ~F.coalesce("known", F.lit(False)), "unknown after"), F.when(is_call & F.col("level").isNull() & (F.col("status") != "unnamed"), "cycle")))
     errors = F.when(is_call, F.concat(argument_errors(F.col("name"), parsed, schemas), more)).otherwise(F.array().cast("array<string>"))
     record = F.to_json(F.struct("after", parsed.alias("arguments"), F.col("call_id").alias("id"), "level", "name", F.col("content").alias("result"), "status"))
     return every.select("call_id", "status", "level", errors.alias("errors"), F.coalesce("n_calls", F.lit(0)).alias("n_calls"), F.coalesce("n_results", F.lit(0)).alias("n_results"), record.alias("record"))

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fluxframe.llm.tables import at, drop, keep, table
+from fluxframe.llm.tables import at, drop, keep, spread_join, table
 
 CANDIDATES, QUERIES, STRIP = 1 << 14, 1 << 11, 1 << 8
 #: Exact vectors read for a query at first, in multiples of k.
@@ -132,6 +132,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, bits: int = 8) -> DataFram
     first = scores(placed.filter(F.col("place") <= FIRST * k), rows)
     first = at(spark, keep(first, "va-scores"), first)
     more = placed.filter(F.col("place") > FIRST * k).join(kth(first, "score"), "query_id").filter(F.col("high") >= F.col("least"))
+    more = at(spark, keep(more, "va-more"), more)
     return top(first.union(scores(more, rows)), "score", k).select("query_id", F.col("place").cast("int").alias("rank"), "vec_id", "score")
 
 
@@ -142,9 +143,11 @@ def top(df: DataFrame, by: str, k: int) -> DataFrame:
 
 
 def scores(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """query_id, vec_id and score of pairs, from exact vectors fetched by id."""
-    both = pairs.select("query_id", "vec_id").join(rows.select(F.col("id").alias("vec_id"), F.col("vector").alias("x")), "vec_id")
-    both = both.join(rows.select(F.col("id").alias("query_id"), F.col("vector").alias("y")), "query_id")
+    """query_id, vec_id and score of pairs (a written table), from exact vectors fetched by id. A vector that is a candidate of
+    most queries, or a query of most candidates, is dealt over tasks."""
+    pairs = pairs.select("query_id", "vec_id")
+    both = spread_join(pairs, rows.select(F.col("id").alias("vec_id"), F.col("vector").alias("x")), ["vec_id"], ["query_id"])
+    both = spread_join(both, rows.select(F.col("id").alias("query_id"), F.col("vector").alias("y")), ["query_id"], ["vec_id"], counted=pairs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

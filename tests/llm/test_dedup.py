@@ -223,6 +223,21 @@ def test_spread_join(spark, monkeypatch, rows):
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, left.join(right, "k").collect()))
 
 
+def test_spread_join_deals_a_hot_key(spark):
+    """With 80 % of the rows on one key and adaptive execution off, the largest task has less than twice the mean."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left = spark.range(40_000).select(F.when(F.col("id") % 5 > 0, 7).otherwise(F.col("id")).alias("k"), F.col("id").alias("own"))
+        right = spark.range(40_000).select(F.col("id").alias("k"), F.lit(1).alias("one"))
+        for how, by in (("inner", ["own"]), ("left", [F.rand(3)])):
+            sizes = [r["count"] for r in tables.spread_join(left, right, ["k"], by, how).groupBy(F.spark_partition_id()).count().collect()]
+            assert sum(sizes) == 40_000 and len(sizes) == 4 and max(sizes) < 2 * 10_000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def sentences_of(text):
     """The rule of the docstring, word by word: (words of each sentence, its bytes)."""
     raw = text.encode()

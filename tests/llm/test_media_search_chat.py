@@ -184,3 +184,12 @@ def slow_ogg(payload):
 def test_ogg_like_brute_force(n):
     payload = ogg.payload(random.Random(n).randbytes(n))
     assert ogg.encode(payload) == slow_ogg(payload)
+
+
+def test_calls_after_one_call(spark, monkeypatch):
+    """A call that most others come after, and most calls after none, a cycle and an unknown one."""
+    rows = [("root", None)] + [(f"a{k}", "root") for k in range(400)] + [(f"n{k}", None) for k in range(300)] + [(f"c{k}", f"c{k - 1}") for k in range(1, 40)] + [("c0", "a3"), ("x", "y"), ("y", "x"), ("z", "nobody")]
+    calls = spark.createDataFrame([(i, "answer", "{}", a) for i, a in rows], "call_id string, name string, arguments string, after string")
+    got = {r.call_id: (r.level, r.known) for r in toolcalls.levels(calls).collect()}
+    want = {"root": (0, None), "x": (None, True), "y": (None, True), "z": (0, False)} | {f"a{k}": (1, True) for k in range(400)} | {f"n{k}": (0, None) for k in range(300)} | {f"c{k}": (2 + k, True) for k in range(40)}
+    assert got == want

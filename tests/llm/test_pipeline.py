@@ -65,7 +65,7 @@ def test_mix_matches_weights_at_any_share(spark, sf, monkeypatch, toxic):
 
 def test_queries():
     names = set(llm.queries())
-    assert {n.split("_")[0] for n in names} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in names} == {f"op{k}" for k in range(1, 14)}
     assert set(llm.oracle_sql()) <= names
     assert len(corpus_pipeline.STAGES) == 5
 
