@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fluxframe.llm import bpe, bytecnn, minhash, mixing, spans
-from fluxframe.llm.tables import at, drop, fresh, keep, table
+from fluxframe.llm.tables import at, drop, fresh, keep, spread_join, table
 
 #: Weights of the clean and the toxic domain; the toxic one is an upper bound.
 CLEAN_AND_TOXIC = (0.97, 0.03)
@@ -33,7 +33,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = minhash.near_duplicates(named.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias(row), F.col("component_id").alias(mark))
     ids = named.select(row, "doc_id").distinct()
     first = groups.distinct().join(ids, row).groupBy(mark).agg(F.min(F.struct("doc_id", row))[row].alias(row)).select(row)
-    one = named.join(first, row).groupBy(row).agg(F.min(F.struct(*names)).alias(mark)).select(f"{mark}.*")
+    one = spread_join(named, first, [row], [F.rand(3)]).groupBy(row).agg(F.min(F.struct(*names)).alias(mark)).select(f"{mark}.*")
     return one.union(docs.filter(F.col("doc_id").isNull()))
 
 
