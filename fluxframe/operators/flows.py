@@ -7,18 +7,18 @@ from pyspark.sql import functions as F
 
 from fluxframe.functions.bits import delta_mod
 from fluxframe.functions.signal import capture_count, expected_sample_delta, infer_bandwidth, payload_rate
+from fluxframe.operators.ordered import SPAN, previous, running
 from fluxframe.operators.validate import classified, classified_sql
 from fluxframe.plans.views import counters, packets, sql
 
 U32 = 1 << 32
 
 
-def continuity(df: DataFrame, stride: int, mhz: Column, order: str = "seq_no") -> DataFrame:
+def continuity(df: DataFrame, stride: int, mhz: Column, order: str = "seq_no", span: int = SPAN) -> DataFrame:
     """Per packet the gaps against the flow's packet before: numbers advance by stride (the number of flows), sample0 by
-    stride packets' samples. The first packet of a flow has no gap. drops counts the packets that a gap lost."""
-    w = Window.partitionBy("flow_id").orderBy(order)
-    before = {c: F.lag(c).over(w) for c in ("seq_no", "frame_id", "sample0")}
-    df = df.withColumns({f"_{c}": x for c, x in before.items()})
+    stride packets' samples. The first packet of a flow has no gap. drops counts the packets that a gap lost. A flow is as
+    many tasks as it has blocks of span numbers."""
+    df = previous(df, ["flow_id"], order, ["seq_no", "frame_id", "sample0"], span)
     step = delta_mod(F.col("seq_no"), F.col("_seq_no"))
     frame = delta_mod(F.col("frame_id"), F.col("_frame_id"), 64)
     moved = delta_mod(F.col("sample0"), F.col("_sample0"), 64)
@@ -34,14 +34,13 @@ def continuity(df: DataFrame, stride: int, mhz: Column, order: str = "seq_no") -
     }).drop("_seq_no", "_frame_id", "_sample0")
 
 
-def receiver_statistics(df: DataFrame, time_flows: int, spec_flows: int, mhz: Column) -> DataFrame:
+def receiver_statistics(df: DataFrame, time_flows: int, spec_flows: int, mhz: Column, span: int = SPAN) -> DataFrame:
     """All that the receiver tells of each flow: packets, bytes, gaps, and last values of its TIME and its SPEC packets, its
     ports, rates over its span, and the bandwidth its TIME packets suggest last. Each kind's packets advance by the number of
     flows that carry it; gaps are counted against the kind's own packet before. df has ts and the packets' header columns."""
-    w = Window.partitionBy("flow_id", "stream_type").orderBy("seq_no")
     time = F.col("stream_type") == 1
     stride = F.when(time, F.lit(time_flows)).otherwise(F.lit(max(1, spec_flows)))
-    x = df.filter(F.col("stream_type").isin(0, 1)).withColumns({f"_{c}": F.lag(c).over(w) for c in ("seq_no", "frame_id", "sample0")})
+    x = previous(df.filter(F.col("stream_type").isin(0, 1)), ["flow_id", "stream_type"], "seq_no", ["seq_no", "frame_id", "sample0"], span)
     has = F.col("_seq_no").isNotNull()
     moved = delta_mod(F.col("sample0"), F.col("_sample0"), 64)
     x = x.withColumns({
@@ -146,7 +145,7 @@ def latest(df: DataFrame, key: str, columns: list[str], order: str) -> DataFrame
 
 def throttled(df: DataFrame, key: str, order: str, first: int = 16) -> DataFrame:
     """Rows that are logged, with their number k: the first of a key below `first`, then every power of two."""
-    numbered = df.withColumn("k", F.row_number().over(Window.partitionBy(key).orderBy(order)).cast("long"))
+    numbered = running(df, [key], order, F.lit(1), "k")
     return numbered.filter((F.col("k") < first) | (F.bit_count("k") == 1))
 
 
@@ -184,8 +183,9 @@ def q_saturating(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_blocks_128(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = packets(spark, sf_dir).filter("e % 389 <> 5")
-    return coverage(p.select(F.expr("e div 128").alias("frame_group"), F.expr("cast(e % 128 as int)").alias("block_index"), F.lit(128).alias("block_count")))
+    """Groups of 128 blocks, of which some come twice in place of the one that follows."""
+    place = F.expr("cast(e % 128 - case when e % 389 = 5 and e % 128 > 0 then 1 else 0 end as int)")
+    return coverage(packets(spark, sf_dir).select(F.expr("e div 128").alias("frame_group"), place.alias("block_index"), F.lit(128).alias("block_count")))
 
 
 def q_flow_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -321,7 +321,9 @@ SQL = {
         count(*) FILTER (NOT t AND sg) AS spec_seq_gaps, count(*) FILTER (NOT t AND fg) AS spec_frame_gaps, arg_max(mhz, seq_no)::INTEGER AS detected_mhz, max(seq_no) FILTER (t) AS last_seq_no, arg_max(frame_id, seq_no) FILTER (t) AS last_frame_id, arg_max(sample0, seq_no) FILTER (t) AS last_sample0,
         max(seq_no) FILTER (NOT t) AS last_spec_seq_no, arg_max(frame_id, seq_no) FILTER (NOT t) AS last_spec_frame_id, arg_max(sample0, seq_no) FILTER (NOT t) AS last_spec_sample0, arg_max(chan0, seq_no) FILTER (NOT t) AS last_spec_chan0, arg_max(chan_count, seq_no) FILTER (NOT t) AS last_spec_chan_count FROM z GROUP BY flow_id"""),
     "saturating_totals": sql("packets", "SELECT board_id, least(sum(udp_payload_len::BIGINT * 997), 4294967295)::BIGINT AS small, least(sum(4611686018427387904 - e), 18446744073709551615)::VARCHAR AS large FROM packets GROUP BY board_id"),
-    "coverage_128": sql("packets", "SELECT e // 128 AS frame_group, coalesce(bit_or(1::BIGINT << least(62, e % 128)::INTEGER) FILTER (e % 128 < 63), 0) + CASE WHEN bool_or(e % 128 = 63) THEN -9223372036854775808 ELSE 0 END::BIGINT AS mask_lo, coalesce(bit_or(1::BIGINT << greatest(0, least(62, e % 128 - 64))::INTEGER) FILTER (e % 128 BETWEEN 64 AND 126), 0) + CASE WHEN bool_or(e % 128 = 127) THEN -9223372036854775808 ELSE 0 END::BIGINT AS mask_hi, count(*)::INTEGER AS seen, count(*) = 128 AS complete FROM packets WHERE e % 389 <> 5 GROUP BY 1"),
+    "coverage_128": sql("packets", """SELECT g AS frame_group, coalesce(bit_or(1::BIGINT << least(62, b)::INTEGER) FILTER (b < 63), 0) + CASE WHEN bool_or(b = 63) THEN -9223372036854775808 ELSE 0 END::BIGINT AS mask_lo,
+        coalesce(bit_or(1::BIGINT << greatest(0, least(62, b - 64))::INTEGER) FILTER (b BETWEEN 64 AND 126), 0) + CASE WHEN bool_or(b = 127) THEN -9223372036854775808 ELSE 0 END::BIGINT AS mask_hi, count(DISTINCT b)::INTEGER AS seen, count(DISTINCT b) = 128 AS complete
+        FROM (SELECT e // 128 AS g, e % 128 - CASE WHEN e % 389 = 5 AND e % 128 > 0 THEN 1 ELSE 0 END AS b FROM packets) GROUP BY g"""),
     "coverage_complete": sql("packets", "SELECT frame_group, bit_or(1::BIGINT << block_index) AS mask_lo, 0::BIGINT AS mask_hi, bit_count(bit_or(1::BIGINT << block_index))::INTEGER AS seen, bit_count(bit_or(1::BIGINT << block_index)) >= max(block_count) AS complete FROM packets GROUP BY frame_group"),
     "rate_windows": sql("packets", "SELECT start_s, count(*) AS packets, round(count(*) / 3600, 6) AS pps, round(sum(udp_payload_len)::BIGINT * 8 / 3600 / 1e9, 9) AS gbps FROM (SELECT *, floor(epoch(ts))::BIGINT // 3600 * 3600 AS start_s FROM packets) GROUP BY start_s"),
     "loss_percent": _over("packets", _continuity_sql("packets", 1), "SELECT *, round(drops / (drops + packets) * 100, 6) AS loss_percent FROM (SELECT count(*) AS packets, sum(udp_payload_len)::BIGINT AS bytes, sum(app_drops)::BIGINT AS drops, count(*) FILTER (stream_type > 1) AS filtered FROM c)"),

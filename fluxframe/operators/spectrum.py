@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fluxframe.functions.signal import amplitude_code, bandwidth_mhz, bin_rf_hz, decimation, from_db, nearest_bin, nearest_bin_half_up, next_power_of_two, phase0_word, phase_word, power_db, rf_equivalent, sample_rate_hz, samples_per_cycle, to_db, wrap_degrees
+from fluxframe.operators.ordered import SPAN, previous, running
 from fluxframe.plans.views import captures, packets, samples, sql, stepped
 from fluxframe.streaming.receiver import run_batch
 
@@ -72,15 +73,16 @@ def lag_search(a: DataFrame, b: DataFrame, key: str, most: int, overlap: int = 8
     return sums.groupBy(key).agg(F.min(F.struct((-size).alias("s"), "lag")).alias("m")).select(key, F.col("m.lag").alias("lag"), F.sqrt(-F.col("m.s")).alias("size"))
 
 
-def unwrapped(df: DataFrame, key: str, order: str, phase: str) -> DataFrame:
-    """Phases without jumps of more than half a turn, over all rows in order."""
-    w = Window.partitionBy(key).orderBy(order)
-    step = F.col(phase) - F.lag(phase).over(w)
+def unwrapped(df: DataFrame, key: str, order: str, phase: str, span: int = SPAN) -> DataFrame:
+    """Phases without jumps of more than half a turn, over all rows in order: whole turns are counted between neighbours and
+    added up over blocks, so a key is many tasks and sums are exact."""
+    step = F.col(phase) - F.col(f"_{phase}")
     turn = 2 * math.pi
     inside = F.pmod(step + math.pi, F.lit(turn)) - math.pi
     inside = F.when((inside == -math.pi) & (step > 0), F.lit(math.pi)).otherwise(inside)
-    fix = F.when(F.abs(step) < math.pi, F.lit(0.0)).otherwise(inside - step)
-    return df.withColumn("_fix", F.coalesce(fix, F.lit(0.0))).withColumn("unwrapped", F.col(phase) + F.sum("_fix").over(w)).drop("_fix")
+    turns = F.when(F.abs(step) < math.pi, F.lit(0)).otherwise(F.round((inside - step) / turn).cast("long"))
+    out = running(previous(df, [key], order, [phase], span), [key], order, F.coalesce(turns, F.lit(0)), "_turns", span=span)
+    return out.withColumn("unwrapped", F.col(phase) + turn * F.col("_turns")).drop("_turns", f"_{phase}")
 
 
 def weighted_slope(df: DataFrame, key: str, x: str, y: str, weight: str) -> DataFrame:
@@ -116,9 +118,8 @@ def quantisation_order(df: DataFrame, key: str, value: str, order: str) -> DataF
 def thinned(df: DataFrame, key: str, order: str, points: int, first: int = 0) -> DataFrame:
     """At most about `points` rows a key, every k-th, k the rows over points rounded up, and the first ones besides; k is the
     row's number."""
-    total = df.groupBy(key).agg(F.count("*").alias("_total"))
-    df = df.join(total, key).withColumn("k", F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1)
-    return df.filter((F.col("k") % F.ceil(F.col("_total") / points) == 0) | (F.col("k") < first)).drop("_total")
+    df = running(df, [key], order, F.lit(1), "_k", "_all").withColumn("k", F.col("_k") - 1)
+    return df.filter((F.col("k") % F.ceil(F.col("_all") / points) == 0) | (F.col("k") < first)).drop("_all", "_k")
 
 
 def in_passband(df: DataFrame, key: str, offset: Column, half: float) -> DataFrame:
@@ -167,11 +168,10 @@ def to_reference(df: DataFrame, key: str, channel: str, value: str, reference: i
 def mean_frequency(df: DataFrame, key: str, rate_hz: float, gate: int, step: int = 1) -> DataFrame:
     """Frequency from the turn between neighbours, weighted by the product's size. A sample under the gate gives no pair but
     is the next one's neighbour all the same. Null with fewer than four pairs."""
-    w = Window.partitionBy(key).orderBy("n")
-    df = df.withColumns({"pi": F.lag("i").over(w), "pq": F.lag("q").over(w), "pn": F.lag("n").over(w)})
-    i, q, a, b = (F.col(c).cast("double") for c in ("i", "q", "pi", "pq"))
+    df = previous(df, [key], "n", ["n", "i", "q"])
+    i, q, a, b = (F.col(c).cast("double") for c in ("i", "q", "_i", "_q"))
     re, im = i * a + q * b, q * a - i * b
-    ok = df.filter((F.col("n") - F.col("pn") == step) & (square() >= gate)).select(key, F.atan2(im, re).alias("turn"), F.hypot(re, im).alias("weight"))
+    ok = df.filter((F.col("n") - F.col("_n") == step) & (square() >= gate)).select(key, F.atan2(im, re).alias("turn"), F.hypot(re, im).alias("weight"))
     return ok.groupBy(key).agg(F.when(F.count("*") >= 4, F.sum(F.col("turn") * F.col("weight")) / F.sum("weight") / (2 * math.pi) * rate_hz).alias("hz"), F.count("*").alias("pairs"))
 
 
