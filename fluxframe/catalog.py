@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fluxframe.operators import analysis, codec, config, dsp, flows, gates, receiver, routes, spectrum, validate
+from fluxframe.operators import analysis, captured, codec, config, dsp, flows, gates, receiver, routes, spectrum, validate
 
-MODULES = [flows, routes, validate, config, dsp, spectrum, codec, gates, receiver, analysis]
+MODULES = [captured, flows, routes, validate, config, dsp, spectrum, codec, gates, receiver, analysis]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

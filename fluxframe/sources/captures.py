@@ -1,61 +1,172 @@
 """Capture files as tables and streams, and the other inputs and outputs of the receiver.
 
 A capture file is a classic pcap file of Ethernet frames (kind "frame") or of bare UDP payloads (kind "udp_payload", whose
-port is that of base_port). Files are listed and read by Spark's own file source, so any store will do; a stream keeps in its
-checkpoint which files it has taken, whatever their names and the order in which they come. A file is one row of the source
-and is parsed in one task: recorders roll files over, and spark.sql.sources.binaryFile.maxLength bounds them.
+port is that of base_port). A file is cut into ranges of split_bytes, and each range is a task: it begins at the first record
+that starts in it, and ends with the last. Files have no marks between records, so a range looks for a place from which
+records follow each other for longer than any packet; where a range ends, it knows the border exactly, and it raises if the
+search of the next range would find another. So a file is read whole and once, or not at all: split_bytes of 0 then reads files in one task each.
+
+CaptureSource is Spark's data source "pcap" of a table; filters on dst_port and ts are pushed into it and run while records are
+walked, so refused packets never become rows. A stream lists files by Spark's own file source, which keeps in its checkpoint
+which ones it has taken, whatever their names and the order in which they come, and reads their ranges in the same way.
+Files are read through pyarrow's file systems (local, HDFS, S3, GCS) by tasks; the driver only lists them.
 """
 
 from __future__ import annotations
 
 import io
+import operator
 import os
 import struct
-from collections.abc import Iterator
+import tempfile
+import uuid
+from collections.abc import Callable, Iterator
+from datetime import datetime, timezone
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual
 from pyspark.sql.pandas.types import to_arrow_schema
 
-FRAMES = "file string, number long, ts timestamp, dst_port int, frame binary"
+#: number: the byte of the file at which the packet's record starts.
+FRAMES = T.StructType().add("file", T.StringType()).add("number", T.LongType()).add("ts", T.TimestampType()).add("dst_port", T.IntegerType()).add("frame", T.BinaryType())
 PCAP_HEAD, PACKET_HEAD = struct.Struct("<IHHiIII"), struct.Struct("<IIII")
 PCAP_MAGIC = 0xA1B2C3D4
+SPLIT = 64 << 20
+#: The most bytes of a packet, and of its record, and how far times may lie from the file's first.
+MOST_BYTES, YEAR = 65535, 366 * 86400
+REACH = PACKET_HEAD.size + MOST_BYTES
+
+
+def file_head() -> bytes:
+    return PCAP_HEAD.pack(PCAP_MAGIC, 2, 4, 0, 0, MOST_BYTES, 1)
+
+
+def record_of(us: int, frame: bytes) -> bytes:
+    return PACKET_HEAD.pack(us // 1_000_000, us % 1_000_000, len(frame), len(frame)) + frame
 
 
 def write_pcap(path: str, frames: list[tuple[float, bytes]]) -> None:
     """Frames with their times in seconds; the file appears under its name when it is whole."""
     part = f"{path}.part"
     with open(part, "wb") as f:
-        f.write(PCAP_HEAD.pack(PCAP_MAGIC, 2, 4, 0, 0, 65535, 1))
+        f.write(file_head())
         for ts, frame in frames:
-            f.write(PACKET_HEAD.pack(int(ts), int(ts % 1 * 1e6), len(frame), len(frame)) + frame)
+            f.write(record_of(int(ts * 1e6), frame))
     os.replace(part, path)
 
 
-def read_pcap(data: bytes) -> Iterator[tuple[int, int, bytes]]:
-    """Number, time in microseconds and bytes of each packet; a packet cut off at the end isn't given."""
-    if len(data) < PCAP_HEAD.size or PCAP_HEAD.unpack_from(data)[0] != PCAP_MAGIC:
-        raise ValueError("not a little-endian pcap file")
-    at, number = PCAP_HEAD.size, 0
-    while at + PACKET_HEAD.size <= len(data):
-        sec, us, size, _ = PACKET_HEAD.unpack_from(data, at)
-        at += PACKET_HEAD.size
-        if at + size > len(data):
-            return
-        yield number, sec * 1_000_000 + us, data[at : at + size]
-        at, number = at + size, number + 1
+def store_of(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else os.path.abspath(path))
 
 
-def frames(spark: SparkSession, path: str, kind: str = "frame", base_port: int = 4300, port_count: int = 24, stream: bool = False, files_per_trigger: int = 64) -> DataFrame:
-    """Packets of the .pcap files under path whose port is in range, as FRAMES; with stream, of files as they arrive. The port
-    filter runs while a file is parsed, like the kernel's, so refused packets never become rows."""
-    if kind not in ("frame", "udp_payload"):
-        raise ValueError(f"kind {kind}")
-    schema = T._parse_datatype_string(FRAMES)
-    arrow = to_arrow_schema(schema)
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder name in spark.checkpoint.dir, which all machines share; a local session without one gets its own."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='fluxframe-')}")
+        base = spark.sparkContext.getCheckpointDir()
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def write_captures(df: DataFrame, path: str) -> int:
+    """Frames (ts, frame) as pcap files under path, one a task, in the rows' order; how many. A task that is run again writes
+    its file anew, and a file appears under its name when it is whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, folder = store_of(path)
+        store.create_dir(folder)
+        name = f"{folder}/part-{TaskContext.get().partitionId():05d}"
+        part, n = f"{name}.{TaskContext.get().taskAttemptId()}", 0
+        with store.open_output_stream(part) as f:
+            f.write(file_head())
+            for batch in batches:
+                for us, frame in zip(batch.column("ts").cast(pa.timestamp("us")).cast(pa.int64()).to_pylist(), batch.column("frame").to_pylist(), strict=True):
+                    f.write(record_of(us, frame))
+                    n += 1
+        store.move(part, f"{name}.pcap")
+        yield pa.RecordBatch.from_pydict({"n": [n]})
+
+    return df.select(F.col("ts").cast("timestamp").alias("ts"), "frame").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def _is_record(data: bytes, at: int, first_second: int) -> int:
+    """The length of what looks like a record there, or 0."""
+    sec, us, size, whole = PACKET_HEAD.unpack_from(data, at)
+    return PACKET_HEAD.size + size if us < 1_000_000 and 0 < size <= MOST_BYTES and size <= whole <= 1 << 20 and abs(sec - first_second) <= YEAR else 0
+
+
+def find_border(f: pa.NativeFile, size: int, at: int, first_second: int) -> int:
+    """The first place from at on from which records follow each other for longer than any packet, or up to the end; size if
+    there is none."""
+    f.seek(at)
+    data = f.read(min(size - at, 3 * REACH))
+    ends = at + len(data) == size
+    raw = np.frombuffer(data, np.uint8).astype(np.uint32)
+    words = raw[:-3] | raw[1:-2] << 8 | raw[2:-1] << 16 | raw[3:] << 24 if len(raw) > PACKET_HEAD.size else raw[:0]
+    n = max(0, min(REACH, len(words) - 12))
+    likely = (words[4 : n + 4] < 1_000_000) & (words[8 : n + 8] <= words[12 : n + 12]) & (words[8 : n + 8] <= MOST_BYTES) & (words[8 : n + 8] > 0)
+    for start in np.flatnonzero(likely).tolist():
+        place, steps = start, 0
+        while place <= start + REACH and place + PACKET_HEAD.size <= len(data) and (step := _is_record(data, place, first_second)):
+            place, steps = place + step, steps + 1
+        if place > start + REACH and steps > 1 or ends and (place == len(data) or steps > 1 and place + PACKET_HEAD.size > len(data)):
+            return at + start
+    return size
+
+
+def _cut_off(f: pa.NativeFile, size: int, at: int) -> bool:
+    """Whether no whole record starts there, as the file ends."""
+    f.seek(at)
+    head = f.read(PACKET_HEAD.size)
+    return len(head) < PACKET_HEAD.size or at + PACKET_HEAD.size + PACKET_HEAD.unpack(head)[2] > size
+
+
+def records(f: pa.NativeFile, size: int, lo: int, hi: int, name: str = "") -> Iterator[tuple[int, int, bytes]]:
+    """Place, time in microseconds and bytes of each packet whose record starts in lo to hi; a packet cut off at the end of the
+    file isn't given."""
+    f.seek(0)
+    head = f.read(PCAP_HEAD.size + PACKET_HEAD.size)
+    if len(head) < PCAP_HEAD.size or PCAP_HEAD.unpack_from(head)[0] != PCAP_MAGIC:
+        raise ValueError(f"not a little-endian pcap file: {name}")
+    if len(head) < PCAP_HEAD.size + PACKET_HEAD.size:
+        return
+    (second,) = struct.unpack_from("<I", head, PCAP_HEAD.size)
+    at = PCAP_HEAD.size if lo <= PCAP_HEAD.size else find_border(f, size, lo, second)
+    f.seek(at)
+    data, base = b"", at
+    while at < hi:
+        if at - base + PACKET_HEAD.size > len(data):
+            data, base = data[at - base :] + f.read(1 << 20), at
+            if len(data) < PACKET_HEAD.size:
+                return
+        sec, us, length, _ = PACKET_HEAD.unpack_from(data, at - base)
+        start = at - base + PACKET_HEAD.size
+        if start + length > len(data):
+            data, base, start = data[at - base :] + f.read(max(length, 1 << 20)), at, PACKET_HEAD.size
+            if start + length > len(data):
+                return
+        yield at, sec * 1_000_000 + us, data[start : start + length]
+        at += PACKET_HEAD.size + length
+    if hi < size and not _cut_off(f, size, at) and find_border(f, size, hi, second) != at:
+        raise ValueError(f"{name}: the record border at byte {at} isn't certain from there; read this capture with split_bytes 0")
+
+
+Kept = Callable[[int, int], bool]
+
+
+def read_range(path: str, size: int, lo: int, hi: int, kind: str, base_port: int, port_count: int, kept: Kept = lambda port, us: True) -> Iterator[pa.RecordBatch]:
+    """FRAMES of a range of a file whose port is in range and that are kept by port and time."""
+    arrow = to_arrow_schema(FRAMES)
+    columns: list[list] = [[], [], [], [], []]
+    name = os.path.basename(path)
 
     def port_of(frame: bytes) -> int:
         if kind == "udp_payload":
@@ -64,32 +175,102 @@ def frames(spark: SparkSession, path: str, kind: str = "frame", base_port: int =
             return -1
         return int.from_bytes(frame[14 + (frame[14] & 15) * 4 + 2 :][:2], "big")
 
+    def full() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(c, x.type) for c, x in zip(columns, arrow, strict=True)], schema=arrow)
+        for c in columns:
+            c.clear()
+        return out
+
+    store, place = store_of(path)
+    with store.open_input_file(place) as f:
+        for at, us, frame in records(f, size, lo, hi, path):
+            port = port_of(frame)
+            if base_port <= port < base_port + port_count and kept(port, us):
+                for c, v in zip(columns, (name, at, us, port, frame), strict=True):
+                    c.append(v)
+                if len(columns[0]) == 1024:
+                    yield full()
+    if columns[0]:
+        yield full()
+
+
+class Range(InputPartition):
+    def __init__(self, path: str, size: int, lo: int, hi: int) -> None:
+        self.path, self.size, self.lo, self.hi = path, size, lo, hi
+
+
+TESTS = {EqualTo: operator.eq, GreaterThan: operator.gt, GreaterThanOrEqual: operator.ge, LessThan: operator.lt, LessThanOrEqual: operator.le, In: lambda x, values: x in values}
+
+
+class CaptureReader(DataSourceReader):
+    def __init__(self, options: dict) -> None:
+        self.path, self.kind = options["path"], options.get("kind", "frame")
+        self.ports = int(options.get("base_port", 4300)), int(options.get("port_count", 24))
+        self.split = int(options.get("split_bytes", SPLIT))
+        self.tests: list[tuple[str, type, object]] = []
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Comparisons of dst_port and ts are taken, and that columns aren't null, as none is; Spark keeps the rest."""
+        micros = lambda t: round((t if t.tzinfo else t.replace(tzinfo=timezone.utc)).timestamp() * 1e6) if isinstance(t, datetime) else None
+        for x in filters:
+            value = getattr(x, "value", None)
+            if type(x) in TESTS and x.attribute == ("dst_port",):
+                self.tests.append(("port", type(x), value))
+            elif type(x) in TESTS and type(x) is not In and x.attribute == ("ts",) and micros(value) is not None:
+                self.tests.append(("us", type(x), micros(value)))
+            elif not isinstance(x, IsNotNull):
+                yield x
+
+    def partitions(self) -> list[Range]:
+        store, folder = store_of(self.path)
+        found = store.get_file_info(folder)
+        files = [found] if found.is_file else store.get_file_info(fs.FileSelector(folder, recursive=True))
+        out, prefix = [], self.path.split("://")[0] + "://" if "://" in self.path else ""
+        for info in files:
+            if info.is_file and info.path.endswith(".pcap"):
+                step = self.split or max(info.size, 1)
+                out += [Range(prefix + info.path, info.size, lo, min(lo + step, info.size)) for lo in range(0, info.size, step)]
+        return out
+
+    def read(self, part: Range) -> Iterator[pa.RecordBatch]:
+        tests = [(of, TESTS[how], value) for of, how, value in self.tests]
+        kept = lambda port, us: all(test(port if of == "port" else us, value) for of, test, value in tests)
+        return read_range(part.path, part.size, part.lo, part.hi, self.kind, *self.ports, kept)
+
+
+class CaptureSource(DataSource):
+    """Options: path (a file, or a folder of .pcap files), kind, base_port, port_count, split_bytes."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "pcap"
+
+    def schema(self) -> T.StructType:
+        return FRAMES
+
+    def reader(self, schema: T.StructType) -> CaptureReader:
+        return CaptureReader(self.options)
+
+
+def frames(spark: SparkSession, path: str, kind: str = "frame", base_port: int = 4300, port_count: int = 24, stream: bool = False, files_per_trigger: int = 64, split_bytes: int = SPLIT) -> DataFrame:
+    """Packets of the .pcap files under path whose port is in range, as FRAMES; with stream, of files as they arrive. As a table
+    it takes filters on dst_port and ts down (the session setting spark.sql.python.filterPushdown.enabled is turned on)."""
+    if kind not in ("frame", "udp_payload"):
+        raise ValueError(f"kind {kind}")
+    if not stream:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+        spark.dataSource.register(CaptureSource)
+        return spark.read.format("pcap").options(path=path, kind=kind, base_port=base_port, port_count=port_count, split_bytes=split_bytes).load()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                columns: list[list] = [[], [], [], [], []]
-
-                def full() -> pa.RecordBatch:
-                    out = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
-                    for c in columns:
-                        c.clear()
-                    return out
-
-                for number, us, frame in read_pcap(data):
-                    port = port_of(frame)
-                    if base_port <= port < base_port + port_count:
-                        for c, v in zip(columns, (os.path.basename(name), number, us, port, frame), strict=True):
-                            c.append(v)
-                        if len(columns[0]) == 1024:
-                            yield full()
-                if columns[0]:
-                    yield full()
+            for name, size, lo, hi in zip(*(batch.column(c).to_pylist() for c in ("path", "length", "lo", "hi")), strict=True):
+                yield from read_range(name, size, lo, hi, kind, base_port, port_count)
 
-    if stream:
-        files = spark.readStream.schema("path string, modificationTime timestamp, length long, content binary").format("binaryFile").option("pathGlobFilter", "*.pcap").option("maxFilesPerTrigger", files_per_trigger).load(path)
-    else:
-        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pcap").load(path)
-    return files.select("path", "content").mapInArrow(run, schema)
+    files = spark.readStream.schema("path string, modificationTime timestamp, length long, content binary").format("binaryFile").option("pathGlobFilter", "*.pcap").option("maxFilesPerTrigger", files_per_trigger).load(path)
+    step = F.lit(split_bytes) if split_bytes else F.greatest(F.col("length"), F.lit(1))
+    ranges = files.filter("length > 0").select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, step.cast("long"))).alias("lo")).withColumn("hi", F.least(F.col("lo") + step, F.col("length")))
+    return ranges.repartition("path", "lo").mapInArrow(run, FRAMES)
 
 
 def numpy_captures(spark: SparkSession, path: str, key: str | None = None) -> DataFrame:
