@@ -7,17 +7,22 @@ order of the rules.
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fluxframe.functions.bits import delta_mod
 from fluxframe.plans.views import counters, packets, sql
 
-Rules = list[tuple[str, Column]]
+Rules = list[tuple[str | Column, Column]]
 
 
 def failed(rules: Rules) -> Column:
-    return F.array_compact(F.array(*[F.when(bad, F.lit(code)) for code, bad in rules]))
+    """The codes of rules that are broken, as an array; a code can be a column, of a text in one line."""
+    text = F.concat_ws("\n", *[F.when(bad, F.lit(code) if isinstance(code, str) else code) for code, bad in rules])
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, "\n"))
 
 
 def gate(df: DataFrame, rules: Rules, name: str, keep: list[str]) -> DataFrame:
@@ -82,8 +87,8 @@ def flow_errors(flows: DataFrame, keys: list[str], core_flows: int = 24) -> Data
     checks = [(active & ~F.coalesce("present", F.lit(False)), "MISSING"), (seen & (F.coalesce(moved, F.lit(0)) <= 0), "NO_PACKETS")]
     checks += [(seen & (F.coalesce(F.col(c), F.lit(0)) != 0), c.upper()) for c in FLOW_COUNTERS]
     checks += [(~active & ((F.coalesce("time_packets", F.lit(0)) != 0) | (F.coalesce("spec_packets", F.lit(0)) != 0)), "INACTIVE_PACKETS")]
-    said = F.array_compact(F.array(*[F.when(bad, name(what)) for bad, what in checks]))
-    bad = flows.filter(F.col("flow_id").between(0, core_flows - 1)).select(*keys, "flow_id", (~active).alias("idle"), said.alias("said")).filter(F.size("said") > 0)
+    wrong = functools.reduce(operator.or_, (F.coalesce(bad, F.lit(False)) for bad, _ in checks))  # texts are made for few flows
+    bad = flows.filter(F.col("flow_id").between(0, core_flows - 1) & wrong).select(*keys, "flow_id", (~active).alias("idle"), failed([(name(what), bad) for bad, what in checks]).alias("said"))
     # at most core_flows rows a gate
     return bad.groupBy(*keys).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("idle", "flow_id", "said"))), lambda x: x["said"])).alias("flow_errors"))
 
@@ -114,41 +119,93 @@ def host_gate(totals: DataFrame, flows: DataFrame, keys: list[str]) -> DataFrame
     return out.select(*keys, name.alias("classification"), ok.alias("ok"), "errors")
 
 
-def board_rules(counter_names: list[str] = BOARD_COUNTERS, tolerance: float = 0.99, time_routes: int = 8, spec_routes: int = 16) -> Rules:
-    """The transmitter's gate: clocks, link and enables, counters at rest, rates near nominal, every wanted route hit and no
-    other enabled, and the filter bank's contract where spectra are sent. Older gates are this one with other counters,
-    tolerances and numbers of routes."""
-    time, spec = F.col("wants_time"), F.col("wants_spec")
-    off = lambda c: F.coalesce(F.col(c), F.lit(0)) == 0
+# The board's core, clock reference and sync mode, its anti-alias filter, floors of packets a second and of payload.
+CORE_VERSION, OLD_CORE_VERSION = 0x00010031, 0x00010025
+EXTERNAL_10MHZ, EXTERNAL_PPS, NO_INJECTION = 0, 0, 0xFF00
+AA_TAPS, AA_COEFF_VERSION = 41, 0xAA100041
+LEAST_PPS, LEAST_PAYLOAD_MBPS = 470_000, 31_000
+
+
+def _off(c: str) -> Column:
+    return F.coalesce(F.col(c), F.lit(0)) == 0
+
+
+def _is_not(c: str, x: int) -> Column:
+    return F.coalesce(F.col(c) != x, F.lit(True))
+
+
+def _wrong_core(version: int) -> tuple[Column, Column]:
+    return F.format_string(f"WRONG_CORE_VERSION expected 0x{version:08x} got 0x%08x", F.coalesce(F.col("core_version"), F.lit(0))), _is_not("core_version", version)
+
+
+# The codes of the gates' rules, in their order.
+def board_rules() -> Rules:
+    """The transmitter's gate for one stream at 100 MHz, on a row with mode (time_only or spec_only), status words, differences of
+    counters over `elapsed` seconds, rates, and how many routes are enabled and hit."""
+    time, spec = F.col("mode") == "time_only", F.col("mode") == "spec_only"
+    low = lambda what, c, least: (F.format_string(f"{what} %.3f < {least}", c), c < least)
+    route = lambda kind, n: (F.col(f"{kind}_routes") != n) | (F.col(f"{kind}_routes_hit") < F.col(f"{kind}_routes"))
+    time_low, spec_low = low("TIME_PPS_LOW", F.col("time_pps"), LEAST_PPS), low("SPEC_PPS_LOW", F.col("spec_pps"), LEAST_PPS)
     return [
-        ("EXTERNAL_PPS_NOT_READY", off("pps_recent") | (F.coalesce("pps_count", F.lit(0)) <= 0)),
-        ("DIAGNOSTIC_INJECTION_ENABLED", F.col("diag_control") != 0xFF00),
-        ("SCIENCE_BANDWIDTH_MISMATCH", F.col("science_mhz") != F.col("mhz")),
-        ("TIME_ENABLE_MISMATCH", off("time_enabled") == time),
-        ("SPEC_ENABLE_MISMATCH", off("spec_enabled") == spec),
-        *[(label, off(c)) for c, label in (("gt_locked", "GT_NOT_LOCKED"), ("cmac_reset_done", "CMAC_RESET_NOT_DONE"), ("cmac_tx_ready", "CMAC_TX_NOT_READY"))],
-        *nonzero(counter_names),
-        ("SPEC_PACKETS_PRESENT_IN_TIME_ONLY", ~spec & (F.col("spec_pps") != 0)),
-        ("TIME_PACKETS_PRESENT_IN_SPEC_ONLY", ~time & (F.col("time_pps") != 0)),
-        ("TIME_RATE_LOW", time & (F.col("time_pps") < F.col("nominal_pps") * tolerance)),
-        ("SPEC_RATE_LOW", spec & (F.col("spec_pps") < F.col("nominal_pps") * tolerance)),
-        ("TIME_ROUTE_CONTRACT_FAILED", time & ((F.col("time_routes") != time_routes) | (F.col("time_routes_hit") < F.col("time_routes")))),
+        _wrong_core(CORE_VERSION),
+        ("WRONG_CLOCK_REF", _is_not("clock_ref", EXTERNAL_10MHZ)),
+        ("WRONG_SYNC_MODE", _is_not("configured_sync_mode", EXTERNAL_PPS) | _is_not("active_sync_mode", EXTERNAL_PPS)),
+        ("EXTERNAL_PPS_NOT_READY", _off("pps_recent") | (F.coalesce("pps_count", F.lit(0)) <= 0)),
+        ("DIAGNOSTIC_INJECTION_ENABLED", _is_not("diag_control", NO_INJECTION)),
+        ("SCIENCE_BANDWIDTH_MISMATCH", _is_not("science_mhz", 100)),
+        ("TIME_ENABLE_MISMATCH", _off("time_enabled") == time),
+        ("SPEC_ENABLE_MISMATCH", _off("spec_enabled") == spec),
+        ("SCIENCE_100MHZ_ANTIALIAS_NOT_READY", _off("aa_active") | _off("aa_primed")),
+        ("SCIENCE_100MHZ_ANTIALIAS_CONTRACT_MISMATCH", _is_not("aa_taps", AA_TAPS) | _is_not("aa_coeff_version", AA_COEFF_VERSION)),
+        ("CMAC_LIVE_TX_NOT_ENABLED", _is_not("udp_dry_run_active", 0) | _off("cmac_enable")),
+        *nonzero(BOARD_COUNTERS),
+        ("SPEC_PACKETS_PRESENT_IN_TIME_ONLY", time & (F.col("spec_packet_count") != 0)),
+        ("TIME_PACKETS_PRESENT_IN_SPEC_ONLY", spec & (F.col("time_packet_count") != 0)),
+        (time_low[0], time & time_low[1]),
+        (spec_low[0], spec & spec_low[1]),
+        low("COMBINED_PAYLOAD_LOW", F.col("payload_mbps"), LEAST_PAYLOAD_MBPS),
+        ("TIME_ROUTE_CONTRACT_FAILED", time & route("time", 8)),
         ("TIME_ROUTE_ENABLED_IN_SPEC_ONLY", ~time & (F.col("time_routes") != 0)),
-        ("SPEC_ROUTE_CONTRACT_FAILED", spec & ((F.col("spec_routes") != spec_routes) | (F.col("spec_routes_hit") < F.col("spec_routes")))),
+        ("SPEC_ROUTE_CONTRACT_FAILED", spec & route("spec", 16)),
+        ("FENGINE_SCIENCE_NOT_VALID", spec & _off("fengine_science_valid")),
+        *[(code, spec & bad) for code, bad in (("PFB_TAPS_NOT_4", _is_not("pfb_taps", 4)), ("PFB_NOT_ACTIVE", _off("pfb_active")), ("PFB_COEFF_NOT_VALID", _off("pfb_coeff_active_valid")), ("PFB_CHAN_COUNT_NOT_256", _is_not("pfb_chan_count", 256)), ("PFB_TIME_COUNT_NOT_1", _is_not("pfb_time_count", 1)))],
         ("SPEC_ROUTE_ENABLED_IN_TIME_ONLY", ~spec & (F.col("spec_routes") != 0)),
-        ("PFB_NOT_ACTIVE", spec & off("pfb_active")),
-        ("PFB_COEFF_NOT_VALID", spec & off("pfb_coeff_valid")),
-        ("PFB_CONTRACT", spec & ((F.col("pfb_taps") != 4) | (F.col("pfb_checksum") != 536870912) | (F.col("pfb_chan_count") != 256) | (F.col("pfb_time_count") != 1))),
-        ("PFB_ACTIVE_IN_TIME_ONLY", ~spec & ~off("pfb_active")),
+        ("PFB_ACTIVE_IN_TIME_ONLY", ~spec & ~_off("pfb_active")),
     ]
 
 
-# Older gates, by the thresholds in which they differ.
-OLDER_GATES = {
-    "spectra_only": {"counter_names": [c for c in BOARD_COUNTERS if not c.startswith("time_")], "time_routes": 0},
-    "time_only": {"counter_names": [c for c in BOARD_COUNTERS if not c.startswith(("pfb_", "spec_"))], "spec_routes": 0},
-    "bring_up": {"counter_names": ["rfdc_dropped_count", "science_dropped_beat_count", "tx_route_error_count"], "tolerance": 0.9},
-}
+def link_blockers(one_fault: bool = True) -> Rules:
+    """What keeps packets from leaving the board at all, apart from errors."""
+    local, remote = ~_off("tx_local_fault"), ~_off("tx_remote_fault")
+    faults = [("CMAC_FAULT", local | remote)] if one_fault else [("CMAC_LOCAL_FAULT", local), ("CMAC_REMOTE_FAULT", remote)]
+    return [("GT_NOT_LOCKED", _off("gt_locked")), ("CMAC_RESET_NOT_DONE", _off("cmac_reset_done")), ("CMAC_TX_NOT_READY", _off("cmac_tx_ready")), *faults]
+
+
+def science_rules(least_packets: int = 1) -> Rules:
+    """The gate of an earlier core, whose 64 spectrum routes carry 64 channels each; packets have to move, at no given rate."""
+    time, spec = F.col("mode").isin("time_only", "time_spec"), F.col("mode").isin("spec_only", "time_spec")
+    moved = lambda c: ~_off(c)
+    few = lambda c: F.coalesce(F.col(c), F.lit(0)) < least_packets
+    return [
+        _wrong_core(OLD_CORE_VERSION),
+        ("TX_STILL_DRY_RUN", _is_not("udp_dry_run_active", 0)), ("CMAC_TX_NOT_ENABLED", _off("cmac_enable")), ("FRAME_BUILDER_NOT_ENABLED", _off("frame_builder_enabled")), ("CMAC_TX_UNDERFLOW", moved("tx_underflow")), ("CMAC_TX_OVERFLOW", moved("tx_overflow")),
+        ("FENGINE_SCIENCE_NOT_VALID", _off("fengine_science_valid")), ("PFB_FFT_NOT_READY", spec & moved("pfb_fft_not_ready")), ("FENGINE_OVERFLOW", spec & moved("pfb_overflow_count")), ("FENGINE_XFFT_EVENT", spec & moved("pfb_xfft_event_count")), ("FENGINE_TILE_OVERFLOW", spec & moved("pfb_tile_overflow_count")),
+        ("SPEC_ROUTE_INCOMPLETE", spec & moved("spec_route_incomplete")), ("SCIENCE_RATE_DROPPED", moved("science_dropped_beat_count")), ("RFDC_DROPPED", moved("rfdc_dropped_count")), ("SCIENCE_OUTPUT_MODE_MISMATCH", F.coalesce(F.col("output_mode") != F.col("mode"), F.lit(True))),
+        ("TIME_PACKET_COUNTER_NOT_INCREMENTING", time & few("time_packet_count")), ("TIME_DROPPED", time & moved("time_dropped_count")), ("SPEC_PACKET_COUNTER_NOT_INCREMENTING", spec & few("spec_packet_count")), ("SPEC_DROPPED", spec & moved("spec_dropped_count")), ("TX_FRAME_COUNTER_NOT_INCREMENTING", few("tx_frame_built_count")),
+        ("TX_ROUTE_MISS", moved("tx_route_miss_count")), ("TX_ROUTE_ERROR", moved("tx_route_error_count")), ("TX_FRAME_DROPPED", moved("tx_frame_dropped_count")),
+        ("SPEC_ROUTE_COVERAGE_INCOMPLETE", spec & (F.col("spec_routes_hit") < 64)), ("SPEC_ROUTE_CHAN_COUNT_BAD", spec & moved("spec_routes_odd_count")), ("SPEC_ROUTE_ENDPOINT_RANGE_BAD", spec & moved("spec_routes_odd_endpoint")), ("SPEC_ROUTE_HITS_MISSING", spec & moved("spec_routes_unhit")),
+    ]
+
+
+def transmitter_gate(df: DataFrame, rules: Rules, blockers: Rules, name: str, keys: list[str]) -> DataFrame:
+    """keys, classification, ok, errors, blockers and rates (time_pps, spec_pps, payload_mbps) of rows with mhz, mode, elapsed,
+    status words and differences of counters. Rates are there for the rules."""
+    seconds = F.greatest(F.col("elapsed"), F.lit(1e-6))
+    df = df.withColumns({"time_pps": F.col("time_packet_count") / seconds, "spec_pps": F.col("spec_packet_count") / seconds, "payload_mbps": (F.col("time_packet_count") + F.col("spec_packet_count")) * 8320.0 * 8.0 / seconds / 1e6})
+    out = df.withColumns({"errors": failed(rules), "blockers": failed(blockers)})
+    ok = (F.size("errors") == 0) & (F.size("blockers") == 0)
+    said = F.concat(F.lit(name + "_"), F.col("mhz").cast("string"), F.lit("MHZ_"), F.col("mode"), F.when(ok, "_PASS").otherwise("_FAIL"))
+    return out.select(*keys, said.alias("classification"), ok.alias("ok"), "errors", "blockers", "time_pps", "spec_pps", "payload_mbps")
 
 
 def packet_rules(ip: str, ports: Column, stream: int) -> Rules:
@@ -343,22 +400,38 @@ def q_host(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_gate(totals, _host_flows(spark, sf_dir), ["e"]).withColumn("errors", F.array_join("errors", ","))
 
 
+#: A board's status an event, common to both engines: what a gate reads, with something wrong now and then.
+_STATUS = {
+    "mhz": "100", "mode": "case when e % 2 = 0 then 'time_only' else 'spec_only' end", "elapsed": "cast(10 as double)",
+    **{c: f"case when e % {m} = 5 then {bad} else {good} end" for c, m, bad, good in (
+        ("core_version", 73, 65584, 65585), ("clock_ref", 74, 1, 0), ("configured_sync_mode", 75, 2, 0), ("active_sync_mode", 76, 1, 0), ("pps_recent", 31, 0, 1), ("diag_control", 33, 1, 65280), ("science_mhz", 29, 200, 100), ("aa_active", 77, 0, 1), ("aa_primed", 78, 0, 1), ("aa_taps", 79, 40, 41),
+        ("aa_coeff_version", 80, 1, 2853175361), ("gt_locked", 36, 0, 1), ("cmac_reset_done", 37, 0, 1), ("cmac_tx_ready", 38, 0, 1), ("tx_local_fault", 81, 1, 0), ("tx_remote_fault", 82, 1, 0), ("udp_dry_run_active", 83, 1, 0), ("cmac_enable", 84, 0, 1), ("fengine_science_valid", 85, 0, 1),
+        ("pfb_taps", 19, 3, 4), ("pfb_coeff_active_valid", 44, 0, 1), ("pfb_chan_count", 45, 64, 256), ("pfb_time_count", 86, 2, 1), ("frame_builder_enabled", 87, 0, 1), ("tx_underflow", 88, 1, 0), ("tx_overflow", 89, 1, 0), ("pfb_fft_not_ready", 91, 1, 0), ("spec_route_incomplete", 92, 1, 0),
+        ("tx_frame_built_count", 93, 0, 9), ("tx_frame_dropped_count", 94, 2, 0), ("spec_routes_odd_count", 95, 3, 0), ("spec_routes_odd_endpoint", 96, 1, 0), ("spec_routes_unhit", 97, 1, 0),
+    )},
+    "pps_count": "e % 32", "time_enabled": "case when (e % 2 = 0) = (e % 34 <> 2) then 1 else 0 end", "spec_enabled": "case when (e % 2 = 1) = (e % 35 <> 2) then 1 else 0 end", "pfb_active": "case when (e % 2 = 1) = (e % 42 <> 2) then 1 else 0 end",
+    "time_packet_count": "case when e % 2 = 0 then 4800000 - e % 11 * 20000 when e % 27 = 2 then 3 else 0 end", "spec_packet_count": "case when e % 2 = 1 then 4800000 - e % 13 * 20000 when e % 28 = 2 then 3 else 0 end",
+    "time_routes": "case when e % 2 = 0 then 8 - case when e % 39 = 1 then 1 else 0 end when e % 41 = 1 then 2 else 0 end", "time_routes_hit": "case when e % 2 = 0 then 8 - case when e % 17 = 0 or e % 39 = 1 then 1 else 0 end else 0 end",
+    "spec_routes": "case when e % 2 = 1 then 16 - case when e % 43 = 1 then 1 else 0 end when e % 41 = 1 then 1 else 0 end", "spec_routes_hit": "case when e % 2 = 1 then 16 - case when e % 43 = 1 or e % 23 = 0 then 1 else 0 end else 0 end",
+    **{c: f"case when e % {160 + k} = 1 then {k + 1} else 0 end" for k, c in enumerate(BOARD_COUNTERS)},
+}
+#: What differs for the earlier core's gate.
+_SCIENCE = _STATUS | {"core_version": "case when e % 73 = 5 then 65573 + 256 else 65573 end", "mode": "case e % 3 when 0 then 'time_only' when 1 then 'spec_only' else 'time_spec' end", "output_mode": "case when e % 98 = 5 then 'monitor' else case e % 3 when 0 then 'time_only' when 1 then 'spec_only' else 'time_spec' end end", "spec_routes_hit": "64 - case when e % 23 = 0 then 1 else 0 end", "time_packet_count": "case when e % 21 = 4 then 0 else e end", "spec_packet_count": "case when e % 22 = 4 then 0 else e end"}
+
+
+def _transmitters(spark: SparkSession, sf_dir: str, status: dict[str, str], rules: Rules, blockers: Rules, name: str) -> DataFrame:
+    df = packets(spark, sf_dir).selectExpr("e", *[f"{x} AS {c}" for c, x in status.items()])
+    out = transmitter_gate(df, rules, blockers, name, ["e"])
+    return out.withColumns({**{c: F.array_join(c, ",") for c in ("errors", "blockers")}, **{c: F.round(c, 6) for c in ("time_pps", "spec_pps", "payload_mbps")}})
+
+
 def q_board(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = F.col("e")
-    time, spec = e % 3 != 0, e % 3 != 1
-    no = lambda m, r: (e % m != r).cast("int")
-    pps = lambda m, wants, r: F.when(wants, 480_000.0 - e % m * 1000).when(e % r == 2, 3.0).otherwise(0.0)
-    df = packets(spark, sf_dir).select(
-        "e", time.alias("wants_time"), spec.alias("wants_spec"), F.lit(480_000.0).alias("nominal_pps"), pps(11, time, 27).alias("time_pps"), pps(13, spec, 28).alias("spec_pps"), F.lit(100).alias("mhz"), F.when(e % 29 == 1, 200).otherwise(100).alias("science_mhz"),
-        no(31, 1).alias("pps_recent"), (e % 32).alias("pps_count"), F.when(e % 33 == 1, 1).otherwise(0xFF00).alias("diag_control"), (time == (e % 34 != 1)).cast("int").alias("time_enabled"), (spec == (e % 35 != 1)).cast("int").alias("spec_enabled"),
-        no(36, 1).alias("gt_locked"), no(37, 1).alias("cmac_reset_done"), no(38, 1).alias("cmac_tx_ready"), F.when(time, 8 - no(39, 1) + 1).when(e % 40 == 1, 2).otherwise(0).alias("time_routes"), F.when(time, 8 - (e % 17 == 0).cast("int")).otherwise(0).alias("time_routes_hit"),
-        F.when(spec, F.lit(16)).when(e % 41 == 1, 1).otherwise(0).alias("spec_routes"), F.when(spec, 16 - (e % 18 == 0).cast("int")).otherwise(0).alias("spec_routes_hit"), F.when(spec, no(42, 1)).when(e % 43 == 1, 1).otherwise(0).alias("pfb_active"), no(44, 2).alias("pfb_coeff_valid"),
-        (4 - (e % 19 == 0).cast("int")).alias("pfb_taps"), F.lit(536870912).alias("pfb_checksum"), F.when(e % 45 == 1, 64).otherwise(256).alias("pfb_chan_count"), F.lit(1).alias("pfb_time_count"), *[(e % (60 + k) == 1).cast("int").alias(c) for k, c in enumerate(BOARD_COUNTERS)],
-    )
-    out = gate(df, board_rules(), "BOARD_GATE", ["e"]).withColumn("errors", F.array_join("errors", ","))
-    for name, settings in OLDER_GATES.items():
-        out = out.join(gate(df, board_rules(**settings), name, ["e"]).select("e", F.size("errors").alias(name)), "e")
-    return out
+    return _transmitters(spark, sf_dir, _STATUS, board_rules(), link_blockers(), "BOARD")
+
+
+def q_science(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The earlier core's gate."""
+    return _transmitters(spark, sf_dir, _SCIENCE, science_rules(), link_blockers(False), "SCIENCE")
 
 
 def q_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -438,7 +511,7 @@ def q_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "host_gate": q_host, "board_gate": q_board, "signal_audit": q_signal, "link_preflight": q_link, "packet_expectation": q_packet_expectation, "pipeline_health": q_health, "nic_discards": q_discards, "sustained_progress": q_sustained,
+    "host_gate": q_host, "board_gate": q_board, "science_gate": q_science, "signal_audit": q_signal, "link_preflight": q_link, "packet_expectation": q_packet_expectation, "pipeline_health": q_health, "nic_discards": q_discards, "sustained_progress": q_sustained,
     "alignment_rule": q_alignment, "board_consistency": q_boards, "provenance_pairing": q_pairing, "readback_identity": q_identity, "sample0_rebase": q_rebase, "sample0_audit": q_audit,
 }
 
@@ -460,25 +533,37 @@ _AFTER_RULES = [
     *[(f"NIC_{c.upper()}", f"e % {110 + k} = 8") for k, c in enumerate(NIC_COUNTERS)], ("NIC_PHYSICAL_DISCARD", "e % 120 = 9"),
 ]
 _FLOW_RULES = [("MISSING", "on_ AND gone"), ("NO_PACKETS", "on_ AND NOT gone AND quiet"), *[(c.upper(), f"on_ AND NOT gone AND (e + f) % {503 + 2 * k} = 11") for k, c in enumerate(FLOW_COUNTERS)], ("INACTIVE_PACKETS", "NOT on_ AND NOT quiet AND (e + f) % 307 = 5")]
-_T, _S = "e % 3 <> 0", "e % 3 <> 1"
-
-
-def _board_sql(counters_: list[str], tolerance: str = "0.99", time_routes: int = 8, spec_routes: int = 16) -> list[tuple[str, str]]:
-    return [
-        ("EXTERNAL_PPS_NOT_READY", "e % 31 = 1 OR e % 32 = 0"), ("DIAGNOSTIC_INJECTION_ENABLED", "e % 33 = 1"), ("SCIENCE_BANDWIDTH_MISMATCH", "e % 29 = 1"), ("TIME_ENABLE_MISMATCH", "e % 34 = 1"), ("SPEC_ENABLE_MISMATCH", "e % 35 = 1"),
-        ("GT_NOT_LOCKED", "e % 36 = 1"), ("CMAC_RESET_NOT_DONE", "e % 37 = 1"), ("CMAC_TX_NOT_READY", "e % 38 = 1"), *[(f"NONZERO_{c.upper()}", f"e % {60 + BOARD_COUNTERS.index(c)} = 1") for c in counters_],
-        ("SPEC_PACKETS_PRESENT_IN_TIME_ONLY", f"NOT ({_S}) AND e % 28 = 2"), ("TIME_PACKETS_PRESENT_IN_SPEC_ONLY", f"NOT ({_T}) AND e % 27 = 2"), ("TIME_RATE_LOW", f"{_T} AND 480000 - e % 11 * 1000 < 480000 * {tolerance}::DOUBLE"), ("SPEC_RATE_LOW", f"{_S} AND 480000 - e % 13 * 1000 < 480000 * {tolerance}::DOUBLE"),
-        ("TIME_ROUTE_CONTRACT_FAILED", f"{_T} AND (8 + (e % 39 = 1)::INTEGER <> {time_routes} OR 8 - (e % 17 = 0)::INTEGER < 8 + (e % 39 = 1)::INTEGER)"), ("TIME_ROUTE_ENABLED_IN_SPEC_ONLY", f"NOT ({_T}) AND e % 40 = 1"),
-        ("SPEC_ROUTE_CONTRACT_FAILED", f"{_S} AND (16 <> {spec_routes} OR e % 18 = 0)"), ("SPEC_ROUTE_ENABLED_IN_TIME_ONLY", f"NOT ({_S}) AND e % 41 = 1"), ("PFB_NOT_ACTIVE", f"{_S} AND e % 42 = 1"), ("PFB_COEFF_NOT_VALID", f"{_S} AND e % 44 = 2"),
-        ("PFB_CONTRACT", f"{_S} AND (e % 19 = 0 OR e % 45 = 1)"), ("PFB_ACTIVE_IN_TIME_ONLY", f"NOT ({_S}) AND e % 43 = 1"),
-    ]
+_T, _S = "mode = 'time_only'", "mode = 'spec_only'"
+_LOW = "printf('%.3f', {})"
+# (code as SQL, condition) over the status columns
+_BOARD_SQL = [
+    ("'WRONG_CORE_VERSION expected 0x00010031 got 0x' || printf('%08x', core_version)", "core_version <> 65585"), ("'WRONG_CLOCK_REF'", "clock_ref <> 0"), ("'WRONG_SYNC_MODE'", "configured_sync_mode <> 0 OR active_sync_mode <> 0"), ("'EXTERNAL_PPS_NOT_READY'", "pps_recent = 0 OR pps_count <= 0"),
+    ("'DIAGNOSTIC_INJECTION_ENABLED'", "diag_control <> 65280"), ("'SCIENCE_BANDWIDTH_MISMATCH'", "science_mhz <> 100"), ("'TIME_ENABLE_MISMATCH'", f"(time_enabled = 1) <> ({_T})"), ("'SPEC_ENABLE_MISMATCH'", f"(spec_enabled = 1) <> ({_S})"), ("'SCIENCE_100MHZ_ANTIALIAS_NOT_READY'", "aa_active = 0 OR aa_primed = 0"),
+    ("'SCIENCE_100MHZ_ANTIALIAS_CONTRACT_MISMATCH'", "aa_taps <> 41 OR aa_coeff_version <> 2853175361"), ("'CMAC_LIVE_TX_NOT_ENABLED'", "udp_dry_run_active <> 0 OR cmac_enable = 0"), *[(f"'NONZERO_{c.upper()}'", f"{c} <> 0") for c in BOARD_COUNTERS],
+    ("'SPEC_PACKETS_PRESENT_IN_TIME_ONLY'", f"{_T} AND spec_packet_count <> 0"), ("'TIME_PACKETS_PRESENT_IN_SPEC_ONLY'", f"{_S} AND time_packet_count <> 0"),
+    ("'TIME_PPS_LOW ' || " + _LOW.format("time_packet_count / elapsed") + " || ' < 470000'", f"{_T} AND time_packet_count / elapsed < 470000"), ("'SPEC_PPS_LOW ' || " + _LOW.format("spec_packet_count / elapsed") + " || ' < 470000'", f"{_S} AND spec_packet_count / elapsed < 470000"),
+    ("'COMBINED_PAYLOAD_LOW ' || " + _LOW.format("(time_packet_count + spec_packet_count) * 8320 * 8 / elapsed / 1e6") + " || ' < 31000'", "(time_packet_count + spec_packet_count) * 8320 * 8 / elapsed / 1e6 < 31000"),
+    ("'TIME_ROUTE_CONTRACT_FAILED'", f"{_T} AND (time_routes <> 8 OR time_routes_hit < time_routes)"), ("'TIME_ROUTE_ENABLED_IN_SPEC_ONLY'", f"NOT {_T} AND time_routes <> 0"), ("'SPEC_ROUTE_CONTRACT_FAILED'", f"{_S} AND (spec_routes <> 16 OR spec_routes_hit < spec_routes)"),
+    ("'FENGINE_SCIENCE_NOT_VALID'", f"{_S} AND fengine_science_valid = 0"), ("'PFB_TAPS_NOT_4'", f"{_S} AND pfb_taps <> 4"), ("'PFB_NOT_ACTIVE'", f"{_S} AND pfb_active = 0"), ("'PFB_COEFF_NOT_VALID'", f"{_S} AND pfb_coeff_active_valid = 0"), ("'PFB_CHAN_COUNT_NOT_256'", f"{_S} AND pfb_chan_count <> 256"),
+    ("'PFB_TIME_COUNT_NOT_1'", f"{_S} AND pfb_time_count <> 1"), ("'SPEC_ROUTE_ENABLED_IN_TIME_ONLY'", f"NOT {_S} AND spec_routes <> 0"), ("'PFB_ACTIVE_IN_TIME_ONLY'", f"NOT {_S} AND pfb_active <> 0"),
+]
+_TT, _SS = "mode <> 'spec_only'", "mode <> 'time_only'"
+_SCIENCE_SQL = [
+    ("'WRONG_CORE_VERSION expected 0x00010025 got 0x' || printf('%08x', core_version)", "core_version <> 65573"), ("'TX_STILL_DRY_RUN'", "udp_dry_run_active <> 0"), ("'CMAC_TX_NOT_ENABLED'", "cmac_enable = 0"), ("'FRAME_BUILDER_NOT_ENABLED'", "frame_builder_enabled = 0"), ("'CMAC_TX_UNDERFLOW'", "tx_underflow <> 0"), ("'CMAC_TX_OVERFLOW'", "tx_overflow <> 0"),
+    ("'FENGINE_SCIENCE_NOT_VALID'", "fengine_science_valid = 0"), ("'PFB_FFT_NOT_READY'", f"{_SS} AND pfb_fft_not_ready <> 0"), ("'FENGINE_OVERFLOW'", f"{_SS} AND pfb_overflow_count <> 0"), ("'FENGINE_XFFT_EVENT'", f"{_SS} AND pfb_xfft_event_count <> 0"), ("'FENGINE_TILE_OVERFLOW'", f"{_SS} AND pfb_tile_overflow_count <> 0"), ("'SPEC_ROUTE_INCOMPLETE'", f"{_SS} AND spec_route_incomplete <> 0"),
+    ("'SCIENCE_RATE_DROPPED'", "science_dropped_beat_count <> 0"), ("'RFDC_DROPPED'", "rfdc_dropped_count <> 0"), ("'SCIENCE_OUTPUT_MODE_MISMATCH'", "output_mode <> mode"), ("'TIME_PACKET_COUNTER_NOT_INCREMENTING'", f"{_TT} AND time_packet_count < 1"), ("'TIME_DROPPED'", f"{_TT} AND time_dropped_count <> 0"), ("'SPEC_PACKET_COUNTER_NOT_INCREMENTING'", f"{_SS} AND spec_packet_count < 1"),
+    ("'SPEC_DROPPED'", f"{_SS} AND spec_dropped_count <> 0"), ("'TX_FRAME_COUNTER_NOT_INCREMENTING'", "tx_frame_built_count < 1"), ("'TX_ROUTE_MISS'", "tx_route_miss_count <> 0"), ("'TX_ROUTE_ERROR'", "tx_route_error_count <> 0"), ("'TX_FRAME_DROPPED'", "tx_frame_dropped_count <> 0"), ("'SPEC_ROUTE_COVERAGE_INCOMPLETE'", f"{_SS} AND spec_routes_hit < 64"),
+    ("'SPEC_ROUTE_CHAN_COUNT_BAD'", f"{_SS} AND spec_routes_odd_count <> 0"), ("'SPEC_ROUTE_ENDPOINT_RANGE_BAD'", f"{_SS} AND spec_routes_odd_endpoint <> 0"), ("'SPEC_ROUTE_HITS_MISSING'", f"{_SS} AND spec_routes_unhit <> 0"),
+]
+_LINK_SQL = [("'GT_NOT_LOCKED'", "gt_locked = 0"), ("'CMAC_RESET_NOT_DONE'", "cmac_reset_done = 0"), ("'CMAC_TX_NOT_READY'", "cmac_tx_ready = 0")]
 
 
-def _count(rules: list[tuple[str, str]]) -> str:
-    return " + ".join(f"({bad})::INTEGER" for _, bad in rules)
+def _transmitter_sql(status: dict[str, str], rules: list[tuple[str, str]], blockers: list[tuple[str, str]], name: str) -> str:
+    said = lambda x: "concat_ws(',', " + ", ".join(f"CASE WHEN {bad} THEN {code} END" for code, bad in x) + ")"
+    return sql("packets", f"""SELECT e, '{name}_' || mhz || 'MHZ_' || mode || CASE WHEN errors = '' AND blockers = '' THEN '_PASS' ELSE '_FAIL' END AS classification, errors = '' AND blockers = '' AS ok, errors, blockers, round(time_packet_count / elapsed, 6) AS time_pps, round(spec_packet_count / elapsed, 6) AS spec_pps,
+        round((time_packet_count + spec_packet_count) * 8320 * 8 / elapsed / 1e6, 6) AS payload_mbps FROM (SELECT *, {said(rules)} AS errors, {said(blockers)} AS blockers FROM (SELECT e, {", ".join(f"{x} AS {c}" for c, x in status.items())} FROM packets))""")
 
 
-_OLDER = ", ".join(f"{_count(_board_sql(**{'counters_' if k == 'counter_names' else k: str(v) if k == 'tolerance' else v for k, v in settings.items()}))} AS {name}" for name, settings in OLDER_GATES.items())
 _SIGNAL_RULES = [("WRONG_CORE_VERSION", "e % 41 = 0"), ("DIAGNOSTIC_INJECTION_ENABLED", "e % 43 = 0"), *[(f"NONZERO_{c.upper()}", f"e % {50 + k} = 3") for k, c in enumerate(SIGNAL_COUNTERS)], ("AA100_NOT_READY", "e % 2 = 0 AND (e % 5 = 1 OR e % 6 = 2)"), ("AA100_ACTIVE_AT_200MHZ", "e % 2 = 1 AND e % 5 <> 1")]
 _LINK_RULES = [(c, f"e % {7 + k} = 0") for k, c in enumerate(["GT_NOT_LOCKED", "CMAC_RESET_NOT_DONE", "CMAC_TX_NOT_READY", "CMAC_LOCAL_FAULT", "CMAC_REMOTE_FAULT", "CMAC_TX_UNDERFLOW", "CMAC_TX_OVERFLOW"])]
 _NIC = "SELECT board_id, ['rx_discards_phy', 'rx_packets', 'RX_missed_errors', 'prio0_discard', 'tx_dropped'][e % 5 + 1] AS name, sum(e * 31 % 101 - {})::BIGINT AS v FROM packets WHERE {} GROUP BY 1, 2"
@@ -488,7 +573,8 @@ SQL = {
         y AS (SELECT e, on_, f, concat_ws(',', {", ".join(f"CASE WHEN {bad} THEN 'FLOW_' || f || '_{code}' END" for code, bad in _FLOW_RULES)}) AS said FROM x), z AS (SELECT e, string_agg(said, ',' ORDER BY NOT on_, f) AS flows FROM y WHERE said <> '' GROUP BY e),
         r AS (SELECT e, mhz, mode, concat_ws(',', {", ".join(f"CASE WHEN {bad} THEN '{code}' END" for code, bad in _HOST_RULES)}, flows, {", ".join(f"CASE WHEN {bad} THEN '{code}' END" for code, bad in _AFTER_RULES)}) AS errors FROM g LEFT JOIN z USING (e))
         SELECT e, 'HOST_' || mhz || 'MHZ_' || mode || CASE WHEN errors = '' THEN '_PASS' ELSE '_FAIL' END AS classification, errors = '' AS ok, errors FROM r""",
-    "board_gate": sql("packets", f"SELECT * FROM ({_gate_sql(_board_sql(BOARD_COUNTERS), 'BOARD_GATE', 'SELECT e FROM packets')}) JOIN (SELECT e, {_OLDER} FROM packets) USING (e)"),
+    "board_gate": _transmitter_sql(_STATUS, _BOARD_SQL, [*_LINK_SQL, ("'CMAC_FAULT'", "tx_local_fault <> 0 OR tx_remote_fault <> 0")], "BOARD"),
+    "science_gate": _transmitter_sql(_SCIENCE, _SCIENCE_SQL, [*_LINK_SQL, ("'CMAC_LOCAL_FAULT'", "tx_local_fault <> 0"), ("'CMAC_REMOTE_FAULT'", "tx_remote_fault <> 0")], "SCIENCE"),
     "signal_audit": sql("packets", _gate_sql(_SIGNAL_RULES, "SIGNAL_AUDIT", "SELECT e FROM packets")),
     "link_preflight": sql("packets", _gate_sql(_LINK_RULES, "LINK_PREFLIGHT", "SELECT e FROM packets")),
     "packet_expectation": sql("packets", "SELECT CASE WHEN errors = '' THEN 'PACKET_PASS' ELSE 'PACKET_FAIL' END AS classification, errors, count(*) AS packets FROM (SELECT concat_ws(',', CASE WHEN e % 5 = 0 OR e % 7 = 0 THEN 'DST_IP' END, CASE WHEN dst_port <> 4300 + flow_id THEN 'DST_PORT' END, CASE WHEN stream_type <> 1 THEN 'STREAM' END) AS errors FROM packets) GROUP BY errors"),

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from fluxframe.operators.gates import SYNC_START, epoch_step, sync_step
 from fluxframe.plans.views import CRC_TABLE, crc_sql, packets, sql, stepped
 from fluxframe.sources.captures import to_binary
-from fluxframe.streaming.receiver import Arbiter, Assembler, Capture, PreviewGate, Reorder, Ring, Steps, run_batch, stale
+from fluxframe.streaming.keyed import assembled
+from fluxframe.streaming.receiver import Arbiter, Capture, PreviewGate, Reorder, Ring, Steps, run_batch, stale
 
 REORDER = "key int, released long, late long, seq_gaps long, frame_gaps long, sample0_gaps long, app_drops long, last_seq long, detected_mhz int"
 
@@ -48,8 +49,13 @@ def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_assembler(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = run_batch(_blocks(spark, sf_dir), "block_count", "e", lambda s: Assembler(state=s), "key int, frame_group long, frame_id long, coverage int, mask_lo long, mask_hi long")
-    return out.withColumnRenamed("key", "block_count")
+    return assembled(_blocks(spark, sf_dir), [], "e").filter("complete").drop("complete")
+
+
+def q_given_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frame groups of each board that never become whole, and what they have."""
+    b = _blocks(spark, sf_dir).withColumn("board_id", (F.col("e") % 3).cast("int"))
+    return assembled(b.withColumn("frame_id", F.expr("e div 3")).withColumn("block_index", F.expr("cast((e div 3) % block_count - if((e div 3) % 41 = 7 and (e div 3) % block_count > 0, 1, 0) as int)")), ["board_id"], "e").filter("not complete").drop("frame_id", "complete")
 
 
 def q_scattered(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,7 +128,7 @@ def q_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "reorder_buffer": q_reorder, "late_packets": q_late, "spectrum_assembler": q_assembler, "spectrum_scatter": q_scattered, "display_capture": q_capture, "preview_gate": q_preview, "ring_buffer": q_ring, "arbiter_locked": q_arbiter, "sync_scheduler": q_sync, "epoch_machine": q_epoch,
+    "reorder_buffer": q_reorder, "late_packets": q_late, "spectrum_assembler": q_assembler, "groups_given_up": q_given_up, "spectrum_scatter": q_scattered, "display_capture": q_capture, "preview_gate": q_preview, "ring_buffer": q_ring, "arbiter_locked": q_arbiter, "sync_scheduler": q_sync, "epoch_machine": q_epoch,
     "stale_previews": q_stale, "spectrum_messages": q_messages,
 }
 
@@ -230,6 +236,8 @@ SQL = {
     "late_packets": stepped("packets", _reorder_sql(0), "SELECT flow_id, late::BIGINT AS late, released::BIGINT AS released FROM done"),
     "spectrum_assembler": sql("packets", "").strip() + ", " + _BLOCKS + """, f AS (SELECT *, row_number() OVER (PARTITION BY bc, g, bi ORDER BY e) = 1 AS new FROM b), s AS (SELECT *, sum(new::INTEGER) OVER (PARTITION BY bc, g ORDER BY e) AS seen FROM f)
         SELECT bc::INTEGER AS block_count, g AS frame_group, e AS frame_id, bc::INTEGER AS coverage, CASE WHEN bc = 64 THEN -1 ELSE 65535 END::BIGINT AS mask_lo, 0::BIGINT AS mask_hi FROM s WHERE new AND seen = bc""",
+    "groups_given_up": sql("packets", """SELECT board_id, bc::INTEGER AS block_count, g AS frame_group, count(DISTINCT bi)::INTEGER AS coverage, coalesce(bit_or(1::BIGINT << least(bi, 62)) FILTER (bi < 63), 0) + CASE WHEN bool_or(bi = 63) THEN -9223372036854775808 ELSE 0 END::BIGINT AS mask_lo, 0::BIGINT AS mask_hi
+        FROM (SELECT (e % 3)::INTEGER AS board_id, bc, (e // 3) // bc AS g, ((e // 3) % bc - CASE WHEN (e // 3) % 41 = 7 AND (e // 3) % bc > 0 THEN 1 ELSE 0 END)::INTEGER AS bi FROM packets, (SELECT unnest([16, 64]) AS bc)) GROUP BY ALL HAVING count(DISTINCT bi) < bc"""),
     "spectrum_scatter": sql("packets", "").strip() + ", " + _BLOCKS + """, w AS (SELECT g FROM b WHERE bc = 16 GROUP BY g HAVING count(DISTINCT bi) = 16), l AS (SELECT g, bi, max(e) AS e FROM b JOIN w USING (g) WHERE bc = 16 GROUP BY g, bi)
         SELECT g AS frame_group, i::INTEGER AS input, count(*) AS channels, sum((e * 7 + i * 3 + k) * (bi * 4 + k + 1))::BIGINT AS by_place FROM l, (SELECT unnest([0, 1]) AS i), (SELECT unnest(range(4)) AS k) GROUP BY g, i""",
     "display_capture": stepped("packets", _CAPTURE, "SELECT flow_id, first, first + packets - 1 AS last, packets FROM r WHERE first IS NOT NULL"),
