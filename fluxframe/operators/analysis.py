@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from fluxframe.functions.signal import rf_equivalent, wrap_degrees
 from fluxframe.operators.dsp import tones_sql
+from fluxframe.operators.ordered import SPAN, previous, running
 from fluxframe.operators.spectrum import TONE, _over, _PROJ, _r, _wrap, channel_statistics, coherent_phase, projection, spectra, spectrum_sql, square, to_reference, unwrapped
 from fluxframe.plans.views import captures, packets, samples, sql, stepped
 from fluxframe.streaming.receiver import run_batch
@@ -144,8 +145,29 @@ def kernel_join(points: DataFrame, grid: DataFrame, key: str, radius: int = 12)
     x = p.join(grid.withColumn("_b", F.floor(F.col("n") / block)), [key, "_b"])
     d = F.col("at") - F.col("n")
     sinc = lambda v: F.when(F.abs(v) < 1e-12, F.lit(1.0)).otherwise(F.sin(math.pi * v) / (math.pi * v))
-    x = x.filter(F.abs(d) < radius).withColumn("k", sinc(d) * sinc(d / radius))
-    return x.groupBy(key, "at").agg((F.sum(F.col("k") * F.col("i")) / F.sum("k")).alias("i"), (F.sum(F.col("k") * F.col("q")) / F.sum("k")).alias("q"), F.count("*").alias("taps"))
+    x = x.filter(F.abs(d) < radius).withColumns({"k": sinc(d) * sinc(d / radius), "_d": F.abs(d)})
+    own = lambda c: F.max(F.when(F.col("_d") < 1e-9, F.col(c)))  # noqa: E731  the sample itself, where there is one
+    near = lambda c: F.min_by(c, F.struct("_d", "n"))
+    value = lambda c: F.coalesce(own(c).cast("double"), F.when(F.abs(F.sum("k")) > 1e-9, F.sum(F.col("k") * F.col(c)) / F.sum("k")), near(c).cast("double"))
+    return x.groupBy(key, "at").agg(value("i").alias("i"), value("q").alias("q"), F.count("*").alias("taps"))
+
+
+def segments(df: DataFrame, key: str, order: str, span: int = SPAN) -> DataFrame:
+    """Packets (key, order, sample0, count, decimation: samples of the converter for each of theirs) with gap_before (samples were
+    lost or came again before it) and segment, the number of the key's unbroken stretch from 0."""
+    x = previous(df.withColumn("_end", F.col("sample0") + F.col("count") * F.col("decimation")).withColumnRenamed("_end", "ends"), [key], order, ["ends"], span)
+    x = x.withColumn("gap_before", F.coalesce(F.col("_ends") != F.col("sample0"), F.lit(False)))
+    return running(x, [key], order, F.col("gap_before").cast("int"), "segment", span=span).drop("ends", "_ends")
+
+
+def unbroken_waveforms(df: DataFrame, key: str, order: str, packets_needed: int) -> DataFrame:
+    """What a display can show of each segment: its first packets_needed packets, in the form of one packet or of several. A
+    waveform never goes over a gap; one of fewer packets is marked short. key, segment, gap_before, sample0, first, last (of the
+    order), packets, samples, window (converter samples) and short."""
+    x = segments(df, key, order)
+    numbered = running(x, [key, "segment"], order, F.lit(1), "_place").filter(F.col("_place") <= packets_needed)
+    out = numbered.groupBy(key, "segment").agg(F.min_by("gap_before", order).alias("gap_before"), F.min("sample0").alias("sample0"), F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("packets"), F.sum("count").alias("samples"), F.sum(F.col("count") * F.col("decimation")).alias("window"))
+    return out.withColumn("short", F.col("packets") < packets_needed)
 
 
 def waveforms(df: DataFrame, window: int, points: int, center_hz: float, rate_hz: float) -> DataFrame:
@@ -245,6 +267,14 @@ def q_waveforms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("channel", F.round("rms", 6).alias("rms"), "peak", "clipped", "samples", F.size("points").alias("shown"), total("mag").alias("sum_mag"), total("rf").alias("sum_rf"))
 
 
+def q_unbroken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Waveforms of four packets of each flow, of which a packet is lost every 97, and of one packet of each board."""
+    p = packets(spark, sf_dir).withColumns({"k": F.expr("e div 8 + e div 776 * 3"), "count": F.lit(64).cast("long"), "decimation": F.lit(8)})
+    p = p.select("flow_id", "k", (F.col("k") * 512).alias("sample0"), "count", "decimation")
+    several, one = unbroken_waveforms(p, "flow_id", "k", 4), unbroken_waveforms(p, "flow_id", "k", 1)
+    return several.withColumn("form", F.lit("several")).union(one.withColumn("form", F.lit("one")))
+
+
 def q_preview_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preview(samples(spark, sf_dir), 8, 64, 0b11110011)
 
@@ -258,7 +288,7 @@ def q_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "payload_metrics": q_payload, "coefficient_bank": q_bank, "config_patches": q_patches, "aligned_phase": q_aligned, "phase_provenance": q_provenance, "raw_spectrum": q_raw_spectrum, "debug_fft_peak": q_debug_peak, "two_tone_fit": q_two_tones, "source_phase": q_source_phase, "kernel_range_join": q_kernel,
-    "waveform_build": q_waveforms, "preview_slice": q_preview_slice, "version_in_force": q_versions,
+    "waveform_build": q_waveforms, "waveform_segments": q_unbroken, "preview_slice": q_preview_slice, "version_in_force": q_versions,
 }
 
 
@@ -307,6 +337,9 @@ SQL = {
     "kernel_range_join": sql("captures", f"""SELECT capture, "at", round(sum(k * i) / sum(k), 3) + 0.0 AS i, round(sum(k * q) / sum(k), 3) + 0.0 AS q, count(*) AS taps FROM (SELECT *, {_SINC} AS k FROM (SELECT p.capture, p."at", g.i, g.q, p."at" - g.n AS d FROM (SELECT capture, n + capture % 4 / 4 AS "at" FROM captures) p JOIN captures g ON g.capture = p.capture AND abs(p."at" - g.n) < 12)) GROUP BY ALL"""),
     "waveform_build": sql("samples", """SELECT channel, round(sqrt(avg(i::BIGINT * i + q::BIGINT * q)), 6) AS rms, max(greatest(least(abs(i), 32767), least(abs(q), 32767))) AS peak, count(*) FILTER (greatest(abs(i), abs(q)) >= 32760) AS clipped, count(*) AS samples, (count(*) FILTER (k % 5 = 0))::INTEGER AS shown,
         round(sum(sqrt(i::DOUBLE * i + q::DOUBLE * q)) FILTER (k % 5 = 0), 3) AS sum_mag, round(sum(i * cos(t) - q * sin(t)) FILTER (k % 5 = 0), 3) AS sum_rf FROM (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY n) - 1 AS k, ((n * (60e6 / 245.76e6)) % 1.0) * 2 * pi() AS t FROM samples) WHERE k < 100 GROUP BY channel"""),
+    "waveform_segments": sql("packets", """SELECT flow_id, segment::BIGINT AS segment, bool_or(gap AND place = 1) AS gap_before, min(k) * 512 AS sample0, min(k) AS first, max(k) AS last, count(*) AS packets, count(*) * 64 AS samples, count(*) * 512 AS "window", count(*) < needed AS short, CASE needed WHEN 1 THEN 'one' ELSE 'several' END AS form
+        FROM (SELECT *, row_number() OVER (PARTITION BY flow_id, segment ORDER BY k) AS place FROM (SELECT *, sum(gap::INTEGER) OVER (PARTITION BY flow_id ORDER BY k) AS segment FROM (SELECT flow_id, k, coalesce(k - lag(k) OVER (PARTITION BY flow_id ORDER BY k) <> 1, false) AS gap FROM (SELECT flow_id, e // 8 + e // 776 * 3 AS k FROM packets)))),
+        (SELECT unnest([1, 4]) AS needed) WHERE place <= needed GROUP BY flow_id, segment, needed"""),
     "preview_slice": sql("samples", "SELECT channel, min(n) AS sample0, count(*) AS samples, count(*) = 64 AS complete FROM samples WHERE n >= 8 AND n < 72 AND (243 >> channel) & 1 = 1 GROUP BY channel"),
     "version_in_force": sql("packets", "SELECT e, max(CASE WHEN e % 50 = 3 THEN e // 50 END) OVER (PARTITION BY board_id ORDER BY e) AS version FROM packets"),
 }

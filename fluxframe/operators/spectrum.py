@@ -4,9 +4,11 @@ needed (applyInArrow over bounded captures)."""
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -207,35 +209,89 @@ def spectra(df: DataFrame, key: str, rate_hz: float, purpose: str = "observation
     return df.select(key, "n", "i", "q").groupBy(key).applyInPandas(one, f"{key} {kind}, {SPECTRUM}")
 
 
-def channelise(df: DataFrame, nchan: int) -> DataFrame:
-    """The FFT of every frame of nchan phases of a filter bank's output, by channel; scaled by 1 / nchan."""
-
-    def one(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        z = np.zeros(nchan, complex)
-        z[pdf["phase"].to_numpy()] = pdf["i"].to_numpy(float) + 1j * pdf["q"].to_numpy(float)
-        x = np.fft.fft(z) / nchan
-        return pd.DataFrame({"channel": k[0], "frame": k[1], "bin": np.arange(nchan, dtype=np.int32), "re": x.real, "im": x.imag})
-
-    return df.groupBy("channel", "frame").applyInPandas(one, "channel int, frame long, bin int, re double, im double")
-
-
-def resample(df: DataFrame, key: str, points: int, radius: int = 12) -> DataFrame:
-    """Band-limited values of captures at `points` places over their span: a normalised Lanczos kernel of 2 * radius
-    samples; with fewer than four samples the nearest one."""
+def radix4(x: np.ndarray, shifts: list[int], most: float = 32767) -> tuple[np.ndarray, np.ndarray]:
+    """The FFTs of the rows of x, whose length is a power of 4, by stages of four; stage k divides by 2 ** shifts[k]. Also how many
+    values of each row were over `most` after a stage, in their real or imaginary part."""
+    rows, n = x.shape
+    over = np.zeros(rows, np.int64)
+    digits, length = len(shifts), n
+    for shift in shifts:
+        a, b, c, d = np.moveaxis(x.reshape(rows, n // length, 4, length // 4), 2, 0)
+        turn = np.exp(-2j * np.pi * np.arange(length // 4) / length)
+        x = np.stack([a + b + c + d, (a - 1j * b - c + 1j * d) * turn, (a - b + c - d) * turn**2, (a + 1j * b - c - 1j * d) * turn**3], 2).reshape(rows, n) / (1 << shift)
+        over += ((np.abs(x.real) > most) | (np.abs(x.imag) > most)).sum(1)
+        length //= 4
+    return x.reshape(rows, *[4] * digits).transpose(0, *range(digits, 0, -1)).reshape(rows, n), over
+
+
+def channelise(df: DataFrame, nchan: int, schedule: int | None = None) -> DataFrame:
+    """The FFT of every frame (channel, frame, phase, i, q) of a filter bank's output, by channel: channel, frame, bin, re, im and
+    overflows, a row a bin. nchan is a power of 2. The transform scales by 1 / nchan, or, with a schedule (nchan a power of 4), by
+    2 ** -s after each stage of four, s two bits of the schedule, the first stage's lowest; overflows counts the values that did
+    not fit into 16 bits after some stage. Absent phases are 0. Frames come as arrays, and all of an Arrow batch are one matrix."""
+    stages = (nchan.bit_length() - 1) // 2
+    if nchan & (nchan - 1) or schedule is not None and (4**stages != nchan or not 0 <= schedule < 4**stages):
+        raise ValueError(f"{nchan} channels, schedule {schedule}")
+    frames = df.groupBy("channel", "frame").agg(F.collect_list(F.struct(F.col("phase").cast("int").alias("phase"), F.col("i").cast("double").alias("i"), F.col("q").cast("double").alias("q"))).alias("x"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, max(1, (1 << 20) // nchan)):
+                batch = whole.slice(lo, max(1, (1 << 20) // nchan))
+                lists, rows = batch.column("x"), batch.num_rows
+                values, row = lists.flatten(), np.repeat(np.arange(rows), lists.value_lengths().to_numpy())
+                z = np.zeros((rows, nchan), complex)
+                z[row, values.field("phase").to_numpy()] = values.field("i").to_numpy() + 1j * values.field("q").to_numpy()
+                if schedule is None:
+                    x, over = np.fft.fft(z) / nchan, np.zeros(rows, np.int64)
+                else:
+                    x, over = radix4(z, [schedule >> 2 * k & 3 for k in range(stages)])
+                bins = lambda c: np.repeat(c.to_numpy(zero_copy_only=False), nchan)
+                yield pa.RecordBatch.from_arrays([pa.array(bins(batch.column("channel"))), pa.array(bins(batch.column("frame"))), pa.array(np.tile(np.arange(nchan, dtype=np.int32), rows)), pa.array(x.real.ravel()), pa.array(x.imag.ravel()), pa.array(np.repeat(over, nchan))], names=["channel", "frame", "bin", "re", "im", "overflows"])
+
+    keys = frames.select(F.col("channel").cast("int").alias("channel"), F.col("frame").cast("long").alias("frame"), "x")
+    return keys.mapInArrow(run, "channel int, frame long, bin int, re double, im double, overflows long")
+
+
+GRID_LIMITS = (64, 16384)
+_CHUNK = 2048
+
+
+def banded(n: np.ndarray, z: np.ndarray, at: np.ndarray, spacing: float = 1, radius: int = 12) -> np.ndarray:
+    """Values at places from samples (n ascending, z): a normalised Lanczos kernel over the samples nearer than radius spacings.
+    The sample itself where one is at the place; the nearest, the first of equals, where the kernel has no weight or there are
+    fewer than four samples. Only those neighbours are gathered, for some thousand places at a time."""
+    out = np.empty(len(at), complex)
+    for lo in range(0, len(at), _CHUNK):
+        x = at[lo : lo + _CHUNK]
+        below = np.clip(np.searchsorted(n, x, side="right") - 1, 0, len(n) - 1)
+        above = np.minimum(below + 1, len(n) - 1)
+        near = np.where(np.abs(x - n[below]) <= np.abs(n[above] - x), below, above)
+        value = z[near]
+        if len(n) >= 4:
+            first, last = np.searchsorted(n, x - radius * spacing, side="right"), np.searchsorted(n, x + radius * spacing, side="left")
+            places = first[:, None] + np.arange(max(1, int((last - first).max())))
+            inside = places < last[:, None]
+            places = np.minimum(places, len(n) - 1)
+            d = (x[:, None] - n[places]) / spacing
+            weight = np.where(inside, np.sinc(d) * np.sinc(d / radius), 0)
+            total = weight.sum(1)
+            good = (np.abs(total) > 1e-9) & (np.abs(x - n[near]) / spacing >= 1e-9)
+            value = np.where(good, (weight * z[places]).sum(1) / np.where(good, total, 1), value)
+        out[lo : lo + _CHUNK] = value
+    return out
+
+
+def resample(df: DataFrame, key: str, points: int, radius: int = 12, spacing: float = 1) -> DataFrame:
+    """Band-limited values of captures (key, n, i, q) at evenly spaced places over their span, as banded() has them; points is kept
+    within 64 to 16384. A capture is one group, bounded by the device at 16384 samples."""
+    points = min(max(points, GRID_LIMITS[0]), GRID_LIMITS[1])
 
     def one(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("n")
         n, z = pdf["n"].to_numpy(float), pdf["i"].to_numpy(float) + 1j * pdf["q"].to_numpy(float)
         at = np.linspace(n[0], n[-1], points)
-        nearest = z[np.abs(at[:, None] - n[None]).argmin(1)]
-        if len(n) >= 4:
-            x = at[:, None] - n[None]
-            kernel = np.where(np.abs(x) < radius, np.sinc(x) * np.sinc(x / radius), 0)
-            total = kernel.sum(1)
-            good = np.abs(total) > 1e-9
-            out = np.where(good, kernel @ z / np.where(good, total, 1), nearest)
-        else:
-            out = nearest
+        out = banded(n, z, at, spacing, radius)
         return pd.DataFrame({key: k[0], "point": np.arange(points, dtype=np.int32), "at": at, "i": out.real, "q": out.imag})
 
     kind = df.schema[key].dataType.simpleString()
@@ -437,13 +493,23 @@ def q_stabiliser(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_channelise(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fluxframe.operators.dsp import PFB_TEST, q_pfb
 
-    return _r(channelise(q_pfb(spark, sf_dir), PFB_TEST), "re", "im", places=5)
+    return _r(channelise(q_pfb(spark, sf_dir), PFB_TEST).drop("overflows"), "re", "im", places=5)
+
+
+def q_channelise_4096(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of 4096 samples of each channel through six stages that each divide by four: the energy of all bins, the bins of a
+    constant, of half and of a quarter of the rate, and what overflowed."""
+    df = samples(spark, sf_dir).select("channel", F.expr("n div 4096").alias("frame"), F.expr("cast(n % 4096 as int)").alias("phase"), "i", "q")
+    x = channelise(df, 4096, 0b101010101010)
+    at = lambda k, c: F.round(F.max(F.when(F.col("bin") == k, F.col(c))), 4) + 0.0
+    energy = F.round(F.sum(F.col("re") * F.col("re") + F.col("im") * F.col("im")) * 4096 / F.lit(1e6), 3)
+    return x.groupBy("channel", "frame").agg(F.count("*").alias("bins"), energy.alias("energy"), *[at(k, c).alias(f"{c}_{k}") for k in (0, 1024, 2048) for c in ("re", "im")], F.max("overflows").alias("overflows"))
 
 
 QUERIES = {
     "spec_mean_power": q_spec_mean, "channel_stats": q_channel_stats, "noise_floor_snr": q_noise, "peak_interpolate": q_peak, "coherence": q_coherence, "lag_search": q_lag, "phase_unwrap": q_unwrap, "weighted_slope": q_slope,
     "tone_projection": q_projection, "reference_delta": q_reference, "mean_frequency": q_mean_frequency, "bin_rf": q_bins, "phase_words": q_phase_words, "bandwidth_parse": q_bandwidths, "rf_equivalent": q_rf, "power_db": q_db,
-    "stride_thin": q_thin, "residual_order": q_order, "passband_mask": q_passband, "nearest_sample": q_nearest, "fft_peak": q_fft_peak, "resample_lanczos": q_resample, "spectrum_stabiliser": q_stabiliser, "channelise_fft": q_channelise,
+    "stride_thin": q_thin, "residual_order": q_order, "passband_mask": q_passband, "nearest_sample": q_nearest, "fft_peak": q_fft_peak, "resample_lanczos": q_resample, "spectrum_stabiliser": q_stabiliser, "channelise_fft": q_channelise, "channelise_4096": q_channelise_4096,
 }
 
 _PAIR = """x AS (SELECT a.capture // 2 AS pair, a.n, a.n // 4 AS g, a.i AS ai, a.q AS aq, b.i AS bi, b.q AS bq FROM captures a JOIN captures b ON a.capture % 2 = 0 AND b.capture = a.capture + 1 AND a.n = b.n)"""
@@ -492,6 +558,9 @@ _LANCZOS = """t AS (SELECT capture, p, p * 31 / 63.0::DOUBLE AS x FROM (SELECT D
 SQL = {
     "fft_peak": _over("captures", spectrum_sql(), "SELECT capture, arg_min(frequency_hz, (-round(dbfs, 6), bin)) AS peak_hz, max(round(dbfs, 6)) AS peak_dbfs, round(median(dbfs), 6) AS median_dbfs FROM z GROUP BY capture"),
     "resample_lanczos": _over("captures", _LANCZOS, 'SELECT capture, p::INTEGER AS point, round(x, 6) AS "at", round(sum(h * i) / sum(h), 3) + 0.0 AS i, round(sum(h * q) / sum(h), 3) + 0.0 AS q FROM w GROUP BY capture, p, x'),
+    "channelise_4096": sql("samples", """SELECT channel, n // 4096 AS frame, 4096::BIGINT AS bins, round(sum(i::BIGINT * i + q::BIGINT * q)::DOUBLE / 1e6, 3) AS energy, round(sum(i) / 4096, 4) + 0.0 AS re_0, round(sum(q) / 4096, 4) + 0.0 AS im_0,
+        round(sum(CASE n % 4 WHEN 0 THEN i WHEN 1 THEN q WHEN 2 THEN -i ELSE -q END) / 4096, 4) + 0.0 AS re_1024, round(sum(CASE n % 4 WHEN 0 THEN q WHEN 1 THEN -i WHEN 2 THEN -q ELSE i END) / 4096, 4) + 0.0 AS im_1024,
+        round(sum(CASE WHEN n % 2 = 0 THEN i ELSE -i END) / 4096, 4) + 0.0 AS re_2048, round(sum(CASE WHEN n % 2 = 0 THEN q ELSE -q END) / 4096, 4) + 0.0 AS im_2048, 0::BIGINT AS overflows FROM samples GROUP BY channel, n // 4096"""),
     "spectrum_stabiliser": stepped("captures", _STABLE, "SELECT channel::INTEGER AS channel, capture AS frame, round(list_sum(list_transform(shown, lambda x: 10 * log10(greatest(x, 1e-24)))), 4) AS display_sum, round(spm, 4) AS display_peak_mhz, round(spk, 4) AS display_peak_dbfs, round(srms, 4) AS display_rms_dbfs, why = '' AS accepted, why AS reason FROM r WHERE m > 0"),
     "spec_mean_power": sql("samples", "SELECT channel, n // 4 AS cell, round(sqrt(avg(i) ** 2 + avg(q) ** 2), 6) AS amplitude, round(atan2(avg(q), avg(i)), 6) + 0.0 AS phase_rad, round(10 * log10(greatest(avg(i::BIGINT * i + q::BIGINT * q), 1)), 6) AS power_db FROM samples GROUP BY channel, n // 4"),
     "channel_stats": sql("samples", "SELECT channel, round(sqrt(avg(i::BIGINT * i + q::BIGINT * q)), 6) AS rms, max(greatest(least(abs(i), 32767), least(abs(q), 32767))) AS peak, count(*) FILTER (greatest(abs(i), abs(q)) >= 32760) AS clipped, count(*) AS samples FROM samples GROUP BY channel"),
