@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fluxframe.functions.signal import amplitude_code, bandwidth_mhz, bin_rf_hz, decimation, from_db, nearest_bin, nearest_bin_half_up, next_power_of_two, phase0_word, phase_word, power_db, rf_equivalent, sample_rate_hz, samples_per_cycle, to_db, wrap_degrees
-from fluxframe.operators.ordered import SPAN, previous, running
+from fluxframe.operators.ordered import SPAN, block, previous, running
 from fluxframe.plans.views import captures, packets, samples, sql, stepped
 from fluxframe.streaming.receiver import run_batch
 
@@ -75,16 +75,27 @@ def lag_search(a: DataFrame, b: DataFrame, key: str, most: int, overlap: int = 8
     return sums.groupBy(key).agg(F.min(F.struct((-size).alias("s"), "lag")).alias("m")).select(key, F.col("m.lag").alias("lag"), F.sqrt(-F.col("m.s")).alias("size"))
 
 
-def unwrapped(df: DataFrame, key: str, order: str, phase: str, span: int = SPAN) -> DataFrame:
-    """Phases without jumps of more than half a turn, over all rows in order: whole turns are counted between neighbours and
-    added up over blocks, so a key is many tasks and sums are exact."""
-    step = F.col(phase) - F.col(f"_{phase}")
-    turn = 2 * math.pi
+def _turns(phase: Column, before: Column) -> Column:
+    """Whole turns to add from a phase on, so that it is within half a turn of the one before."""
+    step, turn = phase - before, 2 * math.pi
     inside = F.pmod(step + math.pi, F.lit(turn)) - math.pi
     inside = F.when((inside == -math.pi) & (step > 0), F.lit(math.pi)).otherwise(inside)
-    turns = F.when(F.abs(step) < math.pi, F.lit(0)).otherwise(F.round((inside - step) / turn).cast("long"))
-    out = running(previous(df, [key], order, [phase], span), [key], order, F.coalesce(turns, F.lit(0)), "_turns", span=span)
-    return out.withColumn("unwrapped", F.col(phase) + turn * F.col("_turns")).drop("_turns", f"_{phase}")
+    return F.coalesce(F.when(F.abs(step) < math.pi, F.lit(0)).otherwise(F.round((inside - step) / turn)).cast("long"), F.lit(0).cast("long"))
+
+
+def unwrapped(df: DataFrame, key: str, order: str, phase: str, span: int = SPAN) -> DataFrame:
+    """Phases without jumps of more than half a turn, over all rows in order. Whole turns are counted within blocks of the order;
+    blocks' first and last phases and turns, a row each, give the turns before a block. So a key is many tasks, sums are exact,
+    and df is computed twice."""
+    x = df.withColumns({"_key": F.struct(key), "_block": block(order, span)})  # a struct is never null, so it joins
+    mine = Window.partitionBy("_key", "_block").orderBy(order)
+    x = x.withColumn("_step", _turns(F.col(phase), F.lag(phase).over(mine))).withColumn("_in", F.sum("_step").over(mine.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = x.groupBy("_key", "_block").agg(F.min_by(phase, order).alias("_first"), F.max_by(phase, order).alias("_last"), F.sum("_step").alias("_all"))
+    across = Window.partitionBy("_key").orderBy("_block")
+    ends = ends.withColumn("_step", _turns(F.col("_first"), F.lag("_last").over(across)) + F.coalesce(F.lag("_all").over(across), F.lit(0)))
+    before = ends.select("_key", "_block", F.sum("_step").over(across.rowsBetween(Window.unboundedPreceding, 0)).alias("_before"))
+    out = x.drop("_step").join(before, ["_key", "_block"])
+    return out.withColumn("unwrapped", F.col(phase) + 2 * math.pi * (F.col("_before") + F.col("_in"))).drop("_key", "_block", "_in", "_before")
 
 
 def weighted_slope(df: DataFrame, key: str, x: str, y: str, weight: str) -> DataFrame:

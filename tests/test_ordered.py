@@ -58,8 +58,12 @@ def test_gaps_at_block_borders(spark):
 
 @pytest.mark.parametrize("span", [4, 1 << 16])
 def test_unwrap_against_numpy(spark, span):
+    """Two keys, one of them null."""
     rng = np.random.default_rng(3)
     phase = (np.cumsum(rng.normal(0.8, 1.2, 500)) + math.pi) % (2 * math.pi) - math.pi
-    df = spark.createDataFrame([(0, k, float(p)) for k, p in enumerate(phase)], "key int, n long, phase double")
-    got = np.array([r.unwrapped for r in spectrum.unwrapped(df, "key", "n", "phase", span).orderBy("n").collect()])
-    assert np.allclose(got, np.unwrap(phase), atol=1e-9)
+    df = spark.createDataFrame([(key, k, float(p)) for key in (0, None) for k, p in enumerate(phase)], "key int, n long, phase double")
+    out = spectrum.unwrapped(df, "key", "n", "phase", span)
+    assert out.columns == [*df.columns, "unwrapped"]
+    rows = out.orderBy("key", "n").collect()
+    for part in (rows[:500], rows[500:]):
+        assert np.allclose([r.unwrapped for r in part], np.unwrap(phase), atol=1e-9)
