@@ -86,3 +86,41 @@ def test_substring_dedup_keeps_blank_documents(spark, sf):
     df = spark.createDataFrame([(1, text, "en", "s", 9), (2, text, "en", "s", 9), (3, "", "en", "s", 9), (4, None, "en", "s", None), (5, " \n", "en", "s", 9)], docs.schema)
     got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.substring_dedup(spark, df, sf).collect()}
     assert got == {1: (text, len(text)), 3: ("", 0), 4: (None, None), 5: (" \n", 2)}
+
+
+def test_whole_run_against_plain_stages(spark, sf, monkeypatch):
+    """All documents of the smallest table through run(), and through stages of plain Python: the classifier's network a document
+    at a time, all pairs, spans looked up by their words, and the library's encoder. The mixing stage decides on their output."""
+    import hashlib
+
+    import numpy as np
+    import public_tokenizers
+    import tiktoken
+    from test_dedup import brute, spans_brute
+    from tiktoken.load import load_tiktoken_bpe
+
+    from fluxframe.llm import bpe, bytecnn
+
+    reference = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=load_tiktoken_bpe(public_tokenizers.path(bpe.RANKS)), special_tokens={})
+
+    docs = {r.doc_id: r for r in table(spark, sf, "documents").collect()}
+    model = bytecnn.trained(spark, table(spark, sf, "documents"), sf)
+    scored = {d: bytecnn.probabilities(model, np.frombuffer((r.text or "").encode(), np.uint8), np.array([0, len((r.text or "").encode())]))[0] for d, r in docs.items()}
+    ranked = sorted(scored.values())[20:60]  # a threshold that rejects some, between scores that are apart
+    gap = max(range(len(ranked) - 1), key=lambda k: ranked[k + 1] - ranked[k])
+    monkeypatch.setattr(bytecnn, "THRESHOLD", float(ranked[gap] + ranked[gap + 1]) / 2)
+    good = [(d, r.text) for d, r in docs.items() if scored[d] >= bytecnn.THRESHOLD]
+    first = {int(d) for d, _, _, kept in brute(good, 5) if kept}
+    rest = [(d, t) for d, t in good if d in first]
+    left = spans_brute([(d, t) for d, t in rest if t is not None])
+    texts = {d: left.get(d) for d, t in rest if t is None or left[d].strip(" ") or not t.strip(" ")}
+    schema = table(spark, sf, "documents").schema
+    rows = [(d, t, docs[d].lang, docs[d].source, None if t is None else len(t)) for d, t in texts.items()]
+    mixed = [r.doc_id for r in corpus_pipeline.mix(spark, spark.createDataFrame(rows, schema), sf).collect()]
+    want = []
+    for d in mixed:
+        ids = reference.encode_ordinary(texts[d] or "")
+        want.append((d, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((texts[d] or "").encode()).hexdigest()))
+    got = [tuple(r) for r in corpus_pipeline.run(spark, sf).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()]
+    assert sorted(got) == sorted(want)
+    assert len(texts) <= len(rest) < len(good) < len(docs)
