@@ -192,16 +192,26 @@ def q_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_tuples(e)
 
 
+def inactive(known: DataFrame, active: DataFrame, key: str) -> DataFrame:
+    """The keys of known that active lacks, each once; a null key is never active. Keys are made distinct before they meet, so a
+    key of many rows is one row of the join."""
+    return known.select(key).distinct().join(active.select(key).distinct(), key, "left_anti")
+
+
+def key_union(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """The keys of either snapshot, each once."""
+    return a.select(*keys).union(b.select(*keys)).distinct()
+
+
 def q_inactive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All flows without the active ones, and how many snapshots know each."""
+    """All flows without the active ones."""
     p = packets(spark, sf_dir).select((F.col("dst_port") - 4300).alias("flow_id"), "stream_type", "e")
-    active = p.filter("stream_type = 1 and e % 48 < 20").select("flow_id")
-    return p.select("flow_id").distinct().join(active.distinct(), "flow_id", "left_anti")
+    return inactive(p, p.filter("stream_type = 1 and e % 48 < 20"), "flow_id")
 
 
 def q_key_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = counters(spark, sf_dir)
-    return c.filter("board_id = 0").select("day").union(c.filter("board_id = 1").select("day")).distinct()
+    return key_union(c.filter("board_id = 0"), c.filter("board_id = 1"), ["day"])
 
 
 def _streams(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
